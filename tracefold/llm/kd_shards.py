@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from .common import numbered, text_or_empty, written
 
 #: A key is coordinate (16 bits), text CRC-32 (32 bits), hash of the id (15 bits); a pass refines it down to one of these shifts.
-SHIFTS = (51, 39, 27, 15, 3, 0)
+SHIFTS = (47, 31, 15, 0)
 TEXT_SHIFT = 15
-BINS = 4096
 
 
 def metadata(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,6 +42,7 @@ def kd_tree(meta: DataFrame, shards: int, tolerance: float = 0.001) -> Column:
     inside a group of equal texts moves to the group's nearer end if that costs no more than 10 tolerances of a shard.
     Only (nodes) rows reach the driver, at most shards.
     """
+    spark = meta.sparkSession
     dims = [c for c in meta.columns if c.startswith("k")]
     total = meta.agg(F.sum("size")).first()[0] or 0
     slack = max(1, total / shards * tolerance)
@@ -50,11 +50,11 @@ def kd_tree(meta: DataFrame, shards: int, tolerance: float = 0.001) -> Column:
     need = {0: shards}
     tree: dict[int, tuple[str, int, int, int]] = {}
 
-    def place(n: int) -> Column:
+    def place(n: int, names: dict[int, int]) -> Column:
         if n in tree:
             dim, cut, left, right = tree[n]
-            return F.when(F.col(dim) < cut, place(left)).otherwise(place(right))
-        return F.lit(n)
+            return F.when(F.col(dim) < cut, place(left, names)).otherwise(place(right, names))
+        return F.lit(names.get(n, n))
 
     spans = None
     fresh = 1
@@ -71,26 +71,17 @@ def kd_tree(meta: DataFrame, shards: int, tolerance: float = 0.001) -> Column:
         cuts: dict[int, int] = {}
         above = 63
         for shift in SHIFTS:
-            live = {n: s for n, s in state.items() if n not in cuts}
+            live = [(n, dims.index(dim), start, float(wanted - before)) for n, (dim, start, before, wanted) in state.items() if n not in cuts]
             if not live:
                 break
-            key, low = F.lit(None).cast("long"), F.lit(None).cast("long")
-            for n, (dim, start, _, _) in live.items():
-                key = F.when(F.col("node") == n, F.col(dim)).otherwise(key)
-                low = F.when(F.col("node") == n, F.lit(start)).otherwise(low)
-            binned = rows.where(F.col("node").isin(list(live))).select("node", "size", key.alias("key"), low.alias("low"))
-            sums = binned.where((F.col("key") >= F.col("low")) & (F.shiftright("key", above) == F.shiftright("low", above))).groupBy("node", F.shiftright("key", shift).alias("bin")).agg(F.sum("size").alias("w"))
+            open_ = F.broadcast(spark.createDataFrame(live, "node int, dim int, low long, want double"))
+            binned = rows.join(open_, "node").select("node", "size", "low", "want", F.get(F.array(*dims), F.col("dim")).alias("key"))
+            same = F.shiftright("key", above) == F.shiftright("low", above)
+            sums = binned.where(same).groupBy("node", "want", F.shiftright("key", shift).alias("bin")).agg(F.sum("size").alias("w"))
             run = Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-            want = F.lit(None).cast("double")
-            for n, (_, _, before, wanted) in live.items():
-                want = F.when(F.col("node") == n, F.lit(float(wanted - before))).otherwise(want)
-            last = Window.partitionBy("node")
-            found = (
-                sums.withColumn("run", F.sum("w").over(run))
-                .withColumn("end", F.max("bin").over(last))
-                .where(((F.col("run") >= want) & (F.col("run") - F.col("w") < want)) | ((F.col("bin") == F.col("end")) & (F.col("run") < want)))
-                .collect()
-            )
+            end = F.max("bin").over(Window.partitionBy("node"))
+            reached = (F.col("run") >= F.col("want")) & (F.col("run") - F.col("w") < F.col("want"))
+            found = sums.withColumn("run", F.sum("w").over(run)).withColumn("end", end).where(reached | ((F.col("bin") == F.col("end")) & (F.col("run") < F.col("want")))).collect()
             for r in found:
                 n = r.node
                 _, _, before, wanted = state[n]
@@ -106,12 +97,8 @@ def kd_tree(meta: DataFrame, shards: int, tolerance: float = 0.001) -> Column:
             tree[n] = (state[n][0], cuts.get(n, state[n][1]), left, right)
             k = need.pop(n)
             need |= {left: k // 2, right: k - k // 2}
-        node = place(0)
-    leaf = {n: i for i, n in enumerate(sorted(n for n in need))}
-    shard = F.lit(None).cast("int")
-    for n, i in leaf.items():
-        shard = F.when(node == n, F.lit(i)).otherwise(shard)
-    return shard
+        node = place(0, {})
+    return place(0, {n: i for i, n in enumerate(sorted(need))})
 
 
 def kd_shards(docs: DataFrame, shards: int = 24, chunk_rows: int = 10_000) -> DataFrame:
