@@ -109,11 +109,11 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
                 ids_sha.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
                 back_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                 if with_ids:
-                    all_ids.append(ids)
+                    all_ids.append(np.array(ids, np.int32))
             columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate([*all_ids, np.zeros(0, np.int32)]))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -46,6 +46,12 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def without(docs: DataFrame, ids: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """docs but those whose doc_id is in ids (doc_id). Up to most_rows counted ids are broadcast, more are joined."""
+    gone = written(ids.distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= most_rows else gone, "doc_id", "left_anti")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
