@@ -1,0 +1 @@
+"""Sensor-evidence analytics as DataFrame and Structured Streaming operators."""

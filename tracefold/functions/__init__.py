@@ -1 +1 @@
-
+"""Column functions and ordered scans."""

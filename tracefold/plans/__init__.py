@@ -1 +1 @@
-
+"""Derived input views, registered queries and their DuckDB counterparts."""
