@@ -1,0 +1,314 @@
+"""Each operator against a brute-force version, on rows with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+
+from tracefold.llm import bpe, exact_dedup, flac, fuzzy_lines, kd_shards, language, mixing, secrets, simhash, toxicity
+from tracefold.llm.common import components
+
+DDL = "doc_id long, text string, lang string, source string, n_chars long, slot int, h long, kept string"
+
+
+def texts():
+    r = random.Random(5)
+    words = ["alpha", "beta", "Gamma", "délta", "eps", "zeta", "eta", "theta", "iota", "kappa"]
+    out = [None, "", " \t\n", "same text", "same  text", "sametext ", "x" * 30_000]
+    for i in range(60):
+        out.append(" ".join(r.choice(words) for _ in range(r.randrange(1, 60))) + ("\n" + out[3] if i % 7 == 0 else ""))
+    out += out[20:26]  # exact copies
+    out += [x + " eps" for x in out[30:34]]  # near copies
+    return out
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return [(i, t, ["en", "fr", None][i % 3], ["a", "b", None, "é"][i % 4 if i % 5 else 0], None, 7, 9, "z") for i, t in enumerate(texts())]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows + rows[-1:], DDL)  # one row repeats
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], DDL)
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def bare(text):
+    return re.sub(r"[\x20\x09-\x0D]", "", text or "")
+
+
+def test_exact_dedup(docs, rows, nothing):
+    got = exact_dedup.exact_dedup(docs, capacity=2).collect()
+    groups = {}
+    for i, t, *_ in rows + rows[-1:]:
+        groups.setdefault(bare(t), []).append((-len(t or ""), i))
+    assert len(got) == len(rows) + 1
+    for r in got:
+        g = groups[bare(rows[r.doc_id][1])]
+        assert (r.keep_id, r.group_size) == (min(g)[1], len(g))
+        assert r.text_sha256 == hashlib.sha256(bare(rows[r.doc_id][1]).encode()).hexdigest()
+    assert sum(r.kept for r in got) == len(groups)
+    assert exact_dedup.exact_dedup(nothing).collect() == []
+
+
+def test_exact_dedup_equals_sql(spark, tmp_path, rows):
+    import pandas as pd
+
+    documents = pd.DataFrame(rows, columns=[c.split()[0] for c in DDL.split(", ")])  # noqa: F841
+    want = {(a, b, c, d, e) for a, b, c, d, e in duckdb.sql(exact_dedup.ORACLE).fetchall()}
+    assert want == {tuple(r)[:5] for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, DDL)).collect()}
+
+
+def test_directory_splits_only_overfull_buckets():
+    slots = exact_dedup.directory({0: 5, 1: 1, 7: 4}, 5, 3)
+    assert [s for s, _, _ in slots] == list(range(8))
+    assert {d for s, _, d in slots if s < 2} == {3} and {d for s, _, d in slots if s >= 4} == {1}
+
+
+def test_exact_dedup_null_ids(spark):
+    got = exact_dedup.exact_dedup(spark.createDataFrame([(None, "a"), (4, "a"), (None, "b")], "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.kept) for r in got) == [("4", "4", True), ("None", "4", False), ("None", "None", True)]
+
+
+def test_kd_shards(docs, rows, nothing):
+    got = kd_shards.kd_shards(docs, shards=5).collect()
+    assert len(got) == len(rows) + 1
+    sizes, slots, group = {}, {}, {}
+    for r in got:
+        raw = (rows[r.doc_id][1] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 8, zlib.crc32(raw), "bytes", None)
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+        group.setdefault(raw, set()).add(r.shard)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert set(sizes) <= set(range(5))
+    assert kd_shards.kd_shards(nothing).collect() == []
+
+
+def test_kd_shards_split_a_hot_group_and_stay_even(spark):
+    df = spark.createDataFrame([(i, "copy of one" if i < 800 else f"text {i} " * (i % 7 + 1)) for i in range(2400)], "doc_id long, text string")
+    sizes = {}
+    for r in kd_shards.kd_shards(df, shards=24).collect():
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.size
+    mean = sum(sizes.values()) / 24
+    assert len(sizes) == 24 and max(abs(s / mean - 1) for s in sizes.values()) < 0.06
+
+
+def test_targets_stop_and_share_again():
+    got = mixing.target_tokens({"a": 10, "b": 1000, None: 100}, (5, 2, 1), 1.5, 2)
+    assert got["a"] == 20 and got[None] == 200 and abs(sum(got.values()) - 1665) < 1e-6
+
+
+def test_mixing(docs, rows, nothing):
+    got = mixing.mix(docs).collect()
+    again = {(r.doc_id, r.taken) for r in mixing.mix(docs).collect()}
+    assert {(r.doc_id, r.taken) for r in got} == again and len(got) == len(rows) + 1
+    taken, target, size = {}, {}, {}
+    for r in got:
+        s = rows[r.doc_id][3]
+        assert r.size == len(re.findall(r"[^\x20\x09-\x0D]+", rows[r.doc_id][1] or "")) and 0 <= r.taken <= 2 * r.size
+        taken[s], target[s], size[s] = taken.get(s, 0) + r.taken, r.target, size.get(s, 0) + r.size
+    assert target == pytest.approx(mixing.target_tokens(size, (5, 2, 1), 1.5, 2))
+    assert all(abs(taken[s] - target[s]) <= 1 for s in taken)
+    assert mixing.mix(nothing).collect() == []
+
+
+def fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def roots(n, linked):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(n):
+        for b in range(a):
+            if linked(a, b):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return [find(x) for x in range(n)]
+
+
+def test_simhash(docs, rows, nothing):
+    prints = [fingerprint(t) for _, t, *_ in rows]
+    want = roots(len(rows), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    for r in simhash.near_duplicates(docs).collect():
+        assert (r.fp & (1 << 64) - 1, r.component_id) == (prints[r.doc_id], want[r.doc_id])
+    assert simhash.near_duplicates(nothing).collect() == []
+
+
+@pytest.mark.parametrize("shard_rows", [3, 512])
+def test_links_lose_no_component(spark, shard_rows):
+    r = random.Random(2)
+    seeds = [r.getrandbits(64) for _ in range(12)]
+    values = sorted({s ^ sum(1 << b for b in r.sample(range(64), r.randrange(0, 4))) for s in seeds for _ in range(15)})
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    found = components(simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), shard_rows)).collect()
+    part = {x.node: x.component for x in found}
+    want = roots(len(values), lambda a, b: (values[a] ^ values[b]).bit_count() <= 3)
+    for a in range(len(values)):
+        for b in range(a):
+            assert (want[a] == want[b]) == (part.get(signed[a], signed[a]) == part.get(signed[b], signed[b]))
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (101, 100)] + [(500, x) for x in range(501, 540)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100} | {x: 500 for x in range(500, 540)}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_bpe_tree_equals_the_library():
+    ranks = bpe.ranks_of(open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read())
+    whole = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tree = bpe.Codec(ranks, public_tokenizers.PATTERN, leaf=16, window=2)
+    r = random.Random(1)
+    alphabets = ["ab ", "a b's\n  1", "x", " \n\t", "héé 's !!　字", " \u0085\x1ca1"]
+    for _ in range(1500):
+        text = "".join(r.choice(r.choice(alphabets)) for _ in range(r.randrange(300)))
+        ids = tree.encode(text)
+        assert ids == whole.encode_ordinary(text) and tree.decode(ids) == text.encode()
+
+
+def test_bpe(docs, rows, nothing):
+    args = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    for r in bpe.encoded(docs, *args, with_ids=True).collect():
+        assert r.decoded_sha256 == hashlib.sha256((rows[r.doc_id][1] or "").encode()).hexdigest()
+        assert r.n_tokens == len(r.ids) and r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest()
+    assert bpe.encoded(nothing, *args).collect() == []
+
+
+def test_secrets(spark):
+    key = "Xq7Zt0Pn4Wv9Lm2Rb8Ks"
+    told = [
+        (1, f"password: {key} AKIA{'A1' * 8} {'0a' * 12}"),
+        (2, f"secret=token:abcdefgh and the bearer {key} is new"),
+        (3, "token = short pass é PASSWORD='abcdef'"),
+        (4, None),
+        (5, "authorization authorization_code_authorization_code1"),
+        (6, "ſecret=abcdefgh"),
+    ]
+    got = by_id(secrets.secrets(spark.createDataFrame(told, "doc_id long, text string")))
+    assert (got[1].n_assign, got[1].n_access, got[1].n_hex) == (1, 1, 1)
+    assert got[1].spans == "assign:0:30,access:31:51,hex:52:76"
+    assert got[2].n_assign == 0 and got[2].spans == f"novel:{told[1][1].index(key)}:{told[1][1].index(key) + 20}"
+    assert got[3].n_assign == 1 and got[3].spans == "assign:21:37"
+    assert got[4].spans == got[5].spans == got[6].spans == ""
+    assert got[4].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_flac_round_trip():
+    r = np.random.default_rng(3)
+    payloads = [flac.padded(t) for t in texts()] + [r.integers(0, 256, 192 * 7, np.uint8).tobytes(), bytes([0xFF, 0xF8, 0x14, 2, 0, 1, 2, 3]) * 24 * 3]
+    media = flac.encode_streams(payloads)
+    assert flac.decode_streams(media) == payloads
+    assert flac.seek(media[6], 20_000) == payloads[6][19_968:20_160]
+    spoilt = bytearray(media[6])
+    spoilt[len(spoilt) // 2] ^= 1
+    with pytest.raises(ValueError):
+        flac.decode_streams([bytes(spoilt)])
+
+
+def test_flac_linear_prediction():
+    """A frame written by hand: LPC of order 2 (taps 2, -1; precision 4; shift 0), two Rice partitions of zeros."""
+    bits = "".join(f"{b:08b}" for b in (*flac.FRAME, 0))
+    head = bytes(int(bits[i : i + 8], 2) for i in range(0, 40, 8))
+    crc8 = int(flac._crc(np.frombuffer(head, np.uint8), np.array([0]), np.array([5]), 8)[0])
+    body = "0" + "100001" + "0" + "00000101" + "00000110" + "0011" + "00000" + "0010" + "1111" + "00" + "0001" + "0000" + "1" * 94 + "0000" + "1" * 96
+    body += "0" * (-len(body) % 8)
+    frame = head + bytes([crc8]) + bytes(int(body[i : i + 8], 2) for i in range(0, len(body), 8))
+    crc = int(flac._crc(np.frombuffer(frame, np.uint8), np.array([0]), np.array([len(frame)]), 16)[0])
+    data = np.frombuffer(frame + crc.to_bytes(2, "big"), np.uint8)
+    got = flac.decode_frames(data, np.array([0]), np.array([len(data)]))
+    assert got[0].tolist() == [5 + i for i in range(192)]
+
+
+def test_flac_column(docs, rows, nothing):
+    stored = flac.store(docs)
+    for r in flac.features(stored).collect():
+        payload = flac.padded(rows[r.doc_id][1])
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len((rows[r.doc_id][1] or "").encode()), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(payload[-16:])
+    blocks = {}
+    for r in flac.pcm_blocks(stored.where("doc_id = 6")).orderBy("sample").collect():
+        blocks[r.sample] = r.pcm
+    assert b"".join(blocks[k] for k in sorted(blocks)) == flac.padded(rows[6][1])
+    assert flac.features(flac.store(nothing)).collect() == []
+
+
+def test_toxicity_finds_held_out_rows(spark, nothing):
+    r = random.Random(4)
+    common, bad = [f"w{i}" for i in range(300)], ["vile", "scorn", "filth"]
+    docs, labels = [], []
+    for i in range(1500):
+        words = [r.choice(common) for _ in range(r.randrange(5, 60))]
+        toxic = i % 6 == 0
+        for _ in range(3 * toxic):
+            words[r.randrange(len(words))] = r.choice(bad)
+        docs.append((i, " ".join(words) if i != 1 else None))
+        labels.append((i, int(toxic) if any(b in words for b in bad) or not toxic else 0))
+    frame, told = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = by_id(toxicity.toxicity(frame, told))
+    truth = dict(labels)
+    held = [r for r in got.values() if r.held_out]
+    assert {r.doc_id for r in held} == {i for i, _ in docs if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.97
+    assert all(0 <= r.score <= 1 for r in got.values())
+    none = told.where("false")
+    assert {r.predicted for r in toxicity.toxicity(frame.limit(3), none).collect()} == {0}
+
+
+def test_language(spark):
+    r = random.Random(6)
+    parts = {"en": ["the", "and", "thing", "would", "rather", "house"], "de": ["und", "nicht", "schön", "über", "haus", "werden"]}
+    say = lambda l, n: " ".join(r.choice(parts[l]) for _ in range(n))
+    labelled = spark.createDataFrame([(say(l, 30), l) for l in parts for _ in range(60)], "text string, lang string")
+    pages = [(i, f"https://site{i % 3}.example.{'de' if i % 2 else 'uk'}/x", f"<html lang='{'de' if i % 2 else 'en'}'><script>und und und</script><p>{say('de' if i % 2 else 'en', 20)}</p>") for i in range(60)]
+    pages += [(100, None, None), (101, "http://site1.example.de/", "<p>12345 !!</p>"), (102, "bad url", "<p>the house would rather</p>"), (103, "https://site1.example.de/", "<html lang='de'><p>ok</p>")]
+    got = {x.page_id: x for x in language.identify_pages(spark.createDataFrame(pages, "page_id long, url string, html string"), labelled).collect()}
+    assert all(got[i].lang == ("de" if i % 2 else "en") and not got[i].rejected for i in range(60))
+    assert got[100].rejected and got[101].rejected and got[100].lang == "und"
+    assert got[102].lang == "en" and got[103].declared == "de"
+    docs = spark.createDataFrame([(1, say("en", 30), None, None), (2, None, "en", "s"), (3, say("de", 5), "de", "s")], "doc_id long, text string, lang string, source string")
+    found = {x.doc_id: x for x in language.identify_documents(docs, labelled).collect()}
+    assert (found[1].lang, found[2].rejected, found[3].lang) == ("en", True, "de")
+    assert language.identify_documents(docs.where("false"), labelled).collect() == []
+
+
+def test_fuzzy_lines(spark, docs, nothing):
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(7)) for _ in range(900)]
+    base = [" ".join(r.choice(words) for _ in range(30)) for _ in range(40)]
+    near = [" ".join(w if i != 12 else "changed" for i, w in enumerate(x.split())) for x in base[:20]]
+    rows = [(i, x + "\n\nsay") for i, x in enumerate(base)] + [(100 + i, x) for i, x in enumerate(near)] + [(200, None)]
+    got = fuzzy_lines.fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    part = {(x.doc_id, x.line_no): x for x in got}
+    assert all(part[i, 0].component == part[100 + i, 0].component for i in range(20))
+    assert len({part[i, 0].component for i in range(40)}) == 40
+    assert all(part[i, 0].kept for i in range(40)) and not any(part[100 + i, 0].kept for i in range(20))
+    assert [part[i, 2].kept for i in range(3)] == [True, False, False] and part[5, 1].kept and part[200, 0].kept
+    assert fuzzy_lines.fuzzy_lines(nothing).collect() == []
+    fuzzy_lines.fuzzy_lines(docs).collect()
+    assert fuzzy_lines.jaccard("abcdef", "abcdefg") == pytest.approx(2 / 3)
