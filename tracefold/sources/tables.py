@@ -44,7 +44,7 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
 
     Files are read whole-line; numbers count lines in a file by position, so one label file is numbered as a reader counts.
     """
-    text = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("at", "line")).where(F.trim("line") != "")
+    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line")).where(F.trim("line") != "")
     v = "try_parse_json(line)"
     ok = F.expr(f"schema_of_variant(try_variant_get({v}, '$.ts_us', 'variant')) = 'BIGINT' AND schema_of_variant(try_variant_get({v}, '$.occupied', 'variant')) = 'BOOLEAN'")
     bad = F.raise_error(F.concat(F.lit("invalid label at line "), (F.col("at") + 1).cast("string")))
