@@ -138,6 +138,8 @@ _JOINTS = "CASE WHEN vec_id % 10 = 0 THEN 0 ELSE 20 END"
 ORACLES: dict[str, str] = {
     "envelope_scan": V["envelopes"],
     "ledger_scan": f"{_w('chain_rows')} SELECT ledger_id, sequence, CASE WHEN sequence % 10 = 0 THEN NULL ELSE CAST(json_extract(payload, '$.k') AS BIGINT) END AS k FROM chain_rows",
+    "label_scan": f"{_w('fusion_labels')} SELECT ts_us, occupied FROM fusion_labels",
+    "ledger_append": BASE + "SELECT ledger_id, sequence, id, kind FROM ledger",
     "validate_schema_version": BASE + "SELECT arrival, schema_version = 1 AS ok FROM envelopes",
     "validate_message_id": BASE + "SELECT arrival, strlen(message_id) BETWEEN 1 AND 4 AS ok FROM envelopes",
     "validate_size": BASE + "SELECT arrival, strlen(payload) <= 40 AS ok FROM envelopes",

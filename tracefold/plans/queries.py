@@ -72,6 +72,25 @@ def ledger_scan(s, d):
     return rows.select("ledger_id", "sequence", F.expr("try_variant_get(body, '$.k', 'bigint')").alias("k"))
 
 
+@query
+def label_scan(s, d):
+    """Labels written as JSON lines, with blank lines between, and read back."""
+    path = tables.shared_path(s, "labels")
+    lines = view(s, d, "fusion_labels").select(F.concat(F.to_json(F.struct("ts_us", "occupied")), F.lit("\n")).alias("value"))
+    lines.write.text(path)
+    return tables.labels(s, path).select("ts_us", "occupied")
+
+
+@query
+def ledger_append(s, d):
+    """The ledger appended in two batches that overlap: what readers of committed batches see."""
+    path = tables.shared_path(s, "ledger")
+    rows, links = tables.cut_lineage(ledger(s, d).select("ledger_id", "sequence", "id", "kind")), tables.cut_lineage(ingest.evidence_edges(beliefs(s, d)))
+    tables.append(rows.where("kind <> 'belief'"), links, path, "1")
+    tables.append(rows, links, path, "2")
+    return tables.committed(s, path, "events").select("ledger_id", "sequence", "id", "kind")
+
+
 def _checked(name: str, check: Callable[[], Column], stream: str | None = None) -> None:
     def run(s, d):
         rows = env(s, d)

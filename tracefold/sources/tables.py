@@ -14,16 +14,20 @@ ENVELOPE = "ledger_id long, arrival long, schema_version int, message_id string,
 LEDGER = "ledger_id long, sequence long, id string, kind string, payload string, previous_hash string, hash string"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written to and read from the checkpoint folder that driver and executors share; our own folder only where none is set."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; our own folder only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         base = spark.sparkContext.getCheckpointDir()
-    path = f"{base}/cut-{uuid.uuid4().hex}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read from there, so that lost executors cost no recomputation."""
+    path = shared_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def envelopes(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
