@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, text_or_empty, written
@@ -75,6 +75,12 @@ def tilts(stats: DataFrame, sizes: dict, targets: dict, most: float, exact: floa
     return tilt | {s: x[0] for s, x in live.items()}
 
 
+def turn_bin(turn: Column, bins: int) -> Column:
+    """A bin that rises with turn: bins of them to a unit up to 4 and to a doubling beyond, so that a source whose
+    fractions are small, and turns long, is spread like any other."""
+    return F.when(turn < 4, F.floor(turn * bins)).otherwise(4 * bins + F.floor(F.log2(turn / 4) * bins))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, taken, copies.
 
@@ -106,7 +112,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     u = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 48)) + 0.5) / float(1 << 48)
     n_docs = sum(r["n"] for r in stats.groupBy().agg(F.sum("n").alias("n")).collect() if r["n"])
     bins = max(64, n_docs // 20_000)
-    rated = rated.withColumn("turn", F.when((F.col("rest") > 0) & (F.col("size") > 0), F.least(u / F.col("rest"), F.lit(1e9)))).withColumn("bin", F.floor(F.least(F.col("turn"), F.lit(4.0)) * bins))
+    rated = rated.withColumn("turn", F.when((F.col("rest") > 0) & (F.col("size") > 0), u / F.col("rest"))).withColumn("bin", turn_bin(F.col("turn"), bins))
     asked = rated.where("turn IS NOT NULL").groupBy("source", "bin").agg(F.sum("size").alias("w"))
     base = rated.groupBy("source").agg(F.sum(F.col("size") * F.col("whole")).alias("base"))
     run = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
