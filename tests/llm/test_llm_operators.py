@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -11,9 +12,10 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 from tracefold.llm import bpe, exact_dedup, flac, fuzzy_lines, kd_shards, language, mixing, secrets, simhash, toxicity
-from tracefold.llm.common import components
+from tracefold.llm.common import components, hot_join
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, slot int, h long, kept string"
 
@@ -128,6 +130,22 @@ def test_mixing(docs, rows, nothing):
     assert mixing.mix(nothing).collect() == []
 
 
+def test_turn_bins_rise_and_stay_small(spark):
+    turns = spark.range(20_000).select(((F.col("id") + 0.5) / 20_000 / 0.02).alias("turn"))
+    got = turns.select("turn", mixing.turn_bin(F.col("turn"), 64).alias("bin")).orderBy("turn").collect()
+    bins = [r.bin for r in got]
+    assert bins == sorted(bins)
+    assert max(Counter(bins).values()) < 20_000 / 40
+
+
+def test_hot_join_equals_a_join(spark):
+    left = spark.range(1000).select(F.when(F.col("id") < 700, 0).otherwise(F.col("id")).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("m"))
+    got = hot_join(left, right, "k", "n").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, left.join(right.drop("n"), "k").collect()))
+    assert hot_join(left.limit(0), right.limit(0), "k", "n").collect() == []
+
+
 def fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space that every contract of this subpackage means.
@@ -65,8 +65,6 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, chunk_
     by = [*keys, "_chunk"]
     cut = df.withColumn("_chunk", F.pmod(F.xxhash64(chunk_key), F.lit(chunks)).cast("int"))
     counts = cut.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(*by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     inside = Window.partitionBy(*by).orderBy(*order)
@@ -78,6 +76,18 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, chunk_
     )
 
 
+def hot_join(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
+    """left with the columns of right, whose keys are unique, not null and hold all of left's; rows counts a key's rows in left.
+
+    A key is hot from a share of 1 / (4 * partitions) of the rows, so there are at most that many hot ones; they are
+    broadcast, and all others are joined by a shuffle."""
+    parts = 4 * partitions(left.sparkSession)
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    hot = F.broadcast(right.where(F.col(rows) * parts >= max(total, 1)).drop(rows))
+    rest = left.join(hot.select(key), key, "left_anti").join(right.where(F.col(rows) * parts < max(total, 1)).drop(rows), key)
+    return left.join(hot, key).unionByName(rest)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of undirected edges (a, b), longs or strings; component is its smallest node.
 
