@@ -234,7 +234,7 @@ def test_sources_and_sinks(spark, tmp_path):
     with pytest.raises(Exception, match="line 2"):
         tables.labels(spark, str(tmp_path / "bad.jsonl")).collect()
     (tmp_path / "m" / "n").mkdir(parents=True)
-    for name in ("a.WAV", "n/b.png", "c.txt"):
+    for name in ("a.WAV", "n/b.png", "c.txt", ".wav", "wav"):
         (tmp_path / "m" / name).write_text("x")
     assert [x.path.rsplit("/", 1)[1] for x in tables.raw_media(spark, str(tmp_path / "m")).collect()] == ["a.WAV", "b.png"]
     assert tables.raw_media(spark, str(tmp_path / "none")).count() == 0

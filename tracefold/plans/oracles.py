@@ -139,6 +139,9 @@ ORACLES: dict[str, str] = {
     "envelope_scan": V["envelopes"],
     "ledger_scan": f"{_w('chain_rows')} SELECT ledger_id, sequence, CASE WHEN sequence % 10 = 0 THEN NULL ELSE CAST(json_extract(payload, '$.k') AS BIGINT) END AS k FROM chain_rows",
     "label_scan": f"{_w('fusion_labels')} SELECT ts_us, occupied FROM fusion_labels",
+    "raw_media_audit": f"""{_w('capture_files')}, n AS (SELECT path, string_split(path, '/')[-1] AS name FROM capture_files)
+SELECT path FROM n WHERE contains(name, '.') AND NOT (starts_with(name, '.') AND len(string_split(name, '.')) = 2)
+  AND lower(string_split(name, '.')[-1]) IN ('aif','aiff','caf','jpeg','jpg','m4a','mov','mp3','mp4','png','wav')""",
     "ledger_append": BASE + "SELECT ledger_id, sequence, id, kind FROM ledger",
     "validate_schema_version": BASE + "SELECT arrival, schema_version = 1 AS ok FROM envelopes",
     "validate_message_id": BASE + "SELECT arrival, strlen(message_id) BETWEEN 1 AND 4 AS ok FROM envelopes",

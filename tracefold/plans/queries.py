@@ -91,6 +91,12 @@ def ledger_append(s, d):
     return tables.committed(s, path, "events").select("ledger_id", "sequence", "id", "kind")
 
 
+@query
+def raw_media_audit(s, d):
+    """Capture files, named after events, that hold raw media."""
+    return tables.media_paths(view(s, d, "capture_files"))
+
+
 def _checked(name: str, check: Callable[[], Column], stream: str | None = None) -> None:
     def run(s, d):
         rows = env(s, d)

@@ -32,6 +32,10 @@ select led, event_id * 2 + 21, schema_version, message_id, stream_id, mono, ts_u
 
 #: name -> (tables it reads, SQL)
 VIEWS = {
+    "capture_files": (("events",), """
+select concat('capture/', event_type, '/', case when event_id % 11 = 0 then '' else cast(event_id as varchar(20)) end,
+  case event_id % 8 when 0 then '.WAV' when 1 then '.png' when 2 then '.json' when 3 then '.tar.Mp4' when 4 then '.png.txt' when 5 then 'wav' when 6 then '.jpeg' else '.parquet' end) as path
+from events"""),
     "envelopes": (("events",), ENVELOPES),
     "fusion_labels": (("events",), """
 select user_id % 8 as ledger_id, event_id as line_no, event_id * 250000 + cast(regexp_extract(props,'([0-9]+)',1) as bigint) * 10000 - 500000 as ts_us, value > 50 as occupied

@@ -87,6 +87,11 @@ def export(bundle: DataFrame, path: str, name: str = "evidence.export.v1") -> No
     bundle.agg(F.lit(name).alias("schema"), F.count(F.lit(1)).alias("records")).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
+def media_paths(files: DataFrame) -> DataFrame:
+    """The rows of files (path) whose name ends in a raw-media ending, in either case; a name that is all ending has none."""
+    return files.where(F.lower(F.regexp_extract("path", r"[^/]\.([^./]+)$", 1)).isin(*RAW_EXTENSIONS))
+
+
 def raw_media(spark: SparkSession, path: str) -> DataFrame:
     """path of files whose ending names raw media, in either case; contents are not read. A missing folder has none."""
     try:
@@ -95,4 +100,4 @@ def raw_media(spark: SparkSession, path: str) -> DataFrame:
         if "PATH_NOT_FOUND" in str(e):
             return spark.createDataFrame([], "path string")
         raise
-    return files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*RAW_EXTENSIONS)).orderBy("path")
+    return media_paths(files).orderBy("path")
