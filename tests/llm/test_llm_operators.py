@@ -330,3 +330,25 @@ def test_fuzzy_lines(spark, docs, nothing):
     assert fuzzy_lines.fuzzy_lines(nothing).collect() == []
     fuzzy_lines.fuzzy_lines(docs).collect()
     assert fuzzy_lines.jaccard("abcdef", "abcdefg") == pytest.approx(2 / 3)
+
+
+def test_every_pair_of_a_bucket_is_settled(spark):
+    """Lines of one template in one bucket, each with a near copy: the head is like none of them."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghiklmnoprstu") for _ in range(7))
+    template = " ".join(word() for _ in range(12))
+    lines = []
+    for _ in range(700):
+        own = " ".join(word() for _ in range(8))
+        lines += [f"{template} {own}", f"{template} {own} x"]
+    order = list(range(len(lines)))
+    r.shuffle(order)
+    at = {x: i + 1 for i, x in enumerate(order)}
+    texts = spark.createDataFrame([(at[x], lines[x]) for x in order], "id long, line string")
+    small = [at[x] for x in range(12)]
+    bands = [(1, i) for i in at.values()] + [(2, i) for i in small]
+    for keys in ({1, 2}, {2}):
+        rows = fuzzy_lines.buckets(spark.createDataFrame([b for b in bands if b[0] in keys], "key long, id long"))
+        got = {x.node: x.component for x in fuzzy_lines.linked(rows, texts, 0.8).collect()}
+        pairs = [(at[2 * i], at[2 * i + 1]) for i in range(700 if 1 in keys else 6)]
+        assert got == {x: min(p) for p in pairs for x in p}

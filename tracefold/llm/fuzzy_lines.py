@@ -20,8 +20,8 @@ BANDS, ROWS = 10, 5
 #: A signature's shingles are SPAN characters from the start of each run of letters and digits (all beyond ASCII count
 #: as such), and from each character of the scripts that follow FREE; verification takes all runs of GRAM characters.
 SPAN, FREE, GRAM = 8, 0x2E80, 5
-#: Members of a bucket are paired with its first member and so many before them; buckets are dealt in parts of SALT_ROWS.
-NEIGHBOURS, SALT_ROWS = 2, 2000
+#: A bucket of more than SMALL members is split by its members' rare shingles; groups are paired in blocks of BLOCK rows.
+SMALL, BLOCK = 16, 500
 
 _WORD = np.array([chr(c).isalnum() for c in range(128)])
 _SEED = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 62, size=(3, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
@@ -99,39 +99,92 @@ def identified(rows: DataFrame, other: DataFrame | None) -> DataFrame:
     return named.join(F.broadcast(other), "line", "left").withColumn("id", F.coalesce("other_id", "id")).drop("other_id")
 
 
-def candidates(bands: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b): each member of a bucket with its first member and with the NEIGHBOURS before it.
-
-    One shuffle of (key, id) leaves the buckets of two and more; those are dealt in salted parts of about SALT_ROWS, so
-    neither a task nor the number of pairs follows the size of a bucket."""
+def buckets(bands: DataFrame) -> DataFrame:
+    """key, id, n, head of the buckets of n = two and more members; head is the first of them."""
     whole = Window.partitionBy("key")
     shared = bands.select("key", "id", F.count(F.lit(1)).over(whole).alias("n"), F.min("id").over(whole).alias("head")).where("n > 1")
-    rows = written(shared, "buckets").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / SALT_ROWS)))
-    before = Window.partitionBy("key", "salt").orderBy("id").rowsBetween(-NEIGHBOURS, -1)
-    near = rows.select("id", F.array_union(F.array("head"), F.collect_list("id").over(before)).alias("others"))
-    return near.select(F.explode("others").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
+    return written(shared, "buckets")
+
+
+def grams(t: str) -> set[str]:
+    return {t[i : i + GRAM] for i in range(len(t) - GRAM + 1)}
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, 200):
+            part = b.slice(i, 200)
+            sets = [list(grams(t)) for t in part.column(3).to_pylist()]
+            sizes = [len(x) for x in sets]
+            at = np.repeat(np.arange(len(sets)), sizes)
+            rest = [part.column(c).take(pa.array(at)) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(np.array(sizes, np.int32)[at]), pa.array([g for x in sets for g in x], pa.string())], ["key", "id", "part", "size", "gram"])
+
+
+def crossing(rows: DataFrame, by: list[str], similarity: float) -> DataFrame:
+    """All pairs (a, b) of rows (by, id, part, size) of equal by whose parts differ and whose sizes allow the similarity.
+
+    Each pair of blocks of a group is joined apart, so no task follows the size of a group."""
+    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("m"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    dealt = rows.join(groups.select(*by, F.ceil(F.col("m") / BLOCK).alias("blocks")), by)
+    cells = dealt.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    left = cells.where("block <= o").select(*by, F.col("block").alias("i"), F.col("o").alias("j"), F.col("id").alias("x"), F.col("part").alias("px"), F.col("size").alias("sx"))
+    right = cells.where("o <= block").select(*by, F.col("o").alias("i"), F.col("block").alias("j"), F.col("id").alias("y"), F.col("part").alias("py"), F.col("size").alias("sy"))
+    fits = F.coalesce(F.least("sx", "sy") >= F.greatest("sx", "sy") * similarity - 1e-9, F.lit(True))
+    met = left.join(right, [*by, "i", "j"]).where((F.col("px") != F.col("py")) & ((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))) & fits)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def open_pairs(rows: DataFrame, found: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of bucket members that may be similar and aren't in one component yet.
+
+    rows are buckets(), found the components of the links to their heads. Small buckets give all pairs. In large ones
+    two members can only be similar if they share one of the rarest size - ceil(similarity * size) + 1 shingles of each
+    (rare in the bucket), so members meet by those: no pair is lost, and lines of one template don't all meet."""
+    parts = rows.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("part"))
+    mixed = parts.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    some = written(parts.join(mixed, "key"), "mixed")
+    small = crossing(some.where(F.col("n") <= SMALL).select("key", "id", "part", F.lit(None).cast("int").alias("size")), ["key"], similarity)
+    large = some.where(F.col("n") > SMALL).join(texts, "id").select("key", "id", "part", "line")
+    told = written(large.mapInArrow(_grams, "key long, id long, part long, size int, gram string"), "grams")
+    often = told.groupBy("key", "gram").agg(F.count(F.lit(1)).alias("often"))
+    rarest = Window.partitionBy("key", "id").orderBy("often", "gram")
+    ranked = told.join(often, ["key", "gram"]).withColumn("rank", F.row_number().over(rarest))
+    prefix = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
+    near = written(ranked.where((F.col("rank") <= prefix) & (F.col("often") > 1)).drop("rank", "often"), "prefixes")
+    return small.union(crossing(near, ["key", "gram"], similarity)).distinct()
 
 
 def jaccard(a: str, b: str) -> float:
-    x, y = ({t[i : i + GRAM] for i in range(len(t) - GRAM + 1)} for t in (a, b))
+    x, y = grams(a), grams(b)
     both = len(x & y)
     return both / (len(x) + len(y) - both) if both else 0.0
 
 
-def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets of GRAM-character shingles have that Jaccard similarity or more."""
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose texts' (id, line) sets of GRAM-character shingles have that Jaccard similarity or more."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [jaccard(x, y) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    paired = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = written(lines.select("id", "line").join(paired, "id", "left_semi"), "paired")
     left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("la")), texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb").mapInArrow(alike, "a long, b long")
 
 
+def linked(rows: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """(node, component) of the lines that similar pairs within buckets() link.
+
+    Members are compared with their bucket's head first, which joins large groups of copies by few pairs; then every pair
+    of a bucket that this left in different components is compared, or ruled out by its shingles."""
+    texts = written(lines.select("id", "line").join(rows.select("id").distinct(), "id", "left_semi"), "bucketed")
+    heads = written(rows.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    found = components(verified(heads, texts, similarity))
+    more = verified(written(open_pairs(rows, found, texts, similarity), "pairs"), texts, similarity)
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+
+
 def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per line of docs: doc_id, line_no, line_id, component, kept.
 
@@ -145,8 +198,7 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = written(signatures(every.where("line <> ''").select("line").distinct()), "lines")
     other = collisions(lines.select("id", "line"))
     known = identified(lines.drop("id"), other)
-    pairs = written(candidates(known.select("id", F.explode("keys").alias("key"))), "pairs")
-    found = components(verified(pairs, known, similarity))
+    found = linked(buckets(known.select("id", F.explode("keys").alias("key"))), known, similarity)
     stars = found.select(F.col("node").alias("line_id"), "component")
     rows = written(identified(every, other).select("doc_id", "line_no", F.col("id").alias("line_id"), (F.col("line") == "").alias("empty")), "rows")
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
