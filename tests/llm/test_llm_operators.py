@@ -352,3 +352,20 @@ def test_every_pair_of_a_bucket_is_settled(spark):
         got = {x.node: x.component for x in fuzzy_lines.linked(rows, texts, 0.8).collect()}
         pairs = [(at[2 * i], at[2 * i + 1]) for i in range(700 if 1 in keys else 6)]
         assert got == {x: min(p) for p in pairs for x in p}
+
+
+def test_signatures_take_every_character():
+    """Lines of similarity 0.8 to 0.85 share a band, in scripts without blanks and in long tokens too."""
+    r = random.Random(4)
+    for alphabet in ("".join(map(chr, range(0x0E01, 0x0E2F))), "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz     "):
+        pairs = []
+        while len(pairs) < 600:
+            x = "".join(r.choice(alphabet) for _ in range(160))
+            y = list(x)
+            for at in r.sample(range(160), 3):
+                y[at] = r.choice(alphabet)
+            if 0.8 <= fuzzy_lines.jaccard(x, "".join(y)) <= 0.85:
+                pairs.append((x, "".join(y)))
+        keys = fuzzy_lines.band_keys([t for p in pairs for t in p])
+        assert np.mean([(keys[i] == keys[i + 1]).any() for i in range(0, len(keys), 2)]) > 0.97
+    assert fuzzy_lines.band_keys(["abcd", "", "abcde"])[:2] == [None, None]

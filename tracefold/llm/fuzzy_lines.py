@@ -16,16 +16,17 @@ from pyspark.sql import functions as F
 from .common import components, hot_join, small_batches, text_or_empty, written
 
 SIMILARITY = 0.8
-BANDS, ROWS = 10, 5
-#: A signature's shingles are SPAN characters from the start of each run of letters and digits (all beyond ASCII count
-#: as such), and from each character of the scripts that follow FREE; verification takes all runs of GRAM characters.
-SPAN, FREE, GRAM = 8, 0x2E80, 5
+BANDS, ROWS = 12, 5
+#: Signatures and verification take all runs of GRAM characters; signatures are computed for about CHUNK characters at once.
+GRAM, CHUNK = 5, 1 << 15
 #: A bucket of more than SMALL members is split by its members' rare shingles; groups are paired in blocks of BLOCK rows.
 SMALL, BLOCK = 16, 500
 
-_WORD = np.array([chr(c).isalnum() for c in range(128)])
-_SEED = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 62, size=(3, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
-_POWER = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(SPAN)], np.uint64)
+_RANDOM = np.random.Generator(np.random.PCG64(20))
+#: Odd factors and terms of the permutations of 32-bit hashes, and factors that mix minima into keys.
+_SEED = _RANDOM.integers(0, 1 << 32, size=(2, BANDS * ROWS), dtype=np.uint32) | np.array([[1], [0]], np.uint32)
+_MIX = _RANDOM.integers(1, 1 << 62, size=BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_POWER = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(GRAM)], np.uint64)
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -46,31 +47,37 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def band_keys(lines: list[str]) -> list[np.ndarray | None]:
     """BANDS keys of each line, each hashing ROWS minima; None for a line without shingles."""
-    gap = "\0" * SPAN
-    codes = np.frombuffer((gap + gap.join(lines) + gap).encode("utf-32-le", "surrogatepass"), np.uint32)
-    word = _WORD[np.minimum(codes, 127)] | (codes > 127)
-    first = np.append(False, word[1:] & ~word[:-1]) | (codes >= FREE)
-    at = np.flatnonzero(first)
-    starts = SPAN + np.cumsum([0, *(len(x) + SPAN for x in lines[:-1])])
-    counts = np.bincount(np.searchsorted(starts, at, "right") - 1, minlength=len(lines))
-    some = np.flatnonzero(counts)
     out: list[np.ndarray | None] = [None] * len(lines)
-    if not len(some):
-        return out
-    hashes = np.zeros(len(at), np.uint64)
-    for j in range(SPAN):
-        hashes += codes[at + j].astype(np.uint64) * _POWER[j]
-    hashes = _mixed(hashes)
-    offsets = (np.cumsum(counts) - counts)[some]
-    keys = np.zeros((len(some), BANDS), np.uint64)
-    for i in range(BANDS * ROWS):
-        least = np.minimum.reduceat(_mixed(hashes * _SEED[0, i] + _SEED[1, i]), offsets)
-        keys[:, i // ROWS] = _mixed(keys[:, i // ROWS] + least * _SEED[2, i])
-    for i, row in zip(some.tolist(), keys.view(np.int64)):
-        out[i] = row
+    some = [i for i, x in enumerate(lines) if len(x) >= GRAM]
+    while some:
+        ends = np.cumsum([len(lines[i]) for i in some[:CHUNK // GRAM]])
+        n = max(1, int(np.searchsorted(ends, CHUNK, "right")))
+        for i, row in zip(some[:n], _keys([lines[i] for i in some[:n]]).view(np.int64)):
+            out[i] = row
+        some = some[n:]
     return out
 
 
+def _keys(lines: list[str]) -> np.ndarray:
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.array([len(x) for x in lines])
+    counts = lengths - GRAM + 1
+    offsets = np.cumsum(counts) - counts
+    at = np.arange(counts.sum()) + np.repeat(np.cumsum(lengths) - lengths - offsets, counts)  # no shingle spans two lines
+    mixed = np.zeros(len(at), np.uint64)
+    for j in range(GRAM):
+        mixed += codes[at + j].astype(np.uint64) * _POWER[j]
+    hashes = (_mixed(mixed) >> np.uint64(32)).astype(np.uint32)
+    keys = np.zeros((len(lines), BANDS), np.uint64)
+    moved = np.empty_like(hashes)
+    for i in range(BANDS * ROWS):
+        np.multiply(hashes, _SEED[0, i], out=moved)
+        moved += _SEED[1, i]
+        least = np.minimum.reduceat(moved, offsets).astype(np.uint64)
+        keys[:, i // ROWS] = _mixed(keys[:, i // ROWS] + (least + np.uint64(1)) * _MIX[i])
+    return keys
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keys = pa.array(band_keys(b.column(1).to_pylist()) if b.num_rows else [], pa.list_(pa.int64()))
