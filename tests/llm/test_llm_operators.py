@@ -369,3 +369,28 @@ def test_signatures_take_every_character():
         keys = fuzzy_lines.band_keys([t for p in pairs for t in p])
         assert np.mean([(keys[i] == keys[i + 1]).any() for i in range(0, len(keys), 2)]) > 0.97
     assert fuzzy_lines.band_keys(["abcd", "", "abcde"])[:2] == [None, None]
+
+
+def test_toxicity_model_keeps_rare_pairs_and_backs_off(spark):
+    """Every ratio against Kneser-Ney by hand: rare words and pairs, unseen pairs, backoff counts of all documents."""
+    told = [(0, "a b c a"), (0, "b c d"), (1, "c slur b"), (1, "slur")]
+    every = [t for _, t in told] + ["x slur", "y slur z", None, "d a"]
+    model = toxicity.count_model(spark.createDataFrame(told, "toxic int, text string"), spark.createDataFrame([(t,) for t in every], "text string"))
+    grams = lambda texts: Counter(p for t in texts for w in [toxicity.words(t)] for p in zip(["", *w], w))
+    n, free = [grams(t for y, t in told if y == z) for z in (0, 1)], grams(every)
+    vocabulary = {w for p in n[0] + n[1] for w in p[1:]}
+    assert set(model.vocabulary) == vocabulary and len(model.pairs) == len({p for p in n[0] + n[1] if p[0]})
+    total = len(free) + len({w for _, w in free})
+
+    def uni(y, w):
+        left = sum(p[1] == w for p in n[y])
+        return max(left - 0.75, 0) / len(n[y]) + 0.75 * len({w for _, w in n[y]}) / len(n[y]) * (sum(p[1] == w for p in free) + 1) / total
+
+    def pair(y, a, b):
+        c, types = sum(k for p, k in n[y].items() if p[0] == a), sum(p[0] == a for p in n[y])
+        return max(n[y][a, b] - 0.75, 0) / max(c, 1) + (0.75 * types / c if c else 1) * uni(y, b)
+
+    for a in vocabulary:
+        for b in vocabulary:
+            first, both = np.log(uni(1, a) / uni(0, a)), np.log(pair(1, a, b) / pair(0, a, b))
+            assert model.features(f"{a} {b}")[-1] == pytest.approx((first + both) / 2, abs=1e-6)

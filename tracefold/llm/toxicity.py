@@ -11,15 +11,16 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
 
-#: Bounds of the fit: documents of either class, and the most frequent words and word pairs that the model keeps.
-MOST_TOXIC, MOST_ORDINARY, MOST_WORDS, MOST_PAIRS = 5_000, 10_000, 200_000, 200_000
-#: Pairs seen less often are left to their words; the discount; the lengths of the windows whose ratios are compared.
-LEAST_PAIR, DISCOUNT, WINDOWS = 25, 0.75, (1, 2, 4)
+#: Bounds of the fit: documents of either class. All their words and word pairs are kept.
+MOST_TOXIC, MOST_ORDINARY = 5_000, 10_000
+#: The discount; the lengths of the windows whose ratios are compared.
+DISCOUNT, WINDOWS = 0.75, (1, 2, 4)
 THRESHOLD = 0.3
 WORDS = re.compile(r"[^\W_]+")
 
@@ -33,7 +34,8 @@ class Model:
     """Log-likelihood ratios (toxic over ordinary) of words after words, ready for lookup."""
 
     vocabulary: dict[str, int]
-    word: np.ndarray  # of a word where its pair is unknown; the last is for unknown words
+    word: np.ndarray  # of a word alone; the last is for unknown words
+    back: np.ndarray  # of the backoff weights of a word before, for pairs that aren't known
     pairs: np.ndarray  # sorted keys of known pairs
     pair: np.ndarray  # their ratios
     weights: np.ndarray  # of the calibration: constant, most toxic windows, whole text
@@ -47,6 +49,7 @@ class Model:
         ids = np.fromiter(map(self.vocabulary.get, got, repeat(unknown)), np.int64, len(got))
         ratio = self.word[ids]
         if len(ids) > 1 and len(self.pairs):
+            ratio[1:] += np.where(ids[1:] == unknown, 0.0, self.back[ids[:-1]])
             keys = ids[:-1] * (unknown + 1) + ids[1:]
             at = np.searchsorted(self.pairs, keys)
             at[at == len(self.pairs)] = 0
@@ -90,30 +93,61 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(few), "doc_id").select("toxic", "text", remainder().cast("int").alias("rest"))
 
 
-def count_model(rows: DataFrame) -> Model:
-    """The model of rows (toxic, text), uncalibrated. Counting is distributed; the frequent words and pairs come to the driver."""
+def continuations(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int, int]:
+    """Over all texts of docs, without labels: the distinct words before each word of the vocabulary, all distinct pairs, all distinct words.
+
+    A pair is one long: the word's number and, in the other bits, a hash of the word before. A pair whose word the
+    vocabulary lacks is a negative hash and counts for the total alone; such a word itself is a hash with the bit NEW."""
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shift = 62 - max(1, len(vocabulary).bit_length())
+    new, first = 1 << 62, np.uint64(1 << 63)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {w: i for i, w in enumerate(held.value)}
+        for b in batches:
+            number: dict[str, int] = {"": 0}
+            ids = []
+            for text in b.column(0).to_pylist():
+                ids.append(0)
+                ids += [number.setdefault(w, len(number)) for w in words(text)]
+            at, size = np.array(ids, np.int64), len(number)
+            pairs = np.unique((at[:-1] * size + at[1:])[at[1:] > 0]) if len(at) > 1 else np.zeros(0, np.int64)
+            hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in number], np.uint64)
+            place = np.fromiter((known.get(w, -1) for w in number), np.int64, size)
+            before, word = np.divmod(pairs, size)
+            numbered = (np.maximum(place[word], 0).astype(np.uint64) << np.uint64(shift)) | (hashes[before] >> np.uint64(64 - shift))
+            left = np.where(place[word] >= 0, numbered, (hashes[before] * np.uint64(0x9E3779B97F4A7C15) + hashes[word]) | first)
+            unknown = hashes[1:][place[1:] < 0] >> np.uint64(2) | np.uint64(new)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(left, unknown).view(np.int64))], ["mark"])
+
+    met = docs.select(F.col("text").cast("string")).mapInArrow(seen, "mark long").distinct()
+    word = F.when(F.col("mark") < 0, -1).when(F.col("mark") >= new, -2).otherwise(F.shiftright("mark", shift)).cast("int")
+    n = met.groupBy(word.alias("word")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    at, n = n.column("word").to_numpy(), n.column("n").to_numpy()
+    left = np.zeros(len(vocabulary))
+    left[at[at >= 0]] = n[at >= 0]
+    return left, int(n[at != -2].sum()), int((at >= 0).sum() + n[at == -2].sum())
+
+
+def count_model(rows: DataFrame, docs: DataFrame) -> Model:
+    """The model of rows (toxic, text), uncalibrated, whose backoff counts come from all docs (text).
+
+    Counting is distributed; the words and pairs of rows, all of them, come to the driver as numbers."""
     counts = written(rows.select("toxic", "text").mapInArrow(_counts, "toxic int, before string, word string, n long").groupBy("before", "word").agg(*[F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)]), "ngrams")
     seen = [F.sum((F.col(f"n{y}") > 0).cast("long")).alias(f"left{y}") for y in (0, 1)]  # distinct words before: Kneser-Ney's counts
-    by_word = counts.groupBy("word").agg(*seen, F.count(F.lit(1)).alias("left"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    by_word = counts.groupBy("word").agg(*seen)
     by_before = counts.groupBy("before").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"), *[F.sum((F.col(f"n{y}") > 0).cast("long")).alias(f"types{y}") for y in (0, 1)])
-    whole = by_word.agg(*[F.sum(c).alias(c) for c in ("left0", "left1", "left")], *[F.sum((F.col(f"left{y}") > 0).cast("long")).alias(f"v{y}") for y in (0, 1)], F.count(F.lit(1)).alias("v"), F.sum("n0").alias("c0"), F.sum("n1").alias("c1")).first()
-    least = least_count(whole.v or 0, whole.c0 or 0, whole.c1 or 0)
-    most = by_word.where(F.col("n0") + F.col("n1") >= least).orderBy((F.col("n0") + F.col("n1")).desc(), "word").limit(MOST_WORDS)
-    known = most.join(by_before, most.word == by_before.before, "left").drop("before").toPandas().fillna(0)
-    frequent = counts.where((F.col("n0") + F.col("n1") >= LEAST_PAIR) & (F.col("before") != "")).orderBy((F.col("n0") + F.col("n1")).desc(), "before", "word").limit(MOST_PAIRS).toPandas()
-    return estimated(known, frequent, whole.asDict())
-
-
-def least_count(distinct: int, ordinary: int, toxic: int) -> int:
-    """How often a word must be seen so that hardly one of the distinct words is seen in toxic texts alone by chance."""
-    share = toxic / max(1, ordinary + toxic)
-    if not 0 < share < 1 or distinct < 2:
-        return 3
-    return max(3, min(50, int(np.log(distinct) / -np.log(share))))
+    known = by_word.join(by_before, by_word.word == by_before.before, "left").drop("before").withColumn("hash", F.xxhash64("word")).orderBy("hash", "word").toArrow().to_pandas().fillna(0)
+    if known["hash"].duplicated().any():
+        raise RuntimeError("two words share a 64-bit hash")
+    hashed = counts.where("before <> ''").select(F.xxhash64("before").alias("a"), F.xxhash64("word").alias("b"), F.col("n0").cast("int").alias("n0"), F.col("n1").cast("int").alias("n1"))
+    left, all_left, distinct = continuations(docs, known["word"].tolist())
+    whole = {f"left{y}": known[f"left{y}"].sum() for y in (0, 1)} | {f"v{y}": (known[f"left{y}"] > 0).sum() for y in (0, 1)}
+    return estimated(known.assign(left=left), hashed.toArrow(), whole | {"left": all_left, "v": distinct})
 
 
-def estimated(known: pd.DataFrame, frequent: pd.DataFrame, whole: dict) -> Model:
-    """Absolute discounting at both orders; what it frees goes to the words' shares among the words before, over both classes together."""
+def estimated(known: pd.DataFrame, counted: pa.Table, whole: dict) -> Model:
+    """Absolute discounting at both orders; what it frees goes to the words' shares among the words before, over all documents."""
     number = {w: i for i, w in enumerate(known["word"])}
     size = len(number)
     total = max(1, whole["left"] or 0) + max(1, whole["v"] or 0)
@@ -125,18 +159,16 @@ def estimated(known: pd.DataFrame, frequent: pd.DataFrame, whole: dict) -> Model
         uni.append(np.append(np.maximum(left - DISCOUNT, 0) / all_left, 0.0) + free * shared)
         c = known[f"c{y}"].to_numpy(np.float64)
         back.append(np.append(np.where(c > 0, DISCOUNT * known[f"types{y}"].to_numpy(np.float64) / np.maximum(c, 1), 1.0), 1.0))
-    keep = frequent["before"].isin(number) & frequent["word"].isin(number)
-    frequent = frequent[keep]
-    a, b = (frequent[c].map(number).to_numpy(np.int64) for c in ("before", "word"))
+    a, b = (np.searchsorted(known["hash"].to_numpy(np.int64), counted.column(c).to_numpy()) for c in ("a", "b"))
+    keys = a * (size + 1) + b
+    order = np.argsort(keys)
     both = []
     for y in (0, 1):
         c = np.append(known[f"c{y}"].to_numpy(np.float64), 0)[a]
-        both.append(np.maximum(frequent[f"n{y}"].to_numpy(np.float64) - DISCOUNT, 0) / np.maximum(c, 1) + back[y][a] * uni[y][b])
-    keys = a * (size + 1) + b
-    order = np.argsort(keys)
+        both.append(np.maximum(counted.column(f"n{y}").to_numpy() - DISCOUNT, 0) / np.maximum(c, 1) + back[y][a] * uni[y][b])
     ratio = np.log(uni[1] / uni[0])
     ratio[-1] = 0.0  # an unknown word says nothing of the class
-    return Model(number, ratio, keys[order], np.log(both[1] / both[0])[order], np.zeros(len(WINDOWS) + 2))
+    return Model(number, ratio, np.log(back[1] / back[0]), keys[order], np.log(both[1] / both[0])[order].astype(np.float32), np.zeros(len(WINDOWS) + 2))
 
 
 def calibrated(features: np.ndarray, toxic: np.ndarray, odds: float) -> np.ndarray:
@@ -162,7 +194,7 @@ def calibrated(features: np.ndarray, toxic: np.ndarray, odds: float) -> np.ndarr
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     """Counts come from rows with rest 0 or 1, the calibration from rows with rest 3."""
     rows = written(sample(docs, labels), "toxic")
-    model = count_model(rows.where("rest < 2"))
+    model = count_model(rows.where("rest < 2"), docs)
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = [*[f"window{n}" for n in WINDOWS], "whole"]
 
@@ -187,7 +219,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     Only texts enter a score. Labels are learnt from rows whose crc32(doc_id as text) mod 4 is not 2, from a sample
-    bounded by MOST_TOXIC and MOST_ORDINARY; every whole text is scored. A null or empty text gets the score of no
+    bounded by MOST_TOXIC and MOST_ORDINARY, all of whose words and pairs count; backoff counts, which know no label,
+    come from all docs. Every whole text is scored. A null or empty text gets the score of no
     evidence. Without labels of both classes scores say nothing but stay in range. Rows that repeat get equal scores;
     null ids are not held out; a doc_id with contrary labels counts as toxic.
     """
