@@ -394,3 +394,17 @@ def test_toxicity_model_keeps_rare_pairs_and_backs_off(spark):
         for b in vocabulary:
             first, both = np.log(uni(1, a) / uni(0, a)), np.log(pair(1, a, b) / pair(0, a, b))
             assert model.features(f"{a} {b}")[-1] == pytest.approx((first + both) / 2, abs=1e-6)
+
+
+def test_secrets_reports_whole_candidates():
+    """A long candidate has its true end, its rest is no span of its own, and a base span inside doesn't hide it."""
+    r = random.Random(7)
+    some = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    scan = secrets.Novelty()
+    long, run = some(3000), some(30) + "0a1b" * 6 + some(30)
+    text = f"Authorization: Bearer {long} end"
+    assert scan.spans(text, secrets.base_spans(text)) == [(22, 3, 3022)]
+    text = f"bearer {run} end"
+    assert len(secrets.base_spans(text)) == 1 and scan.spans(text, secrets.base_spans(text)) == [(7, 3, 7 + len(run))]
+    text = "bearer " + "0a1b" * 6 + ". end"
+    assert scan.spans(text, secrets.base_spans(text)) == []

@@ -68,13 +68,17 @@ class Novelty:
             lower = re.sub("[A-Z]", lambda m: m[0].lower(), text)
         hits = sorted(m for w in SENSITIVE for m in _starts(lower, w))
         out, done = [], 0
+        m = CANDIDATE.search(text)
         for a, b in hits:
-            for m in CANDIDATE.finditer(text, max(b, done), min(len(text), b + REACH + 512)):
-                if m.start() - b > REACH:
+            while m:
+                if m.start() < max(b, done):  # else it is still the next one
+                    m = CANDIDATE.search(text, max(b, done))
+                if not m or m.start() - b > REACH:
                     break
                 done = m.end()
                 got = m[0].strip(".=-_/")
-                if not (any(c.isdigit() for c in got) and any(c.isalpha() for c in got)) or any(m.start() < e and s < m.end() for s, _, e in known):
+                at = m.start() + len(m[0]) - len(m[0].lstrip(".=-_/"))
+                if not (any(c.isdigit() for c in got) and any(c.isalpha() for c in got)) or any(s <= at and at + len(got) <= e for s, _, e in known):
                     continue
                 if self(text, m.start(), m.end()) >= NOVEL:
                     out.append((m.start(), 3, m.end()))
