@@ -408,3 +408,10 @@ def test_secrets_reports_whole_candidates():
     assert len(secrets.base_spans(text)) == 1 and scan.spans(text, secrets.base_spans(text)) == [(7, 3, 7 + len(run))]
     text = "bearer " + "0a1b" * 6 + ". end"
     assert scan.spans(text, secrets.base_spans(text)) == []
+
+
+def test_declared_language_is_found_anywhere():
+    assert language.declared("<!-- " + "licence " * 2000 + "-->\n<HTML class=x\nlang = 'DE-at'><p>") == "de"
+    assert language.declared("<html class='ie'><![endif]--><html lang=fr>") == "fr"
+    assert language.declared("<html><p lang='de'>") is None and language.declared(None) is None
+    assert language.declared("<html " * 200_000) is None  # linear

@@ -23,7 +23,8 @@ LEAST_POSTERIOR = 0.5
 _KEEP = np.arange(256, dtype=np.uint8)
 _KEEP[[c for c in range(128) if not chr(c).isalpha()]] = 32
 _MARKUP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_LANG = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b")
+_ROOT = re.compile(r"(?i)<html\b([^>]*)")
+_LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b")
 
 
 def trigrams(text: str | None) -> np.ndarray:
@@ -41,8 +42,11 @@ def plain(markup: str | None) -> str:
 
 
 def declared(markup: str | None) -> str | None:
-    m = _LANG.search((markup or "")[:4096])  # the root element stands first
-    return m[1].lower() if m else None
+    """The language that the first root element with one declares, wherever it stands."""
+    for root in _ROOT.finditer(markup or ""):
+        if m := _LANG.search(root[1]):
+            return m[1].lower()
+    return None
 
 
 class TextModel:
