@@ -328,7 +328,8 @@ def test_fuzzy_lines(spark, docs, nothing):
     assert all(part[i, 0].kept for i in range(40)) and not any(part[100 + i, 0].kept for i in range(20))
     assert [part[i, 2].kept for i in range(3)] == [True, False, False] and part[5, 1].kept and part[200, 0].kept
     assert fuzzy_lines.fuzzy_lines(nothing).collect() == []
-    fuzzy_lines.fuzzy_lines(docs).collect()
+    every = fuzzy_lines.fuzzy_lines(docs).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.line_no) for r in every) == sorted((r.doc_id is None, r.doc_id or 0, i) for r in docs.collect() for i in range((r.text or "").count("\n") + 1))
     assert fuzzy_lines.jaccard("abcdef", "abcdefg") == pytest.approx(2 / 3)
 
 
@@ -415,3 +416,25 @@ def test_declared_language_is_found_anywhere():
     assert language.declared("<html class='ie'><![endif]--><html lang=fr>") == "fr"
     assert language.declared("<html><p lang='de'>") is None and language.declared(None) is None
     assert language.declared("<html " * 200_000) is None  # linear
+
+
+def test_fuzzy_lines_recall_against_all_pairs(spark):
+    """Components of noisy copies of lines of 8 to 200 characters against union-find over all pairs."""
+    r = random.Random(11)
+    lines = []
+    for _ in range(60):
+        base = "".join(r.choice("abcdefghij klmnop") for _ in range(r.choice((12, 30, 60, 200))))
+        for _ in range(6):
+            chars = list(base)
+            chars[-1 - r.randrange(max(1, len(base) // 12))] = r.choice("xyzw")
+            lines.append("".join(chars).strip())
+    lines = sorted(set(lines))
+    links = [(i, j) for i in range(len(lines)) for j in range(i) if fuzzy_lines.jaccard(lines[i], lines[j]) >= 0.8]
+    got = {x.doc_id: x.component for x in fuzzy_lines.fuzzy_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    met = sum(got[i] == got[j] for i, j in links)
+    assert len(links) > 300 and met >= 0.97 * len(links)
+    root = list(range(len(lines)))
+    for _ in lines:
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    assert len({(got[i], root[i]) for i in range(len(lines))}) == len(set(got.values())), "no component joins what no chain of links joins"

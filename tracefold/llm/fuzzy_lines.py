@@ -1,7 +1,8 @@
 """Line dedup: fuzzy lines by MinHash.
 
-The form with DataFrame functions alone took 1,500 CPU seconds a GB where 400 are allowed, so signatures and Jaccard
-similarities are computed by numpy and sets in tasks; all shuffles, joins and the union-find are DataFrame operations.
+With DataFrame functions alone the signatures of all shingles take some 320 CPU seconds a GB where 400 are allowed for
+everything, so signatures and Jaccard similarities are computed by numpy and sets in tasks; all shuffles, joins and the
+union-find are DataFrame operations.
 """
 
 from __future__ import annotations
@@ -16,15 +17,18 @@ from pyspark.sql import functions as F
 from .common import components, hot_join, small_batches, text_or_empty, written
 
 SIMILARITY = 0.8
-BANDS, ROWS = 12, 5
+BANDS, ROWS = 10, 4
 #: Signatures and verification take all runs of GRAM characters; signatures are computed for about CHUNK characters at once.
-GRAM, CHUNK = 5, 1 << 15
+GRAM, CHUNK = 5, 1 << 16
+#: One-permutation hashing: each of PERMUTATIONS hashes of a shingle falls into one of BINS bins, whose least is kept.
+PERMUTATIONS = 2
+BINS = BANDS * ROWS // PERMUTATIONS
 #: A bucket of more than SMALL members is split by its members' rare shingles; groups are paired in blocks of BLOCK rows.
-SMALL, BLOCK = 16, 500
+SMALL, BLOCK = 64, 500
 
 _RANDOM = np.random.Generator(np.random.PCG64(20))
-#: Odd factors and terms of the permutations of 32-bit hashes, and factors that mix minima into keys.
-_SEED = _RANDOM.integers(0, 1 << 32, size=(2, BANDS * ROWS), dtype=np.uint32) | np.array([[1], [0]], np.uint32)
+#: Odd factors that mix a shingle for a permutation, and minima into keys.
+_SEED = _RANDOM.integers(1, 1 << 62, size=PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _MIX = _RANDOM.integers(1, 1 << 62, size=BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _POWER = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(GRAM)], np.uint64)
 
@@ -32,7 +36,7 @@ _POWER = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(GRAM)]
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, line_no, line: every line of every text; white space at a line's ends doesn't count."""
     lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("line_no", "line"))
-    return lines.withColumn("line", F.trim(F.regexp_replace("line", r"[\x09-\x0D]", " ")))
+    return lines.withColumn("line", F.btrim("line", F.lit(" \t\n\x0b\x0c\r")))
 
 
 def line_id(seed: int = 0) -> Column:
@@ -59,25 +63,40 @@ def band_keys(lines: list[str]) -> list[np.ndarray | None]:
 
 
 def _keys(lines: list[str]) -> np.ndarray:
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.array([len(x) for x in lines])
     counts = lengths - GRAM + 1
-    offsets = np.cumsum(counts) - counts
-    at = np.arange(counts.sum()) + np.repeat(np.cumsum(lengths) - lengths - offsets, counts)  # no shingle spans two lines
-    mixed = np.zeros(len(at), np.uint64)
-    for j in range(GRAM):
-        mixed += codes[at + j].astype(np.uint64) * _POWER[j]
-    hashes = (_mixed(mixed) >> np.uint64(32)).astype(np.uint32)
+    at = np.arange(counts.sum()) + np.repeat((GRAM - 1) * np.arange(len(lines)), counts)  # no shingle spans two lines
+    whole = sum(codes[j : len(codes) - GRAM + 1 + j] * _POWER[j] for j in range(GRAM))[at]
+    owner = np.repeat(np.arange(len(lines), dtype=np.uint64) * np.uint64(BINS), counts)
+    minima = np.concatenate([_least(_mixed(whole * seed), owner, len(lines)) for seed in _SEED], axis=1)
     keys = np.zeros((len(lines), BANDS), np.uint64)
-    moved = np.empty_like(hashes)
     for i in range(BANDS * ROWS):
-        np.multiply(hashes, _SEED[0, i], out=moved)
-        moved += _SEED[1, i]
-        least = np.minimum.reduceat(moved, offsets).astype(np.uint64)
-        keys[:, i // ROWS] = _mixed(keys[:, i // ROWS] + (least + np.uint64(1)) * _MIX[i])
+        keys[:, i % BANDS] = _mixed(keys[:, i % BANDS] + (minima[:, i] + np.uint64(1)) * _MIX[i])
     return keys
 
 
+def _least(hashes: np.ndarray, first: np.ndarray, lines: int) -> np.ndarray:
+    """The least 32 bits of the hashes in each bin [line, BINS]; an empty bin has those of the next one that isn't, around the end.
+
+    first is the number of a line's first bin. Of two sets' union, the element that decides a bin is any with equal
+    chance, so minima agree as often as the sets' Jaccard similarity says."""
+    high = np.uint64(32)
+    cells = first + ((hashes >> high) * np.uint64(BINS) >> high)
+    ordered = cells << high | (hashes & np.uint64(0xFFFFFFFF))
+    ordered.sort()
+    cells = ordered >> high
+    heads = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+    filled = cells[heads].astype(np.int64)
+    out = np.zeros(lines * BINS, np.uint64)
+    out[filled] = ordered[heads] & np.uint64(0xFFFFFFFF)
+    bins = np.full((lines, 2 * BINS), 2 * BINS, np.int64)
+    bins[filled // BINS, filled % BINS] = filled % BINS
+    bins[:, BINS:] = bins[:, :BINS] + BINS
+    after = np.minimum.accumulate(bins[:, ::-1], axis=1)[:, ::-1][:, :BINS] % BINS
+    return np.take_along_axis(out.reshape(lines, BINS), after, axis=1)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keys = pa.array(band_keys(b.column(1).to_pylist()) if b.num_rows else [], pa.list_(pa.int64()))
@@ -107,10 +126,11 @@ def identified(rows: DataFrame, other: DataFrame | None) -> DataFrame:
 
 
 def buckets(bands: DataFrame) -> DataFrame:
-    """key, id, n, head of the buckets of n = two and more members; head is the first of them."""
-    whole = Window.partitionBy("key")
-    shared = bands.select("key", "id", F.count(F.lit(1)).over(whole).alias("n"), F.min("id").over(whole).alias("head")).where("n > 1")
-    return written(shared, "buckets")
+    """key, id, n, head of the buckets of n = two and more members; head is the first of them.
+
+    Counts combine before the shuffle, and a bucket with a large share of all rows is joined by a broadcast."""
+    shared = written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head")).where("n > 1"), "shared")
+    return written(hot_join(bands, shared.select("*", F.col("n").alias("rows")), "key", "rows"), "buckets")
 
 
 def grams(t: str) -> set[str]:
@@ -172,12 +192,19 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     """The pairs whose texts' (id, line) sets of GRAM-character shingles have that Jaccard similarity or more."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, frozenset()
         for batch in batches:
-            keep = [jaccard(x, y) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if a != last:  # rows come sorted by a
+                    last, x = a, grams(a)
+                y = grams(b)
+                both = len(x & y) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+                keep.append(both > 0 and both >= similarity * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("la")), texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb").mapInArrow(alike, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "la", "lb").mapInArrow(alike, "a long, b long")
 
 
 def linked(rows: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
@@ -199,7 +226,8 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     where different lines share it. Lines whose shingle sets are similar are linked, and the linked lines are a
     component, named by its smallest line_id. Of a component the line with the smallest (doc_id, line_no) is kept,
     null ids last; rows that repeat an id and a line number share that decision. Lines of less than five characters
-    match exactly or not at all. Empty lines are always kept. An empty table gives no rows.
+    match exactly or not at all. Empty lines are always kept. An empty table gives no rows. Lines of any length are
+    signed and compared whole; only the id and the text are read, so other columns may have any name.
     """
     every = occurrences(docs, id_col, text_col)
     lines = written(signatures(every.where("line <> ''").select("line").distinct()), "lines")
