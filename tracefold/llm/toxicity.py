@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -29,41 +29,67 @@ def words(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
+def numbered_words(texts: Iterable[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of texts, first the empty one; the numbers of all words in order, each text's after a 0; where texts start."""
+    number: dict[str, int] = {"": 0}
+    ids: list[int] = []
+    starts = []
+    for text in texts:
+        starts.append(len(ids))
+        ids.append(0)
+        ids += [number.setdefault(w, len(number)) for w in words(text)]
+    return list(number), np.array(ids, np.int64), np.array([*starts, len(ids)], np.int64)
+
+
+def hashes(some: list[str]) -> np.ndarray:
+    """Spark's xxhash64 of strings."""
+    return np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in some], np.uint64).view(np.int64)
+
+
+def found(sorted_: np.ndarray, wanted: np.ndarray, none: int) -> np.ndarray:
+    """Where wanted stands in sorted_, none for what isn't there."""
+    if not len(sorted_):
+        return np.full(len(wanted), none, np.int64)
+    at = np.minimum(np.searchsorted(sorted_, wanted), len(sorted_) - 1)
+    return np.where(sorted_[at] == wanted, at, none)
+
+
 @dataclass
 class Model:
     """Log-likelihood ratios (toxic over ordinary) of words after words, ready for lookup."""
 
-    vocabulary: dict[str, int]
+    vocabulary: np.ndarray  # sorted hashes of the words
     word: np.ndarray  # of a word alone; the last is for unknown words
     back: np.ndarray  # of the backoff weights of a word before, for pairs that aren't known
     pairs: np.ndarray  # sorted keys of known pairs
     pair: np.ndarray  # their ratios
     weights: np.ndarray  # of the calibration: constant, most toxic windows, whole text
 
-    def features(self, text: str | None) -> list[float]:
-        """Length-normalised ratios: of the most toxic window of each length, and of the whole text."""
-        got = words(text)
-        if not got:
-            return [0.0] * (len(WINDOWS) + 1)
+    def features(self, texts: Iterable[str | None]) -> np.ndarray:
+        """Length-normalised ratios of each text: of the most toxic window of each length, and of the whole text."""
+        names, ids, starts = numbered_words(texts)
         unknown = len(self.word) - 1
-        ids = np.fromiter(map(self.vocabulary.get, got, repeat(unknown)), np.int64, len(got))
-        ratio = self.word[ids]
-        if len(ids) > 1 and len(self.pairs):
-            ratio[1:] += np.where(ids[1:] == unknown, 0.0, self.back[ids[:-1]])
-            keys = ids[:-1] * (unknown + 1) + ids[1:]
-            at = np.searchsorted(self.pairs, keys)
-            at[at == len(self.pairs)] = 0
-            ratio[1:] = np.where(self.pairs[at] == keys, self.pair[at], ratio[1:])
-        total = np.concatenate([[0.0], np.cumsum(ratio)])
-        most = []
-        for length in WINDOWS:
-            n = min(length, len(ids))
-            most.append(float((total[n:] - total[:-n]).max() / length))
-        return [*most, float(total[-1] / len(ids))]
-
-    def score(self, text: str | None) -> float:
-        z = self.weights[0] + np.dot(self.weights[1:], self.features(text))
-        return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
+        at = found(self.vocabulary, hashes(names), unknown)[ids]
+        ratio = self.word[at]
+        if len(at) > 1:
+            before, here = at[:-1].copy(), at[1:]
+            before[ids[:-1] == 0] = unknown  # a text's first word follows nothing
+            ratio[1:] += np.where(here == unknown, 0.0, self.back[before])
+            place = found(self.pairs, before * (unknown + 1) + here, -1)
+            ratio[1:] = np.where(place >= 0, self.pair[place] if len(self.pair) else 0.0, ratio[1:])
+        out = np.zeros((len(starts) - 1, len(WINDOWS) + 1))
+        for i, (a, b) in enumerate(zip(starts.tolist(), starts[1:].tolist())):
+            if b - a > 1:
+                total = np.concatenate([[0.0], np.cumsum(ratio[a + 1 : b])])
+                for j, length in enumerate(WINDOWS):
+                    n = min(length, b - a - 1)
+                    out[i, j] = (total[n:] - total[:-n]).max() / length
+                out[i, -1] = total[-1] / (b - a - 1)
+        return out
+
+    def scores(self, texts: Iterable[str | None]) -> np.ndarray:
+        z = self.weights[0] + self.features(texts) @ self.weights[1:]
+        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,8 +119,8 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(few), "doc_id").select("toxic", "text", remainder().cast("int").alias("rest"))
 
 
-def continuations(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int, int]:
-    """Over all texts of docs, without labels: the distinct words before each word of the vocabulary, all distinct pairs, all distinct words.
+def continuations(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Over all texts of docs, without labels: the distinct words before each word of the vocabulary (sorted hashes), all distinct pairs, all distinct words.
 
     A pair is one long: the word's number and, in the other bits, a hash of the word before. A pair whose word the
     vocabulary lacks is a negative hash and counts for the total alone; such a word itself is a hash with the bit NEW."""
@@ -103,21 +129,17 @@ def continuations(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, i
     new, first = 1 << 62, np.uint64(1 << 63)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {w: i for i, w in enumerate(held.value)}
         for b in batches:
-            number: dict[str, int] = {"": 0}
-            ids = []
-            for text in b.column(0).to_pylist():
-                ids.append(0)
-                ids += [number.setdefault(w, len(number)) for w in words(text)]
-            at, size = np.array(ids, np.int64), len(number)
+            names, at, _ = numbered_words(b.column(0).to_pylist())
+            size = len(names)
             pairs = np.unique((at[:-1] * size + at[1:])[at[1:] > 0]) if len(at) > 1 else np.zeros(0, np.int64)
-            hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in number], np.uint64)
-            place = np.fromiter((known.get(w, -1) for w in number), np.int64, size)
+            signed = hashes(names)
+            hashed = signed.view(np.uint64)
+            place = found(held.value, signed, -1)
             before, word = np.divmod(pairs, size)
-            numbered = (np.maximum(place[word], 0).astype(np.uint64) << np.uint64(shift)) | (hashes[before] >> np.uint64(64 - shift))
-            left = np.where(place[word] >= 0, numbered, (hashes[before] * np.uint64(0x9E3779B97F4A7C15) + hashes[word]) | first)
-            unknown = hashes[1:][place[1:] < 0] >> np.uint64(2) | np.uint64(new)
+            numbered = (np.maximum(place[word], 0).astype(np.uint64) << np.uint64(shift)) | (hashed[before] >> np.uint64(64 - shift))
+            left = np.where(place[word] >= 0, numbered, (hashed[before] * np.uint64(0x9E3779B97F4A7C15) + hashed[word]) | first)
+            unknown = hashed[1:][place[1:] < 0] >> np.uint64(2) | np.uint64(new)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(left, unknown).view(np.int64))], ["mark"])
 
     met = docs.select(F.col("text").cast("string")).mapInArrow(seen, "mark long").distinct()
@@ -132,43 +154,51 @@ def continuations(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, i
 def count_model(rows: DataFrame, docs: DataFrame) -> Model:
     """The model of rows (toxic, text), uncalibrated, whose backoff counts come from all docs (text).
 
-    Counting is distributed; the words and pairs of rows, all of them, come to the driver as numbers."""
+    Counting is distributed, and so are the pairs' ratios; the driver gets numbers of the rows' words and a key and a
+    ratio for each of their pairs."""
     counts = written(rows.select("toxic", "text").mapInArrow(_counts, "toxic int, before string, word string, n long").groupBy("before", "word").agg(*[F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)]), "ngrams")
     seen = [F.sum((F.col(f"n{y}") > 0).cast("long")).alias(f"left{y}") for y in (0, 1)]  # distinct words before: Kneser-Ney's counts
     by_word = counts.groupBy("word").agg(*seen)
     by_before = counts.groupBy("before").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"), *[F.sum((F.col(f"n{y}") > 0).cast("long")).alias(f"types{y}") for y in (0, 1)])
-    known = by_word.join(by_before, by_word.word == by_before.before, "left").drop("before").withColumn("hash", F.xxhash64("word")).orderBy("hash", "word").toArrow().to_pandas().fillna(0)
+    known = by_word.join(by_before, by_word.word == by_before.before, "left").select(F.xxhash64("word").alias("hash"), *[F.coalesce(c + str(y), F.lit(0)).alias(c + str(y)) for c in ("left", "c", "types") for y in (0, 1)]).orderBy("hash").toArrow().to_pandas()
+    vocabulary = known["hash"].to_numpy(np.int64)
     if known["hash"].duplicated().any():
         raise RuntimeError("two words share a 64-bit hash")
-    hashed = counts.where("before <> ''").select(F.xxhash64("before").alias("a"), F.xxhash64("word").alias("b"), F.col("n0").cast("int").alias("n0"), F.col("n1").cast("int").alias("n1"))
-    left, all_left, distinct = continuations(docs, known["word"].tolist())
+    left, all_left, distinct = continuations(docs, vocabulary)
     whole = {f"left{y}": known[f"left{y}"].sum() for y in (0, 1)} | {f"v{y}": (known[f"left{y}"] > 0).sum() for y in (0, 1)}
-    return estimated(known.assign(left=left), hashed.toArrow(), whole | {"left": all_left, "v": distinct})
+    return estimated(known.assign(left=left), counts, whole | {"left": all_left, "v": distinct})
 
 
-def estimated(known: pd.DataFrame, counted: pa.Table, whole: dict) -> Model:
+def estimated(known: pd.DataFrame, counts: DataFrame, whole: dict) -> Model:
     """Absolute discounting at both orders; what it frees goes to the words' shares among the words before, over all documents."""
-    number = {w: i for i, w in enumerate(known["word"])}
-    size = len(number)
+    vocabulary = known["hash"].to_numpy(np.int64)
+    size = len(vocabulary)
     total = max(1, whole["left"] or 0) + max(1, whole["v"] or 0)
     shared = np.append((known["left"].to_numpy(np.float64) + 1) / total, 1 / total)
-    uni, back = [], []
+    uni, back, after = [], [], []
     for y in (0, 1):
         left, all_left, types = known[f"left{y}"].to_numpy(np.float64), max(1, whole[f"left{y}"] or 0), whole[f"v{y}"] or 0
         free = DISCOUNT * types / all_left if types else 1.0
         uni.append(np.append(np.maximum(left - DISCOUNT, 0) / all_left, 0.0) + free * shared)
         c = known[f"c{y}"].to_numpy(np.float64)
+        after.append(np.append(np.maximum(c, 1), 1.0))
         back.append(np.append(np.where(c > 0, DISCOUNT * known[f"types{y}"].to_numpy(np.float64) / np.maximum(c, 1), 1.0), 1.0))
-    a, b = (np.searchsorted(known["hash"].to_numpy(np.int64), counted.column(c).to_numpy()) for c in ("a", "b"))
-    keys = a * (size + 1) + b
+    held = counts.sparkSession.sparkContext.broadcast((vocabulary, uni, back, after))
+
+    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, uni, back, after = held.value
+        for batch in batches:
+            a, b = (found(vocabulary, batch.column(i).to_numpy(), size) for i in (0, 1))
+            both = [np.maximum(batch.column(2 + y).to_numpy() - DISCOUNT, 0) / after[y][a] + back[y][a] * uni[y][b] for y in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(a * (size + 1) + b), pa.array(np.log(both[1] / both[0]).astype(np.float32))], ["key", "ratio"])
+
+    hashed = counts.where("before <> ''").select(F.xxhash64("before"), F.xxhash64("word"), "n0", "n1")
+    got = hashed.mapInArrow(ratios, "key long, ratio float").toArrow()
+    keys, ratio = got.column("key").to_numpy(), got.column("ratio").to_numpy()
     order = np.argsort(keys)
-    both = []
-    for y in (0, 1):
-        c = np.append(known[f"c{y}"].to_numpy(np.float64), 0)[a]
-        both.append(np.maximum(counted.column(f"n{y}").to_numpy() - DISCOUNT, 0) / np.maximum(c, 1) + back[y][a] * uni[y][b])
-    ratio = np.log(uni[1] / uni[0])
-    ratio[-1] = 0.0  # an unknown word says nothing of the class
-    return Model(number, ratio, np.log(back[1] / back[0]), keys[order], np.log(both[1] / both[0])[order].astype(np.float32), np.zeros(len(WINDOWS) + 2))
+    word = np.log(uni[1] / uni[0])
+    word[-1] = 0.0  # an unknown word says nothing of the class
+    return Model(vocabulary, word, np.log(back[1] / back[0]), keys[order], ratio[order], np.zeros(len(WINDOWS) + 2))
 
 
 def calibrated(features: np.ndarray, toxic: np.ndarray, odds: float) -> np.ndarray:
@@ -200,7 +230,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = np.array([held.value.features(t) for t in b.column(1).to_pylist()]).reshape(-1, len(names))
+            got = held.value.features(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(got[:, i]) for i in range(len(names))]], ["toxic", *names])
 
     fit = rows.where("rest = 3").select("toxic", "text").mapInArrow(features, "toxic int, " + ", ".join(f"{c} double" for c in names)).toPandas()
@@ -229,9 +259,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     held = spark.sparkContext.broadcast(fitted(docs, labels))
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.score(t.as_py()) for t in b.column(1)], pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held.value.scores(t.as_py() for t in b.column(1)), pa.float64())], ["doc_id", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
     scored = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(scores, f"doc_id {kind}, score double")
