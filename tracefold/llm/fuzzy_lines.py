@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import components, hot_join, small_batches, text_or_empty, written
 
 SIMILARITY = 0.8
-BANDS, ROWS = 10, 4
+BANDS, ROWS = 16, 6
 #: Signatures and verification take all runs of GRAM characters; signatures are computed for about CHUNK characters at once.
 GRAM, CHUNK = 5, 1 << 16
 #: One-permutation hashing: each of PERMUTATIONS hashes of a shingle falls into one of BINS bins, whose least is kept.
