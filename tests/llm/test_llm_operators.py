@@ -378,8 +378,9 @@ def test_signatures_take_every_character():
     assert fuzzy_lines.band_keys(["abcd", "", "abcde"])[:2] == [None, None]
 
 
-def test_toxicity_model_keeps_rare_pairs_and_backs_off(spark):
+def test_toxicity_model_keeps_rare_pairs_and_backs_off(spark, monkeypatch):
     """Every ratio against Kneser-Ney by hand: rare words and pairs, unseen pairs, backoff counts of all documents."""
+    monkeypatch.setattr(toxicity, "DISCOUNT", 0.75)
     told = [(0, "a b c a"), (0, "b c d"), (1, "c slur b"), (1, "slur")]
     every = [t for _, t in told] + ["x slur", "y slur z", None, "d a"]
     model = toxicity.count_model(spark.createDataFrame(told, "toxic int, text string"), spark.createDataFrame([(t,) for t in every], "text string"))
@@ -389,13 +390,21 @@ def test_toxicity_model_keeps_rare_pairs_and_backs_off(spark):
     assert sorted(model.vocabulary) == sorted(toxicity.hashes(sorted(vocabulary))) and len(model.pairs) == len({p for p in n[0] + n[1] if p[0]})
     total = len(free) + len({w for _, w in free})
 
+    lefts = [Counter(w for _, w in n[y]) for y in (0, 1)]
+    even = lambda x: toxicity.even_discounts(*zip(*[(np.array(list(c.values()), float), np.ones(len(c))) for c in x]))
+    of_words, of_pairs = even(lefts), even(n)
+    for d, x in ((of_words, lefts), (of_pairs, n)):  # both classes free the same share
+        freed = [sum(min(k, d[y]) for k in x[y].values()) / sum(x[y].values()) for y in (0, 1)]
+        assert min(d) == 0.75 and freed[0] == pytest.approx(freed[1])
+
     def uni(y, w):
-        left = sum(p[1] == w for p in n[y])
-        return max(left - 0.75, 0) / len(n[y]) + 0.75 * len({w for _, w in n[y]}) / len(n[y]) * (sum(p[1] == w for p in free) + 1) / total
+        whole = sum(lefts[y].values())
+        free_ = sum(min(k, of_words[y]) for k in lefts[y].values()) / whole
+        return max(lefts[y][w] - of_words[y], 0) / whole + free_ * (sum(p[1] == w for p in free) + 1) / total
 
     def pair(y, a, b):
-        c, types = sum(k for p, k in n[y].items() if p[0] == a), sum(p[0] == a for p in n[y])
-        return max(n[y][a, b] - 0.75, 0) / max(c, 1) + (0.75 * types / c if c else 1) * uni(y, b)
+        c, freed = sum(k for p, k in n[y].items() if p[0] == a), sum(min(k, of_pairs[y]) for p, k in n[y].items() if p[0] == a)
+        return max(n[y][a, b] - of_pairs[y], 0) / max(c, 1) + (freed / c if c else 1) * uni(y, b)
 
     for a in vocabulary:
         for b in vocabulary:

@@ -19,8 +19,9 @@ from .common import small_batches, written
 
 #: Bounds of the fit: documents of either class. All their words and word pairs are kept.
 MOST_TOXIC, MOST_ORDINARY = 5_000, 10_000
-#: The discount; the lengths of the windows whose ratios are compared.
-DISCOUNT, WINDOWS = 0.75, (1, 2, 4)
+#: The discount: of a count that is no larger, all goes to the backoff. The lengths of the windows whose ratios are compared.
+DISCOUNT, WINDOWS = 4.0, (1, 2, 4)
+FEATURES = tuple(f"{order}_{n}" for order in ("word", "pair") for n in (*WINDOWS, "all"))
 THRESHOLD = 0.3
 WORDS = re.compile(r"[^\W_]+")
 
@@ -66,25 +67,24 @@ class Model:
     weights: np.ndarray  # of the calibration: constant, most toxic windows, whole text
 
     def features(self, texts: Iterable[str | None]) -> np.ndarray:
-        """Length-normalised ratios of each text: of the most toxic window of each length, and of the whole text."""
+        """Length-normalised ratios of each text, of words alone and of words after words: of the most toxic window of each length, and of the whole text."""
         names, ids, starts = numbered_words(texts)
         unknown = len(self.word) - 1
         at = found(self.vocabulary, hashes(names), unknown)[ids]
-        ratio = self.word[at]
+        alone = self.word[at]
+        ratio = alone.copy()
         if len(at) > 1:
             before, here = at[:-1].copy(), at[1:]
             before[ids[:-1] == 0] = unknown  # a text's first word follows nothing
             ratio[1:] += np.where(here == unknown, 0.0, self.back[before])
             place = found(self.pairs, before * (unknown + 1) + here, -1)
             ratio[1:] = np.where(place >= 0, self.pair[place] if len(self.pair) else 0.0, ratio[1:])
-        out = np.zeros((len(starts) - 1, len(WINDOWS) + 1))
-        for i, (a, b) in enumerate(zip(starts.tolist(), starts[1:].tolist())):
-            if b - a > 1:
-                total = np.concatenate([[0.0], np.cumsum(ratio[a + 1 : b])])
-                for j, length in enumerate(WINDOWS):
-                    n = min(length, b - a - 1)
-                    out[i, j] = (total[n:] - total[:-n]).max() / length
-                out[i, -1] = total[-1] / (b - a - 1)
+        out = np.zeros((len(starts) - 1, len(FEATURES)))
+        for i, (a, b) in enumerate(zip((starts[:-1] + 1).tolist(), starts[1:].tolist())):
+            for j, order in enumerate((alone, ratio) if b > a else ()):
+                total = np.concatenate([[0.0], np.cumsum(order[a:b])])
+                most = [(total[n:] - total[:-n]).max() / length for length in WINDOWS for n in [min(length, b - a)]]
+                out[i, j * len(most) + j : (j + 1) * (len(most) + 1)] = [*most, total[-1] / (b - a)]
         return out
 
     def scores(self, texts: Iterable[str | None]) -> np.ndarray:
@@ -151,6 +151,20 @@ def continuations(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
     return left, int(n[at != -2].sum()), int((at >= 0).sum() + n[at == -2].sum())
 
 
+def even_discounts(counts: tuple[np.ndarray, np.ndarray], times: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
+    """DISCOUNT for the class whose counts it frees the larger share of, and for the other the discount that frees as large a share.
+
+    So what is rare in both classes says nothing, whatever the sizes of their samples. counts[i] occurs times[i] times."""
+    share = lambda y, d: float((np.minimum(counts[y], d) * times[y]).sum() / max(1.0, float((counts[y] * times[y]).sum())))
+    out = [DISCOUNT, DISCOUNT]
+    less = 0 if share(0, DISCOUNT) < share(1, DISCOUNT) else 1
+    want, low, high = share(1 - less, DISCOUNT), DISCOUNT, max(DISCOUNT, float(counts[less].max(initial=0)))
+    for _ in range(60):
+        out[less] = (low + high) / 2
+        low, high = (out[less], high) if share(less, out[less]) < want else (low, out[less])
+    return out[0], out[1]
+
+
 def count_model(rows: DataFrame, docs: DataFrame) -> Model:
     """The model of rows (toxic, text), uncalibrated, whose backoff counts come from all docs (text).
 
@@ -158,38 +172,47 @@ def count_model(rows: DataFrame, docs: DataFrame) -> Model:
     ratio for each of their pairs."""
     counts = written(rows.select("toxic", "text").mapInArrow(_counts, "toxic int, before string, word string, n long").groupBy("before", "word").agg(*[F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)]), "ngrams")
     seen = [F.sum((F.col(f"n{y}") > 0).cast("long")).alias(f"left{y}") for y in (0, 1)]  # distinct words before: Kneser-Ney's counts
+    discounts = even_discounts(*zip(*[counts_of(counts, f"n{y}") for y in (0, 1)]))
     by_word = counts.groupBy("word").agg(*seen)
-    by_before = counts.groupBy("before").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"), *[F.sum((F.col(f"n{y}") > 0).cast("long")).alias(f"types{y}") for y in (0, 1)])
-    known = by_word.join(by_before, by_word.word == by_before.before, "left").select(F.xxhash64("word").alias("hash"), *[F.coalesce(c + str(y), F.lit(0)).alias(c + str(y)) for c in ("left", "c", "types") for y in (0, 1)]).orderBy("hash").toArrow().to_pandas()
+    by_before = counts.groupBy("before").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"), *[F.sum(F.least(F.col(f"n{y}").cast("double"), F.lit(discounts[y]))).alias(f"free{y}") for y in (0, 1)])
+    known = by_word.join(by_before, by_word.word == by_before.before, "left").select(F.xxhash64("word").alias("hash"), *[F.coalesce(c + str(y), F.lit(0)).alias(c + str(y)) for c in ("left", "c", "free") for y in (0, 1)]).orderBy("hash").toArrow().to_pandas()
     vocabulary = known["hash"].to_numpy(np.int64)
     if known["hash"].duplicated().any():
         raise RuntimeError("two words share a 64-bit hash")
     left, all_left, distinct = continuations(docs, vocabulary)
-    whole = {f"left{y}": known[f"left{y}"].sum() for y in (0, 1)} | {f"v{y}": (known[f"left{y}"] > 0).sum() for y in (0, 1)}
-    return estimated(known.assign(left=left), counts, whole | {"left": all_left, "v": distinct})
+    whole = {f"left{y}": known[f"left{y}"].sum() for y in (0, 1)}
+    return estimated(known.assign(left=left), counts, discounts, whole | {"left": all_left, "v": distinct})
+
+
+def counts_of(table: DataFrame, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The counts above 0 in a column, and how often each occurs."""
+    got = table.where(F.col(name) > 0).groupBy(name).agg(F.count(F.lit(1)).alias("times")).toPandas()
+    return got[name].to_numpy(np.float64), got["times"].to_numpy(np.float64)
 
 
-def estimated(known: pd.DataFrame, counts: DataFrame, whole: dict) -> Model:
+def estimated(known: pd.DataFrame, counts: DataFrame, discounts: tuple[float, float], whole: dict) -> Model:
     """Absolute discounting at both orders; what it frees goes to the words' shares among the words before, over all documents."""
     vocabulary = known["hash"].to_numpy(np.int64)
     size = len(vocabulary)
     total = max(1, whole["left"] or 0) + max(1, whole["v"] or 0)
     shared = np.append((known["left"].to_numpy(np.float64) + 1) / total, 1 / total)
     uni, back, after = [], [], []
+    ones = np.ones(size)
+    of_words = even_discounts(*zip(*[(known[f"left{y}"].to_numpy(np.float64), ones) for y in (0, 1)]))
     for y in (0, 1):
-        left, all_left, types = known[f"left{y}"].to_numpy(np.float64), max(1, whole[f"left{y}"] or 0), whole[f"v{y}"] or 0
-        free = DISCOUNT * types / all_left if types else 1.0
-        uni.append(np.append(np.maximum(left - DISCOUNT, 0) / all_left, 0.0) + free * shared)
+        left, all_left = known[f"left{y}"].to_numpy(np.float64), max(1, whole[f"left{y}"] or 0)
+        free = np.minimum(left, of_words[y]).sum() / all_left or 1.0
+        uni.append(np.append(np.maximum(left - of_words[y], 0) / all_left, 0.0) + free * shared)
         c = known[f"c{y}"].to_numpy(np.float64)
         after.append(np.append(np.maximum(c, 1), 1.0))
-        back.append(np.append(np.where(c > 0, DISCOUNT * known[f"types{y}"].to_numpy(np.float64) / np.maximum(c, 1), 1.0), 1.0))
+        back.append(np.append(np.where(c > 0, known[f"free{y}"].to_numpy(np.float64) / np.maximum(c, 1), 1.0), 1.0))
     held = counts.sparkSession.sparkContext.broadcast((vocabulary, uni, back, after))
 
     def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, uni, back, after = held.value
         for batch in batches:
             a, b = (found(vocabulary, batch.column(i).to_numpy(), size) for i in (0, 1))
-            both = [np.maximum(batch.column(2 + y).to_numpy() - DISCOUNT, 0) / after[y][a] + back[y][a] * uni[y][b] for y in (0, 1)]
+            both = [np.maximum(batch.column(2 + y).to_numpy() - discounts[y], 0) / after[y][a] + back[y][a] * uni[y][b] for y in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(a * (size + 1) + b), pa.array(np.log(both[1] / both[0]).astype(np.float32))], ["key", "ratio"])
 
     hashed = counts.where("before <> ''").select(F.xxhash64("before"), F.xxhash64("word"), "n0", "n1")
@@ -198,12 +221,12 @@ def estimated(known: pd.DataFrame, counts: DataFrame, whole: dict) -> Model:
     order = np.argsort(keys)
     word = np.log(uni[1] / uni[0])
     word[-1] = 0.0  # an unknown word says nothing of the class
-    return Model(vocabulary, word, np.log(back[1] / back[0]), keys[order], ratio[order], np.zeros(len(WINDOWS) + 2))
+    return Model(vocabulary, word, np.log(back[1] / back[0]), keys[order], ratio[order], np.zeros(len(FEATURES) + 1))
 
 
 def calibrated(features: np.ndarray, toxic: np.ndarray, odds: float) -> np.ndarray:
     """Weights of a ridge logistic regression by Newton steps; odds: how much rarer toxic rows are than in these."""
-    n = len(WINDOWS) + 2
+    n = len(FEATURES) + 1
     x = np.column_stack([np.ones(len(features)), features]) if len(features) else np.zeros((0, n))
     w = np.zeros(n)
     ridge = np.diag([1e-3] + [0.005] * (n - 1))
@@ -226,7 +249,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     rows = written(sample(docs, labels), "toxic")
     model = count_model(rows.where("rest < 2"), docs)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = [*[f"window{n}" for n in WINDOWS], "whole"]
+    names = list(FEATURES)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
