@@ -208,6 +208,11 @@ def test_bpe_tree_equals_the_library():
         text = "".join(r.choice(r.choice(alphabets)) for _ in range(r.randrange(300)))
         ids = tree.encode(text)
         assert ids == whole.encode_ordinary(text) and tree.decode(ids) == text.encode()
+    usual = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    texts = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet' WHERE text IS NOT NULL").fetchall()] + ["x" * 40_000, " " * 5_000 + "y", "\u5b57" * 3_000]
+    for text in texts:
+        assert usual.encode(text) == whole.encode_ordinary(text)
+    assert usual.joins >= sum(len(t) // 1024 for t in texts) > 100
 
 
 def test_bpe(docs, rows, nothing):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Characters that one leaf encodes at once, and the first width of a boundary window.
-LEAF, WINDOW = 16_384, 64
-_BLANKS = frozenset(" \n\t\r")
+#: Characters that one leaf encodes at once, and the first width of a boundary window on either side.
+LEAF, WINDOW = 512, 32
+#: A blank after another character: the pattern's matches hold no white space after their first character unless they are
+#: all white space, so a match starts here in whatever text surrounds it.
+_CUT = re.compile(r"(?<=\S)[ \n\t\r]")
 
 
 def ranks_of(content: bytes) -> dict[bytes, int]:
@@ -32,10 +35,9 @@ class Codec:
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
         self.leaf, self.window = leaf, window
+        self.joins = 0
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= self.leaf:
-            return self.encoding.encode_ordinary(text)
         return self._tree(text, 0, len(text))
 
     def _tree(self, text: str, a: int, b: int) -> list[int]:
@@ -47,27 +49,40 @@ class Codec:
     def _join(self, text: str, a: int, mid: int, b: int, left: list[int], right: list[int]) -> list[int]:
         """The ids of text[a:b] from those of its halves: only a window around mid is encoded again.
 
-        A cut before white space that follows another character is a boundary of every split of the text, since no
-        match of the pattern holds white space after its first character unless it is all white space. So the ids
-        before such a cut in the left half, and after one in the right half, stand; the window grows until it has both.
+        The window grows on both sides until it starts and ends at a cut, which is a boundary of matches in the half and
+        in the whole alike: so the ids before it in the left half, and after it in the right half, stand.
         """
-        low, high, width = self._before(text, a, mid, self.window), mid, self.window
-        while high < b and not self._settled(text, high, mid):
-            high = min(b, mid + width) if high - mid >= width else high + 1
-            width *= 1 + (high - mid >= width)
+        self.joins += 1
+        low, high = self._before(text, a, mid), self._after(text, mid, b)
         again = self.encoding.encode_ordinary
         tail, head = len(again(text[low:mid])), len(again(text[mid:high]))
         return left[: len(left) - tail] + again(text[low:high]) + right[head:]
 
-    @staticmethod
-    def _settled(text: str, at: int, mid: int) -> bool:
-        return at > mid and text[at] in _BLANKS and not text[at - 1].isspace()
-
-    def _before(self, text: str, a: int, mid: int, width: int) -> int:
-        at = mid - 1
-        while at > a and not (text[at] in _BLANKS and not text[at - 1].isspace()):
-            at -= 1
-        return max(at, a)
+    def _before(self, text: str, a: int, mid: int) -> int:
+        """The last cut of text before mid, or a."""
+        width = self.window
+        while True:
+            start = max(a, mid - width)
+            found = -1
+            for m in _CUT.finditer(text, start, mid):
+                found = m.start()
+            if found > a:
+                return found
+            if start == a:
+                return a
+            width *= 2
+
+    def _after(self, text: str, mid: int, b: int) -> int:
+        """The first cut of text after mid, or b."""
+        width = self.window
+        while True:
+            end = min(b, mid + width)
+            m = _CUT.search(text, mid + 1, end)
+            if m:
+                return m.start()
+            if end == b:
+                return b
+            width *= 2
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes concatenate up the tree: the bytes of a list are those of its halves."""
