@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, partitions, text_or_empty, written
+from .common import BLANK, hot_join, partitions, text_or_empty, written
 
 #: Slots of the largest directory: 2 ** MOST_DEPTH rows are all that reach the driver or a broadcast.
 MOST_DEPTH = 14
@@ -41,7 +41,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Work: one aggregation groups texts by hash and then bytes, combined before the shuffle, so a group of copies sends
     one row from each task; it writes the index entries. Their hashes' prefixes fill buckets, and overfull buckets
     split as the directory doubles. Each owner task takes a range of buckets and walks the chain of each hash. A last
-    join gives each row its group.
+    join gives each row its group; groups with a large share of the rows are broadcast. Very long texts are read whole.
+    A bucket that is still overfull at the directory's last doubling stays so: it costs time, not results.
     """
     spark = docs.sparkSession
     bare = F.regexp_replace(F.col("text"), f"{BLANK}+", "")
@@ -59,16 +60,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     room = max(1, min(capacity, sum(filled.values()) // (8 * owners)))
     slots = spark.createDataFrame(directory(filled, room), "slot int, bucket int, depth int")
     first = F.min(F.struct((-F.col("points")).alias("p"), F.col("head").isNull().alias("z"), F.col("head").alias("id")))
-    groups = (
+    groups = written(
         index.join(F.broadcast(slots), "slot")
         .repartitionByRange(owners, "bucket")
         .groupBy("bucket", "h", "sha")
         .agg(first.alias("first"), F.sum("n").alias("group_size"))
-        .select(F.col("sha").alias("group_sha"), "bucket", F.col("first.id").alias("keep_id"), (-F.col("first.p")).alias("keep_points"), "group_size")
+        .select(F.col("sha").alias("text_sha256"), "bucket", F.col("first.id").alias("keep_id"), (-F.col("first.p")).alias("keep_points"), "group_size", F.col("group_size").alias("rows")),
+        "groups",
     )
     once = Window.partitionBy("text_sha256", "doc_id").orderBy(F.col("points").desc())
-    keyed = rows.select("doc_id", F.length("text").alias("points"), F.sha2(bare, 256).alias("text_sha256")).withColumn("_no", F.row_number().over(once))
-    return keyed.join(groups, keyed.text_sha256 == groups.group_sha, "left").select(
+    keyed = written(rows.select("doc_id", F.length("text").alias("points"), F.sha2(bare, 256).alias("text_sha256")).withColumn("_no", F.row_number().over(once)), "keyed")
+    return hot_join(keyed, groups, "text_sha256", "rows").select(
         "doc_id",
         "keep_id",
         "group_size",
