@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, partitions, small_batches, written
+from .common import components, hot_join, partitions, small_batches, written
 
 SEED, GRAM, RADIUS = 42, 3, 3
 #: Bits of the blocks: two fingerprints with at most 3 differing bits agree in one of four blocks. A block's key with more
@@ -48,8 +48,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(_fingerprints, f"doc_id {dict(docs.dtypes)[id_col]}, fp long")
 
 
 class BKTree:
@@ -187,15 +187,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are what remains between white space after lower-casing A-Z; three words in a row are a shingle, repeats
     included (fewer: all of them; none, or a null text: fingerprint zero, linked like any other). Fingerprints of at
     most 3 differing bits are linked. Null ids are never a component's name unless it has no other. An empty table
-    gives no rows; only the id and the text are read.
+    gives no rows; only the id, of any type, and the text are read. Rows that repeat share their component; a very long
+    text is fingerprinted whole. A fingerprint with a large share of the rows, as of empty texts, is joined by broadcast.
     """
     prints = written(fingerprints(docs, id_col, text_col), "fp")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    found = components(links(classes))
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "classes")
+    found = components(links(classes.select("fp")))
     rooted = classes.join(found.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = written(rooted.join(named, "root").select("fp", "component_id"), "names")
-    return prints.join(names, "fp").select("doc_id", "fp", "component_id")
+    names = written(rooted.join(named, "root").select("fp", "component_id", "rows"), "names")
+    return hot_join(prints, names, "fp", "rows").select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(fp: str = "fp") -> Column:
