@@ -8,13 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
 
-#: Bounds of the fit: labelled texts of each language and languages; the text model's hashed byte trigrams.
-MOST_TEXTS, MOST_LANGUAGES, SLOTS = 3000, 64, 1 << 16
+#: Bound of the fit: labelled texts of each language. More languages than a model can hold are refused, none is left out.
+#: The text model has so many slots for hashed byte trigrams.
+MOST_TEXTS, MOST_LANGUAGES, SLOTS = 3000, 1000, 1 << 16
 #: How far a trigram counts as evidence of its own, the longest text's evidence in trigrams, and the prior counts that a level lends the next.
 TEMPER, MOST_EVIDENCE, LENT = 0.3, 400, 8.0
 #: A row is rejected if its best language has less than this, or its text is less likely than noise under every language.
@@ -22,7 +23,8 @@ LEAST_POSTERIOR = 0.5
 
 _KEEP = np.arange(256, dtype=np.uint8)
 _KEEP[[c for c in range(128) if not chr(c).isalpha()]] = 32
-_MARKUP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+_HIDDEN = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)")  # what isn't closed goes to the end
+_TAG = re.compile(r"<[^>]*>")
 _ROOT = re.compile(r"(?i)<html\b([^>]*)")
 _LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b")
 
@@ -38,12 +40,12 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 def plain(markup: str | None) -> str:
-    return html.unescape(_MARKUP.sub(" ", markup or ""))
+    return html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", markup or "")))
 
 
 def declared(markup: str | None) -> str | None:
-    """The language that the first root element with one declares, wherever it stands."""
-    for root in _ROOT.finditer(markup or ""):
+    """The language that the first root element with one declares, wherever it stands outside comments and scripts."""
+    for root in _ROOT.finditer(_HIDDEN.sub(" ", markup or "")):
         if m := _LANG.search(root[1]):
             return m[1].lower()
     return None
@@ -64,15 +66,19 @@ class TextModel:
 
 
 def fitted(labelled: DataFrame, text: str = "text", lang: str = "lang") -> TextModel:
-    """The text model from at most MOST_TEXTS labelled texts of each of at most MOST_LANGUAGES languages, taken by a hash of the text's id."""
+    """The text model from at most MOST_TEXTS labelled texts of each language, taken by a hash of the row's id."""
     spark = labelled.sparkSession
     small_batches(spark)
     known = labelled.where(F.col(lang).isNotNull() & (F.col(text) != ""))
-    rows = {r[lang]: r.n for r in known.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang).limit(MOST_LANGUAGES).collect()}
+    rows = {r[lang]: r.n for r in known.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(rows) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     languages = sorted(rows)
-    number = F.coalesce(*[F.when(F.col(lang) == x, F.lit(i)) for i, x in enumerate(languages)]) if languages else F.lit(None).cast("int")
-    share = F.coalesce(*[F.when(F.col(lang) == x, F.lit(min(1.0, MOST_TEXTS / n))) for x, n in rows.items()]) if rows else F.lit(0.0)
-    few = known.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < share * (1 << 20)).select(number.alias("l"), F.col(text).cast("string").alias("text")).where("l IS NOT NULL")
+    told = spark.createDataFrame([(x, i, min(1.0, 1.1 * MOST_TEXTS / rows[x])) for i, x in enumerate(languages)], "known string, l int, share double")
+    chance = F.xxhash64("doc_id" if "doc_id" in labelled.columns else text)
+    near = known.join(F.broadcast(told), F.col(lang) == F.col("known")).where(F.pmod(chance, F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    first = Window.partitionBy("l").orderBy(F.col("chance"), F.col("text"))
+    few = near.select("l", F.col(text).cast("string").alias("text"), chance.alias("chance")).withColumn("no", F.row_number().over(first)).where(F.col("no") <= MOST_TEXTS).select("l", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((max(1, len(languages)), SLOTS), np.int64)
@@ -122,7 +128,9 @@ def identify(rows: DataFrame, model: TextModel, markup: bool = False) -> DataFra
     often each language goes with a declaration and with a suffix. The posterior multiplies the host's prior, both
     likelihoods and the tempered text likelihood. Missing declarations, suffixes and hosts are no evidence. Rejected
     are rows with no letters, with texts less likely than noise under every language, or with a best posterior under
-    LEAST_POSTERIOR. Null texts are empty, ties go to the first language by code point, ids may repeat or be null.
+    LEAST_POSTERIOR; text_lang is null where a text has no vote. Null texts are empty, ties go to the first language by
+    code point, ids may repeat or be null. Whole texts and whole markup are read, however long. An empty table gives no
+    rows, and other columns than those named are not read.
     """
     size = len(model.languages)
     names = F.array(*[F.lit(x) for x in model.languages])
@@ -138,7 +146,8 @@ def identify(rows: DataFrame, model: TextModel, markup: bool = False) -> DataFra
     own = F.transform(names, lambda x, i: (i + 1 == F.coalesce("vote", F.lit(0))).cast("double"))
     joined = seen
     for k, table in by.items():
-        joined = joined.join(table, F.col(k) == F.col(f"{k}_"), "left").drop(f"{k}_")
+        apart = F.coalesce(k, F.concat(F.lit("\0"), F.xxhash64("id", "logs").cast("string")))  # rows without one don't meet in one task
+        joined = joined.join(table, apart == F.col(f"{k}_"), "left").drop(f"{k}_")
     joined = joined.withColumn("own", own)
     none = F.array_repeat(F.lit(0.0), size)
     less = lambda k: F.zip_with(F.coalesce(f"{k}_n", none), "own", lambda a, b: F.greatest(a - b, F.lit(0.0)))
@@ -153,7 +162,7 @@ def identify(rows: DataFrame, model: TextModel, markup: bool = False) -> DataFra
     fused = fused.withColumn("posterior", 1 / sum_(F.transform("z", lambda x: F.exp(x - F.col("top")))))
     best = F.element_at(names, F.array_position("z", F.col("top")).cast("int"))
     rejected = (F.col("over_noise") <= 0) | (F.col("posterior") < LEAST_POSTERIOR)
-    return fused.select("id", F.when(rejected, F.lit("und")).otherwise(best).alias("lang"), "posterior", F.element_at(names, F.coalesce("vote", F.lit(1))).alias("text_lang"), "declared", rejected.alias("rejected"))
+    return fused.select("id", F.when(rejected, F.lit("und")).otherwise(best).alias("lang"), "posterior", F.element_at(names, F.col("vote")).alias("text_lang"), "declared", rejected.alias("rejected"))
 
 
 def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
