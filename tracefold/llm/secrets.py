@@ -28,7 +28,10 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 #: Surrounding characters that prime the compressor on each side, and the marginal bytes for each character that count as new.
 AROUND = 256
 NOVEL = 0.6
-#: Identifiers and values that code holds near such words without their being secrets.
+#: The dictionary holds the corpus's most frequent identifiers, up to so many; they are words of letters joined by these signs.
+MOST_IDENTIFIERS, LONGEST = 400, 64
+IDENTIFIER = r"[A-Za-z]+(?:[_.-][A-Za-z]+)+"
+#: Further identifiers and values that code holds near such words without their being secrets.
 IDENTIFIERS = (
     "access_token_expires_in refresh_token_url client_credentials authorization_code bearer_token_auth token_endpoint_auth_method "
     "password_reset_required password_hash_algorithm secret_key_base secret_manager_client private_key_path public_key_fingerprint "
@@ -53,8 +56,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 class Novelty:
     """Marginal compressed bytes of a string after its surroundings, with the identifiers as dictionary."""
 
-    def __init__(self) -> None:
-        held = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def __init__(self, identifiers: bytes = IDENTIFIERS) -> None:
+        held = zstandard.ZstdCompressionDict(identifiers, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(level=9, dict_data=held, write_content_size=False, write_checksum=False)
 
     def __call__(self, text: str, start: int, end: int) -> float:
@@ -96,8 +99,18 @@ def _said(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    novelty = Novelty()
+def dictionary(docs: DataFrame, text_col: str = "text") -> bytes:
+    """IDENTIFIERS and the most frequent identifiers of all texts, the most frequent last, where the compressor finds them cheapest.
+
+    An identifier holds no digit, so a secret that is copied often doesn't become one."""
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(IDENTIFIER), F.lit(0)))).alias("word"))
+    often = words.where(F.length("word") <= LONGEST).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    top = often.orderBy(F.desc("n"), "word").limit(MOST_IDENTIFIERS).collect()
+    return b" ".join([IDENTIFIERS, *[r.word.encode() for r in reversed(top)]])
+
+
+def _scan(batches: Iterator[pa.RecordBatch], identifiers: bytes) -> Iterator[pa.RecordBatch]:
+    novelty = Novelty(identifiers)
     for b in batches:
         out: list[list] = [[] for _ in range(6)]
         for x in b.column(1):
@@ -119,9 +132,10 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     with letters and digits that follows a sensitive word within REACH characters is measured by the bytes that it
     adds to its compressed surroundings; it is reported as novel from NOVEL bytes a character, unless a base span
     covers it already. Null and empty texts have no spans. Rows stand alone: repeated rows, null ids and other columns
-    change nothing; whole texts are read.
+    change nothing; whole texts are read, and candidates of any length are reported whole. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_scan, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long")
+    known = dictionary(docs, text_col)
+    return rows.mapInArrow(lambda batches: _scan(batches, known), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long")
