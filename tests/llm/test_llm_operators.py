@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -254,6 +255,24 @@ def test_flac_round_trip():
         flac.decode_streams([bytes(spoilt)])
 
 
+def test_flac_memory_is_a_few_times_a_long_text():
+    r = np.random.default_rng(5)
+    payload = r.integers(32, 127, 192 * 60_000, np.uint8).tobytes()
+    tracemalloc.start()
+    media = flac.encode_streams([payload])
+    at, digest = 0, flac.Digest()
+    for i, sample, pcm in flac.decode_blocks(media):
+        assert (i, sample) == (0, at) and pcm == payload[at : at + len(pcm)]
+        at += len(pcm)
+        digest.add(pcm)
+    assert at == len(payload) and digest.sha.hexdigest() == hashlib.sha256(payload).hexdigest()
+    assert tracemalloc.get_traced_memory()[1] < 20 * len(payload)
+    tracemalloc.stop()
+    whole = (np.frombuffer(payload, np.uint8) ^ 0x80).view(np.int8).astype(np.int64)
+    flips = int(((whole[1:] >= 0) != (whole[:-1] >= 0)).sum())
+    assert digest.feature() == f"blocks=60000;peak={int(np.abs(whole).max())};energy={int((whole * whole).sum())};flips={flips}"
+
+
 def test_flac_linear_prediction():
     """A frame written by hand: LPC of order 2 (taps 2, -1; precision 4; shift 0), two Rice partitions of zeros."""
     bits = "".join(f"{b:08b}" for b in (*flac.FRAME, 0))

@@ -7,6 +7,7 @@ of a batch, so the serial Rice codes of a frame cost no Python loop for each sam
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ from .common import small_batches
 BLOCK = 192
 #: Every so many frames the stream has a seek point.
 SEEK_FRAMES = 64
+#: Frames that are encoded or decoded at once, so that memory doesn't follow the length of a text.
+RUN = 4096
 RATE = 8000
 # Fixed values of the format: polynomials of the header's and the frame's checksums, the first bytes of our frames
 # (sync and fixed block size; 192 samples at 8 kHz; mono of 8 bits).
@@ -73,6 +76,12 @@ def _coded(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
+def encode_runs(samples: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """encode_frames() of RUN frames after RUN frames."""
+    got = [encode_frames(samples[i : i + RUN], number[i : i + RUN]) for i in range(0, len(samples), RUN)]
+    return np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
+
+
 def encode_frames(samples: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Frames of BLOCK signed 8-bit samples each [lane, BLOCK]: the bytes of all, one after the other, and their lengths.
 
@@ -156,7 +165,7 @@ def encode_streams(payloads: list[bytes]) -> list[bytes]:
         return []
     samples = (np.frombuffer(b"".join(payloads), np.uint8) ^ 0x80).view(np.int8).reshape(-1, BLOCK)
     counts = [len(p) // BLOCK for p in payloads]
-    data, length = encode_frames(samples, np.concatenate([np.arange(n) for n in counts]))
+    data, length = encode_runs(samples, np.concatenate([np.arange(n) for n in counts]))
     ends = np.concatenate([[0], np.cumsum(length)])
     out, at = [], 0
     for n in counts:
@@ -189,8 +198,11 @@ class Stream:
 
 def _frame_starts(data: np.ndarray, begin: int, end: int, n: int) -> np.ndarray:
     """Starts of the n frames in data[begin:end]: header bytes, header checksum and frame numbers in order."""
-    part = data[begin:end]
-    hit = np.flatnonzero((part[:-3] == FRAME[0]) & (part[1:-2] == FRAME[1]) & (part[2:-1] == FRAME[2]) & (part[3:] == FRAME[3])) + begin
+    hits = []
+    for a in range(begin, end, 1 << 20):  # a piece at a time, and three bytes of the next
+        part = data[a : min(end, a + (1 << 20) + 3)]
+        hits.append(np.flatnonzero((part[:-3] == FRAME[0]) & (part[1:-2] == FRAME[1]) & (part[2:-1] == FRAME[2]) & (part[3:] == FRAME[3])) + a)
+    hit = np.concatenate(hits)
     if len(hit) > n:  # bytes inside a frame that look like a header: the number and checksum tell
         wanted, width = _coded(np.arange(n))
         kept, i = [], 0
@@ -311,29 +323,52 @@ def _residuals_at(words: np.ndarray, at: np.ndarray, k: np.ndarray, count: int)
     return rows, at + (folded >> k).sum(0) + (k + 1) * count
 
 
-def decode_streams(media: list[bytes]) -> list[bytes]:
-    """The payload of each stream; checksums of headers, frames and whole streams are verified."""
-    if not media:
-        return []
+def decode_blocks(media: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """(stream, sample, pcm): each stream's payload as blocks of SEEK_FRAMES frames with the offset of their first sample.
+
+    Checksums of headers, frames and whole streams are verified. Blocks of many streams are decoded together, RUN frames
+    at once."""
     heads = [Stream(m) for m in media]
-    data = np.frombuffer(b"".join(media), np.uint8)
-    begin = np.cumsum([0, *map(len, media)])
-    starts, ends, counts = [], [], []
-    for h, a, b in zip(heads, begin.tolist(), begin[1:].tolist()):
-        at = _frame_starts(data, a + h.first, b, h.samples // BLOCK)
-        starts.append(at)
-        ends.append(np.append(at[1:], b))
-        counts.append(len(at))
-    start = np.concatenate(starts)
-    samples = decode_frames(data, start, np.concatenate(ends) - start).astype(np.int8)
-    out, at = [], 0
-    for h, n in zip(heads, counts):
-        pcm = samples[at : at + n]
-        if hashlib.md5(pcm.tobytes()).digest() != h.md5:
-            raise ValueError("the samples' checksum is wrong")
-        out.append((pcm.view(np.uint8) ^ 0x80).tobytes())
-        at += n
-    return out
+    held: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # stream, first frame, starts and lengths of a block's frames
+    size = 0
+    sums = [hashlib.md5() for _ in media]
+
+    def decoded() -> Iterator[tuple[int, int, bytes]]:
+        parts, starts, at = [], [], 0
+        for i, _, start, length in held:
+            first = int(start[0])
+            parts.append(np.frombuffer(media[i], np.uint8, int(start[-1] + length[-1]) - first, first))
+            starts.append(start - first + at)
+            at += len(parts[-1])
+        samples = decode_frames(np.concatenate(parts), np.concatenate(starts), np.concatenate([x[3] for x in held])).astype(np.int8)
+        at = 0
+        for i, frame, start, _ in held:
+            pcm = samples[at : at + len(start)]
+            at += len(start)
+            sums[i].update(pcm.tobytes())
+            if frame + len(start) == heads[i].samples // BLOCK and sums[i].digest() != heads[i].md5:
+                raise ValueError("the samples' checksum is wrong")
+            yield i, frame * BLOCK, (pcm.view(np.uint8) ^ 0x80).tobytes()
+
+    for i, (h, m) in enumerate(zip(heads, media)):
+        start = _frame_starts(np.frombuffer(m, np.uint8), h.first, len(m), h.samples // BLOCK)
+        length = np.diff(np.append(start, len(m)))
+        for a in range(0, len(start), SEEK_FRAMES):
+            held.append((i, a, start[a : a + SEEK_FRAMES], length[a : a + SEEK_FRAMES]))
+            size += len(held[-1][2])
+            if size >= RUN:
+                yield from decoded()
+                held, size = [], 0
+    if held:
+        yield from decoded()
+
+
+def decode_streams(media: list[bytes]) -> list[bytes]:
+    """The payload of each stream."""
+    out: list[list[bytes]] = [[] for _ in media]
+    for i, _, pcm in decode_blocks(media):
+        out[i].append(pcm)
+    return [b"".join(x) for x in out]
 
 
 def seek(media: bytes, sample: int) -> bytes:
@@ -363,10 +398,23 @@ def padded(text: str | None) -> bytes:
     return raw + b" " * (-len(raw) % BLOCK or (0 if raw else BLOCK))
 
 
-def feature(payload: bytes, blocks: int) -> str:
-    s = (np.frombuffer(payload, np.uint8) ^ 0x80).view(np.int8).astype(np.int64)
-    flips = int(((s[1:] >= 0) != (s[:-1] >= 0)).sum())
-    return f"blocks={blocks};peak={int(np.abs(s).max())};energy={int((s * s).sum())};flips={flips}"
+class Digest:
+    """Checksums and features of a payload that comes in blocks."""
+
+    def __init__(self) -> None:
+        self.sha, self.tail, self.bytes, self.peak, self.energy, self.flips, self.last = hashlib.sha256(), b"", 0, 0, 0, 0, None
+
+    def add(self, pcm: bytes) -> None:
+        self.sha.update(pcm)
+        self.tail = (self.tail + pcm)[-16:]
+        self.bytes += len(pcm)
+        s = (np.frombuffer(pcm, np.uint8) ^ 0x80).view(np.int8).astype(np.int32)
+        up = s >= 0
+        self.flips += int((up[1:] != up[:-1]).sum()) + (self.last is not None and bool(up[0]) != self.last)
+        self.peak, self.energy, self.last = max(self.peak, int(np.abs(s).max())), self.energy + int((s * s).sum(dtype=np.int64)), bool(up[-1])
+
+    def feature(self) -> str:
+        return f"blocks={self.bytes // BLOCK};peak={self.peak};energy={self.energy};flips={self.flips}"
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,19 +433,22 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zlib
-
     for b in batches:
         media = b.column(2).to_pylist()
-        payloads = decode_streams(media)
-        sha = [hashlib.sha256(p).hexdigest() for p in payloads]
-        media_sha = [hashlib.sha256(m).hexdigest() for m in media]
-        columns = [b.column(0), b.column(1), pa.array(map(len, payloads), pa.int64()), pa.array(sha, pa.string()), pa.array([zlib.crc32(p[-16:]) for p in payloads], pa.int64()), pa.array(map(len, media), pa.int64()), pa.array(media_sha, pa.string()), pa.array([feature(p, len(p) // BLOCK) for p in payloads], pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        got = [Digest() for _ in media]
+        for i, _, pcm in decode_blocks(media):
+            got[i].add(pcm)
+        longs = lambda x: pa.array(x, pa.int64())
+        strings = lambda x: pa.array(x, pa.string())
+        columns = [longs([d.bytes for d in got]), strings([d.sha.hexdigest() for d in got]), longs([zlib.crc32(d.tail) for d in got]), longs([len(m) for m in media])]
+        columns += [strings([hashlib.sha256(m).hexdigest() for m in media]), strings([d.feature() for d in got])]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
 def features(stored: DataFrame) -> DataFrame:
-    """Digests and features of what store() gave, from the decoded bytes. Rows stand alone; a damaged stream fails the job."""
+    """Digests and features of what store() gave, from the decoded PCM blocks. Rows stand alone; a damaged stream fails the job.
+
+    A very long text takes a few times its size: its frames are encoded and decoded RUN at once."""
     small_batches(stored.sparkSession, 1000, "8m")
     kind = dict(stored.dtypes)["doc_id"]
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(_read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
@@ -405,10 +456,8 @@ def features(stored: DataFrame) -> DataFrame:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for i, payload in zip(b.column(0), decode_streams(b.column(1).to_pylist())):
-            at = range(0, len(payload), BLOCK * SEEK_FRAMES)
-            ids = pa.array([i.as_py()] * len(at), b.column(0).type)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(at, pa.int64()), pa.array([payload[a : a + BLOCK * SEEK_FRAMES] for a in at], pa.binary())], ["doc_id", "sample", "pcm"])
+        for i, sample, pcm in decode_blocks(b.column(1).to_pylist()):
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([sample], pa.int64()), pa.array([pcm], pa.binary())], ["doc_id", "sample", "pcm"])
 
 
 def pcm_blocks(stored: DataFrame) -> DataFrame:
