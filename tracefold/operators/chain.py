@@ -50,6 +50,21 @@ def broken(chained: DataFrame) -> DataFrame:
     return rows.where(F.coalesce(bad, F.lit(True))).groupBy("ledger_id", "segment").agg(F.min("sequence").alias("first_broken"))
 
 
+def broken_heads(chained: DataFrame, stored: DataFrame) -> DataFrame:
+    """ledger_id, segment, fault of the segments whose end isn't what the stored heads() say.
+
+    missing: a stored segment has no rows. unknown: rows of a segment that isn't stored. changed: another last hash or
+    number of rows. unlinked: the stored row doesn't follow the one before it. broken() tells what is wrong inside a
+    segment; with both, no row and no segment can be dropped, added, swapped or changed unseen.
+    """
+    ends = chained.groupBy("ledger_id", "segment").agg(F.max_by("hash", "sequence").alias("_head"), F.count(F.lit(1)).alias("_rows"))
+    linked = scan(stored, ["ledger_id"], ["segment"], F.floor(F.col("segment") / 100_000), {"_before": ("last_before", F.col("hash"))})
+    both = linked.join(ends, ["ledger_id", "segment"], "full")
+    follows = (F.col("previous_hash") == F.coalesce("_before", F.lit(GENESIS))) & (F.col("hash") == F.sha2(F.concat("previous_hash", "head"), 256))
+    fault = F.when(F.col("_head").isNull(), "missing").when(F.col("head").isNull(), "unknown").when((F.col("head") != F.col("_head")) | (F.col("rows") != F.col("_rows")), "changed").when(~F.coalesce(follows, F.lit(False)), "unlinked")
+    return both.select("ledger_id", "segment", fault.alias("fault")).where("fault IS NOT NULL")
+
+
 def history(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """For each (ledger_id, id): the rows up to it, as place (0 is itself), sequence, ancestor."""
     at = ids.join(rows.select("ledger_id", "id", F.col("sequence").alias("_s")), ["ledger_id", "id"])

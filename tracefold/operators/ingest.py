@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import MODALITIES, Fusion, Ingest
 from ..functions.columns import clamp, freshness
 from ..functions.scan import scan
+from .validate import PARSE, accepted
 
 KEYS = ["ledger_id", "sensor_stream_id"]
 
@@ -56,22 +57,21 @@ def acknowledged(gapped: DataFrame, streams: list[str] | None, ts_us: int) -> Da
 def asof(gapped: DataFrame, c: Ingest = Ingest()) -> DataFrame:
     """gapped with the latest observation of each modality by append order, the row itself included, and whether it is pending."""
     stream = F.col("sensor_stream_id")
-    v = F.expr("try_parse_json(payload)")
-    row = F.struct(F.col("message_id").alias("id"), F.col("captured_at_utc_us").alias("ts_us"), signal().alias("signal"))
+    row = F.struct(F.col("message_id").alias("id"), F.col("captured_at_utc_us").alias("ts_us"), F.col("_signal").alias("signal"))
     values = {m: ("last", F.when(stream == m, row)) for m in MODALITIES} | {f"{m}_pending": ("last", F.when(stream == m, F.col("marker"))) for m in MODALITIES}
-    out = scan(gapped.withColumn("_v", v), ["ledger_id"], ["arrival"], _chunk(c), values).drop("_v")
+    out = scan(gapped.withColumn("_body", F.expr(PARSE)).withColumn("_signal", signal(body="_body")).drop("_body"), ["ledger_id"], ["arrival"], _chunk(c), values).drop("_signal")
     for m in MODALITIES:
         out = out.withColumn(f"{m}_pending", F.coalesce(f"{m}_pending", F.lit(False)))
     return out
 
 
-def signal(c: Fusion = Fusion()) -> Column:
+def signal(c: Fusion = Fusion(), body: str = PARSE) -> Column:
     """What the row itself says of presence, from 0 to 1; null if nothing."""
     s = F.col("sensor_stream_id")
-    get = lambda path, kind: F.expr(f"try_variant_get(try_parse_json(payload), '{path}', '{kind}')")
-    body = get("$.body_count", "string")
+    get = lambda path, kind: F.expr(f"try_variant_get({body}, '{path}', '{kind}')")
+    count = get("$.body_count", "string")
     return (
-        F.when(s == "camera", F.when(body == "zero", 0.0).when(body.isin("one", "two_or_more"), 1.0))
+        F.when(s == "camera", F.when(count == "zero", 0.0).when(count.isin("one", "two_or_more"), 1.0))
         .when(s == "microphone", clamp(get("$.voice_activity_probability", "double")))
         .when(s == "bluetooth", clamp(get("$.cluster_count", "double") / c.full_clusters))
     )
@@ -98,8 +98,6 @@ def fused(latest: DataFrame, c: Fusion = Fusion()) -> DataFrame:
 
 def beliefs(envelopes: DataFrame, ingest: Ingest = Ingest(), fusion: Fusion = Fusion()) -> DataFrame:
     """One belief for each accepted envelope for which no modality is pending and some signal has weight."""
-    from .validate import accepted
-
     latest = fused(asof(with_gaps(accepted(envelopes, ingest), ingest), ingest), fusion)
     clear = ~(F.col("camera_pending") | F.col("microphone_pending") | F.col("bluetooth_pending"))
     return latest.where(clear & F.col("probability").isNotNull())

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..config import ROLE_LAYERS, ROLE_OUTPUT
 from ..functions.scan import scan
 from ..sources.tables import cut_lineage
+from .chain import build
+
+#: A frontier of at most so many counted ids is broadcast.
+SMALL_FRONTIER = 200_000
 
 
 def sources(edges: DataFrame) -> DataFrame:
@@ -43,20 +47,29 @@ def cascade(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, most_rounds: i
     unknown = seeds.select("id").join(nodes.select("id"), "id", "left_anti").take(1)
     if unknown:
         raise KeyError(unknown[0].id)
+    links = cut_lineage(edges.select("derived_id", "source_id"))  # read once for all rounds, not derived in each
     seen = frontier = cut_lineage(seeds.select("id").distinct())
+    size = frontier.count()
     for _ in range(most_rounds):
-        reached = edges.join(frontier.select(F.col("id").alias("source_id")), "source_id", "left_semi").select(F.col("derived_id").alias("id")).distinct()
+        near = frontier.select(F.col("id").alias("source_id"))
+        reached = links.join(F.broadcast(near) if size <= SMALL_FRONTIER else near, "source_id", "left_semi").select(F.col("derived_id").alias("id")).distinct()
         frontier = cut_lineage(reached.join(seen, "id", "left_anti"))
-        if frontier.isEmpty():
+        size = frontier.count()
+        if not size:
             return seen
         seen = seen.unionByName(frontier)
     raise RuntimeError("no fixpoint")
 
 
-def compacted(rows: DataFrame, edges: DataFrame, erased: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows and edges without the erased ids; the rows that stay are numbered densely again in their order, payloads untouched."""
+def compacted(rows: DataFrame, edges: DataFrame, erased: DataFrame, segment_size: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """Rows and edges without the erased ids; the rows that stay are numbered densely again in their order, payloads untouched.
+
+    Rows that hold a payload get segment, previous_hash and hash of a chain built anew from its start, so that the ledger
+    that stays verifies like any other; hashes that they had are dropped."""
     left = rows.join(erased, "id", "left_anti")
     out = scan(left.withColumnRenamed("sequence", "_old"), ["ledger_id"], ["_old"], F.floor(F.col("_old") / 1_000_000), {"sequence": ("sum_before", F.lit(1).cast("long"))}).drop("_old")
+    if "payload" in out.columns:
+        out = build(out.drop("segment", "previous_hash", "hash"), segment_size)
     gone = erased.select(F.col("id"))
     kept = edges.join(gone.withColumnRenamed("id", "derived_id"), "derived_id", "left_anti").join(gone.withColumnRenamed("id", "source_id"), "source_id", "left_anti")
     return out, kept

@@ -15,9 +15,10 @@ def _span(us: str = "ts_us", seconds: int = 86_400) -> Column:
     return F.floor(F.col(us) / (seconds * SECOND))
 
 
-def samples(beliefs: DataFrame) -> DataFrame:
-    """ledger_id, ts_us, sequence, p of fusion beliefs with a probability."""
-    return beliefs.where("kind = 'belief' AND stream_id = 'fusion' AND probability IS NOT NULL").select("ledger_id", "ts_us", "sequence", F.col("probability").alias("p"))
+def samples(beliefs: DataFrame, fusion_only: bool = True) -> DataFrame:
+    """ledger_id, ts_us, sequence, p of beliefs with a probability: those of fusion, or of every stream."""
+    chosen = beliefs.where("stream_id = 'fusion'") if fusion_only else beliefs
+    return chosen.where("kind = 'belief' AND probability IS NOT NULL").select("ledger_id", "ts_us", "sequence", F.col("probability").alias("p"))
 
 
 def occupancy(sample: DataFrame, c: Sessions = Sessions()) -> DataFrame:

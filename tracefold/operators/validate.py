@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import ALLOWED_KEYS, Ingest
 
+#: The payload as a variant. Checks take the name of a column that holds it, so that a row is parsed once for all of them.
+PARSE = "try_parse_json(payload)"
 NUMBER = "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
 
 
@@ -22,12 +24,12 @@ def size_ok(c: Ingest = Ingest()) -> Column:
     return F.coalesce(F.octet_length("payload") <= c.most_payload_bytes, F.lit(False))
 
 
-def json_ok() -> Column:
-    return F.expr("try_parse_json(payload)").isNotNull()
+def json_ok(body: str = PARSE) -> Column:
+    return F.expr(body).isNotNull()
 
 
-def object_ok() -> Column:
-    return F.coalesce(F.expr("schema_of_variant(try_parse_json(payload)) LIKE 'OBJECT%'"), F.lit(False))
+def object_ok(body: str = PARSE) -> Column:
+    return F.coalesce(F.expr(f"schema_of_variant({body}) LIKE 'OBJECT%'"), F.lit(False))
 
 
 def stream_ok() -> Column:
@@ -41,18 +43,17 @@ def offending_key() -> Column:
     return F.array_min(F.array_except(keys, F.coalesce(F.try_element_at(allowed, F.col("sensor_stream_id")), F.array().cast("array<string>"))))
 
 
-def _variant(path: str) -> str:
-    return f"try_variant_get(try_parse_json(payload), '{path}', 'variant')"
+def _variant(body: str, path: str) -> str:
+    return f"try_variant_get({body}, '{path}', 'variant')"
 
 
-def _items(path: str, keys: tuple[str, ...], item: str, most: int) -> str:
+def _items(body: str, path: str, keys: tuple[str, ...], item: str, most: int) -> str:
     """Absent, or an array of at most `most` objects with no other keys, each satisfying item (over j)."""
     listed = ", ".join(f"'{k}'" for k in keys)
+    array = f"try_variant_get({body}, '{path}', 'array<variant>')"
     return (
-        f"({_variant(path)} IS NULL OR (schema_of_variant({_variant(path)}) LIKE 'ARRAY%' AND "
-        f"size(try_variant_get(try_parse_json(payload), '{path}', 'array<variant>')) <= {most} AND "
-        f"forall(try_variant_get(try_parse_json(payload), '{path}', 'array<variant>'), j -> "
-        f"coalesce(schema_of_variant(j) LIKE 'OBJECT%' AND size(array_except(json_object_keys(to_json(j)), array({listed}))) = 0 AND {item}, false))))"
+        f"({_variant(body, path)} IS NULL OR (schema_of_variant({_variant(body, path)}) LIKE 'ARRAY%' AND size({array}) <= {most} AND "
+        f"forall({array}, j -> coalesce(schema_of_variant(j) LIKE 'OBJECT%' AND size(array_except(json_object_keys(to_json(j)), array({listed}))) = 0 AND {item}, false))))"
     )
 
 
@@ -60,38 +61,38 @@ def _numeric(variant: str, key: str) -> str:
     return f"schema_of_variant(try_variant_get({variant}, '$.{key}', 'variant')) RLIKE '{NUMBER}'"
 
 
-def camera_ok(c: Ingest = Ingest()) -> Column:
+def camera_ok(c: Ingest = Ingest(), body: str = PARSE) -> Column:
     joint = f"octet_length(try_variant_get(j, '$.name', 'string')) <= {c.most_string_bytes} AND schema_of_variant(try_variant_get(j, '$.name', 'variant')) = 'STRING' AND " + " AND ".join(_numeric("j", k) for k in ("x", "y", "confidence"))
-    body = "try_variant_get(try_parse_json(payload), '$.body_count', 'string') IN ('zero', 'one', 'two_or_more', 'unknown')"
-    return F.coalesce(F.expr(f"{body} AND {_items('$.joints', ('name', 'x', 'y', 'confidence'), joint, c.most_items)}"), F.lit(False))
+    count = f"try_variant_get({body}, '$.body_count', 'string') IN ('zero', 'one', 'two_or_more', 'unknown')"
+    return F.coalesce(F.expr(f"{count} AND {_items(body, '$.joints', ('name', 'x', 'y', 'confidence'), joint, c.most_items)}"), F.lit(False))
 
 
-def numeric_ok(stream: str) -> Column:
-    return F.coalesce(F.expr(" AND ".join(f"({_variant('$.' + k)} IS NULL OR {_numeric('try_parse_json(payload)', k)})" for k in ALLOWED_KEYS[stream])), F.lit(False))
+def numeric_ok(stream: str, body: str = PARSE) -> Column:
+    return F.coalesce(F.expr(" AND ".join(f"({_variant(body, '$.' + k)} IS NULL OR {_numeric(body, k)})" for k in ALLOWED_KEYS[stream])), F.lit(False))
 
 
-def bluetooth_ok(c: Ingest = Ingest()) -> Column:
+def bluetooth_ok(c: Ingest = Ingest(), body: str = PARSE) -> Column:
     cluster = f"try_variant_get(j, '$.pseudonym', 'string') RLIKE '^ble:[0-9a-f]{{64}}$' AND {_numeric('j', 'rssi')}"
-    count = f"({_variant('$.cluster_count')} IS NULL OR {_numeric('try_parse_json(payload)', 'cluster_count')})"
-    return F.coalesce(F.expr(f"{count} AND {_items('$.clusters', ('pseudonym', 'rssi'), cluster, c.most_items)}"), F.lit(False))
+    count = f"({_variant(body, '$.cluster_count')} IS NULL OR {_numeric(body, 'cluster_count')})"
+    return F.coalesce(F.expr(f"{count} AND {_items(body, '$.clusters', ('pseudonym', 'rssi'), cluster, c.most_items)}"), F.lit(False))
 
 
-def shape_ok(c: Ingest = Ingest()) -> Column:
+def shape_ok(c: Ingest = Ingest(), body: str = PARSE) -> Column:
     s = F.col("sensor_stream_id")
-    return F.when(s == "camera", camera_ok(c)).when(s == "bluetooth", bluetooth_ok(c)).when(s == "microphone", numeric_ok("microphone")).when(s == "wifi", numeric_ok("wifi")).otherwise(False)
+    return F.when(s == "camera", camera_ok(c, body)).when(s == "bluetooth", bluetooth_ok(c, body)).when(s == "microphone", numeric_ok("microphone", body)).when(s == "wifi", numeric_ok("wifi", body)).otherwise(False)
 
 
-def reject_reason(c: Ingest = Ingest()) -> Column:
+def reject_reason(c: Ingest = Ingest(), body: str = PARSE) -> Column:
     """The first failed check in their fixed order, or null."""
     return (
         F.when(~version_ok(c), "version")
         .when(~message_id_ok(c), "message_id")
         .when(~size_ok(c), "size")
-        .when(~json_ok(), "json")
+        .when(~json_ok(body), "json")
         .when(~stream_ok(), "stream")
-        .when(~object_ok(), "shape")
+        .when(~object_ok(body), "shape")
         .when(offending_key().isNotNull(), "field")
-        .when(~shape_ok(c), "shape")
+        .when(~shape_ok(c, body), "shape")
     )
 
 
@@ -101,7 +102,7 @@ def classified(envelopes: DataFrame, c: Ingest = Ingest(), persisted: DataFrame
     The first valid arrival of an id is accepted. What arrives later under that id, valid or not, is a duplicate and
     no reject, unless its version or id is bad. persisted (ledger_id, id) holds ids that were stored before.
     """
-    reasoned = envelopes.withColumn("reason", reject_reason(c))
+    reasoned = envelopes.withColumn("_body", F.expr(PARSE)).withColumn("reason", reject_reason(c, "_body")).drop("_body")
     first = F.min(F.when(F.col("reason").isNull(), F.col("arrival"))).over(Window.partitionBy("ledger_id", "message_id"))
     out = reasoned.withColumn("_first", first)
     old = F.lit(False)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import ACK_US, AGENT_US, FRAME, HMAC_KEY, RATE, SEGMENT
+from .queries import ACK_US, AGENT_US, ERASED_SEGMENT, FRAME, HMAC_KEY, RATE, SEGMENT
 from .views import VIEWS
 
 V = {name: text for name, (_, text) in VIEWS.items()}
@@ -135,6 +135,18 @@ _RUNS = " UNION ALL ".join(
 )
 _JOINTS = "CASE WHEN vec_id % 10 = 0 THEN 0 ELSE 20 END"
 
+_CHAINED = f"""WITH RECURSIVE rows_ AS (SELECT *, sequence // {SEGMENT} AS segment, row_number() OVER (PARTITION BY ledger_id, sequence // {SEGMENT} ORDER BY sequence) AS n FROM ({V['chain_rows']})),
+c AS (SELECT ledger_id, sequence, id, payload, segment, n, '0' AS previous_hash, sha256('0' || payload) AS hash FROM rows_ WHERE n = 1
+ UNION ALL SELECT r.ledger_id, r.sequence, r.id, r.payload, r.segment, r.n, c.hash, sha256(c.hash || r.payload) FROM c JOIN rows_ r ON r.ledger_id = c.ledger_id AND r.segment = c.segment AND r.n = c.n + 1)"""
+
+
+def _chain(rows: str, segment: int) -> str:
+    """CTEs that chain rows (ledger_id, id, sequence dense from 0, payload) in segments; the last is c."""
+    return f"""rows_ AS (SELECT *, sequence // {segment} AS segment, sequence % {segment} AS n FROM {rows}),
+c AS (SELECT ledger_id, id, sequence, payload, segment, n, '0' AS previous_hash, sha256('0' || payload) AS hash FROM rows_ WHERE n = 0
+ UNION ALL SELECT r.ledger_id, r.id, r.sequence, r.payload, r.segment, r.n, c.hash, sha256(c.hash || r.payload) FROM c JOIN rows_ r ON r.ledger_id = c.ledger_id AND r.segment = c.segment AND r.n = c.n + 1)"""
+
+
 ORACLES: dict[str, str] = {
     "envelope_scan": V["envelopes"],
     "ledger_scan": f"{_w('chain_rows')} SELECT ledger_id, sequence, CASE WHEN sequence % 10 = 0 THEN NULL ELSE CAST(json_extract(payload, '$.k') AS BIGINT) END AS k FROM chain_rows",
@@ -179,17 +191,19 @@ SELECT path FROM n WHERE contains(name, '.') AND NOT (starts_with(name, '.') AND
     "memory_counts": BASE + "SELECT ledger_id, e AS episodes, CASE WHEN ledger_id % 2 = 0 AND e > 0 THEN 0 ELSE p END AS patterns FROM (SELECT ledger_id, count(*) FILTER (kind = 'episode') AS e, count(*) FILTER (kind = 'pattern') AS p FROM memory GROUP BY 1)",
     "calibration_metrics": """WITH c AS (SELECT user_id % 8 AS ledger_id, greatest(0.0, least(1.0, value / 100.0::DOUBLE)) AS p, event_id % 3 = 0 AS y FROM events), n AS (SELECT *, p >= 0.5 AS s FROM c)
 SELECT ledger_id, count(*) AS n, round(count(*) FILTER (s = y) / count(*), 6) AS accuracy, round(sum((p - y::INT) * (p - y::INT)) / count(*), 6) AS brier, round(coalesce(count(*) FILTER (s AND y) / nullif(count(*) FILTER (s), 0), 0), 6) AS precision, round(coalesce(count(*) FILTER (s AND y) / nullif(count(*) FILTER (y), 0), 0), 6) AS recall FROM n GROUP BY 1""",
-    "chain_build": f"""WITH RECURSIVE rows_ AS (SELECT *, sequence // {SEGMENT} AS segment, row_number() OVER (PARTITION BY ledger_id, sequence // {SEGMENT} ORDER BY sequence) AS n FROM ({V['chain_rows']})),
-c AS (SELECT ledger_id, sequence, id, payload, segment, n, '0' AS previous_hash, sha256('0' || payload) AS hash FROM rows_ WHERE n = 1
- UNION ALL SELECT r.ledger_id, r.sequence, r.id, r.payload, r.segment, r.n, c.hash, sha256(c.hash || r.payload) FROM c JOIN rows_ r ON r.ledger_id = c.ledger_id AND r.segment = c.segment AND r.n = c.n + 1)
-SELECT * EXCLUDE (n) FROM c""",
+    "chain_build": _CHAINED + " SELECT * EXCLUDE (n) FROM c",
+    "chain_heads": _CHAINED + """, e AS (SELECT ledger_id, segment, arg_max(hash, sequence) AS head, count(*) AS rows, row_number() OVER (PARTITION BY ledger_id ORDER BY segment) AS k FROM c GROUP BY 1, 2),
+h AS (SELECT ledger_id, segment, head, rows, k, '0' AS previous_hash, sha256('0' || head) AS hash FROM e WHERE k = 1
+ UNION ALL SELECT e.ledger_id, e.segment, e.head, e.rows, e.k, h.hash, sha256(h.hash || e.head) FROM h JOIN e ON e.ledger_id = h.ledger_id AND e.k = h.k + 1)
+SELECT * EXCLUDE (k) FROM h""",
+    "chain_verify_heads": f"{_w('chain_rows')} SELECT DISTINCT ledger_id, sequence // {SEGMENT} AS segment, CASE sequence // {SEGMENT} WHEN 0 THEN CASE WHEN count(*) OVER (PARTITION BY ledger_id, sequence // {SEGMENT}) = 1 THEN 'missing' ELSE 'changed' END ELSE 'missing' END AS fault FROM chain_rows WHERE sequence < {2 * SEGMENT}",
     "chain_verify": f"{_w('chain_rows')} SELECT ledger_id, sequence // {SEGMENT} AS segment, min(sequence) AS first_broken FROM chain_rows WHERE sequence % 1777 = 5 GROUP BY 1, 2",
     "event_history": f"{_w('chain_rows')} SELECT ledger_id, sequence, id AS ancestor FROM chain_rows",
     "provenance_sources": f"{_w('lineage_edges')} SELECT derived_id, string_agg(source_id, ',' ORDER BY ordinal) AS sources FROM lineage_edges GROUP BY 1",
     "provenance_tree": f"""WITH RECURSIVE nodes AS ({V['lineage_nodes']}), edges AS ({V['lineage_edges']}),
 t AS (SELECT id AS root, id, 0 AS depth FROM nodes WHERE kind = 'order' UNION ALL SELECT t.root, e.source_id, t.depth + 1 FROM t JOIN edges e ON e.derived_id = t.id JOIN nodes n ON n.id = e.source_id) SELECT root, id, depth, depth AS place FROM t""",
     "erase_cascade": _CLOSURE + "SELECT id FROM gone",
-    "erase_compact": _CLOSURE + ", kept AS (SELECT * FROM nodes WHERE kind <> 'line' AND id NOT IN (SELECT id FROM gone)) SELECT id, row_number() OVER (ORDER BY sequence_class, n) - 1 AS sequence FROM kept",
+    "erase_compact": _CLOSURE + ", kept AS (SELECT 0 AS ledger_id, id, id AS payload, row_number() OVER (ORDER BY sequence_class, n, coalesce(try_cast(string_split(id, ':')[4] AS BIGINT), 0)) - 1 AS sequence FROM nodes WHERE id NOT IN (SELECT id FROM gone)), " + _chain("kept", ERASED_SEGMENT) + " SELECT id, sequence, previous_hash, hash FROM c",
     "range_erase": _REC + ", gone(id) AS (SELECT id FROM records WHERE kind <> 'episode' AND recorded_us BETWEEN 360000000000 AND 540000000000 UNION SELECT e.derived_id FROM gone JOIN edges e ON e.source_id = gone.id) SELECT ledger_id, id, row_number() OVER (PARTITION BY ledger_id ORDER BY sequence) - 1 AS sequence FROM records WHERE id NOT IN (SELECT id FROM gone)",
     "claim_violations": _CLAIMS + "SELECT claim_id, violation, CASE WHEN violation = 'imagined_as_fact' THEN bad END AS evidence_id FROM bad WHERE violation IS NOT NULL",
     "role_violations": _CLAIMS + "SELECT claim_id, CASE WHEN a.role IS NULL THEN 'role_layer' ELSE violation END AS violation FROM claims LEFT JOIN allowed a USING (role, layer) LEFT JOIN bad USING (claim_id) WHERE a.role IS NULL OR violation IS NOT NULL",

@@ -12,6 +12,7 @@ from ..functions import columns as C
 from ..operators import calibration as cal
 from ..operators import chain, features, ingest, lineage, privacy, retention, rollups, sessions, validate
 from ..sources import tables
+from ..sources.tables import cut_lineage
 from .views import view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -287,7 +288,7 @@ def calibration_report(s, d):
 
 # Chains and lineage
 
-SEGMENT = 2000
+SEGMENT, ERASED_SEGMENT = 2000, 200
 
 
 def chained(s: SparkSession, d: str) -> DataFrame:
@@ -305,6 +306,19 @@ def chain_verify(s, d):
     return chain.broken(chained(s, d).withColumn("payload", F.when(spoilt, F.concat("payload", F.lit(" "))).otherwise(F.col("payload"))))
 
 
+@query
+def chain_heads(s, d):
+    return chain.heads(chained(s, d))
+
+
+@query
+def chain_verify_heads(s, d):
+    """One segment of each ledger dropped after its heads were stored, and the last row of another cut off."""
+    whole = cut_lineage(chained(s, d))
+    last = whole.where("segment = 0").groupBy("ledger_id").agg(F.max("sequence").alias("sequence"))
+    return chain.broken_heads(whole.where("segment <> 1").join(last, ["ledger_id", "sequence"], "left_anti"), chain.heads(whole))
+
+
 @query
 def event_history(s, d):
     rows = view(s, d, "chain_rows")
@@ -336,14 +350,15 @@ def erase_cascade(s, d):
 
 
 def _numbered_nodes(s: SparkSession, d: str) -> DataFrame:
-    return nodes(s, d).select(F.lit(0).cast("long").alias("ledger_id"), "id", (F.col("sequence_class") * 100_000_000_000 + F.col("n") * 100 + F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(100))).alias("sequence"))
+    """All nodes as one ledger: kinds after each other, lines by order, line number and the number among rows that repeat both."""
+    repeat = F.coalesce(F.try_element_at(F.split("id", ":"), F.lit(4)).cast("long"), F.lit(0))
+    return nodes(s, d).select(F.lit(0).cast("long").alias("ledger_id"), "id", F.col("id").alias("payload"), (F.col("sequence_class") * 100_000_000_000_000 + F.col("n") * 1000 + repeat).alias("sequence"))
 
 
 @query
 def erase_compact(s, d):
-    rows = nodes(s, d).where("kind <> 'line'").select(F.lit(0).cast("long").alias("ledger_id"), "id", (F.col("sequence_class") * 100_000_000_000 + F.col("n")).alias("sequence"))
-    left, _ = lineage.compacted(rows, edges(s, d), lineage.cascade(nodes(s, d).where("id = 'r:1'"), nodes(s, d), edges(s, d)))
-    return left.select("id", "sequence")
+    left, _ = lineage.compacted(_numbered_nodes(s, d), edges(s, d), lineage.cascade(nodes(s, d).where("id = 'r:1'"), nodes(s, d), edges(s, d)), ERASED_SEGMENT)
+    return left.select("id", "sequence", "previous_hash", "hash")
 
 
 def records(s: SparkSession, d: str) -> DataFrame:
@@ -599,7 +614,8 @@ def latest_joints(s, d):
 
 @query
 def agent_runs(s, d):
-    parts = [lineage.agent_evidence(ledger(s, d), role, AGENT_US + i)[0].select("ledger_id", F.lit(i).cast("long").alias("sequence"), "id", F.lit(role).alias("role"), "layer", "status", "evidence") for i, role in enumerate(sorted(lineage.ROLE_OUTPUT))]
+    rows = cut_lineage(ledger(s, d))
+    parts = [lineage.agent_evidence(rows, role, AGENT_US + i)[0].select("ledger_id", F.lit(i).cast("long").alias("sequence"), "id", F.lit(role).alias("role"), "layer", "status", "evidence") for i, role in enumerate(sorted(lineage.ROLE_OUTPUT))]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -623,8 +639,8 @@ def event_show(s, d):
 
 @query
 def ledger_summary(s, d):
-    rows = ledger(s, d)
-    found = episodes(s, d)
+    rows = cut_lineage(ledger(s, d))
+    found = cut_lineage(episodes(s, d))
     ep = found.groupBy("ledger_id").agg(F.count(F.lit(1)).alias("episodes"))
     pa = sessions.patterns(found).groupBy("ledger_id").agg(F.count(F.lit(1)).alias("patterns"))
     streams = rollups.stream_counts(rows).groupBy("ledger_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "stream_id", "n"))), " ").alias("streams"))
