@@ -151,14 +151,17 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def crossing(rows: DataFrame, by: list[str], similarity: float) -> DataFrame:
     """All pairs (a, b) of rows (by, id, part, size) of equal by whose parts differ and whose sizes allow the similarity.
 
-    Each pair of blocks of a group is joined apart, so no task follows the size of a group."""
-    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("m"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    dealt = rows.join(groups.select(*by, F.ceil(F.col("m") / BLOCK).alias("blocks")), by)
-    cells = dealt.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    left = cells.where("block <= o").select(*by, F.col("block").alias("i"), F.col("o").alias("j"), F.col("id").alias("x"), F.col("part").alias("px"), F.col("size").alias("sx"))
-    right = cells.where("o <= block").select(*by, F.col("o").alias("i"), F.col("block").alias("j"), F.col("id").alias("y"), F.col("part").alias("py"), F.col("size").alias("sy"))
+    Members of a group's largest part meet only those outside it, so a large component isn't paired with itself. Each
+    pair of blocks of a group is joined apart, so no task follows the size of a group."""
+    sizes = rows.groupBy(*by, "part").agg(F.count(F.lit(1)).alias("m"))
+    groups = sizes.groupBy(*by).agg(F.sum("m").alias("m"), F.max("m").alias("most"), F.max_by("part", F.struct("m", "part")).alias("main")).where("most < m")
+    dealt = rows.join(groups.select(*by, "main", F.ceil(F.col("m") / BLOCK).alias("blocks"), F.ceil((F.col("m") - F.col("most")) / BLOCK).alias("others")), by)
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    block = lambda n: F.pmod(F.xxhash64("id"), n)
+    left = dealt.where("part <> main").select(*by, block("others").alias("i"), spread("blocks").alias("j"), F.col("id").alias("x"), F.col("part").alias("px"), F.col("size").alias("sx"))
+    right = dealt.select(*by, spread("others").alias("i"), block("blocks").alias("j"), F.col("id").alias("y"), F.col("part").alias("py"), F.col("size").alias("sy"), (F.col("part") == F.col("main")).alias("in_main"))
     fits = F.coalesce(F.least("sx", "sy") >= F.greatest("sx", "sy") * similarity - 1e-9, F.lit(True))
-    met = left.join(right, [*by, "i", "j"]).where((F.col("px") != F.col("py")) & ((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))) & fits)
+    met = left.join(right, [*by, "i", "j"]).where((F.col("px") != F.col("py")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & fits)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
