@@ -3,24 +3,27 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import count, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import partitions, small_batches, written
 
 #: Bounds of the fit: documents of either class. All their words and word pairs are kept.
 MOST_TOXIC, MOST_ORDINARY = 5_000, 10_000
 #: The discount: of a count that is no larger, all goes to the backoff. The lengths of the windows whose ratios are compared.
 DISCOUNT, WINDOWS = 4.0, (1, 2, 4)
+#: Bits of a hash of the word before; distinct pairs that a task holds before it sends them on.
+HASHED, MOST_MARKS = 36, 4_000_000
 FEATURES = tuple(f"{order}_{n}" for order in ("word", "pair") for n in (*WINDOWS, "all"))
 THRESHOLD = 0.3
 WORDS = re.compile(r"[^\W_]+")
@@ -32,13 +35,14 @@ def words(text: str | None) -> list[str]:
 
 def numbered_words(texts: Iterable[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct words of texts, first the empty one; the numbers of all words in order, each text's after a 0; where texts start."""
-    number: dict[str, int] = {"": 0}
+    number: defaultdict[str, int] = defaultdict(count().__next__)
     ids: list[int] = []
     starts = []
+    number[""]
     for text in texts:
         starts.append(len(ids))
         ids.append(0)
-        ids += [number.setdefault(w, len(number)) for w in words(text)]
+        ids += map(number.__getitem__, words(text))
     return list(number), np.array(ids, np.int64), np.array([*starts, len(ids)], np.int64)
 
 
@@ -119,16 +123,39 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(few), "doc_id").select("toxic", "text", remainder().cast("int").alias("rest"))
 
 
+def packed(sorted_: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers as zstandard bytes of their steps, equal bytes of all together."""
+    steps = np.diff(sorted_, prepend=np.uint64(0))
+    return zstandard.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(raw.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def continuations(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int, int]:
     """Over all texts of docs, without labels: the distinct words before each word of the vocabulary (sorted hashes), all distinct pairs, all distinct words.
 
-    A pair is one long: the word's number and, in the other bits, a hash of the word before. A pair whose word the
-    vocabulary lacks is a negative hash and counts for the total alone; such a word itself is a hash with the bit NEW."""
+    A pair is one number: its word's place in the vocabulary and a hash of the word before, of HASHED bits. A pair whose
+    word the vocabulary lacks is a hash with the bit APART, and such a word itself one with the bit NEW. Tasks send their
+    distinct numbers sorted and packed, dealt to buckets by word; a bucket's are united and counted in one task. There are
+    eight buckets for each shuffle partition, and a word has at most as many pairs as there are words."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    shift = 62 - max(1, len(vocabulary).bit_length())
-    new, first = 1 << 62, np.uint64(1 << 63)
+    buckets = 8 * partitions(docs.sparkSession)
+    shift, low = np.uint64(HASHED), np.uint64(64 - HASHED)
+    apart, new, rest = np.uint64(1 << 62), np.uint64(1 << 63), np.uint64(8)
+
+    def dealt(marks: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.unique(np.concatenate(marks))
+        bucket = ((every >> shift) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
+        order = np.argsort(bucket, kind="stable")
+        names, first = np.unique(bucket[order], return_index=True)
+        parts = [packed(x) for x in np.split(every[order], first[1:])] if len(names) else []
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(parts, pa.binary())], ["bucket", "marks"])
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks: list[np.ndarray] = []
         for b in batches:
             names, at, _ = numbered_words(b.column(0).to_pylist())
             size = len(names)
@@ -137,14 +164,25 @@ def continuations(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
             hashed = signed.view(np.uint64)
             place = found(held.value, signed, -1)
             before, word = np.divmod(pairs, size)
-            numbered = (np.maximum(place[word], 0).astype(np.uint64) << np.uint64(shift)) | (hashed[before] >> np.uint64(64 - shift))
-            left = np.where(place[word] >= 0, numbered, (hashed[before] * np.uint64(0x9E3779B97F4A7C15) + hashed[word]) | first)
-            unknown = hashed[1:][place[1:] < 0] >> np.uint64(2) | np.uint64(new)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(left, unknown).view(np.int64))], ["mark"])
-
-    met = docs.select(F.col("text").cast("string")).mapInArrow(seen, "mark long").distinct()
-    word = F.when(F.col("mark") < 0, -1).when(F.col("mark") >= new, -2).otherwise(F.shiftright("mark", shift)).cast("int")
-    n = met.groupBy(word.alias("word")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+            known = place[word] >= 0
+            marks.append(place[word[known]].astype(np.uint64) << shift | hashed[before[known]] >> low)
+            marks.append((hashed[before[~known]] * np.uint64(0x9E3779B97F4A7C15) + hashed[word[~known]]) >> rest | apart)
+            marks.append(hashed[1:][place[1:] < 0] >> rest | new)
+            if sum(map(len, marks)) > MOST_MARKS:
+                yield dealt(marks)
+                marks = []
+        if marks:
+            yield dealt(marks)
+
+    def counted(table: pa.Table) -> pa.Table:
+        every = np.unique(np.concatenate([unpacked(x.as_py()) for x in table.column("marks")]))
+        ends = np.searchsorted(every, [apart, new])
+        word, n = np.unique(every[: ends[0]] >> shift, return_counts=True)
+        rows = [(-1, ends[1] - ends[0]), (-2, len(every) - ends[1])]
+        return pa.table({"word": pa.array([*word.astype(np.int64).tolist(), *[r[0] for r in rows]], pa.int32()), "n": pa.array([*n.tolist(), *[int(r[1]) for r in rows]], pa.int64())})
+
+    met = docs.select(F.col("text").cast("string")).mapInArrow(seen, "bucket int, marks binary").groupBy("bucket").applyInArrow(counted, "word int, n long")
+    n = met.groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     at, n = n.column("word").to_numpy(), n.column("n").to_numpy()
     left = np.zeros(len(vocabulary))
     left[at[at >= 0]] = n[at >= 0]
