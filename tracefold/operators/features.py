@@ -133,5 +133,6 @@ def assign_sequence(rows: DataFrame, start: int = 1) -> DataFrame:
 def acceptance_status(expected: DataFrame, counts: DataFrame) -> DataFrame:
     """stream, status for expected (stream, startup, discovered) given counts (stream, n)."""
     n = F.coalesce(F.col("n"), F.lit(0))
+    # The words of a status.
     status = F.when(n > 0, "observed").when((F.col("discovered") > 0) & (F.col("startup") != "running"), "advertisers_detected_keychain_unavailable").when(F.col("startup") == "running", "no_advertisers_observed").otherwise(F.col("startup"))
     return expected.join(counts, "stream", "left").select("stream", n.alias("n"), status.alias("status"))

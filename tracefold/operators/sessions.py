@@ -78,6 +78,18 @@ def session_evidence(sessions: DataFrame, beliefs: DataFrame) -> DataFrame:
     return found.where((F.col("part") == 1) & (F.col("ts_us") <= F.col("in.e"))).select("ledger_id", F.col("in.s").alias("start_us"), F.col("id").alias("belief_id"))
 
 
+def episode_evidence(sessions: DataFrame, evidence: DataFrame, c: Sessions = Sessions()) -> DataFrame:
+    """ledger_id, episode, belief_id: what session_evidence() found for an episode's sessions."""
+    of = _grouped(sessions, c.episode_us).select("ledger_id", "start_us", (F.col("group") - 1).alias("episode"))
+    return evidence.join(of, ["ledger_id", "start_us"]).select("ledger_id", "episode", "belief_id").distinct()
+
+
+def pattern_evidence(pattern: DataFrame, evidence: DataFrame) -> DataFrame:
+    """ledger_id, signature, belief_id: what episode_evidence() found for a pattern's episodes."""
+    of = pattern.select("ledger_id", "signature", F.explode("episodes").alias("episode"))
+    return evidence.join(of, ["ledger_id", "episode"]).select("ledger_id", "signature", "belief_id").distinct()
+
+
 def memory_records(episode: DataFrame, pattern: DataFrame) -> DataFrame:
     """ledger_id, id, kind of the records that stand for episodes and patterns; a pattern's number is its place by signature."""
     from pyspark.sql import Window
@@ -92,6 +104,12 @@ def to_write(records: DataFrame, stored: DataFrame) -> DataFrame:
     return records.join(stored.select("ledger_id", "id"), ["ledger_id", "id"], "left_anti")
 
 
+def write_counts(records: DataFrame, stored: DataFrame) -> DataFrame:
+    """ledger_id, kind, total, written: the records of a run, and how many of them stored (ledger_id, id) lacks."""
+    fresh = to_write(records, stored).groupBy("ledger_id", "kind").agg(F.count(F.lit(1)).alias("written"))
+    return records.groupBy("ledger_id", "kind").agg(F.count(F.lit(1)).alias("total")).join(fresh, ["ledger_id", "kind"], "left").fillna(0, ["written"])
+
+
 def memory_counts(stored: DataFrame, episode: DataFrame, pattern: DataFrame) -> DataFrame:
     """ledger_id, episodes, patterns: the stored records' counts where either is positive, else the replay's."""
     kept = stored.groupBy("ledger_id").agg(F.sum((F.col("kind") == "episode").cast("long")).alias("se"), F.sum((F.col("kind") == "pattern").cast("long")).alias("sp"))

@@ -187,6 +187,9 @@ SELECT path FROM n WHERE contains(name, '.') AND NOT (starts_with(name, '.') AND
     "episodes": BASE + "SELECT ledger_id, CAST(episode AS BIGINT) AS episode, start_us, end_us, members FROM episodes",
     "patterns": BASE + "SELECT * FROM patterns",
     "session_evidence": BASE + "SELECT b.ledger_id, m.start_us, b.id AS belief_id FROM beliefs b JOIN merged m ON m.ledger_id = b.ledger_id AND b.ts_us BETWEEN m.start_us AND m.end_us",
+    "episode_evidence": BASE + "SELECT DISTINCT b.ledger_id, CAST(e.episode AS BIGINT) AS episode, b.id AS belief_id FROM beliefs b JOIN merged m ON m.ledger_id = b.ledger_id AND b.ts_us BETWEEN m.start_us AND m.end_us JOIN episodes e ON e.ledger_id = m.ledger_id AND m.start_us BETWEEN e.start_us AND e.end_us",
+    "pattern_evidence": BASE + "SELECT DISTINCT b.ledger_id, 'Occupied:' || ((e.end_us - e.start_us) // 60000000) || 'min' AS signature, b.id AS belief_id FROM beliefs b JOIN merged m ON m.ledger_id = b.ledger_id AND b.ts_us BETWEEN m.start_us AND m.end_us JOIN episodes e ON e.ledger_id = m.ledger_id AND m.start_us BETWEEN e.start_us AND e.end_us",
+    "materialize_counts": BASE + "SELECT ledger_id, kind, count(*) AS total, count(*) FILTER (ledger_id % 2 = 1) AS written FROM memory GROUP BY 1, 2",
     "materialize_memory": BASE + "SELECT * FROM memory",
     "memory_counts": BASE + "SELECT ledger_id, e AS episodes, CASE WHEN ledger_id % 2 = 0 AND e > 0 THEN 0 ELSE p END AS patterns FROM (SELECT ledger_id, count(*) FILTER (kind = 'episode') AS e, count(*) FILTER (kind = 'pattern') AS p FROM memory GROUP BY 1)",
     "calibration_metrics": """WITH c AS (SELECT user_id % 8 AS ledger_id, greatest(0.0, least(1.0, value / 100.0::DOUBLE)) AS p, event_id % 3 = 0 AS y FROM events), n AS (SELECT *, p >= 0.5 AS s FROM c)
@@ -211,8 +214,10 @@ t AS (SELECT id AS root, id, 0 AS depth FROM nodes WHERE kind = 'order' UNION AL
     "retention_eligible": _REC + "SELECT id, kind FROM cut, last WHERE m + 3600000000 - recorded_us >= cutoff",
     "retention_preview": _REC + ", x AS (SELECT *, m + 31449600000000 - recorded_us >= cutoff AS old FROM cut, last) SELECT count(*) FILTER (old AND kind = 'observation') AS observations, count(*) FILTER (old AND kind = 'belief') AS beliefs, count(*) FILTER (old AND kind = 'event') AS events, count(*) FILTER (kind IN ('episode','pattern','agent_run')) AS protected FROM x",
     "retention_plan": _REC + "SELECT id, kind, coalesce(sources, '') AS sources FROM (SELECT id, kind FROM cut, last WHERE m + 2419200000000 - recorded_us >= cutoff) LEFT JOIN (SELECT derived_id AS id, string_agg(source_id, ',' ORDER BY ordinal) AS sources FROM edges GROUP BY 1) USING (id)",
+    "retention_plan_sink": _REC + "SELECT id, kind, coalesce(sources, '') AS sources FROM (SELECT id, kind FROM cut, last WHERE m + 2419200000000 - recorded_us >= cutoff) LEFT JOIN (SELECT derived_id AS id, string_agg(source_id, ',' ORDER BY ordinal) AS sources FROM edges GROUP BY 1) USING (id)",
     "retention_apply": _REC + ", gone(id) AS (SELECT id FROM cut, last WHERE m + 3600000000 - recorded_us >= cutoff UNION SELECT e.derived_id FROM gone JOIN edges e ON e.source_id = gone.id) SELECT ledger_id, id, row_number() OVER (PARTITION BY ledger_id ORDER BY sequence) - 1 AS sequence FROM records WHERE id NOT IN (SELECT id FROM gone)",
     "export_bundle": _REC + "SELECT id, kind, recorded_us AS ts_us, coalesce(sources, '') AS sources FROM records LEFT JOIN (SELECT derived_id AS id, string_agg(source_id, ',' ORDER BY ordinal) AS sources FROM edges GROUP BY 1) USING (id) WHERE kind <> 'episode' AND recorded_us BETWEEN 60000000000 AND 3000000000000",
+    "export_sink": _REC + ", x AS (SELECT id, kind, recorded_us AS ts_us FROM records WHERE kind <> 'episode' AND recorded_us BETWEEN 60000000000 AND 3000000000000) SELECT *, count(*) OVER () AS records FROM x",
     "pseudonymize": f"SELECT c_custkey, 'ble:' || sha256('{_PADS[1]}'::BLOB || unhex(sha256('{_PADS[0]}'::BLOB || encode(c_custkey::VARCHAR)))) AS pseudonym FROM customer",
     "hash_id": "SELECT c_custkey, 'id:' || sha256(c_custkey::VARCHAR) AS hashed FROM customer",
     "privacy_audit": f"{_w('audit_json')} SELECT a.id, t.fullkey AS path FROM audit_json a, json_tree(a.payload) t WHERE lower(t.key) IN ('ssid','bssid','device_name','peripheral_name','mac_address','raw_audio','raw_frame','raw_pcm','transcript')",
@@ -258,3 +263,4 @@ LEFT JOIN (SELECT ledger_id, count(*) AS n FROM episodes GROUP BY 1) e USING (le
 LEFT JOIN (SELECT ledger_id, string_agg(stream_id || ':' || n, ' ' ORDER BY stream_id || ':' || n) AS t FROM (SELECT ledger_id, stream_id, count(*) AS n FROM ledger WHERE kind = 'observation' GROUP BY 1, 2) GROUP BY 1) s USING (ledger_id)
 LEFT JOIN (SELECT ledger_id, string_agg(sensor_stream_id, ',' ORDER BY sensor_stream_id) AS t FROM state WHERE pending GROUP BY 1) w USING (ledger_id)""",
 }
+ORACLES |= {f"recent_zoom_{n}": BASE + f"SELECT ledger_id, sequence, stream_id, ts_us FROM ledger QUALIFY row_number() OVER (PARTITION BY ledger_id ORDER BY sequence DESC) <= {n}" for n in (24, 256, 1024, 4096)}

@@ -253,6 +253,26 @@ def session_evidence(s, d):
     return sessions.session_evidence(merged(s, d), beliefs(s, d))
 
 
+@query
+def episode_evidence(s, d):
+    found = merged(s, d)
+    return sessions.episode_evidence(found, sessions.session_evidence(found, beliefs(s, d)))
+
+
+@query
+def pattern_evidence(s, d):
+    found = merged(s, d)
+    return sessions.pattern_evidence(sessions.patterns(episodes(s, d)), sessions.episode_evidence(found, sessions.session_evidence(found, beliefs(s, d))))
+
+
+@query
+def materialize_counts(s, d):
+    """A second run over records of which those of even ledgers are stored."""
+    found = episodes(s, d)
+    every = sessions.memory_records(found, sessions.patterns(found))
+    return sessions.write_counts(every, every.where("ledger_id % 2 = 0"))
+
+
 @query
 def materialize_memory(s, d):
     found = episodes(s, d)
@@ -420,6 +440,26 @@ def export_bundle(s, d):
     return retention.export_bundle(rows, view(s, d, "retained_edges"), 100 * 600 * SECOND, 5000 * 600 * SECOND).select("id", "kind", "ts_us", F.array_join("sources", ",").alias("sources"))
 
 
+@query
+def retention_plan_sink(s, d):
+    """The plan written as JSON and read back."""
+    rows = retention.plan(view(s, d, "retained_records"), view(s, d, "retained_edges"), _now(s, d, 28 * DAY)).select("id", "kind", F.array_join("sources", ",").alias("sources"))
+    path = tables.shared_path(s, "retention-plan")
+    tables.write_report(rows, path)
+    return s.read.schema(rows.schema).json(path)
+
+
+@query
+def export_sink(s, d):
+    """The bundle written as JSON beside its manifest, and read back with the manifest's count."""
+    rows = records(s, d).withColumn("payload", F.format_string('{"ts_us":%d}', "recorded_us"))
+    bundle = retention.export_bundle(rows, view(s, d, "retained_edges"), 100 * 600 * SECOND, 5000 * 600 * SECOND).select("id", "kind", "ts_us")
+    path = tables.shared_path(s, "export")
+    tables.export(bundle, path)
+    manifest = s.read.schema("schema string, records long").json(f"{path}/manifest").select("records")
+    return s.read.schema(bundle.schema).json(f"{path}/records").join(F.broadcast(manifest))  # one row
+
+
 @query
 def pseudonymize(s, d):
     return s.read.parquet(f"{d}/customer.parquet").select("c_custkey", C.pseudonym(HMAC_KEY, F.col("c_custkey").cast("string"), "ble").alias("pseudonym"))
@@ -574,6 +614,10 @@ def recent_zoom(s, d):
     return rollups.recent_observations(ledger(s, d), rollups.ZOOMS[1])
 
 
+for _n in (n for n in rollups.ZOOMS if n != rollups.ZOOMS[1]):
+    QUERIES[f"recent_zoom_{_n}"] = lambda s, d, n=_n: rollups.recent_observations(ledger(s, d), n)
+
+
 @query
 def latest_ts(s, d):
     return rollups.latest_ts(ledger(s, d))

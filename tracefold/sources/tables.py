@@ -89,6 +89,11 @@ def export(bundle: DataFrame, path: str, name: str = "evidence.export.v1") -> No
     bundle.agg(F.lit(name).alias("schema"), F.count(F.lit(1)).alias("records")).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
+def write_report(report: DataFrame, path: str) -> None:
+    """A calibration report or a retention plan as JSON records, null fields included."""
+    report.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def media_paths(files: DataFrame) -> DataFrame:
     """The rows of files (path) whose name ends in a raw-media ending, in either case; a name that is all ending has none."""
     return files.where(F.lower(F.regexp_extract("path", r"[^/]\.([^./]+)$", 1)).isin(*RAW_EXTENSIONS))
