@@ -1,7 +1,9 @@
 """A corpus pipeline: language ID, exact dedup, SimHash near-dedup, mixing, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
-A doc_id names a document: rows without one pass every filter, and rows that repeat one share its decisions.
+A doc_id names a document: rows without one pass every filter, and rows that repeat one share its decisions. In every
+stage null and empty texts are texts like others (language ID rejects them), very long ones are read whole, an empty
+table gives an empty table, and columns beside doc_id, text, lang and source pass through under whatever name.
 """
 
 from __future__ import annotations
@@ -37,9 +39,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many rows of each document as the mix takes whole copies."""
-    copies = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """As many rows of each document as the mix takes whole copies. Columns of docs may have any name."""
+    copies = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("of"))
+    taken = rows.join(copies, F.col("of").eqNullSafe(F.col("id"))).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

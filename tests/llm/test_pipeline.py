@@ -41,5 +41,14 @@ def test_rows_that_repeat_or_lack_an_id(spark, tmp_path):
     assert sorted(str(x.doc_id) for x in got) == ["1", "None"]
 
 
+def test_empty_table_and_clashing_columns(spark, tmp_path):
+    kind = "doc_id long, text string, lang string, source string, n_chars long, id long, copies int, of string, row int"
+    spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    docs = spark.createDataFrame([(i, "the home tells the sun " * (i + 1), "en", "a", 1, 9, 9, "x", 9) for i in range(6)], kind)
+    mixed = corpus_pipeline.mix(spark, docs, str(tmp_path))
+    assert mixed.columns == docs.columns and {tuple(x)[5:] for x in mixed.collect()} == {(9, 9, "x", 9)}
+
+
 def test_queries_are_one_for_each_operator():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))

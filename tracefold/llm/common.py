@@ -18,12 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset and all run here."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
@@ -92,8 +94,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of undirected edges (a, b), longs or strings; component is its smallest node.
 
     Alternates the large-star and small-star steps of the published MapReduce algorithm: each step needs one
-    aggregation with map-side combine and one join, so a hub is never gathered in one task. Every round is written to
-    the shared folder. Loops and repeated edges are allowed; an empty table gives an empty result.
+    aggregation with map-side combine and one join. No row holds a hub's neighbours; in the joins a hub's edges share a
+    key, which Spark's skew rule splits. Every round is written to the shared folder. Loops and repeated edges are
+    allowed; an empty table gives an empty result.
     """
     now = written(
         edges.where("a <> b")

@@ -107,7 +107,8 @@ def kd_shards(docs: DataFrame, shards: int = 24, chunk_rows: int = 10_000) -> Da
     size is the text's UTF-8 bytes plus 8 (null text: 8). Shards' bytes are near equal; equal texts have equal
     coordinates and stay together but where a cut must fall inside their group for the sizes' sake. slot numbers a
     shard's rows by chunks of hashed ids and then id, from 0 without gaps; rows that repeat an id and a text get
-    different slots. Null ids hash alike. An empty table gives no rows. Only ids and texts are read, and texts are
+    different slots. Null ids hash alike. A text longer than a shard's share makes its shard larger than the others. An
+    empty table gives no rows. Only ids and texts are read, and texts are
     read once: all else works on the small metadata table.
     """
     meta = written(metadata(docs), "meta")

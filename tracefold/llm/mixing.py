@@ -36,13 +36,14 @@ def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
-def tilts(stats: DataFrame, sizes: dict, targets: dict, most: float, exact: float = 1e-7, most_steps: int = 60) -> dict:
+def tilts(stats: DataFrame, sizes: dict, targets: dict, most: float, exact: float = 1e-7, most_steps: int = 200) -> dict:
     """The dual variables: source -> tilt t with sum of size * min(most, exp(t * size / unit)) = target.
 
     Minimising the relative entropy of the documents' rates against one copy each, under the token constraints and
     the bound most, gives exponentially tilted rates. The dual is separable and convex; each step sums gradient and
     curvature over the (source, size, n) table in executors, for all sources at once. A Newton step that leaves the
-    bracket is halved into it. A source at its bound gets an infinite tilt, one of size 0 gets 0.
+    bracket is halved into it, and the bracket widens where a tilt nears its end. A source at its bound gets an infinite
+    tilt, one of size 0 gets 0. A source that doesn't settle fails the job.
     """
     spark = stats.sparkSession
     tilt = {s: 0.0 if sizes[s] == 0 else math.inf if targets[s] >= most * sizes[s] * (1 - 1e-12) else None for s in sizes}
@@ -70,9 +71,13 @@ def tilts(stats: DataFrame, sizes: dict, targets: dict, most: float, exact: floa
             low, high = (t, high) if off < 0 else (low, t)
             if off < 0 and high >= 60.0 and t > 30.0:
                 high *= 1e3
+            if off > 0 and low <= -60.0 and t < -30.0:
+                low *= 1e3
             new = t - off / r.slope if r.slope > 0 else math.inf
             live[r.source] = [new if low < new < high else (low + high) / 2, low, high]
-    return tilt | {s: x[0] for s, x in live.items()}
+    if live:
+        raise RuntimeError(f"{len(live)} sources did not settle in {most_steps} steps")
+    return tilt
 
 
 def turn_bin(turn: Column, bins: int) -> Column:
@@ -89,7 +94,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     target leaves room for; the document at the end gives only the words that still fit, so a source's taken words
     equal its target rounded. copies are whole ones, with that last document's taken if it is at least half. Documents
     without words keep one copy (two in a source at its bound). Null ids hash alike; equal ids and ties are ordered by
-    size. A rerun gives the same. Null is a source of its own. An empty table gives no rows.
+    size. A rerun gives the same. Null is a source of its own. An empty table gives no rows. Very long texts are counted
+    whole and may be taken in part; only the id, the text and the source are read, so other columns may have any name.
     """
     spark = docs.sparkSession
     rows = written(
