@@ -251,3 +251,42 @@ def test_sources_and_sinks(spark, tmp_path):
 def test_size_limit(spark):
     df = envelopes(spark, [("a", "wifi", 1, 0, "{}"), ("b", "wifi", 2, 0, '{"rssi_mean":1}')])
     assert [x[0] for x in df.orderBy("arrival").select(validate.size_ok(Ingest(most_payload_bytes=2))).collect()] == [True, False]
+
+
+def test_dropped_and_swapped_segments_are_seen(spark):
+    rows = spark.createDataFrame([(1, i, f"e{i}", f"p{i}") for i in range(40)], "ledger_id long, sequence long, id string, payload string")
+    whole = chain.build(rows, 10)
+    stored = chain.heads(whole)
+    assert chain.broken(whole).collect() == [] and chain.broken_heads(whole, stored).collect() == []
+    faults = lambda c, s=stored: {(r.segment, r.fault) for r in chain.broken_heads(c, s).collect()}
+    assert faults(whole.where("segment <> 2")) == {(2, "missing")}
+    assert faults(whole, stored.where("segment <> 3")) == {(3, "unknown")}
+    assert faults(whole.where("sequence <> 39")) == {(3, "changed")}
+    swapped = whole.withColumn("segment", F.expr("CASE segment WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE segment END"))
+    assert chain.broken(swapped).collect() == [] and faults(swapped) == {(1, "changed"), (2, "changed")}
+    heads = stored.withColumn("segment", F.expr("CASE segment WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE segment END"))
+    assert {s for s, _ in faults(swapped, heads)} == {1, 2, 3}, "swapped heads don't follow each other"
+
+
+def test_chain_is_built_anew_after_erasure(spark):
+    rows = spark.createDataFrame([(1, i, f"e{i}", f"p{i}") for i in range(30)], "ledger_id long, sequence long, id string, payload string")
+    edges = spark.createDataFrame([("e7", "e3", 0), ("e9", "e8", 0)], "derived_id string, source_id string, ordinal int")
+    left, links = lineage.compacted(chain.build(rows, 10), edges, spark.createDataFrame([("e3",), ("e7",)], "id string"), 10)
+    got = left.orderBy("sequence").collect()
+    assert [r.id for r in got] == [f"e{i}" for i in range(30) if i not in (3, 7)] and [r.sequence for r in got] == list(range(28))
+    assert chain.broken(left).collect() == [] and [r.derived_id for r in links.collect()] == ["e9"]
+
+
+def test_matching_in_one_dense_island(spark):
+    """Against the plain rule, with ties in time and distance."""
+    r = random.Random(8)
+    beliefs = [(1, r.randrange(0, 4000), i, 0.5) for i in range(300)]
+    labels = [(1, r.randrange(0, 4000), i, True) for i in range(250)]
+    used, want = set(), []
+    for _, t, line, _ in labels:
+        near = [(abs(b - t), i) for _, b, i, _ in beliefs if i not in used and abs(b - t) <= 60]
+        if near:
+            used.add(min(near)[1])
+            want.append((line, min(near)[1]))
+    got = calibration.matched(spark.createDataFrame(beliefs, "ledger_id long, ts_us long, sequence long, p double"), spark.createDataFrame(labels, "ledger_id long, ts_us long, line_no long, occupied boolean"), 60)
+    assert sorted((x.line_no, x.sequence) for x in got.collect()) == want

@@ -12,12 +12,15 @@ from ..sources.tables import cut_lineage
 def audit(records: DataFrame, most_depth: int = 128) -> DataFrame:
     """id, path of every key, at any depth, whose lower-cased name is forbidden. Payloads that don't parse have none.
 
-    Each round opens one level of all records at once; a hit is opened too. Records deeper than most_depth fail."""
-    level = records.select("id", F.lit("$").alias("path"), F.expr("try_parse_json(payload)").alias("v"))
+    Only records whose text holds such a name or an escape, which may spell one, are opened. Each round opens one level
+    of all of them at once; a hit is opened too. Of these, records deeper than most_depth fail."""
+    spark = records.sparkSession
+    suspect = records.where(F.regexp_like("payload", F.lit("(?i)" + "|".join(FORBIDDEN_KEYS) + r"|\\u")))
+    level = suspect.select("id", F.lit("$").alias("path"), F.expr("try_parse_json(payload)").alias("v"))
     hits = None
     for _ in range(most_depth):
-        level.createOrReplaceTempView("_audit_level")
-        step = level.sparkSession.sql("SELECT id, concat(path, CASE WHEN c.key IS NULL THEN concat('[', c.pos, ']') ELSE concat('.', c.key) END) AS path, c.key AS key, c.value AS v FROM _audit_level, LATERAL variant_explode(v) AS c")
+        opened = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        step = opened.select("id", F.concat("path", F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), "key"))).alias("path"), "key", F.col("value").alias("v"))
         step = cut_lineage(step.select("id", "path", "key", F.expr("to_json(v)").alias("text"), F.expr("schema_of_variant(v) LIKE 'OBJECT%' OR schema_of_variant(v) LIKE 'ARRAY%'").alias("inner")))
         found = step.where(F.lower("key").isin(*FORBIDDEN_KEYS)).select("id", "path")
         hits = found if hits is None else hits.unionByName(found)
