@@ -477,3 +477,26 @@ def test_fuzzy_lines_recall_against_all_pairs(spark):
         for i, j in links:
             root[i] = root[j] = min(root[i], root[j])
     assert len({(got[i], root[i]) for i in range(len(lines))}) == len(set(got.values())), "no component joins what no chain of links joins"
+
+
+def test_declared_language_skips_comments_and_scripts():
+    assert language.declared("<!-- <html lang='fr'> --><html lang='de'>") == "de"
+    assert language.declared("<script>'<html lang=fr>'</script><html lang=nl>") == "nl"
+    assert language.declared("<!-- not closed <html lang='fr'>") is None
+    assert language.plain("a<script>b</script>c<!-- d") == "a c "
+
+
+def test_identifiers_of_the_corpus_are_a_dictionary(spark):
+    rows = [(i, f"call load_user_profile and {'rare_name_' + 'abcdefg'[i]} x1_y2_z3_w4") for i in range(5)] + [(9, None), (10, "")]
+    got = secrets.dictionary(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.startswith(secrets.IDENTIFIERS) and got.endswith(b" load_user_profile") and b"rare_name_a" not in got
+
+
+def test_one_text_holds_nine_tenths_of_the_rows(spark):
+    rows = [(f"d{i:03}", "the same words stand here" if i % 10 else f"other words {i} of number {i * i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    found = exact_dedup.exact_dedup(docs).collect()
+    assert len(found) == 200 and sum(r.kept for r in found) == 21
+    assert {(r.keep_id, r.group_size) for r in found if int(r.doc_id[1:]) % 10} == {("d001", 180)}
+    near = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert len(near) == 200 and {near[i] for i, t in rows if t.startswith("the same")} == {"d001"}
