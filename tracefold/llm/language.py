@@ -24,7 +24,7 @@ LEAST_POSTERIOR = 0.5
 _KEEP = np.arange(256, dtype=np.uint8)
 _KEEP[[c for c in range(128) if not chr(c).isalpha()]] = 32
 _HIDDEN = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)")  # what isn't closed goes to the end
-_TAG = re.compile(r"<[^>]*>")
+_TAG = re.compile(r"<[^<>]*>")  # a tag ends before the next one begins, so no text is read twice
 _ROOT = re.compile(r"(?i)<html\b([^>]*)")
 _LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b")
 
