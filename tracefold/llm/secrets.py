@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -30,7 +33,8 @@ AROUND = 256
 NOVEL = 0.6
 #: The dictionary holds the corpus's most frequent identifiers, up to so many; they are words of letters joined by these signs.
 MOST_IDENTIFIERS, LONGEST = 400, 64
-IDENTIFIER = r"[A-Za-z]+(?:[_.-][A-Za-z]+)+"
+#: Possessive and bound to a word's beginning, so that a scan reads each letter at most twice.
+IDENTIFIER = re.compile(r"(?<![A-Za-z])[A-Za-z]++(?:[_.-][A-Za-z]++)++")
 #: Further identifiers and values that code holds near such words without their being secrets.
 IDENTIFIERS = (
     "access_token_expires_in refresh_token_url client_credentials authorization_code bearer_token_auth token_endpoint_auth_method "
@@ -70,6 +74,8 @@ class Novelty:
         if len(lower) != len(text):  # some characters lower to two: only the ASCII letters matter here
             lower = re.sub("[A-Z]", lambda m: m[0].lower(), text)
         hits = sorted(m for w in SENSITIVE for m in _starts(lower, w))
+        starts = [s for s, _, _ in known]
+        reached = list(accumulate((e for _, _, e in known), max))  # the furthest end of the spans up to each
         out, done = [], 0
         m = CANDIDATE.search(text)
         for a, b in hits:
@@ -81,7 +87,8 @@ class Novelty:
                 done = m.end()
                 got = m[0].strip(".=-_/")
                 at = m.start() + len(m[0]) - len(m[0].lstrip(".=-_/"))
-                if not (any(c.isdigit() for c in got) and any(c.isalpha() for c in got)) or any(s <= at and at + len(got) <= e for s, _, e in known):
+                before = bisect_right(starts, at)
+                if not (any(c.isdigit() for c in got) and any(c.isalpha() for c in got)) or (before and at + len(got) <= reached[before - 1]):
                     continue
                 if self(text, m.start(), m.end()) >= NOVEL:
                     out.append((m.start(), 3, m.end()))
@@ -99,12 +106,21 @@ def _said(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts of each batch hold an identifier."""
+    for b in batches:
+        held: Counter[str] = Counter()
+        for x in b.column(0):
+            held.update({w for w in IDENTIFIER.findall(x.as_py()) if len(w) <= LONGEST})
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+
+
 def dictionary(docs: DataFrame, text_col: str = "text") -> bytes:
     """IDENTIFIERS and the most frequent identifiers of all texts, the most frequent last, where the compressor finds them cheapest.
 
-    An identifier holds no digit, so a secret that is copied often doesn't become one."""
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(IDENTIFIER), F.lit(0)))).alias("word"))
-    often = words.where(F.length("word") <= LONGEST).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    An identifier holds no digit, so a secret that is copied often doesn't become one. Batches send sums, not words."""
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    often = texts.mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     top = often.orderBy(F.desc("n"), "word").limit(MOST_IDENTIFIERS).collect()
     return b" ".join([IDENTIFIERS, *[r.word.encode() for r in reversed(top)]])
 
