@@ -167,7 +167,7 @@ def test_lineage(spark):
     with pytest.raises(KeyError):
         lineage.cascade(spark.createDataFrame([("nobody",)], "id string"), nodes, edges)
     rows = spark.createDataFrame([(0, i, n) for i, n in enumerate(("obs", "other", "episode", "pattern"))], "ledger_id long, sequence long, id string")
-    left, kept = lineage.compacted(rows, edges, spark.createDataFrame([("obs",), ("episode",), ("pattern",)], "id string"))
+    left, kept, _ = lineage.compacted(rows, edges, spark.createDataFrame([("obs",), ("episode",), ("pattern",)], "id string"))
     assert [(x.id, x.sequence) for x in left.collect()] == [("other", 0)] and kept.count() == 0
 
 
@@ -271,7 +271,7 @@ def test_dropped_and_swapped_segments_are_seen(spark):
 def test_chain_is_built_anew_after_erasure(spark):
     rows = spark.createDataFrame([(1, i, f"e{i}", f"p{i}") for i in range(30)], "ledger_id long, sequence long, id string, payload string")
     edges = spark.createDataFrame([("e7", "e3", 0), ("e9", "e8", 0)], "derived_id string, source_id string, ordinal int")
-    left, links = lineage.compacted(chain.build(rows, 10), edges, spark.createDataFrame([("e3",), ("e7",)], "id string"), 10)
+    left, links, _ = lineage.compacted(chain.build(rows, 10), edges, spark.createDataFrame([("e3",), ("e7",)], "id string"))
     got = left.orderBy("sequence").collect()
     assert [r.id for r in got] == [f"e{i}" for i in range(30) if i not in (3, 7)] and [r.sequence for r in got] == list(range(28))
     assert chain.broken(left).collect() == [] and [r.derived_id for r in links.collect()] == ["e9"]

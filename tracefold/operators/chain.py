@@ -23,16 +23,22 @@ def _link(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(previous_hash=previous, hash=hashes)
 
 
+def link(rows: DataFrame) -> DataFrame:
+    """rows (ledger_id, segment, sequence, payload, ...) with previous_hash and hash; all other columns stay.
+
+    hash = SHA-256(previous_hash followed by the payload as stored), from GENESIS in each segment: a chain is serial, so
+    a segment is the most that one task holds."""
+    plain = rows.drop("previous_hash", "hash")
+    kinds = ", ".join(f"`{c}` {k}" for c, k in plain.dtypes)
+    return plain.groupBy("ledger_id", "segment").applyInPandas(_link, f"{kinds}, previous_hash string, hash string")
+
+
 def build(rows: DataFrame, segment_size: int = 10_000) -> DataFrame:
-    """rows (ledger_id, sequence, id, payload) with segment, previous_hash and hash.
+    """rows (ledger_id, sequence, id, payload, ...) with segment, previous_hash and hash; all other columns stay.
 
-    hash = SHA-256(previous_hash followed by the payload as stored). A chain is serial, so segments of segment_size
-    sequences are chained apart from GENESIS, and heads() chains their ends.
-    """
-    cut = rows.select("ledger_id", "sequence", "id", "payload").withColumn("segment", F.floor(F.col("sequence") / segment_size))
-    kinds = dict(cut.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in cut.columns) + ", previous_hash string, hash string"
-    return cut.groupBy("ledger_id", "segment").applyInPandas(_link, schema)
+    Segments of segment_size sequences are chained apart, see link(); heads() chains their ends, and merkle.tree() puts
+    them under one root."""
+    return link(rows.drop("segment").withColumn("segment", F.floor(F.col("sequence") / segment_size)))
 
 
 def heads(chained: DataFrame) -> DataFrame:

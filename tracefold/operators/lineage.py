@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import ROLE_LAYERS, ROLE_OUTPUT
 from ..functions.scan import scan
 from ..sources.tables import cut_lineage
-from .chain import build
+from .chain import build, link
 
 #: A frontier of at most so many counted ids is broadcast.
 SMALL_FRONTIER = 200_000
@@ -19,27 +21,62 @@ def sources(edges: DataFrame) -> DataFrame:
     return edges.groupBy("derived_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "source_id"))), lambda e: e["source_id"]).alias("sources"))
 
 
-def tree(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, most_depth: int = 64) -> DataFrame:
-    """root, id, depth, path: each node reachable toward its sources, once, at its first visit of a preorder walk.
+def _next(links: DataFrame, single: DataFrame) -> DataFrame:
+    return links.join(single, "derived_id", "left_semi").select(F.col("derived_id").alias("id"), F.col("source_id").alias("to"))
+
+
+def _jumps(links: DataFrame, single: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """By pointer doubling: tables (id, to) of the 1st, 2nd, 4th, ... source up a chain of nodes with a single source, as far as
+    chains go, and (id, to, far) of each chain's end, the first node without exactly one source."""
+    jumps = [cut_lineage(_next(links, single))]
+    ends = jumps[0].withColumn("far", F.lit(1).cast("long"))
+    most = jumps[0].count()
+    while not jumps[-1].isEmpty():
+        if 1 << (len(jumps) - 1) > most:  # a chain longer than its nodes: those that are left go in circles, and are no chain's
+            return _jumps(links, single.join(jumps[-1].select(F.col("id").alias("derived_id")), "derived_id", "left_anti"))
+        on = ends.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("far").alias("_far"))
+        ends = cut_lineage(ends.join(on, "to", "left").select("id", F.coalesce("_to", "to").alias("to"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far")))
+        last = jumps[-1]
+        jumps.append(cut_lineage(last.join(last.select(F.col("id").alias("to"), F.col("to").alias("_to")), "to").select("id", F.col("_to").alias("to"))))
+    return jumps[:-1], ends
+
 
-    Frontiers carry the path of edge ordinals; a node keeps its smallest path by root. Nodes that are missing are
-    skipped and not followed. place orders a root's rows as the walk does.
+def tree(seeds: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """root, id, depth, place: each node reachable toward its sources, once, at its first visit of a preorder walk.
+
+    Missing nodes are skipped and not followed; place orders a root's rows as the walk does. Chains of nodes with a
+    single source are crossed by pointer doubling, in as many rounds as their length has binary digits; only nodes with several
+    sources, the forks of a walk, take a round each along a path. A path is the list of ordinals taken at forks, and a
+    node keeps its smallest one by root, then the fewest steps behind its last fork.
     """
-    known = nodes.select("id")
-    level = seeds.select(F.col("id").alias("root"), "id", F.array().cast("array<int>").alias("path")).join(known, "id", "left_semi").select("root", "id", "path")
-    seen = level
-    for _ in range(most_depth):
-        step = level.join(edges, level.id == edges.derived_id).select("root", F.col("source_id").alias("id"), F.concat("path", F.array(F.col("ordinal").cast("int"))).alias("path"))
-        step = step.join(known, "id", "left_semi").groupBy("root", "id").agg(F.min("path").alias("path"))
-        old = seen.select("root", "id", F.col("path").alias("_old"))
-        level = cut_lineage(step.join(old, ["root", "id"], "left").where("_old IS NULL OR path < _old").select("root", "id", "path"))
-        if level.isEmpty():
+    known = cut_lineage(nodes.select("id").distinct())
+    links = edges.select("derived_id", "source_id", "ordinal").join(known.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
+    links = cut_lineage(links.join(known.withColumnRenamed("id", "derived_id"), "derived_id", "left_semi"))
+    single = cut_lineage(links.groupBy("derived_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("derived_id"))
+    jumps, ends = _jumps(links, single)
+    forks = cut_lineage(links.join(ends.select(F.col("id").alias("derived_id")), "derived_id", "left_anti"))
+    first = seeds.select("id").distinct().join(known, "id", "left_semi")
+    fresh = first.select(F.col("id").alias("root"), "id", F.array().cast("array<long>").alias("path"), F.lit(0).cast("long").alias("depth"))
+    entries, met = cut_lineage(fresh), None
+    fresh = entries
+    while not forks.isEmpty():
+        at = fresh.join(ends, "id", "left").groupBy("root", F.coalesce("to", "id").alias("id")).agg(F.min(F.struct("path", (F.col("depth") + F.coalesce("far", F.lit(0))).alias("depth"))).alias("by"))
+        if met is not None:  # forks that this round reaches on a smaller path than before
+            at = at.join(met.select("root", "id", F.col("by").alias("_by")), ["root", "id"], "left").where("_by IS NULL OR by.path < _by.path").drop("_by")
+        at = cut_lineage(at)
+        met = at if met is None else cut_lineage(met.unionByName(at).groupBy("root", "id").agg(F.min("by").alias("by")))
+        step = at.join(forks, at.id == forks.derived_id).select("root", F.col("source_id").alias("id"), F.concat("by.path", F.array(F.col("ordinal").cast("long"))).alias("path"), (F.col("by.depth") + 1).alias("depth"))
+        fresh = cut_lineage(step)
+        if fresh.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(level).groupBy("root", "id").agg(F.min("path").alias("path")))
-    else:
-        raise RuntimeError(f"deeper than {most_depth}")
-    place = F.row_number().over(Window.partitionBy("root").orderBy("path", "id")) - 1
-    return seen.select("root", "id", F.size("path").alias("depth"), place.alias("place"))
+        entries = entries.unionByName(fresh)
+    best = lambda rows: rows.groupBy("root", "id").agg(F.min(F.struct("path", "steps", "depth")).alias("by")).select("root", "id", "by.*")
+    seen = cut_lineage(best(entries.withColumn("steps", F.lit(0).cast("long"))))
+    for k, jump in enumerate(jumps):  # chains behind the entries: rows double, and a node's smaller path goes on alone
+        further = seen.join(jump, "id").select("root", F.col("to").alias("id"), "path", (F.col("steps") + (1 << k)).alias("steps"), (F.col("depth") + (1 << k)).alias("depth"))
+        seen = cut_lineage(best(seen.unionByName(further)))
+    place = F.row_number().over(Window.partitionBy("root").orderBy("path", "steps", "id")) - 1
+    return seen.select("root", "id", F.col("depth").cast("int").alias("depth"), place.alias("place"))
 
 
 def cascade(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
@@ -61,18 +98,63 @@ def cascade(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, most_rounds: i
     raise RuntimeError("no fixpoint")
 
 
-def compacted(rows: DataFrame, edges: DataFrame, erased: DataFrame, segment_size: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """Rows and edges without the erased ids; the rows that stay are numbered densely again in their order, payloads untouched.
+class Compacted(NamedTuple):
+    """What an erasure leaves: rows, edges, and for chained rows the tree over their segments, else None."""
+
+    rows: DataFrame
+    edges: DataFrame
+    tree: DataFrame | None
+
+
+def _renumbered(left: DataFrame) -> DataFrame:
+    """Chained rows with dense sequences by ledger: their segment's rows before it, and their place in the segment.
+
+    Places are counted in bounded segments, and only in those whose sequences have gaps; others are shifted."""
+    by = ["ledger_id", "segment"]
+    counts = cut_lineage(left.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("sequence").alias("_low"), F.max("sequence").alias("_high")))
+    first = scan(counts, ["ledger_id"], ["segment"], F.floor(F.col("segment") / 100_000), {"_first": ("sum_before", F.col("_n"))})
+    first = first.select(*by, "_first", "_low", (F.col("_high") - F.col("_low") + 1 > F.col("_n")).alias("_gaps"))
+    rows = left.join(F.broadcast(first) if counts.count() <= SMALL_FRONTIER else first, by)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("sequence")) - 1
+    loose = rows.where("_gaps").withColumn("_place", place.cast("long"))
+    dense = rows.where("NOT _gaps").withColumn("_place", F.col("sequence") - F.col("_low"))
+    return dense.unionByName(loose).withColumn("sequence", F.col("_first") + F.col("_place")).select(*left.columns)
+
+
+def compacted(rows: DataFrame, edges: DataFrame, erased: DataFrame, segment_size: int = 10_000, tree: DataFrame | None = None) -> Compacted:
+    """Rows and edges without the erased ids; the rows that stay are numbered densely again in their order, with all their columns.
+
+    Chained rows (segment, previous_hash, hash) keep their segment, whatever their new sequence: segments that lost a row
+    are linked anew from their stored payloads, all others keep their hashes, and in the tree over the segments (built if not
+    given) only the nodes above changed segments are hashed again. Rows with a payload and no chain get one, in segments of
+    segment_size; rows without payload are only numbered.
+    """
+    from . import merkle
 
-    Rows that hold a payload get segment, previous_hash and hash of a chain built anew from its start, so that the ledger
-    that stays verifies like any other; hashes that they had are dropped."""
-    left = rows.join(erased, "id", "left_anti")
-    out = scan(left.withColumnRenamed("sequence", "_old"), ["ledger_id"], ["_old"], F.floor(F.col("_old") / 1_000_000), {"sequence": ("sum_before", F.lit(1).cast("long"))}).drop("_old")
-    if "payload" in out.columns:
-        out = build(out.drop("segment", "previous_hash", "hash"), segment_size)
-    gone = erased.select(F.col("id"))
+    gone = cut_lineage(erased.select("id").distinct())
     kept = edges.join(gone.withColumnRenamed("id", "derived_id"), "derived_id", "left_anti").join(gone.withColumnRenamed("id", "source_id"), "source_id", "left_anti")
-    return out, kept
+    left = rows.join(gone, "id", "left_anti").select(*rows.columns)
+    if not {"segment", "previous_hash", "hash"} <= set(rows.columns):
+        out = scan(left.withColumnRenamed("sequence", "_old"), ["ledger_id"], ["_old"], F.floor(F.col("_old") / 1_000_000), {"sequence": ("sum_before", F.lit(1).cast("long"))}).drop("_old")
+        if "payload" not in out.columns:
+            return Compacted(out, kept, None)
+        out = cut_lineage(build(out, segment_size))
+        return Compacted(out, kept, merkle.tree(out))
+    by = ["ledger_id", "segment"]
+    tree = merkle.tree(rows) if tree is None else tree
+    touched = cut_lineage(rows.join(gone, "id", "left_semi").select(*by).distinct())
+    numbered = cut_lineage(_renumbered(left))
+    small = F.broadcast(touched) if touched.count() <= SMALL_FRONTIER else touched
+    linked = cut_lineage(link(numbered.join(small, by, "left_semi")))
+    out = numbered.join(small, by, "left_anti").unionByName(linked)
+    return Compacted(out, kept, merkle.renewed(tree, touched, merkle.leaves(linked)))
+
+
+def erase_range(rows: DataFrame, edges: DataFrame, since: int | None, until: int | None, confirm: bool, segment_size: int = 10_000) -> Compacted:
+    """What stays after erasing the rows in the range and all that derives from them."""
+    if not confirm:
+        raise ValueError("confirm is required")
+    return compacted(rows, edges, cascade(in_range(rows, since, until), rows, edges), segment_size)
 
 
 def in_range(rows: DataFrame, since: int | None, until: int | None) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import Retention
 from ..functions.columns import whole_number
+from .lineage import Compacted, cascade, compacted, in_range, sources
+from .privacy import audit
 
 PROTECTED = ("episode", "pattern", "agent_run")
 
@@ -33,18 +35,14 @@ def preview(records: DataFrame, now_us: int, c: Retention = Retention()) -> Data
 
 def plan(records: DataFrame, edges: DataFrame, now_us: int, c: Retention = Retention()) -> DataFrame:
     """Eligible records with their sources in insertion order."""
-    from .lineage import sources
-
     return eligible(records, now_us, c).join(sources(edges).withColumnRenamed("derived_id", "id"), "id", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
 
 
-def applied(records: DataFrame, edges: DataFrame, now_us: int, confirm: bool, c: Retention = Retention()) -> tuple[DataFrame, DataFrame]:
-    """What stays of records and edges after erasing the eligible ones and all that derives from them."""
+def applied(records: DataFrame, edges: DataFrame, now_us: int, confirm: bool, c: Retention = Retention(), segment_size: int = 10_000) -> Compacted:
+    """What stays of records, edges and the tree over segments after erasing the eligible ones and all that derives from them."""
     if not confirm:
         raise ValueError("confirm is required")
-    from .lineage import cascade, compacted
-
-    return compacted(records, edges, cascade(eligible(records, now_us, c).select("id"), records, edges))
+    return compacted(records, edges, cascade(eligible(records, now_us, c).select("id"), records, edges), segment_size)
 
 
 def export_bundle(records: DataFrame, edges: DataFrame, since: int | None = None, until: int | None = None) -> DataFrame:
@@ -52,9 +50,6 @@ def export_bundle(records: DataFrame, edges: DataFrame, since: int | None = None
 
     A record that holds a forbidden key anywhere stops the export.
     """
-    from .lineage import in_range, sources
-    from .privacy import audit
-
     chosen = records if since is None and until is None else records.join(in_range(records, since, until), "id", "left_semi")
     leak = audit(chosen.select("id", "payload")).take(1)
     if leak:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .queries import ACK_US, AGENT_US, ERASED_SEGMENT, FRAME, HMAC_KEY, RATE, SEGMENT
+from ..operators.merkle import FAN_OUT
+from .queries import ACK_US, AGENT_US, ERASED_SEGMENT, FRAME, HMAC_KEY, RATE, SEGMENT, TREE_SEGMENT
 from .views import VIEWS
 
 V = {name: text for name, (_, text) in VIEWS.items()}
@@ -140,13 +141,36 @@ c AS (SELECT ledger_id, sequence, id, payload, segment, n, '0' AS previous_hash,
  UNION ALL SELECT r.ledger_id, r.sequence, r.id, r.payload, r.segment, r.n, c.hash, sha256(c.hash || r.payload) FROM c JOIN rows_ r ON r.ledger_id = c.ledger_id AND r.segment = c.segment AND r.n = c.n + 1)"""
 
 
-def _chain(rows: str, segment: int) -> str:
-    """CTEs that chain rows (ledger_id, id, sequence dense from 0, payload) in segments; the last is c."""
-    return f"""rows_ AS (SELECT *, sequence // {segment} AS segment, sequence % {segment} AS n FROM {rows}),
-c AS (SELECT ledger_id, id, sequence, payload, segment, n, '0' AS previous_hash, sha256('0' || payload) AS hash FROM rows_ WHERE n = 0
- UNION ALL SELECT r.ledger_id, r.id, r.sequence, r.payload, r.segment, r.n, c.hash, sha256(c.hash || r.payload) FROM c JOIN rows_ r ON r.ledger_id = c.ledger_id AND r.segment = c.segment AND r.n = c.n + 1)"""
+def _chain(rows: str, columns: str, payload: str = "payload") -> str:
+    """CTEs that chain rows (ledger_id, segment, sequence, columns) by ledger and segment from '0'; the last is c."""
+    named = ", ".join(f"r.{x.strip()}" for x in columns.split(","))
+    return f"""rows_ AS (SELECT *, row_number() OVER (PARTITION BY ledger_id, segment ORDER BY sequence) AS n FROM {rows}),
+c AS (SELECT ledger_id, segment, sequence, n, {columns}, '0' AS previous_hash, sha256('0' || {payload}) AS hash FROM rows_ WHERE n = 1
+ UNION ALL SELECT r.ledger_id, r.segment, r.sequence, r.n, {named}, c.hash, sha256(c.hash || r.{payload}) FROM c JOIN rows_ r ON r.ledger_id = c.ledger_id AND r.segment = c.segment AND r.n = c.n + 1)"""
 
 
+def _tree(chained: str) -> str:
+    """CTEs l0 to l4 and nodes: the hash tree over the segments of chained rows; levels end where all ledgers have one node."""
+    up = lambda k: f"""l{k + 1} AS (SELECT ledger_id, {k + 1} AS level, node // {FAN_OUT} AS node, sum(rows)::BIGINT AS rows, sha256(string_agg(node || ':' || rows || ':' || hash, ';' ORDER BY node)) AS hash
+  FROM l{k} WHERE (SELECT max(node) FROM l{k}) > 0 GROUP BY ledger_id, node // {FAN_OUT})"""
+    return f"l0 AS (SELECT ledger_id, 0 AS level, segment AS node, count(*) AS rows, arg_max(hash, sequence) AS hash FROM {chained} GROUP BY ALL), " + ", ".join(map(up, range(4))) + ", tree AS (" + " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(5)) + ")"
+
+
+_STORED = "ledger_id, id, kind, stream_id, ts_us, recorded_us, payload, segment, sequence, previous_hash, hash"
+
+
+def _left(gone: str, time: str) -> str:
+    """CTEs: stored records that aren't gone, chained by their segments; n is their sequence. gone is a recursive CTE's body."""
+    return f""", gone(id) AS ({gone}),
+stored AS (SELECT ledger_id, event AS old, event // {ERASED_SEGMENT} AS segment, id, kind, 's' || event % 4 AS stream_id, {time} AS ts_us, recorded_us, '{{"ts_us":' || recorded_us || '}}' AS payload FROM (SELECT *, sequence AS event FROM records)),
+left_ AS (SELECT *, row_number() OVER (PARTITION BY ledger_id ORDER BY old) - 1 AS sequence FROM stored WHERE id NOT IN (SELECT id FROM gone)),
+""" + _chain("left_", "id, kind, stream_id, ts_us, recorded_us, payload")
+
+
+_RANGE = "SELECT id FROM records WHERE kind <> 'episode' AND recorded_us BETWEEN 360000000000 AND 540000000000 UNION SELECT e.derived_id FROM gone JOIN edges e ON e.source_id = gone.id"
+_TIME = "CASE WHEN kind <> 'episode' THEN recorded_us END"
+_TREE_ROWS = f"""WITH RECURSIVE given AS (SELECT *, sequence // {TREE_SEGMENT} AS segment FROM ({V['chain_rows']})), """ + _chain("given", "id, payload")
+
 ORACLES: dict[str, str] = {
     "envelope_scan": V["envelopes"],
     "ledger_scan": f"{_w('chain_rows')} SELECT ledger_id, sequence, CASE WHEN sequence % 10 = 0 THEN NULL ELSE CAST(json_extract(payload, '$.k') AS BIGINT) END AS k FROM chain_rows",
@@ -199,15 +223,31 @@ SELECT ledger_id, count(*) AS n, round(count(*) FILTER (s = y) / count(*), 6) AS
 h AS (SELECT ledger_id, segment, head, rows, k, '0' AS previous_hash, sha256('0' || head) AS hash FROM e WHERE k = 1
  UNION ALL SELECT e.ledger_id, e.segment, e.head, e.rows, e.k, h.hash, sha256(h.hash || e.head) FROM h JOIN e ON e.ledger_id = h.ledger_id AND e.k = h.k + 1)
 SELECT * EXCLUDE (k) FROM h""",
-    "chain_verify_heads": f"{_w('chain_rows')} SELECT DISTINCT ledger_id, sequence // {SEGMENT} AS segment, CASE sequence // {SEGMENT} WHEN 0 THEN CASE WHEN count(*) OVER (PARTITION BY ledger_id, sequence // {SEGMENT}) = 1 THEN 'missing' ELSE 'changed' END ELSE 'missing' END AS fault FROM chain_rows WHERE sequence < {2 * SEGMENT}",
+    "chain_verify_heads": _CHAINED + """, ends AS (SELECT ledger_id, segment, arg_max(hash, sequence) AS head, count(*) AS rows, row_number() OVER (PARTITION BY ledger_id ORDER BY segment) AS k FROM c GROUP BY 1, 2),
+h AS (SELECT ledger_id, segment, head, rows, k, '0' AS previous_hash, sha256('0' || head) AS hash FROM ends WHERE k = 1
+ UNION ALL SELECT e.ledger_id, e.segment, e.head, e.rows, e.k, h.hash, sha256(h.hash || e.head) FROM h JOIN ends e ON e.ledger_id = h.ledger_id AND e.k = h.k + 1),
+last AS (SELECT ledger_id, max(sequence) AS sequence FROM c WHERE segment = 0 GROUP BY 1),
+now AS (SELECT ledger_id, segment, arg_max(hash, sequence) AS head, count(*) AS rows FROM c WHERE segment <> 1 AND (ledger_id, sequence) NOT IN (SELECT (ledger_id, sequence) FROM last) GROUP BY 1, 2),
+linked AS (SELECT *, previous_hash = coalesce(lag(hash) OVER (PARTITION BY ledger_id ORDER BY segment), '0') AND hash = sha256(previous_hash || head) AS follows FROM h),
+faults AS (SELECT ledger_id, segment, CASE WHEN n.head IS NULL THEN 'missing' WHEN l.head IS NULL THEN 'unknown' WHEN l.head <> n.head OR l.rows <> n.rows THEN 'changed' WHEN NOT l.follows THEN 'unlinked' END AS fault FROM linked l FULL JOIN now n USING (ledger_id, segment))
+SELECT * FROM faults WHERE fault IS NOT NULL""",
     "chain_verify": f"{_w('chain_rows')} SELECT ledger_id, sequence // {SEGMENT} AS segment, min(sequence) AS first_broken FROM chain_rows WHERE sequence % 1777 = 5 GROUP BY 1, 2",
     "event_history": f"{_w('chain_rows')} SELECT ledger_id, sequence, id AS ancestor FROM chain_rows",
     "provenance_sources": f"{_w('lineage_edges')} SELECT derived_id, string_agg(source_id, ',' ORDER BY ordinal) AS sources FROM lineage_edges GROUP BY 1",
     "provenance_tree": f"""WITH RECURSIVE nodes AS ({V['lineage_nodes']}), edges AS ({V['lineage_edges']}),
-t AS (SELECT id AS root, id, 0 AS depth FROM nodes WHERE kind = 'order' UNION ALL SELECT t.root, e.source_id, t.depth + 1 FROM t JOIN edges e ON e.derived_id = t.id JOIN nodes n ON n.id = e.source_id) SELECT root, id, depth, depth AS place FROM t""",
+t AS (SELECT id AS root, id, 0 AS depth FROM nodes UNION ALL SELECT t.root, e.source_id, t.depth + 1 FROM t JOIN edges e ON e.derived_id = t.id JOIN nodes n ON n.id = e.source_id) SELECT root, id, depth, depth AS place FROM t""",
     "erase_cascade": _CLOSURE + "SELECT id FROM gone",
-    "erase_compact": _CLOSURE + ", kept AS (SELECT 0 AS ledger_id, id, id AS payload, row_number() OVER (ORDER BY sequence_class, n, coalesce(try_cast(string_split(id, ':')[4] AS BIGINT), 0)) - 1 AS sequence FROM nodes WHERE id NOT IN (SELECT id FROM gone)), " + _chain("kept", ERASED_SEGMENT) + " SELECT id, sequence, previous_hash, hash FROM c",
-    "range_erase": _REC + ", gone(id) AS (SELECT id FROM records WHERE kind <> 'episode' AND recorded_us BETWEEN 360000000000 AND 540000000000 UNION SELECT e.derived_id FROM gone JOIN edges e ON e.source_id = gone.id) SELECT ledger_id, id, row_number() OVER (PARTITION BY ledger_id ORDER BY sequence) - 1 AS sequence FROM records WHERE id NOT IN (SELECT id FROM gone)",
+    "erase_compact": _CLOSURE + f""", led AS (SELECT *, s // {ERASED_SEGMENT} AS segment FROM (SELECT 0 AS ledger_id, id, kind, kind AS stream_id, n * 1000 AS ts_us, '{{"id":"' || id || '"}}' AS payload, row_number() OVER (ORDER BY sequence_class, n, coalesce(try_cast(string_split(id, ':')[4] AS BIGINT), 0)) - 1 AS s FROM nodes)),
+kept AS (SELECT *, row_number() OVER (ORDER BY s) - 1 AS sequence FROM led WHERE id NOT IN (SELECT id FROM gone)), """ + _chain("kept", "id, kind, stream_id, ts_us, payload") + " SELECT id, kind, stream_id, ts_us, payload, segment, sequence, previous_hash, hash FROM c",
+    "range_erase": _REC + _left(_RANGE, _TIME) + f" SELECT {_STORED} FROM c",
+    "erase_tree": _REC + _left(_RANGE, _TIME) + ", " + _tree("c") + " SELECT * FROM tree",
+    "erase_edges": _REC + ", gone(id) AS (" + _RANGE + ") SELECT * FROM edges WHERE derived_id NOT IN (SELECT id FROM gone) AND source_id NOT IN (SELECT id FROM gone)",
+    "chain_tree": _TREE_ROWS + ", " + _tree("c") + " SELECT * FROM tree",
+    "chain_verify_tree": _TREE_ROWS + ", " + _tree("c") + f""", stored AS (SELECT * REPLACE (CASE WHEN level = 1 AND ledger_id = 3 THEN 'x' || hash ELSE hash END AS hash) FROM tree),
+now AS (SELECT ledger_id, 0 AS level, segment AS node, count(*) AS rows, arg_max(CASE WHEN segment % 7 = 3 THEN 'x' || hash ELSE hash END, sequence) AS hash FROM c WHERE segment % 9 <> 2 GROUP BY ALL
+  UNION ALL SELECT ledger_id, level + 1, node // {FAN_OUT}, sum(rows), sha256(string_agg(node || ':' || rows || ':' || hash, ';' ORDER BY node)) FROM stored WHERE level < (SELECT max(level) FROM stored) GROUP BY ledger_id, level + 1, node // {FAN_OUT}),
+f AS (SELECT ledger_id, level, node, CASE WHEN n.hash IS NULL THEN CASE WHEN level = 0 THEN 'missing' ELSE 'unknown' END WHEN s.hash IS NULL THEN CASE WHEN level = 0 THEN 'unknown' ELSE 'missing' END WHEN n.hash <> s.hash OR n.rows <> s.rows THEN 'changed' END AS fault FROM stored s FULL JOIN now n USING (ledger_id, level, node))
+SELECT * FROM f WHERE fault IS NOT NULL""",
     "claim_violations": _CLAIMS + "SELECT claim_id, violation, CASE WHEN violation = 'imagined_as_fact' THEN bad END AS evidence_id FROM bad WHERE violation IS NOT NULL",
     "role_violations": _CLAIMS + "SELECT claim_id, CASE WHEN a.role IS NULL THEN 'role_layer' ELSE violation END AS violation FROM claims LEFT JOIN allowed a USING (role, layer) LEFT JOIN bad USING (claim_id) WHERE a.role IS NULL OR violation IS NOT NULL",
     "agent_evidence": BASE + f"SELECT ledger_id, 'agent-run-skeptic-{AGENT_US}' AS id, 'INTERPRETED' AS layer, 'INSUFFICIENT_EVIDENCE' AS status, count(*) AS evidence FROM beliefs GROUP BY 1",
@@ -215,7 +255,7 @@ t AS (SELECT id AS root, id, 0 AS depth FROM nodes WHERE kind = 'order' UNION AL
     "retention_preview": _REC + ", x AS (SELECT *, m + 31449600000000 - recorded_us >= cutoff AS old FROM cut, last) SELECT count(*) FILTER (old AND kind = 'observation') AS observations, count(*) FILTER (old AND kind = 'belief') AS beliefs, count(*) FILTER (old AND kind = 'event') AS events, count(*) FILTER (kind IN ('episode','pattern','agent_run')) AS protected FROM x",
     "retention_plan": _REC + "SELECT id, kind, coalesce(sources, '') AS sources FROM (SELECT id, kind FROM cut, last WHERE m + 2419200000000 - recorded_us >= cutoff) LEFT JOIN (SELECT derived_id AS id, string_agg(source_id, ',' ORDER BY ordinal) AS sources FROM edges GROUP BY 1) USING (id)",
     "retention_plan_sink": _REC + "SELECT id, kind, coalesce(sources, '') AS sources FROM (SELECT id, kind FROM cut, last WHERE m + 2419200000000 - recorded_us >= cutoff) LEFT JOIN (SELECT derived_id AS id, string_agg(source_id, ',' ORDER BY ordinal) AS sources FROM edges GROUP BY 1) USING (id)",
-    "retention_apply": _REC + ", gone(id) AS (SELECT id FROM cut, last WHERE m + 3600000000 - recorded_us >= cutoff UNION SELECT e.derived_id FROM gone JOIN edges e ON e.source_id = gone.id) SELECT ledger_id, id, row_number() OVER (PARTITION BY ledger_id ORDER BY sequence) - 1 AS sequence FROM records WHERE id NOT IN (SELECT id FROM gone)",
+    "retention_apply": _REC + _left("SELECT id FROM cut, last WHERE m + 3600000000 - recorded_us >= cutoff UNION SELECT e.derived_id FROM gone JOIN edges e ON e.source_id = gone.id", _TIME) + f" SELECT {_STORED} FROM c",
     "export_bundle": _REC + "SELECT id, kind, recorded_us AS ts_us, coalesce(sources, '') AS sources FROM records LEFT JOIN (SELECT derived_id AS id, string_agg(source_id, ',' ORDER BY ordinal) AS sources FROM edges GROUP BY 1) USING (id) WHERE kind <> 'episode' AND recorded_us BETWEEN 60000000000 AND 3000000000000",
     "export_sink": _REC + ", x AS (SELECT id, kind, recorded_us AS ts_us FROM records WHERE kind <> 'episode' AND recorded_us BETWEEN 60000000000 AND 3000000000000) SELECT *, count(*) OVER () AS records FROM x",
     "pseudonymize": f"SELECT c_custkey, 'ble:' || sha256('{_PADS[1]}'::BLOB || unhex(sha256('{_PADS[0]}'::BLOB || encode(c_custkey::VARCHAR)))) AS pseudonym FROM customer",

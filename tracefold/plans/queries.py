@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..config import DAY, SECOND
 from ..functions import columns as C
 from ..operators import calibration as cal
-from ..operators import chain, features, ingest, lineage, privacy, retention, rollups, sessions, validate
+from ..functions.scan import scan
+from ..operators import chain, features, ingest, lineage, merkle, privacy, retention, rollups, sessions, validate
 from ..sources import tables
 from ..sources.tables import cut_lineage
 from .views import view
@@ -308,7 +309,7 @@ def calibration_report(s, d):
 
 # Chains and lineage
 
-SEGMENT, ERASED_SEGMENT = 2000, 200
+SEGMENT, ERASED_SEGMENT, TREE_SEGMENT = 2000, 200, 50
 
 
 def chained(s: SparkSession, d: str) -> DataFrame:
@@ -339,6 +340,20 @@ def chain_verify_heads(s, d):
     return chain.broken_heads(whole.where("segment <> 1").join(last, ["ledger_id", "sequence"], "left_anti"), chain.heads(whole))
 
 
+@query
+def chain_tree(s, d):
+    return merkle.tree(chain.build(view(s, d, "chain_rows"), TREE_SEGMENT))
+
+
+@query
+def chain_verify_tree(s, d):
+    """Some segments without their rows, some with another last hash, and one ledger's nodes over the segments overwritten in the stored tree."""
+    whole = cut_lineage(chain.build(view(s, d, "chain_rows"), TREE_SEGMENT))
+    nodes = cut_lineage(merkle.tree(whole).withColumn("hash", F.when((F.col("level") == 1) & (F.col("ledger_id") == 3), F.concat(F.lit("x"), "hash")).otherwise(F.col("hash"))))
+    spoilt = whole.where("segment % 9 <> 2").withColumn("hash", F.when(F.col("segment") % 7 == 3, F.concat(F.lit("x"), "hash")).otherwise(F.col("hash")))
+    return merkle.broken(spoilt, nodes)
+
+
 @query
 def event_history(s, d):
     rows = view(s, d, "chain_rows")
@@ -361,7 +376,9 @@ def provenance_sources(s, d):
 
 @query
 def provenance_tree(s, d):
-    return lineage.tree(nodes(s, d).where("kind = 'order'"), nodes(s, d), edges(s, d))
+    """The walk from every node."""
+    every = cut_lineage(nodes(s, d))
+    return lineage.tree(every, every, edges(s, d))
 
 
 @query
@@ -369,27 +386,55 @@ def erase_cascade(s, d):
     return lineage.cascade(nodes(s, d).where("id = 'r:1'"), nodes(s, d), edges(s, d))
 
 
-def _numbered_nodes(s: SparkSession, d: str) -> DataFrame:
-    """All nodes as one ledger: kinds after each other, lines by order, line number and the number among rows that repeat both."""
+def node_ledger(s: SparkSession, d: str) -> DataFrame:
+    """All nodes as one chained ledger: kinds after each other, lines by order, line number and the number among rows that repeat both."""
     repeat = F.coalesce(F.try_element_at(F.split("id", ":"), F.lit(4)).cast("long"), F.lit(0))
-    return nodes(s, d).select(F.lit(0).cast("long").alias("ledger_id"), "id", F.col("id").alias("payload"), (F.col("sequence_class") * 100_000_000_000_000 + F.col("n") * 1000 + repeat).alias("sequence"))
+    place = (F.col("sequence_class") * 100_000_000_000_000 + F.col("n") * 1000 + repeat).alias("place")
+    payload = F.concat(F.lit('{"id":"'), "id", F.lit('"}'))
+    rows = nodes(s, d).select(F.lit(0).cast("long").alias("ledger_id"), "id", "kind", F.col("kind").alias("stream_id"), (F.col("n") * 1000).alias("ts_us"), payload.alias("payload"), place)
+    dense = scan(rows, ["ledger_id"], ["place"], F.floor(F.col("place") / 1_000_000_000), {"sequence": ("sum_before", F.lit(1).cast("long"))})
+    return chain.build(dense.drop("place"), ERASED_SEGMENT)
 
 
 @query
 def erase_compact(s, d):
-    left, _ = lineage.compacted(_numbered_nodes(s, d), edges(s, d), lineage.cascade(nodes(s, d).where("id = 'r:1'"), nodes(s, d), edges(s, d)), ERASED_SEGMENT)
-    return left.select("id", "sequence", "previous_hash", "hash")
+    rows, links = cut_lineage(node_ledger(s, d)), cut_lineage(edges(s, d))
+    left = lineage.compacted(rows, links, lineage.cascade(rows.where("id = 'r:1'"), rows, links)).rows
+    return left.select("id", "kind", "stream_id", "ts_us", "payload", "segment", "sequence", "previous_hash", "hash")
 
 
 def records(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "retained_records").withColumn("ts_us", F.when(F.col("kind").isin("episode"), F.lit(None).cast("long")).otherwise(F.col("recorded_us")))
 
 
+def stored_records(s: SparkSession, d: str) -> DataFrame:
+    """Records as a chained ledger with kind, stream, time and payload."""
+    rows = records(s, d).withColumn("stream_id", F.concat(F.lit("s"), F.col("sequence") % 4)).withColumn("payload", F.format_string('{"ts_us":%d}', "recorded_us"))
+    return cut_lineage(chain.build(rows, ERASED_SEGMENT))
+
+
+STORED = ("ledger_id", "id", "kind", "stream_id", "ts_us", "recorded_us", "payload", "segment", "sequence", "previous_hash", "hash")
+
+
+def _range_erased(s: SparkSession, d: str) -> lineage.Compacted:
+    return lineage.erase_range(stored_records(s, d), view(s, d, "retained_edges"), 600 * 600 * SECOND, 900 * 600 * SECOND, True)
+
+
 @query
 def range_erase(s, d):
-    rows, links = records(s, d), view(s, d, "retained_edges")
-    left, _ = lineage.compacted(rows, links, lineage.cascade(lineage.in_range(rows, 600 * 600 * SECOND, 900 * 600 * SECOND), rows, links))
-    return left.select("ledger_id", "id", "sequence")
+    return _range_erased(s, d).rows.select(*STORED)
+
+
+@query
+def erase_tree(s, d):
+    """The tree over the segments after an erasure, of which only paths above changed segments are hashed again."""
+    return _range_erased(s, d).tree
+
+
+@query
+def erase_edges(s, d):
+    """The edges that an erasure leaves."""
+    return _range_erased(s, d).edges.select("derived_id", "source_id", "ordinal")
 
 
 @query
@@ -431,7 +476,7 @@ def retention_plan(s, d):
 
 @query
 def retention_apply(s, d):
-    return retention.applied(view(s, d, "retained_records"), view(s, d, "retained_edges"), _now(s, d, 3600 * SECOND), True)[0].select("ledger_id", "id", "sequence")
+    return retention.applied(stored_records(s, d), view(s, d, "retained_edges"), _now(s, d, 3600 * SECOND), True).rows.select(*STORED)
 
 
 @query
