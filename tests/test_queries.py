@@ -1,17 +1,12 @@
-"""Registered queries against their DuckDB SQL on the smallest tables, and streams against batches."""
+"""Registered queries against their DuckDB SQL on the smallest tables."""
 
 import os
 import sys
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
-from tracefold.operators import ingest, sessions
 from tracefold.plans import oracles, queries
-from tracefold.plans.views import view
-from tracefold.sources.tables import cut_lineage
-from tracefold.streaming import ingest as streaming
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -47,43 +42,3 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
-
-
-@pytest.fixture
-def rocks(spark):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(key, streaming.STATE_STORE)
-    yield
-    spark.conf.unset(key)
-
-
-def replayed(spark, rows, order, schema, tmp_path, make, parts=3):
-    """What a stream gives for rows that come in files, split in order."""
-    place = rows.orderBy(order).collect()
-    step = -(-len(place) // parts)
-    for i in range(parts):
-        spark.createDataFrame(place[i * step : (i + 1) * step], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = make(stream).writeStream.format("memory").queryName("replayed").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
-    q.awaitTermination(240)
-    return spark.table("replayed")
-
-
-def test_fusion_stream_equals_batch(spark, rocks, tmp_path):
-    rows = cut_lineage(view(spark, SF, "envelopes").where("ledger_id < 3"))
-    got = replayed(spark, rows, "arrival", rows.schema, tmp_path, streaming.fused)
-    batch = ingest.with_gaps(queries.validate.accepted(rows))
-    assert {(r.message_id, r.jump, r.silent) for r in got.collect()} == {(r.message_id, r.jump, r.silent) for r in batch.collect()}
-    want = {r.source_observation_id: r for r in ingest.belief_table(ingest.beliefs(rows)).collect()}
-    found = {r.message_id: r for r in got.where("probability IS NOT NULL").collect()}
-    assert set(found) == set(want)
-    for i, r in found.items():
-        assert (r.probability, r.confidence) == pytest.approx((want[i].probability, want[i].confidence), abs=1e-9) and r.state == want[i].state
-
-
-def test_session_stream_equals_batch(spark, rocks, tmp_path):
-    rows = cut_lineage(queries.samples(spark, SF))
-    got = {tuple(r) for r in replayed(spark, rows, ["ts_us", "sequence"], rows.schema, tmp_path, streaming.sessions).collect()}
-    want = sessions.merged(sessions.occupancy(rows))
-    last = {r.ledger_id: r.s for r in want.groupBy("ledger_id").agg(F.max("start_us").alias("s")).collect()}
-    assert got == {tuple(r) for r in want.collect() if r.start_us != last[r.ledger_id]}

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import cut_lineage
+from ..sources.shared import cut_lineage
 
 #: Estimated bytes of an input up to which one window for a key will do.
 SMALL_BYTES = 256 << 20
