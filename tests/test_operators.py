@@ -290,3 +290,58 @@ def test_matching_in_one_dense_island(spark):
             want.append((line, min(near)[1]))
     got = calibration.matched(spark.createDataFrame(beliefs, "ledger_id long, ts_us long, sequence long, p double"), spark.createDataFrame(labels, "ledger_id long, ts_us long, line_no long, occupied boolean"), 60)
     assert sorted((x.line_no, x.sequence) for x in got.collect()) == want
+
+
+def in_turn(beliefs, labels, reach):
+    """Labels in file order, each the nearest unused belief."""
+    used, want = set(), []
+    for led, t, line, _ in sorted(labels, key=lambda x: (x[0], x[2])):
+        near = [(abs(b - t), i) for bl, b, i, _ in beliefs if bl == led and i not in used and abs(b - t) <= reach]
+        if near:
+            used.add(min(near)[1])
+            want.append((line, min(near)[1]))
+    return sorted(want)
+
+
+@pytest.mark.parametrize("slot,seed", [(1, 1), (130, 2), (400, 3), (10_000, 4)])
+def test_matching_over_slots_equals_choosing_in_turn(spark, slot, seed):
+    """Files in and out of time order, dense points, narrow slots over whose borders labels compete."""
+    r = random.Random(seed)
+    beliefs = [(seed % 2 + i % 2, r.randrange(0, 3000), i, i / 500) for i in range(260)]
+    labels = [(seed % 2 + i % 2, r.randrange(0, 3000) if seed % 2 else 12 * i, i, i % 3 == 0) for i in range(240)]
+    got = calibration.matched(spark.createDataFrame(beliefs, "ledger_id long, ts_us long, sequence long, p double"), spark.createDataFrame(labels, "ledger_id long, ts_us long, line_no long, occupied boolean"), 60, slot).collect()
+    assert sorted((x.line_no, x.sequence) for x in got) == in_turn(beliefs, labels, 60)
+    assert all(x.p == beliefs[x.sequence][3] and x.occupied == labels[x.line_no][3] for x in got)
+
+
+def test_matching_without_beliefs_or_labels(spark):
+    b, lab = "ledger_id long, ts_us long, sequence long, p double", "ledger_id long, ts_us long, line_no long, occupied boolean"
+    one = spark.createDataFrame([(1, 5, 0, 0.5)], b)
+    assert calibration.matched(spark.createDataFrame([], b), spark.createDataFrame([(1, 5, 0, True)], lab)).collect() == []
+    assert calibration.matched(one, spark.createDataFrame([], lab)).collect() == []
+    assert [tuple(x) for x in calibration.matched(one, spark.createDataFrame([(1, 500_005, 7, True), (1, 500_006, 8, True)], lab)).collect()] == [(1, 7, 0, 0.5, True)]
+    with pytest.raises(ValueError):
+        calibration.matched(one, spark.createDataFrame([], lab), -1)
+
+
+def test_ble_windows_fill_gaps_in_chunks(spark):
+    hits = [("a", 0, -5), ("b", 23_000_000, -7), ("a", 400_000_000, -9)]
+    rows = features.ble_windows(spark.createDataFrame(hits, "pseudonym string, ts_us long, rssi int"), chunk=7).collect()
+    assert sorted((r.window_us, r.cluster_count) for r in rows) == [(w, int(w in (0, 20_000_000, 400_000_000))) for w in range(0, 400_000_001, 5_000_000)]
+    assert features.ble_windows(spark.createDataFrame([], "pseudonym string, ts_us long, rssi int")).collect() == []
+    one = features.ble_windows(spark.createDataFrame([("a", 0, -5), ("a", 5_000_000 * 2_000_000, -5)], "pseudonym string, ts_us long, rssi int"))
+    assert one.count() == 2_000_001
+
+
+def test_samples_of_fusion_or_of_every_stream(spark):
+    rows = spark.createDataFrame([(1, 5, 0, "belief", "fusion", 0.5), (1, 6, 1, "belief", "other", 0.7), (1, 7, 2, "observation", "camera", None), (1, 8, 3, "belief", "fusion", None)], "ledger_id long, ts_us long, sequence long, kind string, stream_id string, probability double")
+    assert [r.sequence for r in sessions.samples(rows).collect()] == [0]
+    assert [r.sequence for r in sessions.samples(rows, fusion_only=False).collect()] == [0, 1]
+
+
+def test_persisted_ids_are_duplicates(spark):
+    env = "ledger_id long, arrival long, schema_version int, message_id string, sensor_stream_id string, monotonic_sequence long, captured_at_utc_us long, payload string"
+    rows = [(1, i, 2 if m == "v" else 1, m, "wifi", i, i, '{"rssi_mean":-1}' if m != "bad" else "{") for i, m in enumerate(["old", "new", "bad", "gap:x", "v", "new"])]
+    stored = spark.createDataFrame([(1, "old"), (1, "bad"), (1, "gap:x"), (2, "new"), (1, "v"), (1, "old")], "ledger_id long, id string")
+    got = {r.arrival: r.status for r in validate.classified(spark.createDataFrame(rows, env), persisted=stored).collect()}
+    assert got == {0: "duplicate", 1: "accepted", 2: "duplicate", 3: "duplicate", 4: "version", 5: "duplicate"}

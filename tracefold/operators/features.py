@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..config import SECOND
 from ..functions.scan import scan
+from ..sources.shared import cut_lineage
 
 ROLLOFF, JOINT_CONFIDENCE = 0.85, 0.25
 
@@ -100,15 +101,25 @@ def audio_features(frames: DataFrame, id_col: str = "frame_id") -> DataFrame:
     return rows.withColumn("voice_activity_probability", voice_activity(F.col("rms"), F.col("zero_crossing_rate"), F.col("spectral_flatness"))).drop("samples", "sample_rate", "mags")
 
 
-def ble_windows(hits: DataFrame, window_us: int = 5 * SECOND, empty: bool = True) -> DataFrame:
-    """window_us, cluster_count, clusters (pseudonym, mean rssi cut toward zero) of hits (pseudonym, ts_us, rssi); empty windows count 0."""
+def ble_windows(hits: DataFrame, window_us: int = 5 * SECOND, empty: bool = True, chunk: int = 10_000) -> DataFrame:
+    """window_us, cluster_count, clusters (pseudonym, mean rssi cut toward zero) of hits (pseudonym, ts_us, rssi); empty windows count 0.
+
+    Each window makes the empty ones since the one before it, in rows of at most chunk windows that are dealt out before
+    they are unfolded: a hit that is far from all others costs its empty windows, but no array or task of all of them."""
     at = (F.floor(F.col("ts_us") / window_us) * window_us).alias("window_us")
     each = hits.groupBy(at, "pseudonym").agg(F.expr("sum(rssi) div count(1)").cast("int").alias("rssi"))
     rows = each.groupBy("window_us").agg(F.count(F.lit(1)).alias("cluster_count"), F.array_sort(F.collect_list(F.struct("pseudonym", "rssi"))).alias("clusters"))
     if not empty:
         return rows
-    spine = rows.agg(F.explode(F.sequence(F.min("window_us"), F.max("window_us"), F.lit(window_us).cast("long"))).alias("window_us"))
-    return spine.join(rows, "window_us", "left").select("window_us", F.coalesce("cluster_count", F.lit(0)).alias("cluster_count"), F.coalesce("clusters", F.array().cast("array<struct<pseudonym:string,rssi:int>>")).alias("clusters"))
+    rows = cut_lineage(rows)
+    back = scan(rows.select("window_us"), [], ["window_us"], F.floor(F.col("window_us") / (window_us * 1_000_000)), {"_before": ("last_before", F.col("window_us"))})
+    step = F.lit(window_us).cast("long")
+    gaps = back.where(F.col("window_us") - F.col("_before") > window_us)
+    starts = gaps.select(F.explode(F.sequence(F.col("_before") + step, F.col("window_us") - step, step * chunk)).alias("low"), F.col("window_us").alias("_high"))
+    dealt = starts.repartition(F.col("low"))
+    gap = dealt.select(F.explode(F.sequence("low", F.least(F.col("low") + step * (chunk - 1), F.col("_high") - step), step)).alias("window_us"))
+    none = gap.select("window_us", F.lit(0).cast("long").alias("cluster_count"), F.array().cast("array<struct<pseudonym:string,rssi:int>>").alias("clusters"))
+    return rows.unionByName(none)
 
 
 def pose_filter(joints: str = "joints", least: float = JOINT_CONFIDENCE) -> Column:
