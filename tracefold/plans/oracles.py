@@ -18,10 +18,14 @@ _ALLOWED = """CASE sensor_stream_id WHEN 'camera' THEN ['body_count','joints'] W
   WHEN 'wifi' THEN ['rssi_mean','noise_mean','visible_network_count','strongest_1','strongest_2','strongest_3'] ELSE CAST([] AS VARCHAR[]) END"""
 _FIELD = f"list_min(list_filter(json_keys(payload), lambda k: NOT list_contains({_ALLOWED}, k)))"
 _NUM = "('DOUBLE','BIGINT','UBIGINT')"
-_CAMERA = "coalesce(json_extract_string(payload, '$.body_count') IN ('zero','one','two_or_more','unknown'), false) AND coalesce(json_type(payload, '$.joints') = 'ARRAY', true)"
-_MIC = f"coalesce(json_type(payload, '$.voice_activity_probability') IN {_NUM}, true)"
-_WIFI = f"coalesce(json_type(payload, '$.rssi_mean') IN {_NUM}, true) AND coalesce(json_type(payload, '$.visible_network_count') IN {_NUM}, true)"
-_BLE = f"coalesce(json_type(payload, '$.cluster_count') IN {_NUM}, true) AND coalesce(json_type(payload, '$.clusters') = 'ARRAY', true)"
+_ITEMS = """(json_type(payload, '$.{0}') IS NULL OR (json_type(payload, '$.{0}') = 'ARRAY' AND json_array_length(payload, '$.{0}') <= 128
+  AND len(list_filter(json_extract(payload, '$.{0}[*]'), lambda j: NOT coalesce(json_type(j) = 'OBJECT' AND list_has_all({1}, json_keys(j)) AND {2}, false))) = 0))"""
+_JOINT = f"json_type(j, '$.name') = 'VARCHAR' AND strlen(json_extract_string(j, '$.name')) <= 128 AND json_type(j, '$.x') IN {_NUM} AND json_type(j, '$.y') IN {_NUM} AND json_type(j, '$.confidence') IN {_NUM}"
+_CLUSTER = f"json_type(j, '$.pseudonym') = 'VARCHAR' AND regexp_full_match(json_extract_string(j, '$.pseudonym'), 'ble:[0-9a-f]{{64}}') AND json_type(j, '$.rssi') IN {_NUM}"
+_CAMERA = "(coalesce(json_extract_string(payload, '$.body_count') IN ('zero','one','two_or_more','unknown'), false) AND " + _ITEMS.format("joints", "['name','x','y','confidence']", _JOINT) + ")"
+_MIC = " AND ".join(f"coalesce(json_type(payload, '$.{k}') IN {_NUM}, true)" for k in ("voice_activity_probability", "rms", "spectral_centroid_hz"))
+_WIFI = " AND ".join(f"coalesce(json_type(payload, '$.{k}') IN {_NUM}, true)" for k in ("rssi_mean", "noise_mean", "visible_network_count"))
+_BLE = f"(coalesce(json_type(payload, '$.cluster_count') IN {_NUM}, true) AND " + _ITEMS.format("clusters", "['pseudonym','rssi']", _CLUSTER) + ")"
 _SHAPE = f"CASE sensor_stream_id WHEN 'camera' THEN {_CAMERA} WHEN 'microphone' THEN {_MIC} WHEN 'wifi' THEN {_WIFI} WHEN 'bluetooth' THEN {_BLE} ELSE false END"
 
 _SIG = """CASE sensor_stream_id WHEN 'camera' THEN CASE json_extract_string(payload,'$.body_count') WHEN 'zero' THEN 0.0::DOUBLE WHEN 'one' THEN 1.0::DOUBLE WHEN 'two_or_more' THEN 1.0::DOUBLE END
@@ -112,9 +116,9 @@ vad AS (SELECT frame_id, CASE WHEN rms > 0.001 THEN ((zcr > 0.02 AND zcr < 0.35)
 """
 _TELE = """, last_obs AS (SELECT ledger_id, arg_max(payload, sequence) FILTER (stream_id = 'camera') AS c, arg_max(payload, sequence) FILTER (stream_id = 'microphone') AS m, arg_max(payload, sequence) FILTER (stream_id = 'wifi') AS w,
   arg_max(payload, sequence) FILTER (stream_id = 'bluetooth') AS b FROM ledger WHERE kind = 'observation' GROUP BY 1),
-tele AS (SELECT ledger_id, CASE json_extract_string(c, '$.body_count') WHEN 'zero' THEN 0.0::DOUBLE WHEN 'one' THEN 1.0::DOUBLE WHEN 'two_or_more' THEN 1.0::DOUBLE END AS camera_presence, NULL::DOUBLE AS audio_rms, NULL::DOUBLE AS audio_centroid_hz,
-  CAST(json_extract(m, '$.voice_activity_probability') AS DOUBLE) AS audio_vad, CAST(json_extract(w, '$.rssi_mean') AS DOUBLE) AS wifi_rssi_mean, NULL::DOUBLE AS wifi_noise_mean,
-  CAST(json_extract(w, '$.visible_network_count') AS DOUBLE) AS wifi_network_count, CAST(json_extract(b, '$.cluster_count') AS DOUBLE) AS bluetooth_cluster_count, NULL::DOUBLE AS bluetooth_mean_rssi FROM last_obs),
+tele AS (SELECT ledger_id, CASE json_extract_string(c, '$.body_count') WHEN 'zero' THEN 0.0::DOUBLE WHEN 'one' THEN 1.0::DOUBLE WHEN 'two_or_more' THEN 1.0::DOUBLE END AS camera_presence, CAST(json_extract(m, '$.rms') AS DOUBLE) AS audio_rms, CAST(json_extract(m, '$.spectral_centroid_hz') AS DOUBLE) AS audio_centroid_hz,
+  CAST(json_extract(m, '$.voice_activity_probability') AS DOUBLE) AS audio_vad, CAST(json_extract(w, '$.rssi_mean') AS DOUBLE) AS wifi_rssi_mean, CAST(json_extract(w, '$.noise_mean') AS DOUBLE) AS wifi_noise_mean,
+  CAST(json_extract(w, '$.visible_network_count') AS DOUBLE) AS wifi_network_count, CAST(json_extract(b, '$.cluster_count') AS DOUBLE) AS bluetooth_cluster_count, CASE WHEN json_array_length(b, '$.clusters') > 0 THEN list_sum(list_transform(json_extract(b, '$.clusters[*]'), lambda c: coalesce(CAST(json_extract(c, '$.rssi') AS DOUBLE), 0))) / json_array_length(b, '$.clusters') END AS bluetooth_mean_rssi FROM last_obs),
 sig3 AS (SELECT ledger_id, camera_presence AS c, CASE WHEN audio_vad IS NOT NULL THEN greatest(0.0, least(1.0, audio_vad)) END AS m, CASE WHEN bluetooth_cluster_count IS NOT NULL THEN least(1.0, bluetooth_cluster_count / 4) END AS b FROM tele),
 fb AS (SELECT *, (CASE WHEN c IS NULL THEN 0 ELSE 0.65::DOUBLE END) + (CASE WHEN m IS NULL THEN 0 ELSE 0.2::DOUBLE END) + (CASE WHEN b IS NULL THEN 0 ELSE 0.15::DOUBLE END) AS w, coalesce(c, 0) * 0.65::DOUBLE + coalesce(m, 0) * 0.2::DOUBLE + coalesce(b, 0) * 0.15::DOUBLE AS t, greatest(c, m, b) - least(c, m, b) AS spread FROM sig3)
 """
@@ -134,6 +138,21 @@ _RUNS = " UNION ALL ".join(
     f"SELECT ledger_id, {i}::BIGINT AS sequence, 'agent-run-{role}-{AGENT_US + i}' AS id, '{role}' AS role, '{layer}' AS layer, '{status}' AS status, count(*) AS evidence FROM beliefs GROUP BY 1"
     for i, (role, layer, status) in enumerate((("archivist", "INFERRED", "DRAFT"), ("cartographer", "INFERRED", "DRAFT"), ("ethnographer", "INTERPRETED", "PENDING_INTERPRETATION"), ("poet", "IMAGINED", "ARTIFACT"), ("skeptic", "INTERPRETED", "INSUFFICIENT_EVIDENCE")))
 )
+_REACH = 500_000
+_MATCHED = f""", labels AS (SELECT *, row_number() OVER (PARTITION BY ledger_id ORDER BY line_no) AS k FROM ({V['fusion_labels']})),
+near AS (SELECT l.ledger_id, l.k, l.line_no, l.occupied, list(s.sequence ORDER BY abs(s.ts_us - l.ts_us), s.sequence) FILTER (s.sequence IS NOT NULL) AS found
+  FROM labels l LEFT JOIN samples s ON s.ledger_id = l.ledger_id AND s.ts_us BETWEEN l.ts_us - {_REACH} AND l.ts_us + {_REACH} GROUP BY ALL),
+turn AS (SELECT ledger_id, 0::BIGINT AS k, CAST([] AS BIGINT[]) AS used, NULL::BIGINT AS sequence FROM (SELECT DISTINCT ledger_id FROM labels)
+  UNION ALL SELECT ledger_id, k, CASE WHEN best IS NULL THEN used ELSE list_append(used, best) END, best
+  FROM (SELECT n.ledger_id, n.k, t.used, list_filter(coalesce(n.found, CAST([] AS BIGINT[])), lambda x: NOT list_contains(t.used, x))[1] AS best FROM turn t JOIN near n ON n.ledger_id = t.ledger_id AND n.k = t.k + 1)),
+pairs AS (SELECT ledger_id, n.line_no, t.sequence, s.p, n.occupied FROM turn t JOIN near n USING (ledger_id, k) JOIN samples s USING (ledger_id, sequence))
+"""
+_RECURSIVE = BASE.replace("WITH envelopes", "WITH RECURSIVE envelopes", 1)
+_REPORT = f"""_MATCHED_, scored AS (SELECT ledger_id, greatest(0.0, least(1.0, p)) AS p, greatest(0.0, least(1.0, p)) >= 0.5 AS said, occupied FROM pairs),
+m AS (SELECT ledger_id, count(*) AS matched, count(*) FILTER (said = occupied) / count(*) AS accuracy, sum((p - occupied::INT) ** 2) / count(*) AS brier,
+  coalesce(count(*) FILTER (said AND occupied) / nullif(count(*) FILTER (said), 0), 0) AS precision, coalesce(count(*) FILTER (said AND occupied) / nullif(count(*) FILTER (occupied), 0), 0) AS recall FROM scored GROUP BY 1)
+SELECT ledger_id, n AS labels, coalesce(matched, 0) AS matched, round(coalesce(accuracy, 0), 6) AS accuracy, round(coalesce(brier, 0), 6) AS brier, round(coalesce(precision, 0), 6) AS precision, round(coalesce(recall, 0), 6) AS recall, n - coalesce(matched, 0) AS unmatched, {_REACH}::BIGINT AS max_offset_us
+FROM (SELECT ledger_id, count(*) AS n FROM labels GROUP BY 1) LEFT JOIN m USING (ledger_id)"""
 _JOINTS = "CASE WHEN vec_id % 10 = 0 THEN 0 ELSE 20 END"
 
 _CHAINED = f"""WITH RECURSIVE rows_ AS (SELECT *, sequence // {SEGMENT} AS segment, row_number() OVER (PARTITION BY ledger_id, sequence // {SEGMENT} ORDER BY sequence) AS n FROM ({V['chain_rows']})),
@@ -216,6 +235,9 @@ SELECT path FROM n WHERE contains(name, '.') AND NOT (starts_with(name, '.') AND
     "materialize_counts": BASE + "SELECT ledger_id, kind, count(*) AS total, count(*) FILTER (ledger_id % 2 = 1) AS written FROM memory GROUP BY 1, 2",
     "materialize_memory": BASE + "SELECT * FROM memory",
     "memory_counts": BASE + "SELECT ledger_id, e AS episodes, CASE WHEN ledger_id % 2 = 0 AND e > 0 THEN 0 ELSE p END AS patterns FROM (SELECT ledger_id, count(*) FILTER (kind = 'episode') AS e, count(*) FILTER (kind = 'pattern') AS p FROM memory GROUP BY 1)",
+    "calibration_match": _RECURSIVE + _MATCHED + "SELECT ledger_id, line_no, sequence, round(p, 6) AS p, occupied FROM pairs",
+    "calibration_report": _RECURSIVE + _REPORT.replace("_MATCHED_", _MATCHED),
+    "calibration_report_sink": _RECURSIVE + _REPORT.replace("_MATCHED_", _MATCHED),
     "calibration_metrics": """WITH c AS (SELECT user_id % 8 AS ledger_id, greatest(0.0, least(1.0, value / 100.0::DOUBLE)) AS p, event_id % 3 = 0 AS y FROM events), n AS (SELECT *, p >= 0.5 AS s FROM c)
 SELECT ledger_id, count(*) AS n, round(count(*) FILTER (s = y) / count(*), 6) AS accuracy, round(sum((p - y::INT) * (p - y::INT)) / count(*), 6) AS brier, round(coalesce(count(*) FILTER (s AND y) / nullif(count(*) FILTER (s), 0), 0), 6) AS precision, round(coalesce(count(*) FILTER (s AND y) / nullif(count(*) FILTER (y), 0), 0), 6) AS recall FROM n GROUP BY 1""",
     "chain_build": _CHAINED + " SELECT * EXCLUDE (n) FROM c",
@@ -278,7 +300,7 @@ SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY i) - 1 AS at, 'j'
     "pose_observation": "SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 'zero' ELSE 'one' END AS body_count FROM embeddings",
     "conflate_latest": BASE + "SELECT ledger_id, arrival // 100 AS batch, sensor_stream_id, arg_max(message_id, arrival) AS message_id, max(arrival) AS arrival FROM envelopes GROUP BY 1, 2, 3",
     "assign_sequence": BASE + "SELECT ledger_id, sensor_stream_id, arrival, row_number() OVER (PARTITION BY ledger_id, sensor_stream_id ORDER BY arrival) AS sequence FROM (SELECT ledger_id, sensor_stream_id, max(arrival) AS arrival FROM envelopes GROUP BY ledger_id, arrival // 100, sensor_stream_id)",
-    "acceptance_status": BASE + """, e AS (SELECT DISTINCT ledger_id, sensor_stream_id FROM envelopes), c AS (SELECT ledger_id, sensor_stream_id, count(*) AS n FROM acc WHERE sensor_stream_id IN ('camera','wifi') AND ledger_id < 5 GROUP BY 1, 2)
+    "acceptance_status": BASE + """, e AS (SELECT DISTINCT ledger_id, sensor_stream_id FROM envelopes), c AS (SELECT ledger_id, sensor_stream_id, count(*) AS n FROM acc GROUP BY 1, 2)
 SELECT ledger_id || '/' || sensor_stream_id AS stream, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN 'observed' WHEN ledger_id % 3 > 0 AND ledger_id % 2 = 1 THEN 'advertisers_detected_keychain_unavailable' WHEN ledger_id % 2 = 0 THEN 'no_advertisers_observed' ELSE 'unauthorized' END AS status FROM e LEFT JOIN c USING (ledger_id, sensor_stream_id)""",
     "ledger_counts": BASE + "SELECT ledger_id, count(*) AS total, count(*) FILTER (kind = 'sensor_gap') AS gaps, count(*) FILTER (kind = 'belief') AS beliefs, 0::BIGINT AS agent_runs FROM ledger GROUP BY 1",
     "stream_counts": BASE + f"SELECT ledger_id, stream_id, count(*) AS n {_OBS}",
@@ -291,7 +313,9 @@ SELECT ledger_id || '/' || sensor_stream_id AS stream, coalesce(n, 0) AS n, CASE
     "day_buckets": f"{_w('retained_records')} SELECT ledger_id, recorded_us * 2 // 86400000000 AS day, count(*) AS n FROM retained_records WHERE kind <> 'sensor_gap' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY ledger_id ORDER BY day DESC) <= 30",
     "telemetry": BASE + _TELE + f"SELECT ledger_id, {_r('camera_presence', 'audio_rms', 'audio_centroid_hz', 'audio_vad', 'wifi_rssi_mean', 'wifi_noise_mean', 'wifi_network_count', 'bluetooth_cluster_count', 'bluetooth_mean_rssi')} FROM tele",
     "latest_belief": BASE + f"SELECT ledger_id, id, {_r('probability', 'confidence', 'disagreement', 'health')}, modalities, state, array_to_string(derived_from, ',') AS evidence FROM beliefs QUALIFY row_number() OVER (PARTITION BY ledger_id ORDER BY arrival DESC) = 1",
-    "latest_joints": BASE + "SELECT ledger_id, id, kind, CASE WHEN kind = 'observation' THEN 0 END AS joints FROM ledger WHERE stream_id = 'camera' QUALIFY row_number() OVER (PARTITION BY ledger_id ORDER BY sequence DESC) = 1",
+    "latest_joints": BASE + """SELECT ledger_id, id, kind, CASE WHEN kind = 'observation' THEN json_array_length(payload, '$.joints') END AS joints,
+  CASE WHEN kind = 'observation' THEN round(coalesce(list_sum(list_transform(json_extract(payload, '$.joints[*]'), lambda j: CAST(json_extract(j, '$.x') AS DOUBLE) + 10 * CAST(json_extract(j, '$.y') AS DOUBLE) + 100 * CAST(json_extract(j, '$.confidence') AS DOUBLE))), 0), 6) END AS weighed
+FROM ledger WHERE stream_id = 'camera' QUALIFY row_number() OVER (PARTITION BY ledger_id ORDER BY sequence DESC) = 1""",
     "agent_runs": BASE + f"SELECT * FROM ({_RUNS}) QUALIFY row_number() OVER (PARTITION BY ledger_id ORDER BY sequence DESC) <= 3",
     "density_histogram": BASE + """, e AS (SELECT ledger_id, min(ts_us) AS lo, max(ts_us) AS hi FROM ledger GROUP BY 1), h AS (SELECT ledger_id, CASE stream_id WHEN 'camera' THEN 0 WHEN 'microphone' THEN 1 WHEN 'wifi' THEN 2 WHEN 'bluetooth' THEN 3 ELSE 4 END AS lane, CAST(floor((ts_us - lo) / greatest(hi - lo, 1)::DOUBLE * 95) AS BIGINT) AS bin, count(*) AS n FROM ledger JOIN e USING (ledger_id) GROUP BY 1, 2, 3)
 SELECT *, max(n) OVER (PARTITION BY ledger_id) AS most FROM h""",

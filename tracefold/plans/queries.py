@@ -301,10 +301,23 @@ def calibration_metrics(s, d):
     return cal.metrics(rows, ["ledger_id"]).select("ledger_id", "n", *[r(c).alias(c) for c in ("accuracy", "brier", "precision", "recall")])
 
 
+def _report(s: SparkSession, d: str) -> DataFrame:
+    labels = view(s, d, "fusion_labels")
+    found = cal.report(cal.matched(samples(s, d), labels, SECOND // 2), labels, SECOND // 2)
+    return found.select("ledger_id", "labels", "matched", *[r(c).alias(c) for c in ("accuracy", "brier", "precision", "recall")], "unmatched", "max_offset_us")
+
+
 @query
 def calibration_report(s, d):
-    labels = view(s, d, "fusion_labels")
-    return cal.report(cal.matched(samples(s, d), labels), labels, SECOND // 2)
+    return _report(s, d)
+
+
+@query
+def calibration_report_sink(s, d):
+    """The report written as JSON and read back."""
+    rows, path = _report(s, d), tables.shared_path(s, "calibration-report")
+    tables.write_report(rows, path)
+    return s.read.schema(rows.schema).json(path)
 
 
 # Chains and lineage
@@ -627,7 +640,7 @@ def acceptance_status(s, d):
     rows = env(s, d)
     startup = F.when(F.col("ledger_id") % 2 == 0, "running").otherwise("unauthorized")
     expected = rows.select(F.concat_ws("/", "ledger_id", "sensor_stream_id").alias("stream"), startup.alias("startup"), (F.col("ledger_id") % 3).alias("discovered")).distinct()
-    got = validate.accepted(rows).where("sensor_stream_id IN ('camera', 'wifi') AND ledger_id < 5").groupBy(F.concat_ws("/", "ledger_id", "sensor_stream_id").alias("stream")).agg(F.count(F.lit(1)).alias("n"))
+    got = validate.accepted(rows).groupBy(F.concat_ws("/", "ledger_id", "sensor_stream_id").alias("stream")).agg(F.count(F.lit(1)).alias("n"))
     return features.acceptance_status(expected, got)
 
 
@@ -698,7 +711,8 @@ def latest_belief(s, d):
 
 @query
 def latest_joints(s, d):
-    return rollups.latest_camera(ledger(s, d)).select("ledger_id", "id", "kind", F.size("joints").alias("joints"))
+    weighed = F.aggregate("joints", F.lit(0.0), lambda a, j: a + j["x"] + 10 * j["y"] + 100 * j["confidence"])
+    return rollups.latest_camera(ledger(s, d)).select("ledger_id", "id", "kind", F.size("joints").alias("joints"), r(weighed).alias("weighed"))
 
 
 @query

@@ -13,16 +13,29 @@ with b as (
 m as (
   select *, row_number() over (partition by led, stream_id order by event_id)
           + sum(case when k % 20 = 7 then 2 else 0 end) over (partition by led, stream_id order by event_id) as mono,
-    event_id * 250000 + k * 1000 - case when event_id % 41 = 0 then 3000000 else 0 end as ts_us
+    event_id * 250000 + k * 1000 - case when event_id % 41 = 0 then 3000000 else 0 end as ts_us,
+    concat('{"name":"j', cast(k % 5 as varchar(20)), '","x":', cast(k as varchar(20)), '.25,"y":0.5,"confidence":0.', cast(k as varchar(20)), '}') as j1,
+    concat('{"confidence":1,"y":-', cast(k as varchar(20)), '.5,"x":2,"name":"é"}') as j2,
+    concat('{"pseudonym":"ble:', md5(cast(k as varchar(20))), md5('a'), '","rssi":-', cast(k + 30 as varchar(20)), '}') as c1,
+    concat('{"rssi":-4', cast(k % 10 as varchar(20)), '.5,"pseudonym":"ble:', md5('b'), md5(cast(k as varchar(20))), '"}') as c2
   from b),
 p as (
   select led, event_id, stream_id, cast(mono as bigint) as mono, ts_us, k, case when k = 99 then 2 else 1 end as schema_version,
     concat('m', cast(event_id as varchar(20))) as message_id,
     case stream_id
-      when 'camera' then concat('{"body_count":"', case when value < 15 then 'zero' when value < 90 then 'one' when value < 150 then 'two_or_more' else 'unknown' end, '","joints":[]', case when k = 13 then ',"raw_frame":"x"' else '' end, '}')
-      when 'microphone' then concat('{"voice_activity_probability":', cast(cast(least(value / 100.0, 1.2) as decimal(10,4)) as varchar(20)), '}')
-      when 'bluetooth' then concat('{"cluster_count":', cast(k % 7 as varchar(20)), ',"clusters":[]}')
-      when 'wifi' then concat('{"rssi_mean":-', cast(k as varchar(20)), ',"visible_network_count":', cast(k % 9 as varchar(20)), '}')
+      when 'camera' then concat('{', case when k % 40 = 21 then '' else concat('"body_count":"', case when value < 15 then 'zero' when value < 90 then 'one' when value < 150 then 'two_or_more' else 'unknown' end, '",') end, '"joints":',
+        case when k % 40 = 11 then concat('[', j1, ',{"name":"z","x":1,"y":1,"confidence":1,"z":1}]') when k % 40 = 12 then concat('[', j1, ',{"name":"n","x":"1","y":1,"confidence":1}]')
+          when k % 40 = 14 then '[{"x":1,"y":1,"confidence":1}]' when k % 40 = 15 then '[{"name":7,"x":1,"y":1,"confidence":1}]' when k % 40 = 16 then '{}' when k % 40 = 17 then '[1,2]'
+          when k % 40 = 18 then concat('[{"name":"', repeat('é', 65), '","x":1,"y":1,"confidence":1}]') when k % 40 = 19 then '[{"name":"n","x":1,"y":1,"confidence":null}]' when k % 40 = 20 then 'null'
+          when k = 61 then concat('[', repeat(concat(j1, ','), 128), j1, ']') when k = 62 then concat('[', repeat(concat(j1, ','), 127), j1, ']')
+          when k % 4 = 0 then '[]' when k % 4 = 1 then concat('[', j1, ']') when k % 4 = 2 then concat('[', j1, ',', j2, ']') else concat('[', j2, ',', j1, ',', j2, ']') end, case when k = 13 then ',"raw_frame":"x"' else '' end, '}')
+      when 'microphone' then concat('{"voice_activity_probability":', cast(cast(least(value / 100.0, 1.2) as decimal(10,4)) as varchar(20)), ',"rms":', case when k % 40 = 22 then '"loud"' else cast(k as varchar(20)) end, ',"spectral_centroid_hz":', cast(k * 20 as varchar(20)), '}')
+      when 'bluetooth' then concat('{"cluster_count":', case when k = 33 then '"2"' else cast(k % 7 as varchar(20)) end, ',"clusters":',
+        case when k % 40 = 11 then concat('[', replace(c1, '}', ',"name":1}'), ']') when k % 40 = 12 then concat('[', c1, ',', replace(c1, 'ble:', 'ble:A'), ']') when k % 40 = 14 then concat('[', replace(replace(c1, '"rssi":-', '"rssi":"-'), '}', '"}'), ']')
+          when k % 40 = 15 then '[{"rssi":-5}]' when k % 40 = 16 then '{}' when k % 40 = 17 then '[null]' when k % 40 = 18 then concat('[', replace(c1, 'ble:', 'bel:'), ']')
+          when k = 61 then concat('[', repeat(concat(c1, ','), 128), c1, ']')
+          when k % 4 = 0 then '[]' when k % 4 = 1 then concat('[', c1, ']') when k % 4 = 2 then concat('[', c1, ',', c2, ']') else concat('[', c2, ',', c1, ',', c2, ']') end, '}')
+      when 'wifi' then concat('{"rssi_mean":-', cast(k as varchar(20)), ',"noise_mean":', case when k % 40 = 23 then 'true' else concat('-', cast(k + 20 as varchar(20))) end, ',"visible_network_count":', cast(k % 9 as varchar(20)), '}')
       else '{}' end as payload
   from m)
 select led as ledger_id, event_id * 2 as arrival, schema_version, message_id, stream_id as sensor_stream_id, mono as monotonic_sequence, ts_us as captured_at_utc_us, payload from p
