@@ -28,7 +28,7 @@ def test_scan_equals_plain_window(spark):
     values = {"l": ("last", F.col("v")), "lb": ("last_before", F.col("v")), "m": ("max", F.col("v")), "mb": ("max_before", F.col("v")), "s": ("sum", F.col("v")), "sb": ("sum_before", F.lit(1).cast("long"))}
     want = sorted(map(tuple, scan(df, ["k"], ["o"], F.col("o"), values).collect()), key=str)
     for size in (1, 7, 1000):
-        got = scan(df, ["k"], ["o"], F.floor(F.col("o") / size), values, small_bytes=0)
+        got = scan(df, ["k"], ["o"], F.floor(F.col("o") / size), values, small=False)
         assert sorted(map(tuple, got.collect()), key=str) == want
 
 

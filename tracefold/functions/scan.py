@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut_lineage
 
-#: Estimated bytes of an input up to which one window for a key will do.
-SMALL_BYTES = 256 << 20
+#: Rows of a key up to which one window for the key will do.
+MOST_ROWS = 2_000_000
 #: kind -> how a chunk's inheritance and its own value combine
 KINDS = ("last", "max", "sum", "max_before", "sum_before", "last_before")
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def fits(df: DataFrame, keys: list[str], most_rows: int = MOST_ROWS) -> bool:
+    """Whether no key has more rows than one task's window should sort; counted, so df should be a table rather than a long plan."""
+    most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (most or 0) <= most_rows
 
 
 def _plain(df: DataFrame, keys: list[str], order: list[str], values: Mapping[str, tuple[str, Column]]) -> DataFrame:
@@ -36,14 +38,17 @@ def _plain(df: DataFrame, keys: list[str], order: list[str], values: Mapping[str
     return df.select("*", *out)
 
 
-def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column, values: Mapping[str, tuple[str, Column]], small_bytes: int = SMALL_BYTES) -> DataFrame:
+def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column, values: Mapping[str, tuple[str, Column]], small: bool | None = None) -> DataFrame:
     """df with one more column for each of values: name -> (kind, expression), in the order of unique `order` within keys.
 
     last skips nulls; the *_before kinds leave the row itself out. chunk must not fall along the order. Null keys are
-    a key of their own. Where Spark's estimate of the whole of df is at most small_bytes, a key fits one task and a
-    plain window does; else df is checkpointed, since chunks and their summaries both read it.
+    a key of their own. small says whether each key fits a task, where a plain window does; without it df is written
+    to the shared folder and its rows are counted by key. Else df is cut too, since chunks and their summaries both read it.
     """
-    if estimated_bytes(df) <= small_bytes:
+    if small is None:
+        df = cut_lineage(df)
+        small = fits(df, keys)
+    if small:
         return _plain(df, keys, order, values)
     named = df.withColumn("_chunk", chunk)
     for name, (_, value) in values.items():

@@ -50,7 +50,7 @@ def heads(chained: DataFrame) -> DataFrame:
 
 def broken(chained: DataFrame) -> DataFrame:
     """ledger_id, segment, first_broken: the first sequence whose link or hash is wrong, for segments that have one. Fully parallel."""
-    rows = scan(chained, ["ledger_id", "segment"], ["sequence"], F.floor(F.col("sequence") / 100_000), {"_before": ("last_before", F.col("hash"))})
+    rows = scan(chained, ["ledger_id", "segment"], ["sequence"], F.floor(F.col("sequence") / 100_000), {"_before": ("last_before", F.col("hash"))}, small=True)  # segments are bounded
     expected = F.sha2(F.concat("previous_hash", F.coalesce("payload", F.lit(""))), 256)
     bad = (F.col("previous_hash") != F.coalesce("_before", F.lit(GENESIS))) | (F.col("hash") != expected)
     return rows.where(F.coalesce(bad, F.lit(True))).groupBy("ledger_id", "segment").agg(F.min("sequence").alias("first_broken"))

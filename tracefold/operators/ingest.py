@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import MODALITIES, Fusion, Ingest
 from ..functions.columns import clamp, freshness
-from ..functions.scan import scan
+from ..functions.scan import fits, scan
+from ..sources.shared import cut_lineage
 from .validate import PARSE, accepted
 
 KEYS = ["ledger_id", "sensor_stream_id"]
@@ -25,11 +26,13 @@ def with_gaps(accepted: DataFrame, c: Ingest = Ingest()) -> DataFrame:
     previous arrival sets the flag, and it stays until a jump.
     """
     us = F.col("captured_at_utc_us")
-    first = scan(accepted, KEYS, ["arrival"], _chunk(c), {"last_sequence": ("max_before", F.col("monotonic_sequence")), "_before": ("last_before", us)})
+    accepted = cut_lineage(accepted)
+    small = fits(accepted, KEYS)
+    first = scan(accepted, KEYS, ["arrival"], _chunk(c), {"last_sequence": ("max_before", F.col("monotonic_sequence")), "_before": ("last_before", us)}, small)
     jump = F.coalesce(F.col("monotonic_sequence") > F.col("last_sequence") + 1, F.lit(False))
     silent = ~F.col("jump") & F.coalesce(us - F.col("_before") > c.silent_gap_us, F.lit(False))
     marked = first.withColumn("jump", jump).withColumn("silent", silent).withColumn("marker", F.when(F.col("jump"), False).when(F.col("silent"), True))
-    out = scan(marked, KEYS, ["arrival"], _chunk(c), {"_pending": ("last", F.col("marker"))})
+    out = scan(marked, KEYS, ["arrival"], _chunk(c), {"_pending": ("last", F.col("marker"))}, small)
     return out.withColumn("pending", F.coalesce("_pending", F.lit(False))).drop("_pending", "_before")
 
 

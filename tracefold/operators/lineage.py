@@ -81,20 +81,21 @@ def tree(seeds: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def cascade(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """id of the seeds and all that derives from them. An unknown seed fails the whole; dependents that only edges name count too."""
-    unknown = seeds.select("id").join(nodes.select("id"), "id", "left_anti").take(1)
-    if unknown:
-        raise KeyError(unknown[0].id)
     links = cut_lineage(edges.select("derived_id", "source_id"))  # read once for all rounds, not derived in each
     seen = frontier = cut_lineage(seeds.select("id").distinct())
-    size = frontier.count()
+    size = total = frontier.count()
+    known = nodes.select("id").join(F.broadcast(frontier) if size <= SMALL_FRONTIER else frontier, "id", "left_semi").distinct()
+    unknown = frontier.join(known, "id", "left_anti").take(1)
+    if unknown:
+        raise KeyError(unknown[0].id)
     for _ in range(most_rounds):
         near = frontier.select(F.col("id").alias("source_id"))
         reached = links.join(F.broadcast(near) if size <= SMALL_FRONTIER else near, "source_id", "left_semi").select(F.col("derived_id").alias("id")).distinct()
-        frontier = cut_lineage(reached.join(seen, "id", "left_anti"))
+        frontier = cut_lineage(reached.join(F.broadcast(seen) if total <= SMALL_FRONTIER else seen, "id", "left_anti"))
         size = frontier.count()
         if not size:
             return seen
-        seen = seen.unionByName(frontier)
+        seen, total = seen.unionByName(frontier), total + size
     raise RuntimeError("no fixpoint")
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SECOND, Sessions
-from ..functions.scan import scan
+from ..functions.scan import fits, scan
+from ..sources.shared import cut_lineage
 
 KEY = ["ledger_id"]
 
@@ -31,14 +32,16 @@ def occupancy(sample: DataFrame, c: Sessions = Sessions()) -> DataFrame:
         raise ValueError("the entry threshold must be over the exit threshold")
     order = ["ts_us", "sequence"]
     state = F.when(F.col("p") >= c.enter, "E").when(F.col("p") <= 1.0 - c.exit_confidence, "X").otherwise("-")
-    rows = scan(sample.withColumn("k", state), KEY, order, _span(), {"before": ("last_before", F.col("k"))})
-    rows = scan(rows, KEY, order, _span(), {"run": ("sum", F.when(F.col("before").eqNullSafe(F.col("k")), 0).otherwise(1).cast("long"))})
+    sample = cut_lineage(sample)
+    small = fits(sample, KEY)
+    rows = scan(sample.withColumn("k", state), KEY, order, _span(), {"before": ("last_before", F.col("k"))}, small)
+    rows = scan(rows, KEY, order, _span(), {"run": ("sum", F.when(F.col("before").eqNullSafe(F.col("k")), 0).otherwise(1).cast("long"))}, small)
     runs = rows.groupBy(*KEY, "run").agg(F.first("k").alias("k"), F.min("ts_us").alias("start"), F.max("ts_us").alias("last"))
     lasting = F.col("last") - F.col("start") >= F.when(F.col("k") == "E", c.enter_us).otherwise(c.exit_us)
-    counting = runs.where(F.col("k").isin("E", "X") & lasting)
+    counting = cut_lineage(runs.where(F.col("k").isin("E", "X") & lasting))  # few of the samples
     hundred = F.floor(F.col("run") / 100_000)
-    turns = scan(counting, KEY, ["run"], hundred, {"prior": ("last_before", F.col("k"))}).where("(k = 'E' AND coalesce(prior, 'X') = 'X') OR (k = 'X' AND prior = 'E')")
-    numbered = scan(turns, KEY, ["run"], hundred, {"session": ("sum", (F.col("k") == "E").cast("long"))})
+    turns = scan(counting, KEY, ["run"], hundred, {"prior": ("last_before", F.col("k"))}, small).where("(k = 'E' AND coalesce(prior, 'X') = 'X') OR (k = 'X' AND prior = 'E')")
+    numbered = scan(turns, KEY, ["run"], hundred, {"session": ("sum", (F.col("k") == "E").cast("long"))}, small)
     ends = sample.groupBy(*KEY).agg(F.max("ts_us").alias("final"))
     whole = numbered.groupBy(*KEY, "session").agg(F.min(F.when(F.col("k") == "E", F.col("start"))).alias("start_us"), F.min(F.when(F.col("k") == "X", F.col("start"))).alias("stop"))
     return whole.join(ends, KEY).select(*KEY, "start_us", F.coalesce("stop", "final").alias("end_us"))
@@ -47,9 +50,11 @@ def occupancy(sample: DataFrame, c: Sessions = Sessions()) -> DataFrame:
 def _grouped(sessions: DataFrame, gap_us: int) -> DataFrame:
     """sessions with index (from 0, by start and end) and group: a new one where the gap to the previous end is over gap_us."""
     order = ["start_us", "end_us"]
-    rows = scan(sessions, KEY, order, _span("start_us", 30 * 86_400), {"index": ("sum_before", F.lit(1).cast("long")), "_end": ("last_before", F.col("end_us"))})
+    sessions = cut_lineage(sessions)
+    small = fits(sessions, KEY)
+    rows = scan(sessions, KEY, order, _span("start_us", 30 * 86_400), {"index": ("sum_before", F.lit(1).cast("long")), "_end": ("last_before", F.col("end_us"))}, small)
     fresh = (F.col("_end").isNull() | (F.col("start_us") - F.col("_end") > gap_us)).cast("long")
-    return scan(rows, KEY, order, _span("start_us", 30 * 86_400), {"group": ("sum", fresh)}).drop("_end")
+    return scan(rows, KEY, order, _span("start_us", 30 * 86_400), {"group": ("sum", fresh)}, small).drop("_end")
 
 
 def merged(sessions: DataFrame, c: Sessions = Sessions()) -> DataFrame:

@@ -382,6 +382,13 @@ def edges(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "lineage_edges")
 
 
+def lineage_tables(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges cut once; each node but a region derives from one that its id, or its table, names."""
+    links = cut_lineage(edges(s, d))
+    regions = s.read.parquet(f"{d}/region.parquet").select(F.concat(F.lit("r:"), F.col("r_regionkey").cast("string")).alias("id"))
+    return links.select(F.col("derived_id").alias("id")).unionByName(regions), links
+
+
 @query
 def provenance_sources(s, d):
     return lineage.sources(edges(s, d)).select("derived_id", F.array_join("sources", ",").alias("sources"))
@@ -390,13 +397,14 @@ def provenance_sources(s, d):
 @query
 def provenance_tree(s, d):
     """The walk from every node."""
-    every = cut_lineage(nodes(s, d))
-    return lineage.tree(every, every, edges(s, d))
+    every, links = lineage_tables(s, d)
+    return lineage.tree(every, every, links)
 
 
 @query
 def erase_cascade(s, d):
-    return lineage.cascade(nodes(s, d).where("id = 'r:1'"), nodes(s, d), edges(s, d))
+    every, links = lineage_tables(s, d)
+    return lineage.cascade(every.where("id = 'r:1'"), every, links)
 
 
 def node_ledger(s: SparkSession, d: str) -> DataFrame:
@@ -411,7 +419,7 @@ def node_ledger(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def erase_compact(s, d):
-    rows, links = cut_lineage(node_ledger(s, d)), cut_lineage(edges(s, d))
+    rows, (_, links) = cut_lineage(node_ledger(s, d)), lineage_tables(s, d)
     left = lineage.compacted(rows, links, lineage.cascade(rows.where("id = 'r:1'"), rows, links)).rows
     return left.select("id", "kind", "stream_id", "ts_us", "payload", "segment", "sequence", "previous_hash", "hash")
 
