@@ -402,33 +402,39 @@ def test_signatures_take_every_character():
     assert fuzzy_lines.band_keys(["abcd", "", "abcde"])[:2] == [None, None]
 
 
-def test_toxicity_model_keeps_rare_pairs_and_backs_off(spark, monkeypatch):
-    """Every ratio against Kneser-Ney by hand: rare words and pairs, unseen pairs, backoff counts of all documents."""
-    monkeypatch.setattr(toxicity, "DISCOUNT", 0.75)
-    told = [(0, "a b c a"), (0, "b c d"), (1, "c slur b"), (1, "slur")]
-    every = [t for _, t in told] + ["x slur", "y slur z", None, "d a"]
-    model = toxicity.count_model(spark.createDataFrame(told, "toxic int, text string"), spark.createDataFrame([(t,) for t in every], "text string"))
+def by_hand(counts):
+    """Kneser-Ney's discounts, and what a count gives up."""
+    times = Counter(counts)
+    n = [max(1, times[r]) for r in (1, 2, 3, 4)]
+    y = n[0] / (n[0] + 2 * n[1])
+    d = [min(max(r - (r + 1) * y * n[r] / n[r - 1], 0.05 * r), 0.95 * r) for r in (1, 2, 3)]
+    return lambda k: d[min(k, 3) - 1] if k > 0 else 0.0
+
+
+@pytest.mark.parametrize("without", [None, 0, 1])
+def test_toxicity_model_keeps_rare_pairs_and_backs_off(spark, without):
+    """Every ratio against Kneser-Ney by hand, at the query's own discounts: rare words and pairs, unseen pairs, backoff counts of all documents."""
+    told = [(0, "a b c a", 0), (0, "b c d a b a b a b", 1), (1, "c slur b", 0), (1, "slur", 3), (1, "a b c slur slur", 1), (0, "a b c", 3)]
+    every = [t for _, t, _ in told] + ["x slur", "y slur z", None, "d a"]
+    tallies = toxicity.tallied(spark.createDataFrame(told, "toxic int, text string, rest int"), spark.createDataFrame([(t,) for t in every], "text string"))
+    model = tallies.model(without)
     grams = lambda texts: Counter(p for t in texts for w in [toxicity.words(t)] for p in zip(["", *w], w))
-    n, free = [grams(t for y, t in told if y == z) for z in (0, 1)], grams(every)
+    n, free = [grams(t for y, t, k in told if y == z and k != without) for z in (0, 1)], grams(every)
     vocabulary = {w for p in n[0] + n[1] for w in p[1:]}
     assert sorted(model.vocabulary) == sorted(toxicity.hashes(sorted(vocabulary))) and len(model.pairs) == len({p for p in n[0] + n[1] if p[0]})
     total = len(free) + len({w for _, w in free})
-
     lefts = [Counter(w for _, w in n[y]) for y in (0, 1)]
-    even = lambda x: toxicity.even_discounts(*zip(*[(np.array(list(c.values()), float), np.ones(len(c))) for c in x]))
-    of_words, of_pairs = even(lefts), even(n)
-    for d, x in ((of_words, lefts), (of_pairs, n)):  # both classes free the same share
-        freed = [sum(min(k, d[y]) for k in x[y].values()) / sum(x[y].values()) for y in (0, 1)]
-        assert min(d) == 0.75 and freed[0] == pytest.approx(freed[1])
+    of_words, of_pairs = [by_hand(lefts[y].values()) for y in (0, 1)], [by_hand(n[y].values()) for y in (0, 1)]
+    assert all(f[y](1) < 1 and f[y](2) < 2 and f[y](9) < 3 for f in (of_words, of_pairs) for y in (0, 1))
 
     def uni(y, w):
         whole = sum(lefts[y].values())
-        free_ = sum(min(k, of_words[y]) for k in lefts[y].values()) / whole
-        return max(lefts[y][w] - of_words[y], 0) / whole + free_ * (sum(p[1] == w for p in free) + 1) / total
+        freed = sum(map(of_words[y], lefts[y].values())) / whole
+        return (lefts[y][w] - of_words[y](lefts[y][w])) / whole + freed * (sum(p[1] == w for p in free) + 1) / total
 
     def pair(y, a, b):
-        c, freed = sum(k for p, k in n[y].items() if p[0] == a), sum(min(k, of_pairs[y]) for p, k in n[y].items() if p[0] == a)
-        return max(n[y][a, b] - of_pairs[y], 0) / max(c, 1) + (freed / c if c else 1) * uni(y, b)
+        c, freed = sum(k for p, k in n[y].items() if p[0] == a), sum(of_pairs[y](k) for p, k in n[y].items() if p[0] == a)
+        return (n[y][a, b] - of_pairs[y](n[y][a, b])) / max(c, 1) + (freed / c if c else 1) * uni(y, b)
 
     for a in vocabulary:
         for b in vocabulary:
@@ -436,6 +442,14 @@ def test_toxicity_model_keeps_rare_pairs_and_backs_off(spark, monkeypatch):
             assert model.features([f"{a} {b}"])[0][-1] == pytest.approx((first + both) / 2, abs=1e-6)
 
 
+def test_toxicity_sample_is_bounded_by_characters(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_CHARACTERS", 1000)
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = spark.createDataFrame([(i, "x" * 90) for i in range(400)], "doc_id long, text string")
+    got = toxicity.sample(docs, spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")).collect()
+    assert Counter(r.toxic for r in got) == {0: 11, 1: 11} and len(ids) > 22
+
+
 def test_secrets_reports_whole_candidates():
     """A long candidate has its true end, its rest is no span of its own, and a base span inside doesn't hide it."""
     r = random.Random(7)

@@ -13,15 +13,15 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, small_batches, written
 
-#: Bounds of the fit: documents of either class. All their words and word pairs are kept.
-MOST_TOXIC, MOST_ORDINARY = 5_000, 10_000
-#: The discount: of a count that is no larger, all goes to the backoff. The lengths of the windows whose ratios are compared.
-DISCOUNT, WINDOWS = 4.0, (1, 2, 4)
+#: Bounds of the fit: documents of either class, and characters of a class's documents together. All their words and word pairs are kept.
+MOST_TOXIC, MOST_ORDINARY, MOST_CHARACTERS = 5_000, 10_000, 100_000_000
+#: The parts of the training rows (remainders of their ids): each is calibrated on counts of the others. The lengths of the windows whose ratios are compared.
+FOLDS, WINDOWS = (0, 1, 3), (1, 2, 4)
 #: Bits of a hash of the word before; distinct pairs that a task holds before it sends them on.
 HASHED, MOST_MARKS = 36, 4_000_000
 FEATURES = tuple(f"{order}_{n}" for order in ("word", "pair") for n in (*WINDOWS, "all"))
@@ -97,14 +97,14 @@ class Model:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, before, word, n) of each batch; before is empty at a text's start."""
+    """(toxic, rest, before, word, n) of each batch; before is empty at a text's start."""
     for b in batches:
-        n: Counter[tuple[int, str, str]] = Counter()
-        for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        n: Counter[tuple[int, int, str, str]] = Counter()
+        for y, rest, text in zip(*[b.column(i).to_pylist() for i in range(3)]):
             got = words(text)
-            n.update(zip(repeat(y), ["", *got], got))
+            n.update(zip(repeat(y), repeat(rest), ["", *got], got))
         keys = list(n)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.string()), pa.array(n.values(), pa.int64())], ["toxic", "before", "word", "n"])
+        yield pa.RecordBatch.from_arrays([*[pa.array([k[i] for k in keys], pa.int32()) for i in (0, 1)], *[pa.array([k[i] for k in keys], pa.string()) for i in (2, 3)], pa.array(n.values(), pa.int64())], ["toxic", "rest", "before", "word", "n"])
 
 
 def remainder(id_col: str = "doc_id") -> Column:
@@ -114,13 +114,16 @@ def remainder(id_col: str = "doc_id") -> Column:
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """toxic, text, rest: the labelled training rows (crc32 of the id mod 4 is rest, not 2), bounded for each class.
 
-    Which rows are taken follows a hash of their ids. The ids are at most MOST_TOXIC + MOST_ORDINARY rows, which bounds
-    the broadcast."""
+    Which rows are taken follows a hash of their ids, up to MOST_TOXIC or MOST_ORDINARY rows and MOST_CHARACTERS characters; so
+    the broadcast of their ids is bounded too."""
     known = labels.where(remainder() != 2).where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     by = (F.xxhash64("doc_id"), F.col("doc_id"))
     few = known.where("toxic = 1").orderBy(*by).limit(MOST_TOXIC).union(known.where("toxic = 0").orderBy(*by).limit(MOST_ORDINARY))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(few), "doc_id").select("toxic", "text", remainder().cast("int").alias("rest"))
+    sizes = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("size"))
+    upto = F.sum("size").over(Window.partitionBy("toxic").orderBy(*by))  # over the few rows taken
+    bounded = written(sizes.withColumn("upto", upto).where(F.col("upto") <= MOST_CHARACTERS).select("doc_id", "toxic"), "sample")
+    return texts.join(F.broadcast(bounded), "doc_id").select("toxic", "text", remainder().cast("int").alias("rest"))
 
 
 def packed(sorted_: np.ndarray) -> bytes:
@@ -174,12 +177,19 @@ def continuations(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
         if marks:
             yield dealt(marks)
 
-    def counted(table: pa.Table) -> pa.Table:
-        every = np.unique(np.concatenate([unpacked(x.as_py()) for x in table.column("marks")]))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = np.zeros(0, np.uint64)
+        parts: list[np.ndarray] = []
+        for b in batches:  # unites as it reads: holds the distinct numbers, and about as many more at most
+            for x in b.column("marks"):
+                parts.append(unpacked(x.as_py()))
+                if sum(map(len, parts)) > max(len(every), MOST_MARKS):
+                    every, parts = np.unique(np.concatenate([every, *parts])), []
+        every = np.unique(np.concatenate([every, *parts]))
         ends = np.searchsorted(every, [apart, new])
         word, n = np.unique(every[: ends[0]] >> shift, return_counts=True)
         rows = [(-1, ends[1] - ends[0]), (-2, len(every) - ends[1])]
-        return pa.table({"word": pa.array([*word.astype(np.int64).tolist(), *[r[0] for r in rows]], pa.int32()), "n": pa.array([*n.tolist(), *[int(r[1]) for r in rows]], pa.int64())})
+        yield pa.RecordBatch.from_arrays([pa.array([*word.astype(np.int64).tolist(), *[r[0] for r in rows]], pa.int32()), pa.array([*n.tolist(), *[int(r[1]) for r in rows]], pa.int64())], ["word", "n"])
 
     met = docs.select(F.col("text").cast("string")).mapInArrow(seen, "bucket int, marks binary").groupBy("bucket").applyInArrow(counted, "word int, n long")
     n = met.groupBy("word").agg(F.sum("n").alias("n")).toArrow()
@@ -189,37 +199,90 @@ def continuations(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
     return left, int(n[at != -2].sum()), int((at >= 0).sum() + n[at == -2].sum())
 
 
-def even_discounts(counts: tuple[np.ndarray, np.ndarray], times: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
-    """DISCOUNT for the class whose counts it frees the larger share of, and for the other the discount that frees as large a share.
-
-    So what is rare in both classes says nothing, whatever the sizes of their samples. counts[i] occurs times[i] times."""
-    share = lambda y, d: float((np.minimum(counts[y], d) * times[y]).sum() / max(1.0, float((counts[y] * times[y]).sum())))
-    out = [DISCOUNT, DISCOUNT]
-    less = 0 if share(0, DISCOUNT) < share(1, DISCOUNT) else 1
-    want, low, high = share(1 - less, DISCOUNT), DISCOUNT, max(DISCOUNT, float(counts[less].max(initial=0)))
-    for _ in range(60):
-        out[less] = (low + high) / 2
-        low, high = (out[less], high) if share(less, out[less]) < want else (low, out[less])
-    return out[0], out[1]
-
-
-def count_model(rows: DataFrame, docs: DataFrame) -> Model:
-    """The model of rows (toxic, text), uncalibrated, whose backoff counts come from all docs (text).
-
-    Counting is distributed, and so are the pairs' ratios; the driver gets numbers of the rows' words and a key and a
-    ratio for each of their pairs."""
-    counts = written(rows.select("toxic", "text").mapInArrow(_counts, "toxic int, before string, word string, n long").groupBy("before", "word").agg(*[F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)]), "ngrams")
-    seen = [F.sum((F.col(f"n{y}") > 0).cast("long")).alias(f"left{y}") for y in (0, 1)]  # distinct words before: Kneser-Ney's counts
-    discounts = even_discounts(*zip(*[counts_of(counts, f"n{y}") for y in (0, 1)]))
-    by_word = counts.groupBy("word").agg(*seen)
-    by_before = counts.groupBy("before").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"), *[F.sum(F.least(F.col(f"n{y}").cast("double"), F.lit(discounts[y]))).alias(f"free{y}") for y in (0, 1)])
-    known = by_word.join(by_before, by_word.word == by_before.before, "left").select(F.xxhash64("word").alias("hash"), *[F.coalesce(c + str(y), F.lit(0)).alias(c + str(y)) for c in ("left", "c", "free") for y in (0, 1)]).orderBy("hash").toArrow().to_pandas()
-    vocabulary = known["hash"].to_numpy(np.int64)
+def discounts_of(counts: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Kneser-Ney's discounts of counts 1, 2, and 3 or more, from how often counts occur: under 1, 2 and 3.
+
+    counts[i] occurs times[i] times. A count that never occurs stands for one occurrence."""
+    seen = dict(zip(counts.astype(np.int64).tolist(), times.tolist()))
+    n1, n2, n3, n4 = (max(1.0, seen.get(r, 0.0)) for r in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2)
+    raw = np.array([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
+    most = np.array([1.0, 2.0, 3.0])
+    return np.clip(raw, 0.05 * most, 0.95 * most)
+
+
+def discounted(counts: np.ndarray, discounts: np.ndarray) -> np.ndarray:
+    """What each count gives up."""
+    return np.append(0.0, discounts)[np.clip(counts, 0, 3).astype(np.int64)]
+
+
+@dataclass
+class Tallies:
+    """Counts of the sample by part of it, and what the whole corpus says of its words."""
+
+    pairs: DataFrame  # before, word, and n{class}_{fold}
+    vocabulary: pd.DataFrame  # hash of each word, sorted, with left: the distinct words before it in all documents
+    all_left: int
+    distinct: int
+
+    def model(self, without: int | None = None) -> Model:
+        """The model of all parts but one, uncalibrated. Counting is distributed, and so are the pairs' ratios; the driver gets
+        numbers of the sample's words and a key and a ratio for each of their pairs."""
+        parts = [k for k in FOLDS if k != without]
+        n = [sum((F.col(f"n{y}_{k}") for k in parts[1:]), F.col(f"n{y}_{parts[0]}")).alias(f"n{y}") for y in (0, 1)]
+        counts = self.pairs.select("before", "word", *n).where("n0 + n1 > 0")
+        discounts = [discounts_of(*counts_of(counts, f"n{y}")) for y in (0, 1)]
+        given = lambda y: F.when(F.col(f"n{y}") > 0, F.element_at(F.array(*[F.lit(float(d)) for d in discounts[y]]), F.least(F.col(f"n{y}"), F.lit(3)).cast("int"))).otherwise(0.0)
+        by_word = counts.groupBy("word").agg(*[F.sum((F.col(f"n{y}") > 0).cast("long")).alias(f"left{y}") for y in (0, 1)])  # distinct words before: Kneser-Ney's counts
+        by_before = counts.groupBy("before").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"), *[F.sum(given(y)).alias(f"free{y}") for y in (0, 1)])
+        known = by_word.join(by_before, by_word.word == by_before.before, "left").select(F.xxhash64("word").alias("hash"), *[F.coalesce(c + str(y), F.lit(0)).alias(c + str(y)) for c in ("left", "c", "free") for y in (0, 1)]).orderBy("hash").toArrow().to_pandas()
+        return self._estimated(known.merge(self.vocabulary, on="hash").sort_values("hash"), counts, discounts)
+
+    def _estimated(self, known: pd.DataFrame, counts: DataFrame, discounts: list[np.ndarray]) -> Model:
+        """Absolute discounting at both orders; what it frees goes to the words' shares among the words before, over all documents."""
+        vocabulary = known["hash"].to_numpy(np.int64)
+        size = len(vocabulary)
+        total = max(1, self.all_left) + max(1, self.distinct)
+        shared = np.append((known["left"].to_numpy(np.float64) + 1) / total, 1 / total)
+        uni, back, after = [], [], []
+        for y in (0, 1):
+            left = known[f"left{y}"].to_numpy(np.float64)
+            given = discounted(left, discounts_of(*np.unique(left[left > 0], return_counts=True)))
+            all_left = max(1.0, left.sum())
+            uni.append(np.append((left - given) / all_left, 0.0) + (given.sum() / all_left or 1.0) * shared)
+            c = known[f"c{y}"].to_numpy(np.float64)
+            after.append(np.append(np.maximum(c, 1), 1.0))
+            back.append(np.append(np.where(c > 0, known[f"free{y}"].to_numpy(np.float64) / np.maximum(c, 1), 1.0), 1.0))
+        held = counts.sparkSession.sparkContext.broadcast((vocabulary, uni, back, after))
+
+        def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vocabulary, uni, back, after = held.value
+            for batch in batches:
+                a, b = (found(vocabulary, batch.column(i).to_numpy(), size) for i in (0, 1))
+                n = [batch.column(2 + y).to_numpy() for y in (0, 1)]
+                both = [(n[y] - discounted(n[y], discounts[y])) / after[y][a] + back[y][a] * uni[y][b] for y in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(a * (size + 1) + b), pa.array(np.log(both[1] / both[0]).astype(np.float32))], ["key", "ratio"])
+
+        hashed = counts.where("before <> ''").select(F.xxhash64("before"), F.xxhash64("word"), "n0", "n1")
+        got = hashed.mapInArrow(ratios, "key long, ratio float").toArrow()
+        held.unpersist()
+        keys, ratio = got.column("key").to_numpy(), got.column("ratio").to_numpy()
+        order = np.argsort(keys)
+        word = np.log(uni[1] / uni[0])
+        word[-1] = 0.0  # an unknown word says nothing of the class
+        return Model(vocabulary, word, np.log(back[1] / back[0]), keys[order], ratio[order], np.zeros(len(FEATURES) + 1))
+
+
+def tallied(rows: DataFrame, docs: DataFrame) -> Tallies:
+    """Counts of rows (toxic, text, rest), and the backoff counts of their words over all docs (text)."""
+    each = rows.select("toxic", "rest", "text").mapInArrow(_counts, "toxic int, rest int, before string, word string, n long")
+    n = lambda y, k: F.sum(F.when((F.col("toxic") == y) & (F.col("rest") == k), F.col("n")).otherwise(0)).alias(f"n{y}_{k}")
+    pairs = written(each.groupBy("before", "word").agg(*[n(y, k) for y in (0, 1) for k in FOLDS]), "ngrams")
+    known = pairs.select("word").distinct().select(F.xxhash64("word").alias("hash")).orderBy("hash").toArrow().to_pandas()
     if known["hash"].duplicated().any():
         raise RuntimeError("two words share a 64-bit hash")
-    left, all_left, distinct = continuations(docs, vocabulary)
-    whole = {f"left{y}": known[f"left{y}"].sum() for y in (0, 1)}
-    return estimated(known.assign(left=left), counts, discounts, whole | {"left": all_left, "v": distinct})
+    left, all_left, distinct = continuations(docs, known["hash"].to_numpy(np.int64))
+    return Tallies(pairs, known.assign(left=left), all_left, distinct)
 
 
 def counts_of(table: DataFrame, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -228,40 +291,6 @@ def counts_of(table: DataFrame, name: str) -> tuple[np.ndarray, np.ndarray]:
     return got[name].to_numpy(np.float64), got["times"].to_numpy(np.float64)
 
 
-def estimated(known: pd.DataFrame, counts: DataFrame, discounts: tuple[float, float], whole: dict) -> Model:
-    """Absolute discounting at both orders; what it frees goes to the words' shares among the words before, over all documents."""
-    vocabulary = known["hash"].to_numpy(np.int64)
-    size = len(vocabulary)
-    total = max(1, whole["left"] or 0) + max(1, whole["v"] or 0)
-    shared = np.append((known["left"].to_numpy(np.float64) + 1) / total, 1 / total)
-    uni, back, after = [], [], []
-    ones = np.ones(size)
-    of_words = even_discounts(*zip(*[(known[f"left{y}"].to_numpy(np.float64), ones) for y in (0, 1)]))
-    for y in (0, 1):
-        left, all_left = known[f"left{y}"].to_numpy(np.float64), max(1, whole[f"left{y}"] or 0)
-        free = np.minimum(left, of_words[y]).sum() / all_left or 1.0
-        uni.append(np.append(np.maximum(left - of_words[y], 0) / all_left, 0.0) + free * shared)
-        c = known[f"c{y}"].to_numpy(np.float64)
-        after.append(np.append(np.maximum(c, 1), 1.0))
-        back.append(np.append(np.where(c > 0, known[f"free{y}"].to_numpy(np.float64) / np.maximum(c, 1), 1.0), 1.0))
-    held = counts.sparkSession.sparkContext.broadcast((vocabulary, uni, back, after))
-
-    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, uni, back, after = held.value
-        for batch in batches:
-            a, b = (found(vocabulary, batch.column(i).to_numpy(), size) for i in (0, 1))
-            both = [np.maximum(batch.column(2 + y).to_numpy() - discounts[y], 0) / after[y][a] + back[y][a] * uni[y][b] for y in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(a * (size + 1) + b), pa.array(np.log(both[1] / both[0]).astype(np.float32))], ["key", "ratio"])
-
-    hashed = counts.where("before <> ''").select(F.xxhash64("before"), F.xxhash64("word"), "n0", "n1")
-    got = hashed.mapInArrow(ratios, "key long, ratio float").toArrow()
-    keys, ratio = got.column("key").to_numpy(), got.column("ratio").to_numpy()
-    order = np.argsort(keys)
-    word = np.log(uni[1] / uni[0])
-    word[-1] = 0.0  # an unknown word says nothing of the class
-    return Model(vocabulary, word, np.log(back[1] / back[0]), keys[order], ratio[order], np.zeros(len(FEATURES) + 1))
-
-
 def calibrated(features: np.ndarray, toxic: np.ndarray, odds: float) -> np.ndarray:
     """Weights of a ridge logistic regression by Newton steps; odds: how much rarer toxic rows are than in these."""
     n = len(FEATURES) + 1
@@ -283,23 +312,30 @@ def calibrated(features: np.ndarray, toxic: np.ndarray, odds: float) -> np.ndarr
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
-    """Counts come from rows with rest 0 or 1, the calibration from rows with rest 3."""
-    rows = written(sample(docs, labels), "toxic")
-    model = count_model(rows.where("rest < 2"), docs)
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    names = list(FEATURES)
+    """The model of all training rows, calibrated on features that each part of them gets from counts of the other parts.
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = held.value.features(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(got[:, i]) for i in range(len(names))]], ["toxic", *names])
-
-    fit = rows.where("rest = 3").select("toxic", "text").mapInArrow(features, "toxic int, " + ", ".join(f"{c} double" for c in names)).toPandas()
+    So chance words, which a count of 1 tells of as of true ones, weigh in the calibration as they will in new texts."""
+    rows = written(sample(docs, labels), "toxic")
+    tallies = tallied(rows, docs)
+    context, names = docs.sparkSession.sparkContext, list(FEATURES)
+    parts = []
+    for k in FOLDS:
+        held = context.broadcast(tallies.model(k))
+
+        def features(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                got = held.value.features(b.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(got[:, i]) for i in range(len(names))]], ["toxic", *names])
+
+        parts.append(rows.where(f"rest = {k}").select("toxic", "text").mapInArrow(features, "toxic int, " + ", ".join(f"{c} double" for c in names)).toPandas())
+        held.destroy()
+    fit = pd.concat(parts)
     real = {r.toxic: r.n for r in labels.where(remainder() != 2).groupBy(F.col("toxic").cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     taken = fit["toxic"].value_counts()
     odds = 1.0
     if min(taken.get(0, 0), taken.get(1, 0), real.get(0, 0), real.get(1, 0)) > 0:
         odds = (real[1] / real[0]) / (taken[1] / taken[0])
+    model = tallies.model()
     model.weights = calibrated(fit[names].to_numpy(np.float64), fit["toxic"].to_numpy(np.float64), odds)
     if not len(fit):
         model.weights[0] = -5.0
@@ -310,7 +346,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     Only texts enter a score. Labels are learnt from rows whose crc32(doc_id as text) mod 4 is not 2, from a sample
-    bounded by MOST_TOXIC and MOST_ORDINARY, all of whose words and pairs count; backoff counts, which know no label,
+    bounded by MOST_TOXIC, MOST_ORDINARY and MOST_CHARACTERS, all of whose words and pairs count; backoff counts, which know no label,
     come from all docs. Every whole text is scored. A null or empty text gets the score of no
     evidence. Without labels of both classes scores say nothing but stay in range. Rows that repeat get equal scores;
     null ids are not held out; a doc_id with contrary labels counts as toxic.
