@@ -47,7 +47,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size="4m")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_fingerprints, f"doc_id {dict(docs.dtypes)[id_col]}, fp long")
 
