@@ -19,10 +19,13 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(autouse=True)
 def rocks(spark):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(key, streaming.STATE_STORE)
+    keys = {"spark.sql.streaming.stateStore.providerClass": streaming.STATE_STORE, "spark.sql.shuffle.partitions": "2"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     yield
-    spark.conf.unset(key)
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def files(spark, batches, schema, folder):
