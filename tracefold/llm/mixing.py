@@ -47,7 +47,7 @@ def tilts(stats: DataFrame, sizes: dict, targets: dict, most: float, exact: floa
     """
     spark = stats.sparkSession
     tilt = {s: 0.0 if sizes[s] == 0 else math.inf if targets[s] >= most * sizes[s] * (1 - 1e-12) else None for s in sizes}
-    unit = {r.source: r.unit for r in stats.groupBy("source").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("unit")).collect()}
+    unit = {r.source: r.unit for r in stats.groupBy("source").agg(F.try_divide(F.sum(F.col("n") * F.col("size") * F.col("size")), F.sum(F.col("n") * F.col("size"))).alias("unit")).collect()}
     live = {s: [0.0, -60.0, 60.0] for s, t in tilt.items() if t is None}
     step = 0
     while live and step < most_steps:
@@ -109,7 +109,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = {r["source"]: r["size"] for r in totals}
     targets = target_tokens(sizes, weights, share, most)
     tilt = tilts(stats, sizes, targets, most)
-    unit = {r.source: r.unit for r in stats.groupBy("source").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("unit")).collect()}
+    unit = {r.source: r.unit for r in stats.groupBy("source").agg(F.try_divide(F.sum(F.col("n") * F.col("size") * F.col("size")), F.sum(F.col("n") * F.col("size"))).alias("unit")).collect()}
     given = _table(spark, [(s, float(min(tilt[s], 1e300)), float(unit[s] or 1.0), sizes[s], targets[s]) for s in sizes], "s string, t double, unit double, source_size long, target double")
     power = F.col("t") * F.col("size") / F.col("unit")
     rate = F.when(F.col("t") >= 1e300, F.lit(float(most))).otherwise(F.least(F.exp(F.least(power, F.lit(50.0))), F.lit(float(most))))
