@@ -442,6 +442,12 @@ def test_toxicity_model_keeps_rare_pairs_and_backs_off(spark, without):
             assert model.features([f"{a} {b}"])[0][-1] == pytest.approx((first + both) / 2, abs=1e-6)
 
 
+def test_words_of_ascii_texts_are_those_of_the_pattern():
+    every = "".join(map(chr, range(128)))
+    for text in (every, every * 2 + "A_b9", "", None, "\x1c\x1da\x1fB", every + "É_é"):
+        assert toxicity.words(text) == toxicity.WORDS.findall((text or "").lower())
+
+
 def test_toxicity_sample_is_bounded_by_characters(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "MOST_CHARACTERS", 1000)
     ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]

@@ -27,10 +27,13 @@ HASHED, MOST_MARKS = 36, 4_000_000
 FEATURES = tuple(f"{order}_{n}" for order in ("word", "pair") for n in (*WINDOWS, "all"))
 THRESHOLD = 0.3
 WORDS = re.compile(r"[^\W_]+")
+_ASCII = str.maketrans({chr(c): chr(c).lower() if chr(c).isalnum() else " " for c in range(128)})
 
 
 def words(text: str | None) -> list[str]:
-    return WORDS.findall((text or "").lower())
+    """WORDS in the lower-cased text; where all is ASCII, by a table, which is faster."""
+    text = text or ""
+    return text.translate(_ASCII).split() if text.isascii() else WORDS.findall(text.lower())
 
 
 def numbered_words(texts: Iterable[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
