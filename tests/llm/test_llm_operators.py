@@ -363,8 +363,54 @@ def test_fuzzy_lines(spark, docs, nothing):
     assert fuzzy_lines.jaccard("abcdef", "abcdefg") == pytest.approx(2 / 3)
 
 
-def test_every_pair_of_a_bucket_is_settled(spark):
-    """Lines of one template in one bucket, each with a near copy: the head is like none of them."""
+def by_hand_classes(n, pairs):
+    """The number of its class for each of n things that pairs connect."""
+    at = list(range(n))
+    for i, j in pairs:
+        a, b = at[i], at[j]
+        at = [b if x == a else x for x in at]
+    seen = {}
+    return [seen.setdefault(x, i) for i, x in enumerate(at)]
+
+
+def test_links_of_a_bucket_against_all_pairs():
+    """Few and many members, of few and of many words, of different lengths, with equal shingle sets and repeated shingles."""
+    r = random.Random(1)
+    for n in (2, 3, 9, 16, 17, 60, 130):
+        for vocabulary in (8, 40, 400):
+            words = ["".join(r.choice("abcdefg") for _ in range(6)) for _ in range(vocabulary)]
+            base = [r.choice(words) for _ in range(20)]
+            lines = []
+            for _ in range(n):
+                w = list(base)
+                for _ in range(r.choice([0, 1, 1, 2, 3])):
+                    w[r.randrange(20)] = r.choice(words)
+                lines.append(" ".join(w[: r.choice([20, 20, 18, 12])]))
+            lines[-1] = lines[0] if n % 2 else "aaaaaaaaa"
+            links = [(i, j) for i in range(n) for j in range(i) if fuzzy_lines.jaccard(lines[i], lines[j]) >= 0.8]
+            got = fuzzy_lines.bucket_links(lines, 0.8)
+            assert by_hand_classes(n, got) == by_hand_classes(n, links) and {tuple(sorted(p)) for p in got} <= {tuple(sorted(p)) for p in links}
+
+
+def test_buckets_with_the_same_members_are_one(spark):
+    rows = [(1, 5), (1, 6), (2, 5), (2, 6), (3, 5), (3, 7), (4, 5), (4, 6), (4, 7), (5, 9)]
+    got = fuzzy_lines.buckets(spark.createDataFrame([(k, i, 10) for k, i in rows], "key long, id long, size int")).collect()
+    assert sorted((x.key, x.id, x.n, x["head"], x.chars) for x in got) == [(1, 5, 2, 5, 20), (1, 6, 2, 5, 20), (3, 5, 2, 5, 20), (3, 7, 2, 5, 20), (4, 5, 3, 5, 30), (4, 6, 3, 5, 30), (4, 7, 3, 5, 30)]
+
+
+def test_filter_of_shared_keys_passes_all_of_them(spark):
+    rows = spark.range(-3000, 3000).select(F.col("id").alias("key"), (F.col("id") * 7).alias("id"))
+    for bits in (12, 16):
+        for keys in (rows.where("key % 3 = 0"), rows.where("false")):
+            some = keys.select("key").collect()
+            got = {(x.key, x.id) for x in fuzzy_lines.perhaps(rows, keys.select("key"), bits).collect()}
+            assert {(k.key, k.key * 7) for k in some} <= got and len(got) <= len(some) * (4 if bits == 12 else 1.1)
+
+
+@pytest.mark.parametrize("most", [fuzzy_lines.TASK_LINES, 4])
+def test_every_pair_of_a_bucket_is_settled(spark, monkeypatch, most):
+    """Lines of one template in one bucket, each with a near copy: the head is like none of them. In a task, and beyond its bound."""
+    monkeypatch.setattr(fuzzy_lines, "TASK_LINES", most)
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcdefghiklmnoprstu") for _ in range(7))
     template = " ".join(word() for _ in range(12))

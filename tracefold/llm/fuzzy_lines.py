@@ -7,6 +7,7 @@ union-find are DataFrame operations.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, hot_join, small_batches, text_or_empty, written
+from .common import components, hot_join, partitions, small_batches, text_or_empty, written
 
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 6
@@ -23,8 +24,14 @@ GRAM, CHUNK = 5, 1 << 16
 #: One-permutation hashing: each of PERMUTATIONS hashes of a shingle falls into one of BINS bins, whose least is kept.
 PERMUTATIONS = 2
 BINS = BANDS * ROWS // PERMUTATIONS
-#: A bucket of more than SMALL members is split by its members' rare shingles; groups are paired in blocks of BLOCK rows.
+#: A bucket of at most these members and characters is settled in one task; of FEW members by comparing all, else by an index.
+TASK_LINES, TASK_CHARS, FEW = 10_000, 2_000_000, 16
+#: Larger buckets are split by their members' rare shingles, groups are paired in blocks of BLOCK rows; one of SMALL needs no split.
 SMALL, BLOCK = 64, 500
+#: Bits of the filter of shared keys, as a power of two; it is broadcast.
+FILTER_BITS = 27
+#: From so many candidates of a line on, their common shingles are counted together.
+MANY = 32
 
 _RANDOM = np.random.Generator(np.random.PCG64(20))
 #: Odd factors that mix a shingle for a permutation, and minima into keys.
@@ -62,13 +69,18 @@ def band_keys(lines: list[str]) -> list[np.ndarray | None]:
     return out
 
 
-def _keys(lines: list[str]) -> np.ndarray:
+def _shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every shingle of lines of GRAM characters or more, and the number of its line."""
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    lengths = np.array([len(x) for x in lines])
-    counts = lengths - GRAM + 1
+    counts = np.array([len(x) for x in lines]) - GRAM + 1
     at = np.arange(counts.sum()) + np.repeat((GRAM - 1) * np.arange(len(lines)), counts)  # no shingle spans two lines
     whole = sum(codes[j : len(codes) - GRAM + 1 + j] * _POWER[j] for j in range(GRAM))[at]
-    owner = np.repeat(np.arange(len(lines), dtype=np.uint64) * np.uint64(BINS), counts)
+    return whole, np.repeat(np.arange(len(lines)), counts)
+
+
+def _keys(lines: list[str]) -> np.ndarray:
+    whole, line = _shingles(lines)
+    owner = line.astype(np.uint64) * np.uint64(BINS)
     minima = np.concatenate([_least(_mixed(whole * seed), owner, len(lines)) for seed in _SEED], axis=1)
     keys = np.zeros((len(lines), BANDS), np.uint64)
     for i in range(BANDS * ROWS):
@@ -125,18 +137,162 @@ def identified(rows: DataFrame, other: DataFrame | None) -> DataFrame:
     return named.join(F.broadcast(other), "line", "left").withColumn("id", F.coalesce("other_id", "id")).drop("other_id")
 
 
-def buckets(bands: DataFrame) -> DataFrame:
-    """key, id, n, head of the buckets of n = two and more members; head is the first of them.
+def perhaps(rows: DataFrame, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """rows whose key may be one of keys (key): all that are, and of the others the share of bits that are set.
+
+    The filter that is broadcast has 2 ** bits bits, however many keys there are."""
+    slot = F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(1 << bits))
+    bit = F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")
+    words = keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("set"))
+    held = F.map_from_entries(F.collect_list(F.struct(F.col("word").bitwiseAND(63).alias("at"), "set")))
+    blocks = words.groupBy(F.shiftright("word", 6).alias("block")).agg(held.alias("held"))
+    full = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0).cast("long")))
+    near = rows.withColumn("slot", slot).withColumn("block", F.shiftright("slot", 12))
+    word = F.get("words", F.shiftright("slot", 6).bitwiseAND(63).cast("int"))
+    met = near.join(F.broadcast(blocks.select("block", full.alias("words"))), "block")
+    return met.where(F.getbit(word, F.col("slot").bitwiseAND(63).cast("int")) == 1).select(*rows.columns)
 
-    Counts combine before the shuffle, and a bucket with a large share of all rows is joined by a broadcast."""
-    shared = written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head")).where("n > 1"), "shared")
-    return written(hot_join(bands, shared.select("*", F.col("n").alias("rows")), "key", "rows"), "buckets")
+
+def buckets(bands: DataFrame) -> DataFrame:
+    """key, id, n, head, chars of the buckets of n = two and more members; head is the first of them, chars the sum of
+    their sizes, where bands (key, id) have a size. Of buckets with the same members one is returned.
+
+    Counts combine before the shuffle, a filter of the shared keys keeps most other rows from it, and a bucket with a
+    large share of all rows is joined by a broadcast."""
+    size = F.col("size") if "size" in bands.columns else F.lit(0)
+    shared = written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "shared")
+    some = written(perhaps(bands.select("key", "id", size.alias("size")), shared.select("key")), "perhaps")
+    met = written(hot_join(some, shared, "key", "rows"), "met")
+    marks = [F.bit_xor(F.xxhash64(F.lit(i), "id")).alias(f"mark{i}") for i in (1, 2)]
+    each = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head"), F.sum("size").alias("chars"), *marks)
+    one = each.groupBy("n", "head", "mark1", "mark2").agg(F.min_by(F.struct("key", "chars"), "key").alias("one"))
+    chosen = written(one.select("one.*", "n", "head", F.col("n").alias("rows")), "chosen")
+    return written(hot_join(met.select("key", "id"), chosen, "key", "rows"), "buckets")
 
 
 def grams(t: str) -> set[str]:
     return {t[i : i + GRAM] for i in range(len(t) - GRAM + 1)}
 
 
+def _alike(x: set[str], y: set[str], similarity: float) -> bool:
+    both = len(x & y) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+    return both > 0 and both >= similarity * (len(x) + len(y) - both)
+
+
+class _Index:
+    """Which lines of a bucket may be as similar to a given one.
+
+    Two lines can only be so if they share one of the rarest size - ceil(similarity * size) + 1 shingles of each."""
+
+    def __init__(self, lines: list[str], similarity: float):
+        whole, line = _shingles(lines)
+        n = len(lines)
+        _, gram = np.unique(whole, return_inverse=True)
+        cells = np.unique(gram * n + line)  # by shingle, then line
+        self.similarity = similarity
+        self.lines = cells % n
+        grams_ = cells // n
+        self.sizes = np.bincount(self.lines, minlength=n)
+        often = np.bincount(grams_)
+        self.starts = np.append(0, np.cumsum(often))
+        order = np.lexsort((grams_, often[grams_], self.lines))  # by line, its rarest shingles first
+        self.grams = grams_[order]
+        self.first = np.append(0, np.cumsum(self.sizes))
+        self.prefix = self.sizes - np.ceil(self.sizes * similarity - 1e-9).astype(np.int64) + 1
+        rank = np.arange(len(order)) - np.repeat(self.first[:-1], self.sizes)
+        early = np.zeros(len(cells), bool)
+        early[order] = rank < np.repeat(self.prefix, self.sizes)
+        self.early = self.lines[early]
+        self.early_starts = np.append(0, np.cumsum(np.bincount(grams_[early], minlength=len(often))))
+
+    def near(self, x: int) -> np.ndarray:
+        own = self.grams[self.first[x] : self.first[x + 1]]
+        some = np.unique(np.concatenate([self.early[self.early_starts[g] : self.early_starts[g + 1]] for g in own[: self.prefix[x]]]))
+        low, high = np.minimum(self.sizes[some], self.sizes[x]), np.maximum(self.sizes[some], self.sizes[x])
+        some = some[(low >= high * self.similarity - 1e-9) & (some != x)]
+        if len(some) > MANY:
+            both = np.bincount(np.concatenate([self.lines[self.starts[g] : self.starts[g + 1]] for g in own]), minlength=len(self.sizes))[some]
+            some = some[both >= self.similarity * (self.sizes[some] + self.sizes[x] - both) - 1e-9]
+        return some
+
+
+def bucket_links(lines: list[str], similarity: float) -> list[tuple[int, int]]:
+    """Similar pairs of lines that connect all that similar pairs connect.
+
+    All are compared with the first; then those outside the largest part so far with all that may be similar."""
+    root = list(range(len(lines)))
+    out = []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def meet(i: int, j: int, x: set[str], y: set[str]) -> None:
+        if _alike(x, y, similarity):
+            root[find(j)] = find(i)
+            out.append((i, j))
+
+    few = len(lines) <= FEW
+    first = grams(lines[0])
+    sets = [first]
+    for j in range(1, len(lines)):
+        y = grams(lines[j])
+        meet(0, j, first, y)
+        if few:
+            sets.append(y)
+    parts = [find(i) for i in range(len(lines))]
+    main = Counter(parts).most_common(1)[0][0]
+    rest = [i for i, p in enumerate(parts) if p != main and i]
+    if len(lines) == 2 or not rest:
+        return out
+    index = None if few else _Index(lines, similarity)
+    done = set()
+    for i in rest:
+        done.add(i)
+        x = sets[i] if few else grams(lines[i])
+        for j in range(1, len(lines)) if few else index.near(i).tolist():
+            if j not in done and find(i) != find(j):
+                meet(i, j, x, sets[j] if few else grams(lines[j]))
+    return out
+
+
+def settled(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that connect what similar pairs within the buckets of rows (key, id) connect; a bucket is one task's."""
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
+        key, ids, lines = None, [], []
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            names, held = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    if keys[a] != key:
+                        if ids:
+                            yield ids, lines
+                        key, ids, lines = keys[a], [], []
+                    ids += names[a:b]
+                    lines += held[a:b]
+        if ids:
+            yield ids, lines
+
+    def linked_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for ids, lines in groups(batches):
+            for i, j in bucket_links(lines, similarity):
+                a.append(ids[i])
+                b.append(ids[j])
+            if len(a) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    met = rows.select("key", "id").join(texts, "id").select("key", "id", "line")
+    return met.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "id").mapInArrow(linked_, "a long, b long")
+
+
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, 200):
@@ -201,9 +357,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if a != last:  # rows come sorted by a
                     last, x = a, grams(a)
-                y = grams(b)
-                both = len(x & y) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
-                keep.append(both > 0 and both >= similarity * (len(x) + len(y) - both))
+                keep.append(_alike(x, grams(b), similarity))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("la")), texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
@@ -213,12 +367,18 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 def linked(rows: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """(node, component) of the lines that similar pairs within buckets() link.
 
-    Members are compared with their bucket's head first, which joins large groups of copies by few pairs; then every pair
-    of a bucket that this left in different components is compared, or ruled out by its shingles."""
+    A bucket within TASK_LINES and TASK_CHARS is settled in a task. Members of larger ones are compared with their bucket's
+    head first, which joins large groups of copies by few pairs; then every pair of a bucket that this left in different
+    components is compared, or ruled out by its shingles."""
     texts = written(lines.select("id", "line").join(rows.select("id").distinct(), "id", "left_semi"), "bucketed")
-    heads = written(rows.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    found = components(verified(heads, texts, similarity))
-    more = verified(written(open_pairs(rows, found, texts, similarity), "pairs"), texts, similarity)
+    fits = (F.col("n") <= TASK_LINES) & (F.col("chars") <= TASK_CHARS)
+    links = written(settled(rows.where(fits), texts, similarity), "links")
+    large = rows.where(~fits)
+    if large.isEmpty():
+        return components(links)
+    heads = written(large.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    found = components(links.union(verified(heads, texts, similarity)))
+    more = verified(written(open_pairs(large, found, texts, similarity), "pairs"), texts, similarity)
     return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
 
@@ -236,7 +396,7 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = written(signatures(every.where("line <> ''").select("line").distinct()), "lines")
     other = collisions(lines.select("id", "line"))
     known = identified(lines.drop("id"), other)
-    found = linked(buckets(known.select("id", F.explode("keys").alias("key"))), known, similarity)
+    found = linked(buckets(known.select("id", F.length("line").alias("size"), F.explode("keys").alias("key"))), known, similarity)
     stars = found.select(F.col("node").alias("line_id"), "component")
     rows = written(identified(every, other).select("doc_id", "line_no", F.col("id").alias("line_id"), (F.col("line") == "").alias("empty")), "rows")
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
