@@ -388,8 +388,12 @@ def test_links_of_a_bucket_against_all_pairs():
                 lines.append(" ".join(w[: r.choice([20, 20, 18, 12])]))
             lines[-1] = lines[0] if n % 2 else "aaaaaaaaa"
             links = [(i, j) for i in range(n) for j in range(i) if fuzzy_lines.jaccard(lines[i], lines[j]) >= 0.8]
-            got = fuzzy_lines.bucket_links(lines, 0.8)
+            got = fuzzy_lines.bucket_links(lines, [list(range(n))], 0.8)
             assert by_hand_classes(n, got) == by_hand_classes(n, links) and {tuple(sorted(p)) for p in got} <= {tuple(sorted(p)) for p in links}
+            groups = [[0, *sorted(r.sample(range(1, n), r.randrange(1, n)))] for _ in range(4)]
+            links = [(i, j) for i, j in links if any(i in g and j in g for g in groups) or 0 in (i, j)]
+            got = fuzzy_lines.bucket_links(lines, groups, 0.8)
+            assert by_hand_classes(n, got) == by_hand_classes(n, links)
 
 
 def test_buckets_with_the_same_members_are_one(spark):

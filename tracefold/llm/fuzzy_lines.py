@@ -25,7 +25,7 @@ GRAM, CHUNK = 5, 1 << 16
 PERMUTATIONS = 2
 BINS = BANDS * ROWS // PERMUTATIONS
 #: A bucket of at most these members and characters is settled in one task; of FEW members by comparing all, else by an index.
-TASK_LINES, TASK_CHARS, FEW = 10_000, 2_000_000, 16
+TASK_LINES, TASK_CHARS, FEW = 10_000, 1_000_000, 16
 #: Larger buckets are split by their members' rare shingles, groups are paired in blocks of BLOCK rows; one of SMALL needs no split.
 SMALL, BLOCK = 64, 500
 #: Bits of the filter of shared keys, as a power of two; it is broadcast.
@@ -216,12 +216,14 @@ class _Index:
         return some
 
 
-def bucket_links(lines: list[str], similarity: float) -> list[tuple[int, int]]:
-    """Similar pairs of lines that connect all that similar pairs connect.
+def bucket_links(lines: list[str], groups: list[list[int]], similarity: float) -> list[tuple[int, int]]:
+    """Similar pairs of lines that connect all that similar pairs within the groups of their numbers connect.
 
-    All are compared with the first; then those outside the largest part so far with all that may be similar."""
+    Line 0 is in every group and all are compared with it, once; then, in each group, those outside its largest part so
+    far with all that may be similar."""
     root = list(range(len(lines)))
     out = []
+    sets: dict[int, set[str]] = {}
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -229,59 +231,73 @@ def bucket_links(lines: list[str], similarity: float) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
+    def shingles(i: int, keep: bool) -> set[str]:
+        x = sets.get(i)
+        if x is None:
+            x = grams(lines[i])
+            if keep:
+                sets[i] = x
+        return x
+
     def meet(i: int, j: int, x: set[str], y: set[str]) -> None:
         if _alike(x, y, similarity):
             root[find(j)] = find(i)
             out.append((i, j))
 
-    few = len(lines) <= FEW
-    first = grams(lines[0])
-    sets = [first]
+    first, small = shingles(0, True), len(lines) <= FEW
     for j in range(1, len(lines)):
-        y = grams(lines[j])
-        meet(0, j, first, y)
-        if few:
-            sets.append(y)
-    parts = [find(i) for i in range(len(lines))]
-    main = Counter(parts).most_common(1)[0][0]
-    rest = [i for i, p in enumerate(parts) if p != main and i]
-    if len(lines) == 2 or not rest:
-        return out
-    index = None if few else _Index(lines, similarity)
-    done = set()
-    for i in rest:
-        done.add(i)
-        x = sets[i] if few else grams(lines[i])
-        for j in range(1, len(lines)) if few else index.near(i).tolist():
-            if j not in done and find(i) != find(j):
-                meet(i, j, x, sets[j] if few else grams(lines[j]))
+        meet(0, j, first, shingles(j, small))
+    unlike = set()
+    for group in groups:
+        parts = [find(i) for i in group]
+        main = Counter(parts).most_common(1)[0][0]
+        rest = [k for k, (i, p) in enumerate(zip(group, parts)) if p != main and i]
+        if len(group) == 2 or not rest:
+            continue
+        few = len(group) <= FEW
+        index = None if few else _Index([lines[i] for i in group], similarity)
+        done = set()
+        for k in rest:
+            done.add(k)
+            i = group[k]
+            x = None
+            for m in range(len(group)) if few else index.near(k).tolist():
+                j = group[m]
+                if j and m not in done and find(i) != find(j) and not (few and (min(i, j), max(i, j)) in unlike):
+                    x = shingles(i, small) if x is None else x
+                    meet(i, j, x, shingles(j, small))
+                    if few:
+                        unlike.add((min(i, j), max(i, j)))
     return out
 
 
 def settled(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links that connect what similar pairs within the buckets of rows (key, id) connect; a bucket is one task's."""
+    """(a, b): links that connect what similar pairs within the buckets of rows (key, id, head) connect.
+
+    All buckets of a head, at most BANDS, are one task's, which has each line once with the keys of its buckets."""
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
-        key, ids, lines = None, [], []
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str], list[list[int]]]]:
+        head, ids, lines, keys = None, [], [], []
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            names, held = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a < b:
-                    if keys[a] != key:
-                        if ids:
-                            yield ids, lines
-                        key, ids, lines = keys[a], [], []
-                    ids += names[a:b]
-                    lines += held[a:b]
+            for h, i, line, own in zip(*(c.to_pylist() for c in batch.columns)):
+                if h != head:
+                    if ids:
+                        yield ids, lines, keys
+                    head, ids, lines, keys = h, [], [], []
+                ids.append(i)
+                lines.append(line)
+                keys.append(own)
         if ids:
-            yield ids, lines
+            yield ids, lines, keys
 
     def linked_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
-        for ids, lines in groups(batches):
-            for i, j in bucket_links(lines, similarity):
+        for ids, lines, keys in heads(batches):
+            groups: dict[int, list[int]] = {}
+            for i, own in enumerate(keys):
+                for key in own:
+                    groups.setdefault(key, []).append(i)
+            for i, j in bucket_links(lines, list(groups.values()), similarity):
                 a.append(ids[i])
                 b.append(ids[j])
             if len(a) > 100_000:
@@ -289,8 +305,10 @@ def settled(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    met = rows.select("key", "id").join(texts, "id").select("key", "id", "line")
-    return met.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "id").mapInArrow(linked_, "a long, b long")
+    once = rows.groupBy("head", "id").agg(F.collect_list("key").alias("keys"))  # at most BANDS keys
+    met = once.join(texts, "id").select("head", "id", "line", "keys")
+    dealt = met.repartition(partitions(rows.sparkSession), "head").sortWithinPartitions("head", "id")
+    return dealt.mapInArrow(linked_, "a long, b long")
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
