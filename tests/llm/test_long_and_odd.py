@@ -1,4 +1,4 @@
-"""Language ID and secret scans: linear time on odd long texts, and null, empty, repeated and tied rows."""
+"""Language ID, secret scans and line dedup: linear time on odd long texts, and null, empty, repeated and tied rows."""
 
 import random
 import re
@@ -8,7 +8,7 @@ import time
 import pytest
 import zstandard
 
-from tracefold.llm import language, secrets
+from tracefold.llm import fuzzy_lines, language, secrets
 
 MB = 1 << 20
 
@@ -152,3 +152,16 @@ def test_fusion_equals_the_plain_formula(spark, labelled):
                 z = [a + math.log(b / w) for a, b, w in zip(z, smooth(others(row, name), whole), whole)]
         assert got[i].posterior == pytest.approx(1 / sum(math.exp(x - max(z)) for x in z), abs=1e-6)
         assert got[i].rejected or got[i].lang == model.languages[z.index(max(z))]
+
+
+def test_fuzzy_lines_of_odd_rows(spark):
+    """Lines over a task's characters, null and repeated ids, null and empty texts, other columns of clashing names."""
+    r = random.Random(6)
+    long = "".join(r.choice(string.ascii_lowercase) for _ in range(fuzzy_lines.TASK_CHARS))
+    near = long[:500] + "#" + long[501:]
+    other = "".join(r.choice(string.digits) for _ in range(400))
+    rows = [(3, f"{long}\n\nsame line here"), (1, near), (None, f"{other}\nsame line here"), (2, None), (2, ""), (5, f"{other}?"), (5, f"{other}?")]
+    docs = spark.createDataFrame([(*x, 7, 8, "k") for x in rows], "doc_id long, text string, id long, n long, key string")
+    got = [(x.doc_id, x.line_no, x.kept) for x in fuzzy_lines.fuzzy_lines(docs).collect()]
+    kept = [(1, 0, True), (2, 0, True), (2, 0, True), (3, 0, False), (3, 1, True), (3, 2, True), (5, 0, True), (5, 0, True), (None, 0, False), (None, 1, False)]
+    assert sorted(got, key=str) == sorted(kept, key=str)
