@@ -1,5 +1,6 @@
 """Deep and shared provenance walks, hash trees over segments, and erasure of chained ledgers."""
 
+import hashlib
 import random
 
 import pytest
@@ -89,6 +90,24 @@ def test_build_keeps_columns_and_verifies(ledger):
     assert ledger.count() == 1203 and chain.broken(ledger).collect() == [] and merkle.broken(ledger, merkle.tree(ledger, 4), fan_out=4).collect() == []
 
 
+def test_links_stream_over_batches_and_keep_values(spark):
+    """No Python group for each segment; a null beside it costs a long number no digit."""
+    big = (1 << 53) + 1
+    rows = [(led, i, f"e{led}-{i}", "k", "s", None if i % 3 else big + i, None if i % 5 == 4 else f"p{i}") for led in range(2) for i in range(40)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        linked = chain.build(spark.createDataFrame(rows, LEDGER), 7)
+        assert "FlatMapGroups" not in linked._jdf.queryExecution().executedPlan().toString()
+        got = {(x.ledger_id, x.sequence): x for x in linked.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows)
+    for led, i, name, _, _, ts, text in rows:
+        before = chain.GENESIS if i % 7 == 0 else got[led, i - 1].hash
+        assert (got[led, i].id, got[led, i].ts_us, got[led, i].previous_hash) == (name, ts, before)
+        assert got[led, i].hash == hashlib.sha256((before + (text or "")).encode()).hexdigest()
+
+
 @pytest.mark.parametrize("gone", [[], ["e1-40", "e1-41", "e2-399", *[f"e0-{i}" for i in range(20, 60)]], [f"e2-{i}" for i in range(402)]])
 def test_erasure_touches_changed_segments_only(spark, ledger, gone):
     erased = spark.createDataFrame([(x,) for x in gone], "id string")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,24 +14,31 @@ from ..functions.scan import scan
 GENESIS = "0"
 
 
-def _link(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("sequence")
-    before, previous, hashes = GENESIS, [], []
-    for text in rows.payload:
-        previous.append(before)
-        before = hashlib.sha256((before + (text or "")).encode()).hexdigest()
-        hashes.append(before)
-    return rows.assign(previous_hash=previous, hash=hashes)
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows in order with previous_hash and hash: a chain goes on over batches, and starts anew where the segment changes."""
+    at, before = None, GENESIS
+    for batch in batches:
+        previous, hashes = [], []
+        for ledger, segment, text in zip(*(batch.column(c).to_pylist() for c in ("ledger_id", "segment", "payload"))):
+            if at != (ledger, segment):
+                at, before = (ledger, segment), GENESIS
+            previous.append(before)
+            before = hashlib.sha256((before + (text or "")).encode()).hexdigest()
+            hashes.append(before)
+        more = [pa.array(previous, pa.string()), pa.array(hashes, pa.string())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "previous_hash", "hash"])
 
 
 def link(rows: DataFrame) -> DataFrame:
     """rows (ledger_id, segment, sequence, payload, ...) with previous_hash and hash; all other columns stay.
 
     hash = SHA-256(previous_hash followed by the payload as stored), from GENESIS in each segment: a chain is serial, so
-    a segment is the most that one task holds."""
+    a segment is the least that one task links. Tasks stream over sorted segments and hold a batch of rows at a time."""
     plain = rows.drop("previous_hash", "hash")
     kinds = ", ".join(f"`{c}` {k}" for c, k in plain.dtypes)
-    return plain.groupBy("ledger_id", "segment").applyInPandas(_link, f"{kinds}, previous_hash string, hash string")
+    by = ["ledger_id", "segment"]
+    ordered = plain.repartition(*by).sortWithinPartitions(*by, F.asc_nulls_last("sequence"))
+    return ordered.mapInArrow(_linked, f"{kinds}, previous_hash string, hash string")
 
 
 def build(rows: DataFrame, segment_size: int = 10_000) -> DataFrame:
@@ -44,8 +52,8 @@ def build(rows: DataFrame, segment_size: int = 10_000) -> DataFrame:
 def heads(chained: DataFrame) -> DataFrame:
     """ledger_id, segment, rows, head, and the chain of heads: dropping or reordering a segment breaks it."""
     ends = chained.groupBy("ledger_id", "segment").agg(F.max_by("hash", "sequence").alias("payload"), F.count(F.lit(1)).alias("rows"))
-    linked = ends.groupBy("ledger_id").applyInPandas(lambda r: _link(r.rename(columns={"segment": "sequence"})), "ledger_id long, sequence long, payload string, rows long, previous_hash string, hash string")
-    return linked.withColumnsRenamed({"sequence": "segment", "payload": "head"})
+    linked = link(ends.select("ledger_id", F.lit(0).cast("long").alias("segment"), F.col("segment").alias("sequence"), "payload", "rows"))
+    return linked.drop("segment").withColumnsRenamed({"sequence": "segment", "payload": "head"})
 
 
 def broken(chained: DataFrame) -> DataFrame:
