@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scan import scan
@@ -15,18 +15,19 @@ GENESIS = "0"
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of rows in order with previous_hash and hash: a chain goes on over batches, and starts anew where the segment changes."""
-    at, before = None, GENESIS
+    """Batches of rows in order with previous_hash and hash: a chain goes on over batches, and starts anew at a segment's first row."""
+    before = GENESIS
     for batch in batches:
         previous, hashes = [], []
-        for ledger, segment, text in zip(*(batch.column(c).to_pylist() for c in ("ledger_id", "segment", "payload"))):
-            if at != (ledger, segment):
-                at, before = (ledger, segment), GENESIS
+        for place, text in zip(*(batch.column(c).to_pylist() for c in ("_place", "payload"))):
+            if place == 1:
+                before = GENESIS
             previous.append(before)
             before = hashlib.sha256((before + (text or "")).encode()).hexdigest()
             hashes.append(before)
         more = [pa.array(previous, pa.string()), pa.array(hashes, pa.string())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "previous_hash", "hash"])
+        plain = batch.drop_columns(["_place"])
+        yield pa.RecordBatch.from_arrays([*plain.columns, *more], names=[*plain.schema.names, "previous_hash", "hash"])
 
 
 def link(rows: DataFrame) -> DataFrame:
@@ -36,9 +37,8 @@ def link(rows: DataFrame) -> DataFrame:
     a segment is the least that one task links. Tasks stream over sorted segments and hold a batch of rows at a time."""
     plain = rows.drop("previous_hash", "hash")
     kinds = ", ".join(f"`{c}` {k}" for c, k in plain.dtypes)
-    by = ["ledger_id", "segment"]
-    ordered = plain.repartition(*by).sortWithinPartitions(*by, F.asc_nulls_last("sequence"))
-    return ordered.mapInArrow(_linked, f"{kinds}, previous_hash string, hash string")
+    place = F.row_number().over(Window.partitionBy("ledger_id", "segment").orderBy(F.asc_nulls_last("sequence")))  # rows partitioned so before are not shuffled
+    return plain.withColumn("_place", place).mapInArrow(_linked, f"{kinds}, previous_hash string, hash string")
 
 
 def build(rows: DataFrame, segment_size: int = 10_000) -> DataFrame:

@@ -413,13 +413,13 @@ def node_ledger(s: SparkSession, d: str) -> DataFrame:
     place = (F.col("sequence_class") * 100_000_000_000_000 + F.col("n") * 1000 + repeat).alias("place")
     payload = F.concat(F.lit('{"id":"'), "id", F.lit('"}'))
     rows = nodes(s, d).select(F.lit(0).cast("long").alias("ledger_id"), "id", "kind", F.col("kind").alias("stream_id"), (F.col("n") * 1000).alias("ts_us"), payload.alias("payload"), place)
-    dense = scan(rows, ["ledger_id"], ["place"], F.floor(F.col("place") / 1_000_000_000), {"sequence": ("sum_before", F.lit(1).cast("long"))})
+    dense = scan(rows, ["ledger_id"], ["place"], F.floor(F.col("place") / 1_000_000_000), {"sequence": ("sum_before", F.lit(1).cast("long"))}, small=False)
     return chain.build(dense.drop("place"), ERASED_SEGMENT)
 
 
 @query
 def erase_compact(s, d):
-    rows, (_, links) = cut_lineage(node_ledger(s, d)), lineage_tables(s, d)
+    rows, links = cut_lineage(node_ledger(s, d)), edges(s, d)
     left = lineage.compacted(rows, links, lineage.cascade(rows.where("id = 'r:1'"), rows, links)).rows
     return left.select("id", "kind", "stream_id", "ts_us", "payload", "segment", "sequence", "previous_hash", "hash")
 

@@ -22,5 +22,5 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read from there, so that lost executors cost no recomputation."""
     path = shared_path(df.sparkSession, "cut")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # hashes in hex take half of what they do without entropy coding
     return df.sparkSession.read.schema(df.schema).parquet(path)
