@@ -13,6 +13,8 @@ from ..sources.shared import cut_lineage
 
 #: Time that one task matches at once, at least; its points are those of a ledger in that time and max_offset_us around it.
 SLOT_US = 60 * SECOND
+#: Slots of sparse points are joined until they hold up to so many beliefs or labels, so that their number doesn't grow with idle time.
+MOST_POINTS = 20_000
 
 
 class _Free:
@@ -72,24 +74,31 @@ def _propose(max_offset_us: int):
     return run
 
 
+def slot_width(points: list[DataFrame], width: int, most_points: int = MOST_POINTS) -> int:
+    """The multiple of width at which no ledger's slot holds over most_points of any of points (ledger_id, ts_us), if width is no longer too much itself."""
+    most = [p.groupBy("ledger_id", F.floor(F.col("ts_us") / width)).count().agg(F.max("count")).first()[0] or 1 for p in points]
+    return width * max(1, most_points // max(most))
+
+
 def matched(sample: DataFrame, labels: DataFrame, max_offset_us: int = SECOND // 2, slot_us: int = SLOT_US) -> DataFrame:
     """ledger_id, line_no, sequence, p, occupied: each label's belief, one to one, as if labels chose one after another in file order.
 
     All free labels propose at once, slot of time by slot, each to the nearest belief in reach that no earlier label holds; a
     belief keeps the earliest of its labels, and labels that it turns away or gives up propose again, until none is
     free. The earliest label wins everywhere, so the outcome is that of choosing in turn, whatever the order of proposals. After the
-    first round only labels that two slots fought over are left. A task holds the points of slot_us (or twice the offset, if more)
-    and of the offset around it, not of a whole run of dense points.
+    first round only labels that two slots fought over are left. A task holds the points of slot_us (or twice the offset, if more),
+    or of more time where points are sparse, and of the offset around it, not of a whole run of dense points.
     """
     if max_offset_us < 0:
         raise ValueError("the window must not be negative")
     width = max(slot_us, 2 * max_offset_us, 1)
     by = ["ledger_id", "sequence"]
-    reach = F.explode(F.sequence(F.floor((F.col("ts_us") - max_offset_us) / width), F.floor((F.col("ts_us") + max_offset_us) / width))).alias("slot")
     nobody = F.lit((1 << 63) - 1)
     beliefs = cut_lineage(sample.select("ledger_id", "ts_us", "sequence", "p"))
     held = None  # beliefs that have a holder: ledger_id, sequence, line_no, label_us, occupied
     free = cut_lineage(labels.select("ledger_id", "line_no", F.col("ts_us").alias("label_us"), "occupied"))
+    width = slot_width([beliefs, free.select("ledger_id", F.col("label_us").alias("ts_us"))], width)
+    reach = F.explode(F.sequence(F.floor((F.col("ts_us") - max_offset_us) / width), F.floor((F.col("ts_us") + max_offset_us) / width))).alias("slot")
     while True:
         asked = free.select("ledger_id", F.floor(F.col("label_us") / width).alias("slot"), F.col("label_us").alias("ts_us"), F.lit(1).alias("part"), F.col("line_no").alias("place"), nobody.alias("holder"), "occupied")
         now = beliefs.select("ledger_id", "ts_us", "sequence") if held is None else beliefs.select("ledger_id", "ts_us", "sequence").join(held.select(*by, F.col("line_no").alias("holder")), by, "left")
