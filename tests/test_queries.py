@@ -36,6 +36,21 @@ def test_query_equals_sql(spark, name):
     assert rows(tuple(r[c] for c in columns) for r in got.collect()) == rows(tuple(r[i] for i in at) for r in want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["ledger_counts", "session_evidence"])
+def test_envelopes_are_validated_once(spark, monkeypatch, name):
+    calls, check = [], queries.validate.accepted
+    for module in (queries.validate, queries.ingest):
+        monkeypatch.setattr(module, "accepted", lambda *a: calls.append(1) or check(*a))
+    assert queries.QUERIES[name](spark, SF).count() >= 0 and len(calls) == 1
+
+
+def test_slots_of_sparse_points_are_joined(spark):
+    points = spark.range(1000).selectExpr("id % 2 AS ledger_id", "id * 60000000 AS ts_us")
+    assert queries.cal.slot_width([points], 60_000_000, 100) == 100 * 60_000_000
+    assert queries.cal.slot_width([points, points.selectExpr("0 AS ledger_id", "5 AS ts_us")], 60_000_000, 100) == 60_000_000
+    assert queries.cal.slot_width([points.limit(0)], 7, 3) == 21
+
+
 def test_entry(spark):
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__ as e

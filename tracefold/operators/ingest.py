@@ -57,12 +57,12 @@ def acknowledged(gapped: DataFrame, streams: list[str] | None, ts_us: int) -> Da
     return state.select("ledger_id", name.alias("id"), "sensor_stream_id", F.lit(ts_us).cast("long").alias("ts_us"))
 
 
-def asof(gapped: DataFrame, c: Ingest = Ingest()) -> DataFrame:
-    """gapped with the latest observation of each modality by append order, the row itself included, and whether it is pending."""
+def asof(gapped: DataFrame, c: Ingest = Ingest(), small: bool | None = None) -> DataFrame:
+    """gapped with the latest observation of each modality by append order, the row itself included, and whether it is pending; small as in scan()."""
     stream = F.col("sensor_stream_id")
     row = F.struct(F.col("message_id").alias("id"), F.col("captured_at_utc_us").alias("ts_us"), F.col("_signal").alias("signal"))
     values = {m: ("last", F.when(stream == m, row)) for m in MODALITIES} | {f"{m}_pending": ("last", F.when(stream == m, F.col("marker"))) for m in MODALITIES}
-    out = scan(gapped.withColumn("_body", F.expr(PARSE)).withColumn("_signal", signal(body="_body")).drop("_body"), ["ledger_id"], ["arrival"], _chunk(c), values).drop("_signal")
+    out = scan(gapped.withColumn("_body", F.expr(PARSE)).withColumn("_signal", signal(body="_body")).drop("_body"), ["ledger_id"], ["arrival"], _chunk(c), values, small).drop("_signal")
     for m in MODALITIES:
         out = out.withColumn(f"{m}_pending", F.coalesce(f"{m}_pending", F.lit(False)))
     return out
@@ -101,7 +101,12 @@ def fused(latest: DataFrame, c: Fusion = Fusion()) -> DataFrame:
 
 def beliefs(envelopes: DataFrame, ingest: Ingest = Ingest(), fusion: Fusion = Fusion()) -> DataFrame:
     """One belief for each accepted envelope for which no modality is pending and some signal has weight."""
-    latest = fused(asof(with_gaps(accepted(envelopes, ingest), ingest), ingest), fusion)
+    return believed(with_gaps(accepted(envelopes, ingest), ingest), ingest, fusion)
+
+
+def believed(gapped: DataFrame, ingest: Ingest = Ingest(), fusion: Fusion = Fusion(), small: bool | None = None) -> DataFrame:
+    """beliefs() of what with_gaps() found."""
+    latest = fused(asof(gapped, ingest, small), fusion)
     clear = ~(F.col("camera_pending") | F.col("microphone_pending") | F.col("bluetooth_pending"))
     return latest.where(clear & F.col("probability").isNotNull())
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DAY, SECOND
 from ..functions import columns as C
 from ..operators import calibration as cal
-from ..functions.scan import scan
+from ..functions.scan import fits, scan
 from ..operators import chain, features, ingest, lineage, merkle, privacy, retention, rollups, sessions, validate
 from ..sources import tables
 from ..sources.tables import cut_lineage
@@ -44,22 +44,34 @@ def beliefs(s: SparkSession, d: str) -> DataFrame:
     return ingest.belief_table(ingest.beliefs(env(s, d)))
 
 
+def stored(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Envelopes with their gaps, validated and scanned once for all that reads them, and the beliefs made from them."""
+    found = cut_lineage(gapped(s, d))
+    return found, ingest.belief_table(ingest.believed(found, small=fits(found, ["ledger_id"])))
+
+
 def ledger(s: SparkSession, d: str) -> DataFrame:
-    return ingest.ledger(gapped(s, d), beliefs(s, d))
+    return ingest.ledger(*stored(s, d))
 
 
-def samples(s: SparkSession, d: str) -> DataFrame:
-    return beliefs(s, d).select("ledger_id", "ts_us", F.col("arrival").alias("sequence"), F.col("probability").alias("p"))
+def samples(s: SparkSession, d: str, held: DataFrame | None = None) -> DataFrame:
+    return (beliefs(s, d) if held is None else held).select("ledger_id", "ts_us", F.col("arrival").alias("sequence"), F.col("probability").alias("p"))
 
 
-def merged(s: SparkSession, d: str) -> DataFrame:
-    return sessions.merged(sessions.occupancy(samples(s, d)))
+def merged(s: SparkSession, d: str, held: DataFrame | None = None) -> DataFrame:
+    return sessions.merged(sessions.occupancy(samples(s, d, held)))
 
 
 def episodes(s: SparkSession, d: str) -> DataFrame:
     return sessions.episodes(merged(s, d))
 
 
+def remembered(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Beliefs, made once, and the sessions over them."""
+    held = cut_lineage(beliefs(s, d))
+    return held, cut_lineage(merged(s, d, held))
+
+
 # Sources and validation
 
 
@@ -87,7 +99,9 @@ def label_scan(s, d):
 def ledger_append(s, d):
     """The ledger appended in two batches that overlap: what readers of committed batches see."""
     path = tables.shared_path(s, "ledger")
-    rows, links = tables.cut_lineage(ledger(s, d).select("ledger_id", "sequence", "id", "kind")), tables.cut_lineage(ingest.evidence_edges(beliefs(s, d)))
+    found, held = stored(s, d)
+    held = cut_lineage(held)
+    rows, links = cut_lineage(ingest.ledger(found, held).select("ledger_id", "sequence", "id", "kind")), ingest.evidence_edges(held)
     tables.append(rows.where("kind <> 'belief'"), links, path, "1")
     tables.append(rows, links, path, "2")
     return tables.committed(s, path, "events").select("ledger_id", "sequence", "id", "kind")
@@ -251,19 +265,20 @@ def patterns(s, d):
 
 @query
 def session_evidence(s, d):
-    return sessions.session_evidence(merged(s, d), beliefs(s, d))
+    held, found = remembered(s, d)
+    return sessions.session_evidence(found, held)
 
 
 @query
 def episode_evidence(s, d):
-    found = merged(s, d)
-    return sessions.episode_evidence(found, sessions.session_evidence(found, beliefs(s, d)))
+    held, found = remembered(s, d)
+    return sessions.episode_evidence(found, sessions.session_evidence(found, held))
 
 
 @query
 def pattern_evidence(s, d):
-    found = merged(s, d)
-    return sessions.pattern_evidence(sessions.patterns(episodes(s, d)), sessions.episode_evidence(found, sessions.session_evidence(found, beliefs(s, d))))
+    held, found = remembered(s, d)
+    return sessions.pattern_evidence(sessions.patterns(sessions.episodes(found)), sessions.episode_evidence(found, sessions.session_evidence(found, held)))
 
 
 @query
@@ -667,7 +682,9 @@ def stream_counts(s, d):
 
 @query
 def recent_records(s, d):
-    return rollups.recent_records(ledger(s, d), ingest.evidence_edges(beliefs(s, d)))
+    found, held = stored(s, d)
+    held = cut_lineage(held)
+    return rollups.recent_records(ingest.ledger(found, held), ingest.evidence_edges(held))
 
 
 @query
