@@ -1,6 +1,7 @@
 """Registered queries against their DuckDB SQL on the smallest tables."""
 
 import os
+import re
 import sys
 
 import duckdb
@@ -44,6 +45,31 @@ def test_envelopes_are_validated_once(spark, monkeypatch, name):
     assert queries.QUERIES[name](spark, SF).count() >= 0 and len(calls) == 1
 
 
+def test_methods_of_fusion_are_compiled(spark):
+    """The JVM interprets methods of more than 8,000 bytes, which made fusion six times slower."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = queries.cut_lineage(queries.ingest.with_gaps(queries.env(spark, SF).limit(100)))
+        made = queries.ingest.belief_table(queries.ingest.believed(found, small=True))
+        text = spark._jvm.PythonSQLUtils.explainString(made._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) <= 8000
+
+
+def test_validation_writes_no_text_and_no_schema_of_lists(spark):
+    rows = queries.env(spark, SF).withColumn("_body", queries.F.expr(queries.validate.PARSE))
+    plan = rows.select(queries.validate.reject_reason(body="_body"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "StructsToJson" not in plan and "jsonObjectKeys" not in plan and "schemaOfVariant(_body" not in plan
+
+
+@pytest.mark.parametrize("joints,ok", [("null", False), ("{}", False), ("[]", True), ("[null]", False), ("[[]]", False), ("[1]", False), ('[{"name":"a","x":1,"y":1.5,"confidence":1e3}]', True), ('[{"name":"a","x":"1","y":1,"confidence":1}]', False), ('[{"name":"a","x":1,"y":1,"confidence":1,"q":1}]', False)])
+def test_lists_of_objects(spark, joints, ok):
+    row = spark.createDataFrame([("camera", f' {{"body_count":"one","joints":{joints}}}')], "sensor_stream_id string, payload string")
+    assert row.select(queries.validate.camera_ok(), queries.validate.object_ok()).first() == (ok, True)
+
+
 def test_slots_of_sparse_points_are_joined(spark):
     points = spark.range(1000).selectExpr("id % 2 AS ledger_id", "id * 60000000 AS ts_us")
     assert queries.cal.slot_width([points], 60_000_000, 100) == 100 * 60_000_000

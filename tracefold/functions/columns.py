@@ -13,7 +13,7 @@ def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 def freshness(now: Column, then: Column, fresh_us: int) -> Column:
     """1 for a value of now or later, falling to 0 at fresh_us of age; null without a value."""
-    return F.when(then.isNotNull(), clamp(1.0 - F.greatest(now - then, F.lit(0)) / float(fresh_us)))
+    return F.when(then.isNotNull(), F.greatest(F.lit(0.0), 1.0 - F.greatest(now - then, F.lit(0)) / float(fresh_us)))  # never over 1 nor null
 
 
 def hmac_sha256(key: bytes, message: Column) -> Column:

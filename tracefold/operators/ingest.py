@@ -81,9 +81,14 @@ def signal(c: Fusion = Fusion(), body: str = PARSE) -> Column:
 
 
 def fused(latest: DataFrame, c: Fusion = Fusion()) -> DataFrame:
-    """latest with health, weight, probability, disagreement, confidence, modalities and state; probability is null without a belief."""
+    """latest with health, weight, probability, disagreement, confidence, modalities and state; probability is null without a belief.
+
+    Each modality's freshness is a column of its own: spelled out wherever it is read, the stage's method grows beyond the
+    8,000 bytes that the JVM compiles.
+    """
     now = F.col("captured_at_utc_us")
-    health = {m: freshness(now, F.col(f"{m}.ts_us"), c.fresh_us) for m in MODALITIES}
+    latest = latest.withColumns({f"_{m}_health": freshness(now, F.col(f"{m}.ts_us"), c.fresh_us) for m in MODALITIES})
+    health = {m: F.col(f"_{m}_health") for m in MODALITIES}
     signals = {m: F.col(f"{m}.signal") for m in MODALITIES}
     zero = F.lit(0.0)
     weight = {m: F.when(signals[m].isNotNull(), c.weights[m] * health[m]).otherwise(zero) for m in MODALITIES}
@@ -96,7 +101,7 @@ def fused(latest: DataFrame, c: Fusion = Fusion()) -> DataFrame:
     out = out.withColumn("disagreement", F.greatest(*signals.values()) - F.least(*signals.values()))
     out = out.withColumn("confidence", clamp(F.col("weight") * F.col("health") * (1.0 - 0.5 * F.col("disagreement"))))
     contested = (F.col("disagreement") > c.contested_over) | (F.col("health") < c.weak_health)
-    return out.withColumn("state", F.when(contested, "contested").otherwise("stable"))
+    return out.withColumn("state", F.when(contested, "contested").otherwise("stable")).drop(*[f"_{m}_health" for m in MODALITIES])
 
 
 def beliefs(envelopes: DataFrame, ingest: Ingest = Ingest(), fusion: Fusion = Fusion()) -> DataFrame:
@@ -108,7 +113,7 @@ def believed(gapped: DataFrame, ingest: Ingest = Ingest(), fusion: Fusion = Fusi
     """beliefs() of what with_gaps() found."""
     latest = fused(asof(gapped, ingest, small), fusion)
     clear = ~(F.col("camera_pending") | F.col("microphone_pending") | F.col("bluetooth_pending"))
-    return latest.where(clear & F.col("probability").isNotNull())
+    return latest.where(clear & (F.col("weight") != 0))  # where fused() finds a probability; shorter than asking for it
 
 
 def belief_table(found: DataFrame) -> DataFrame:
