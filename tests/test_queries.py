@@ -70,6 +70,14 @@ def test_lists_of_objects(spark, joints, ok):
     assert row.select(queries.validate.camera_ok(), queries.validate.object_ok()).first() == (ok, True)
 
 
+@pytest.mark.parametrize("name", ["ledger_counts", "agent_runs", "stream_counts", "latest_ts", "observation_rates"])
+def test_rows_are_not_numbered_for_what_reads_no_sequence(spark, monkeypatch, name):
+    calls, number = [], queries.ingest.scan
+    monkeypatch.setattr(queries.ingest, "scan", lambda df, keys, *a: calls.append(a[0]) or number(df, keys, *a))
+    assert queries.QUERIES[name](spark, SF).count() >= 0 and ["arrival", "part"] not in calls
+    test_query_equals_sql(spark, name)
+
+
 def test_slots_of_sparse_points_are_joined(spark):
     points = spark.range(1000).selectExpr("id % 2 AS ledger_id", "id * 60000000 AS ts_us")
     assert queries.cal.slot_width([points], 60_000_000, 100) == 100 * 60_000_000

@@ -129,15 +129,19 @@ def evidence_edges(belief: DataFrame) -> DataFrame:
     return belief.select("ledger_id", F.col("id").alias("derived_id"), F.posexplode("derived_from").alias("ordinal", "source_id")).select("ledger_id", "derived_id", "source_id", "ordinal")
 
 
-def ledger(gapped: DataFrame, belief: DataFrame, c: Ingest = Ingest()) -> DataFrame:
-    """The append-only table: for each accepted envelope its gap row, itself and its belief, densely numbered by ledger from 0."""
+def entries(gapped: DataFrame, belief: DataFrame) -> DataFrame:
+    """ledger()'s rows before they are numbered, for what reads no sequence: their order is (arrival, part)."""
     none = F.lit(None)
     gaps = gap_rows(gapped).select("ledger_id", "arrival", F.lit(0).alias("part"), "id", F.lit("sensor_gap").alias("kind"), F.col("sensor_stream_id").alias("stream_id"), "ts_us", none.cast("string").alias("payload"), none.cast("double").alias("probability"))
     extra = F.concat(F.expr("substr(payload, 1, length(payload) - 1)"), F.when(F.regexp_like("payload", F.lit(r"^\{\s*\}$")), "").otherwise(","), F.lit('"_monotonic_sequence":'), F.col("monotonic_sequence").cast("string"), F.lit("}"))
     observed = gapped.select("ledger_id", "arrival", F.lit(1).alias("part"), F.col("message_id").alias("id"), F.lit("observation").alias("kind"), F.col("sensor_stream_id").alias("stream_id"), F.col("captured_at_utc_us").alias("ts_us"), extra.alias("payload"), none.cast("double").alias("probability"))
     believed = belief.select("ledger_id", "arrival", F.lit(2).alias("part"), "id", F.lit("belief").alias("kind"), F.lit("fusion").alias("stream_id"), "ts_us", none.cast("string").alias("payload"), "probability")
-    every = gaps.unionByName(observed).unionByName(believed)
-    out = scan(every, ["ledger_id"], ["arrival", "part"], _chunk(c), {"sequence": ("sum_before", F.lit(1).cast("long"))})
+    return gaps.unionByName(observed).unionByName(believed)
+
+
+def ledger(gapped: DataFrame, belief: DataFrame, c: Ingest = Ingest()) -> DataFrame:
+    """The append-only table: for each accepted envelope its gap row, itself and its belief, densely numbered by ledger from 0."""
+    out = scan(entries(gapped, belief), ["ledger_id"], ["arrival", "part"], _chunk(c), {"sequence": ("sum_before", F.lit(1).cast("long"))})
     return out.drop("arrival", "part")
 
 

@@ -672,12 +672,12 @@ def acceptance_status(s, d):
 
 @query
 def ledger_counts(s, d):
-    return rollups.counts(ledger(s, d))
+    return rollups.counts(ingest.entries(*stored(s, d)))
 
 
 @query
 def stream_counts(s, d):
-    return rollups.stream_counts(ledger(s, d))
+    return rollups.stream_counts(ingest.entries(*stored(s, d)))
 
 
 @query
@@ -703,17 +703,17 @@ for _n in (n for n in rollups.ZOOMS if n != rollups.ZOOMS[1]):
 
 @query
 def latest_ts(s, d):
-    return rollups.latest_ts(ledger(s, d))
+    return rollups.latest_ts(ingest.entries(*stored(s, d)))
 
 
 @query
 def observation_age(s, d):
-    return rollups.latest_ts(ledger(s, d)).select("ledger_id", "stream_id", rollups.age_seconds(F.lit(ACK_US), F.col("ts_us")).alias("seconds"))
+    return rollups.latest_ts(ingest.entries(*stored(s, d))).select("ledger_id", "stream_id", rollups.age_seconds(F.lit(ACK_US), F.col("ts_us")).alias("seconds"))
 
 
 @query
 def observation_rates(s, d):
-    return rollups.rates(ledger(s, d)).select("ledger_id", "stream_id", r("rate").alias("rate"))
+    return rollups.rates(ingest.entries(*stored(s, d))).select("ledger_id", "stream_id", r("rate").alias("rate"))
 
 
 @query
@@ -742,7 +742,7 @@ def latest_joints(s, d):
 
 @query
 def agent_runs(s, d):
-    rows = cut_lineage(ledger(s, d))
+    rows = cut_lineage(ingest.entries(*stored(s, d)).select("ledger_id", "id", "kind", "stream_id"))
     parts = [lineage.agent_evidence(rows, role, AGENT_US + i)[0].select("ledger_id", F.lit(i).cast("long").alias("sequence"), "id", F.lit(role).alias("role"), "layer", "status", "evidence") for i, role in enumerate(sorted(lineage.ROLE_OUTPUT))]
     every = parts[0]
     for p in parts[1:]:
