@@ -78,6 +78,27 @@ def test_rows_are_not_numbered_for_what_reads_no_sequence(spark, monkeypatch, na
     test_query_equals_sql(spark, name)
 
 
+def test_payloads_of_one_stream_are_made_by_several_tasks(spark, tmp_path):
+    """All rows of a ledger's stream were one task's, from their numbers to their validation."""
+    spark.range(400).selectExpr("id AS event_id", "8L AS user_id", "'click' AS event_type", "1.5D AS value", "'{\"k\": 5}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = queries.env(spark, str(tmp_path)).where("arrival % 2 = 0")
+        assert rows.count() == 400 and rows.select(queries.F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert [r[0] for r in rows.orderBy("arrival").select("monotonic_sequence").collect()] == list(range(1, 401))
+
+
+@pytest.mark.parametrize("name", ["episode_evidence", "recent_zoom_256", "recent_records"])
+def test_payloads_are_not_written_for_what_reads_none(spark, monkeypatch, name):
+    written, cut = [], queries.cut_lineage
+    for module in (queries, queries.ingest, sys.modules["tracefold.functions.scan"]):
+        monkeypatch.setattr(module, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    test_query_equals_sql(spark, name)
+    assert written and not any("payload" in columns for columns in written)
+
+
 def test_slots_of_sparse_points_are_joined(spark):
     points = spark.range(1000).selectExpr("id % 2 AS ledger_id", "id * 60000000 AS ts_us")
     assert queries.cal.slot_width([points], 60_000_000, 100) == 100 * 60_000_000

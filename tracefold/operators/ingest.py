@@ -18,16 +18,17 @@ def _chunk(c: Ingest) -> Column:
     return F.floor(F.col("arrival") / c.chunk)
 
 
-def with_gaps(accepted: DataFrame, c: Ingest = Ingest()) -> DataFrame:
-    """accepted with last_sequence, jump, silent and pending (after the row) of the row's stream.
+def with_gaps(accepted: DataFrame, c: Ingest = Ingest(), small: bool | None = None) -> DataFrame:
+    """accepted with last_sequence, jump, silent and pending (after the row) of the row's stream; small as in scan().
 
     A jump (sequence over the largest earlier one plus 1) stores a gap row at the row's time before it, so it clears
     the pending flag and the row itself is not silent. A silence of more than silent_gap_us since the stream's
     previous arrival sets the flag, and it stays until a jump.
     """
     us = F.col("captured_at_utc_us")
-    accepted = cut_lineage(accepted)
-    small = fits(accepted, KEYS)
+    if small is None:
+        accepted = cut_lineage(accepted)
+        small = fits(accepted, KEYS)
     first = scan(accepted, KEYS, ["arrival"], _chunk(c), {"last_sequence": ("max_before", F.col("monotonic_sequence")), "_before": ("last_before", us)}, small)
     jump = F.coalesce(F.col("monotonic_sequence") > F.col("last_sequence") + 1, F.lit(False))
     silent = ~F.col("jump") & F.coalesce(us - F.col("_before") > c.silent_gap_us, F.lit(False))
@@ -58,11 +59,15 @@ def acknowledged(gapped: DataFrame, streams: list[str] | None, ts_us: int) -> Da
 
 
 def asof(gapped: DataFrame, c: Ingest = Ingest(), small: bool | None = None) -> DataFrame:
-    """gapped with the latest observation of each modality by append order, the row itself included, and whether it is pending; small as in scan()."""
+    """gapped with the latest observation of each modality by append order, the row itself included, and whether it is pending; small as in scan().
+
+    Signals are those of a column _signal, see signalled(), or else read from the payload."""
     stream = F.col("sensor_stream_id")
     row = F.struct(F.col("message_id").alias("id"), F.col("captured_at_utc_us").alias("ts_us"), F.col("_signal").alias("signal"))
     values = {m: ("last", F.when(stream == m, row)) for m in MODALITIES} | {f"{m}_pending": ("last", F.when(stream == m, F.col("marker"))) for m in MODALITIES}
-    out = scan(gapped.withColumn("_body", F.expr(PARSE)).withColumn("_signal", signal(body="_body")).drop("_body"), ["ledger_id"], ["arrival"], _chunk(c), values, small).drop("_signal")
+    if "_signal" not in gapped.columns:
+        gapped = gapped.withColumn("_body", F.expr(PARSE)).withColumn("_signal", signal(body="_body")).drop("_body")
+    out = scan(gapped, ["ledger_id"], ["arrival"], _chunk(c), values, small).drop("_signal")
     for m in MODALITIES:
         out = out.withColumn(f"{m}_pending", F.coalesce(f"{m}_pending", F.lit(False)))
     return out
@@ -80,6 +85,13 @@ def signal(c: Fusion = Fusion(), body: str = PARSE) -> Column:
     )
 
 
+def signalled(envelopes: DataFrame, c: Ingest = Ingest(), payload: bool = True) -> DataFrame:
+    """The accepted envelopes with _signal, read from the payload while it is parsed for validation. Without payload none
+    is sorted, shuffled or written after that."""
+    rows = accepted(envelopes, c, None, {"_signal": signal(body="_body")})
+    return rows if payload else rows.drop("payload", "schema_version")
+
+
 def fused(latest: DataFrame, c: Fusion = Fusion()) -> DataFrame:
     """latest with health, weight, probability, disagreement, confidence, modalities and state; probability is null without a belief.
 
@@ -106,7 +118,8 @@ def fused(latest: DataFrame, c: Fusion = Fusion()) -> DataFrame:
 
 def beliefs(envelopes: DataFrame, ingest: Ingest = Ingest(), fusion: Fusion = Fusion()) -> DataFrame:
     """One belief for each accepted envelope for which no modality is pending and some signal has weight."""
-    return believed(with_gaps(accepted(envelopes, ingest), ingest), ingest, fusion)
+    rows = cut_lineage(signalled(envelopes, ingest, payload=False))
+    return believed(with_gaps(rows, ingest, fits(rows, KEYS)), ingest, fusion, fits(rows, ["ledger_id"]))
 
 
 def believed(gapped: DataFrame, ingest: Ingest = Ingest(), fusion: Fusion = Fusion(), small: bool | None = None) -> DataFrame:
@@ -130,10 +143,10 @@ def evidence_edges(belief: DataFrame) -> DataFrame:
 
 
 def entries(gapped: DataFrame, belief: DataFrame) -> DataFrame:
-    """ledger()'s rows before they are numbered, for what reads no sequence: their order is (arrival, part)."""
+    """ledger()'s rows before they are numbered, for what reads no sequence: their order is (arrival, part). The payload is null where gapped has none."""
     none = F.lit(None)
     gaps = gap_rows(gapped).select("ledger_id", "arrival", F.lit(0).alias("part"), "id", F.lit("sensor_gap").alias("kind"), F.col("sensor_stream_id").alias("stream_id"), "ts_us", none.cast("string").alias("payload"), none.cast("double").alias("probability"))
-    extra = F.concat(F.expr("substr(payload, 1, length(payload) - 1)"), F.when(F.regexp_like("payload", F.lit(r"^\{\s*\}$")), "").otherwise(","), F.lit('"_monotonic_sequence":'), F.col("monotonic_sequence").cast("string"), F.lit("}"))
+    extra = none.cast("string") if "payload" not in gapped.columns else F.concat(F.expr("substr(payload, 1, length(payload) - 1)"), F.when(F.regexp_like("payload", F.lit(r"^\{\s*\}$")), "").otherwise(","), F.lit('"_monotonic_sequence":'), F.col("monotonic_sequence").cast("string"), F.lit("}"))
     observed = gapped.select("ledger_id", "arrival", F.lit(1).alias("part"), F.col("message_id").alias("id"), F.lit("observation").alias("kind"), F.col("sensor_stream_id").alias("stream_id"), F.col("captured_at_utc_us").alias("ts_us"), extra.alias("payload"), none.cast("double").alias("probability"))
     believed = belief.select("ledger_id", "arrival", F.lit(2).alias("part"), "id", F.lit("belief").alias("kind"), F.lit("fusion").alias("stream_id"), "ts_us", none.cast("string").alias("payload"), "probability")
     return gaps.unionByName(observed).unionByName(believed)

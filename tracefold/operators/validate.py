@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,13 +102,13 @@ def reject_reason(c: Ingest = Ingest(), body: str = PARSE) -> Column:
     )
 
 
-def classified(envelopes: DataFrame, c: Ingest = Ingest(), persisted: DataFrame | None = None) -> DataFrame:
-    """envelopes with status: accepted, duplicate, or a reject reason.
+def classified(envelopes: DataFrame, c: Ingest = Ingest(), persisted: DataFrame | None = None, also: Mapping[str, Column] | None = None) -> DataFrame:
+    """envelopes with status: accepted, duplicate, or a reject reason; also names columns that are read from the payload's variant _body on the way.
 
     The first valid arrival of an id is accepted. What arrives later under that id, valid or not, is a duplicate and
     no reject, unless its version or id is bad. persisted (ledger_id, id) holds ids that were stored before.
     """
-    reasoned = envelopes.withColumn("_body", F.expr(PARSE)).withColumn("reason", reject_reason(c, "_body")).drop("_body")
+    reasoned = envelopes.withColumn("_body", F.expr(PARSE)).withColumn("reason", reject_reason(c, "_body")).withColumns(dict(also or {})).drop("_body")
     first = F.min(F.when(F.col("reason").isNull(), F.col("arrival"))).over(Window.partitionBy("ledger_id", "message_id"))
     out = reasoned.withColumn("_first", first)
     old = F.lit(False)
@@ -115,8 +117,8 @@ def classified(envelopes: DataFrame, c: Ingest = Ingest(), persisted: DataFrame
         out = out.join(known, F.col("ledger_id").eqNullSafe(F.col("_l")) & (F.col("message_id") == F.col("_m")), "left").drop("_l", "_m")
         old = F.coalesce(F.col("_old"), F.lit(False))
     status = F.when(F.col("reason").isin("version", "message_id"), F.col("reason")).when(old | (F.col("_first") < F.col("arrival")), "duplicate").otherwise(F.coalesce("reason", F.lit("accepted")))
-    return out.withColumn("status", status).select(*envelopes.columns, "status")
+    return out.withColumn("status", status).select(*envelopes.columns, *(also or ()), "status")
 
 
-def accepted(envelopes: DataFrame, c: Ingest = Ingest(), persisted: DataFrame | None = None) -> DataFrame:
-    return classified(envelopes, c, persisted).where("status = 'accepted'").drop("status")
+def accepted(envelopes: DataFrame, c: Ingest = Ingest(), persisted: DataFrame | None = None, also: Mapping[str, Column] | None = None) -> DataFrame:
+    return classified(envelopes, c, persisted, also).where("status = 'accepted'").drop("status")

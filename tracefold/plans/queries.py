@@ -36,22 +36,22 @@ def env(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "envelopes")
 
 
-def gapped(s: SparkSession, d: str) -> DataFrame:
-    return ingest.with_gaps(validate.accepted(env(s, d)))
+def gapped(s: SparkSession, d: str, payload: bool = False) -> DataFrame:
+    return ingest.with_gaps(ingest.signalled(env(s, d), payload=payload))
 
 
 def beliefs(s: SparkSession, d: str) -> DataFrame:
     return ingest.belief_table(ingest.beliefs(env(s, d)))
 
 
-def stored(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def stored(s: SparkSession, d: str, payload: bool = False) -> tuple[DataFrame, DataFrame]:
     """Envelopes with their gaps, validated and scanned once for all that reads them, and the beliefs made from them."""
-    found = cut_lineage(gapped(s, d))
+    found = cut_lineage(gapped(s, d, payload))
     return found, ingest.belief_table(ingest.believed(found, small=fits(found, ["ledger_id"])))
 
 
-def ledger(s: SparkSession, d: str) -> DataFrame:
-    return ingest.ledger(*stored(s, d))
+def ledger(s: SparkSession, d: str, payload: bool = False) -> DataFrame:
+    return ingest.ledger(*stored(s, d, payload))
 
 
 def samples(s: SparkSession, d: str, held: DataFrame | None = None) -> DataFrame:
@@ -158,7 +158,7 @@ def sequence_gaps(s, d):
 
 @query
 def ledger_build(s, d):
-    return ledger(s, d).select("ledger_id", "sequence", "id", "kind", "stream_id", "ts_us", "payload")
+    return ledger(s, d, True).select("ledger_id", "sequence", "id", "kind", "stream_id", "ts_us", "payload")
 
 
 @query
@@ -219,7 +219,7 @@ def fusion_evidence(s, d):
 
 @query
 def fallback_belief(s, d):
-    rows = ingest.fallback_belief(rollups.telemetry(ledger(s, d)))
+    rows = ingest.fallback_belief(rollups.telemetry(ledger(s, d, True)))
     return rows.select("ledger_id", r("probability").alias("probability"), r("confidence").alias("confidence"), r("disagreement").alias("disagreement"), "modalities", "state")
 
 
@@ -724,20 +724,20 @@ def day_buckets(s, d):
 
 @query
 def telemetry(s, d):
-    rows = rollups.telemetry(ledger(s, d))
+    rows = rollups.telemetry(ledger(s, d, True))
     return rows.select("ledger_id", *[r(c).alias(c) for c in rows.columns if c != "ledger_id"])
 
 
 @query
 def latest_belief(s, d):
-    found = beliefs(s, d)
+    found = cut_lineage(beliefs(s, d))
     return rollups.latest_belief(found, ingest.evidence_edges(found)).select("ledger_id", "id", *[r(c).alias(c) for c in ("probability", "confidence", "disagreement", "health")], "modalities", "state", "evidence")
 
 
 @query
 def latest_joints(s, d):
     weighed = F.aggregate("joints", F.lit(0.0), lambda a, j: a + j["x"] + 10 * j["y"] + 100 * j["confidence"])
-    return rollups.latest_camera(ledger(s, d)).select("ledger_id", "id", "kind", F.size("joints").alias("joints"), r(weighed).alias("weighed"))
+    return rollups.latest_camera(ledger(s, d, True)).select("ledger_id", "id", "kind", F.size("joints").alias("joints"), r(weighed).alias("weighed"))
 
 
 @query
@@ -762,7 +762,7 @@ def events_list(s, d):
 
 @query
 def event_show(s, d):
-    return ledger(s, d).where("id = 'm75'").select("ledger_id", "sequence", "id", "kind", "stream_id", "payload")
+    return ledger(s, d, True).where("id = 'm75'").select("ledger_id", "sequence", "id", "kind", "stream_id", "payload")
 
 
 @query

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
-ENVELOPES = """
+from ..sources.shared import cut_lineage
+
+_EVENTS = """
 with b as (
   select event_id, user_id % 8 as led, cast(regexp_extract(props,'([0-9]+)',1) as bigint) as k, value,
     case event_type when 'click' then 'camera' when 'view' then 'microphone' when 'purchase' then 'bluetooth'
       when 'signup' then 'wifi' else case when event_id % 2 = 0 then 'camera' else 'thermal' end end as stream_id
-  from events),
-m as (
-  select *, row_number() over (partition by led, stream_id order by event_id)
-          + sum(case when k % 20 = 7 then 2 else 0 end) over (partition by led, stream_id order by event_id) as mono,
+  from events)"""
+_MONO = """row_number() over (partition by led, stream_id order by event_id)
+          + sum(case when k % 20 = 7 then 2 else 0 end) over (partition by led, stream_id order by event_id) as mono"""
+_ITEMS = """
     event_id * 250000 + k * 1000 - case when event_id % 41 = 0 then 3000000 else 0 end as ts_us,
     concat('{"name":"j', cast(k % 5 as varchar(20)), '","x":', cast(k as varchar(20)), '.25,"y":0.5,"confidence":0.', cast(k as varchar(20)), '}') as j1,
     concat('{"confidence":1,"y":-', cast(k as varchar(20)), '.5,"x":2,"name":"é"}') as j2,
     concat('{"pseudonym":"ble:', md5(cast(k as varchar(20))), md5('a'), '","rssi":-', cast(k + 30 as varchar(20)), '}') as c1,
-    concat('{"rssi":-4', cast(k % 10 as varchar(20)), '.5,"pseudonym":"ble:', md5('b'), md5(cast(k as varchar(20))), '"}') as c2
-  from b),
+    concat('{"rssi":-4', cast(k % 10 as varchar(20)), '.5,"pseudonym":"ble:', md5('b'), md5(cast(k as varchar(20))), '"}') as c2"""
+_ROWS = """
 p as (
   select led, event_id, stream_id, cast(mono as bigint) as mono, ts_us, k, case when k = 99 then 2 else 1 end as schema_version,
     concat('m', cast(event_id as varchar(20))) as message_id,
@@ -42,6 +46,7 @@ select led as ledger_id, event_id * 2 as arrival, schema_version, message_id, st
 union all
 select led, event_id * 2 + 21, schema_version, message_id, stream_id, mono, ts_us, payload from p where event_id % 25 = 0
 """
+ENVELOPES = f"{_EVENTS},\nm as (\n  select *, {_MONO},{_ITEMS}\n  from b),{_ROWS}"
 
 #: name -> (tables it reads, SQL)
 VIEWS = {
@@ -99,12 +104,23 @@ select l_orderkey as claim_id, row_number() over (partition by l_orderkey order
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view as a DataFrame, over the tables in sf_dir."""
-    tables, text = VIEWS[name]
-    import re
-
+def _sql(spark: SparkSession, sf_dir: str, tables: tuple[str, ...], text: str) -> DataFrame:
     for t in tables:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"_src_{t}")
         text = re.sub(rf"\b(from|join) {t}\b", rf"\1 _src_{t}", text)
     return spark.sql(text)
+
+
+def _envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ENVELOPES in steps: events are numbered once, by ledger and stream, then dealt evenly, so that payloads are made and checked
+    by as many tasks as there are, not by a few that hold a ledger's stream each. What payloads are made of is written in
+    between (few values, so small): the methods of both together are beyond the 8,000 bytes that the JVM compiles."""
+    numbered = _sql(spark, sf_dir, ("events",), f"{_EVENTS} select *, {_MONO} from b")
+    numbered.repartition("led", "event_id").createOrReplaceTempView("_numbered")
+    cut_lineage(spark.sql(f"select *, {_ITEMS} from _numbered")).createOrReplaceTempView("_items")
+    return spark.sql(f"with m as (select * from _items), {_ROWS}")
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived view as a DataFrame, over the tables in sf_dir."""
+    return _envelopes(spark, sf_dir) if name == "envelopes" else _sql(spark, sf_dir, *VIEWS[name])
