@@ -99,6 +99,24 @@ def test_payloads_are_not_written_for_what_reads_none(spark, monkeypatch, name):
     assert written and not any("payload" in columns for columns in written)
 
 
+@pytest.mark.parametrize("name", ["recent_zoom_24", "recent_records"])
+def test_only_recent_rows_are_numbered(spark, monkeypatch, name):
+    numbered, number = [], queries.ingest.scan
+    monkeypatch.setattr(queries.ingest, "scan", lambda df, keys, order, *a: numbered.append((order, df)) or number(df, keys, order, *a))
+    test_query_equals_sql(spark, name)
+    assert all(order == ["arrival"] or df.groupBy("ledger_id").count().agg({"count": "max"}).first()[0] <= 32 for order, df in numbered)
+
+
+def test_recent_rows_have_the_numbers_of_the_ledger(spark):
+    rows = [(None if i % 3 == 0 else i % 3, i // 2, i % 2, None if i % 5 < 3 else "camera") for i in range(90)]
+    entry = spark.createDataFrame(rows, "ledger_id long, arrival long, part int, stream_id string")
+    want = queries.scan(entry, ["ledger_id"], ["arrival", "part"], queries.F.lit(0), {"sequence": ("sum_before", queries.F.lit(1).cast("long"))}).drop("arrival", "part")
+    low = sorted(want.where("stream_id IS NOT NULL").collect(), key=lambda x: -x.sequence)
+    low = {k: [x.sequence for x in low if x.ledger_id == k][3] for k in (None, 1, 2)}
+    got = queries.ingest.recent(entry, 4, "stream_id IS NOT NULL").select(want.columns).collect()
+    assert sorted(got, key=str) == sorted([x for x in want.collect() if x.sequence >= low[x.ledger_id]], key=str)
+
+
 def test_slots_of_sparse_points_are_joined(spark):
     points = spark.range(1000).selectExpr("id % 2 AS ledger_id", "id * 60000000 AS ts_us")
     assert queries.cal.slot_width([points], 60_000_000, 100) == 100 * 60_000_000

@@ -158,6 +158,22 @@ def ledger(gapped: DataFrame, belief: DataFrame, c: Ingest = Ingest()) -> DataFr
     return out.drop("arrival", "part")
 
 
+def recent(entry: DataFrame, n: int, among: str = "true", c: Ingest = Ingest()) -> DataFrame:
+    """The rows of ledger(), from entries() of any columns, that follow or are one of each ledger's n newest for which among holds.
+
+    Only these are numbered, backwards from the count of a ledger's rows: the others are neither sorted nor shuffled."""
+    entry = cut_lineage(entry)
+    newest = Window.partitionBy("ledger_id").orderBy(F.desc("arrival"), F.desc("part"))
+    top = entry.where(among).select("ledger_id", "arrival", "part", F.row_number().over(newest).alias("_n")).where(F.col("_n") <= n)
+    low = top.groupBy(F.col("ledger_id").alias("_l")).agg(F.min(F.struct("arrival", "part")).alias("_low"))
+    total = entry.groupBy(F.col("ledger_id").alias("_t")).agg(F.count(F.lit(1)).alias("_rows"))
+    ends = cut_lineage(low.join(total, F.col("_l").eqNullSafe(F.col("_t"))).drop("_t"))  # a row a ledger
+    tail = entry.join(ends, F.col("ledger_id").eqNullSafe(F.col("_l"))).where(F.struct("arrival", "part") >= F.col("_low"))
+    back = tail.withColumns({"_a": -F.col("arrival"), "_p": -F.col("part")})
+    out = scan(back, ["ledger_id"], ["_a", "_p"], F.floor(F.col("_a") / c.chunk), {"_after": ("sum_before", F.lit(1).cast("long"))})
+    return out.withColumn("sequence", F.col("_rows") - 1 - F.col("_after")).drop("arrival", "part", "_l", "_low", "_rows", "_a", "_p", "_after")
+
+
 def fallback_belief(telemetry: DataFrame, c: Fusion = Fusion()) -> DataFrame:
     """A belief without freshness from camera_presence, audio_vad and bluetooth_cluster_count; nothing known gives 0.5 and unknown."""
     signals = {"camera": F.col("camera_presence"), "microphone": clamp(F.col("audio_vad")), "bluetooth": clamp(F.col("bluetooth_cluster_count") / c.full_clusters)}

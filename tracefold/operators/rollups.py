@@ -9,6 +9,8 @@ from ..config import DAY, SECOND
 
 LANES, BINS, DAYS, RECENT, RECORDS = 5, 96, 30, 4096, 32
 ZOOMS = (24, 96, 256, 1024, 4096)
+#: What recent_observations() takes of a ledger's rows.
+TIMED = "stream_id IS NOT NULL AND ts_us IS NOT NULL"
 
 
 def counts(rows: DataFrame) -> DataFrame:
@@ -33,7 +35,7 @@ def recent_records(rows: DataFrame, edges: DataFrame, n: int = RECORDS) -> DataF
 
 
 def recent_observations(rows: DataFrame, n: int = RECENT) -> DataFrame:
-    return newest(rows.where("stream_id IS NOT NULL AND ts_us IS NOT NULL"), n).select("ledger_id", "sequence", "stream_id", "ts_us")
+    return newest(rows.where(TIMED), n).select("ledger_id", "sequence", "stream_id", "ts_us")
 
 
 def latest_ts(rows: DataFrame) -> DataFrame:

@@ -54,6 +54,11 @@ def ledger(s: SparkSession, d: str, payload: bool = False) -> DataFrame:
     return ingest.ledger(*stored(s, d, payload))
 
 
+def recent(s: SparkSession, d: str, n: int = rollups.RECENT) -> DataFrame:
+    rows = ingest.entries(*stored(s, d)).select("ledger_id", "arrival", "part", "stream_id", "ts_us")
+    return rollups.recent_observations(ingest.recent(rows, n, rollups.TIMED), n)
+
+
 def samples(s: SparkSession, d: str, held: DataFrame | None = None) -> DataFrame:
     return (beliefs(s, d) if held is None else held).select("ledger_id", "ts_us", F.col("arrival").alias("sequence"), F.col("probability").alias("p"))
 
@@ -684,21 +689,22 @@ def stream_counts(s, d):
 def recent_records(s, d):
     found, held = stored(s, d)
     held = cut_lineage(held)
-    return rollups.recent_records(ingest.ledger(found, held), ingest.evidence_edges(held))
+    rows = ingest.entries(found, held).drop("payload", "probability")
+    return rollups.recent_records(ingest.recent(rows, rollups.RECORDS), ingest.evidence_edges(held))
 
 
 @query
 def recent_observations(s, d):
-    return rollups.recent_observations(ledger(s, d))
+    return recent(s, d)
 
 
 @query
 def recent_zoom(s, d):
-    return rollups.recent_observations(ledger(s, d), rollups.ZOOMS[1])
+    return recent(s, d, rollups.ZOOMS[1])
 
 
 for _n in (n for n in rollups.ZOOMS if n != rollups.ZOOMS[1]):
-    QUERIES[f"recent_zoom_{_n}"] = lambda s, d, n=_n: rollups.recent_observations(ledger(s, d), n)
+    QUERIES[f"recent_zoom_{_n}"] = lambda s, d, n=_n: recent(s, d, n)
 
 
 @query
