@@ -396,6 +396,21 @@ def test_links_of_a_bucket_against_all_pairs():
             assert by_hand_classes(n, got) == by_hand_classes(n, links)
 
 
+def test_shingles_of_a_line_are_made_once(monkeypatch):
+    """For a head's lines within KEPT_CHARS, however many groups they meet in; beyond, the links are the same."""
+    r = random.Random(2)
+    base = "".join(r.choice("abcdefgh ") for _ in range(80))
+    lines = [base[:50] + "".join(r.choice("abcdefgh ") for _ in range(30)) for _ in range(24)]
+    lines += [x[:-1] + "z" for x in lines]
+    groups = [[0, *range(i, len(lines))] for i in (1, 3, 5)]
+    made, grams = Counter(), fuzzy_lines.grams
+    monkeypatch.setattr(fuzzy_lines, "grams", lambda t: made.update([t]) or grams(t))
+    got = fuzzy_lines.bucket_links(lines, groups, 0.8)
+    assert len(got) >= 20 and set(made.values()) == {1}
+    monkeypatch.setattr(fuzzy_lines, "KEPT_CHARS", 0)
+    assert fuzzy_lines.bucket_links(lines, groups, 0.8) == got
+
+
 def test_buckets_with_the_same_members_are_one(spark):
     rows = [(1, 5), (1, 6), (2, 5), (2, 6), (3, 5), (3, 7), (4, 5), (4, 6), (4, 7), (5, 9)]
     got = fuzzy_lines.buckets(spark.createDataFrame([(k, i, 10) for k, i in rows], "key long, id long, size int")).collect()

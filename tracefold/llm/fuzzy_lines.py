@@ -30,6 +30,8 @@ TASK_LINES, TASK_CHARS, FEW = 10_000, 1_000_000, 16
 SMALL, BLOCK = 64, 500
 #: Bits of the filter of shared keys, as a power of two; it is broadcast.
 FILTER_BITS = 27
+#: Shingle sets of a head's lines are kept while these lines have at most so many characters together, else made for each comparison.
+KEPT_CHARS = 100_000
 #: From so many candidates of a line on, their common shingles are counted together.
 MANY = 32
 
@@ -244,7 +246,8 @@ def bucket_links(lines: list[str], groups: list[list[int]], similarity: float) -
             root[find(j)] = find(i)
             out.append((i, j))
 
-    first, small = shingles(0, True), len(lines) <= FEW
+    small = len(lines) <= FEW or sum(map(len, lines)) <= KEPT_CHARS
+    first = shingles(0, True)
     for j in range(1, len(lines)):
         meet(0, j, first, shingles(j, small))
     unlike = set()
