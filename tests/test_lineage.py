@@ -6,7 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tracefold.functions.scan import scan
 from tracefold.operators import chain, lineage, merkle
+from tracefold.plans import views
 from tracefold.sources.tables import cut_lineage
 
 EDGES, LEDGER = "derived_id string, source_id string, ordinal int", "ledger_id long, sequence long, id string, kind string, stream_id string, ts_us long, payload string"
@@ -151,6 +153,112 @@ def test_erasure_moves_no_hash_that_it_replaces(spark, ledger):
     assert got.rows.count() == 1203 - erased.count() and chain.broken(got.rows).collect() == []
 
 
+@pytest.mark.parametrize("small", [0, 200_000])
+@pytest.mark.parametrize("gone", [[], ["e1-40", "e1-41", "e2-399", *[f"e0-{i}" for i in range(20, 60)]], [f"e2-{i}" for i in range(402)]])
+def test_segments_not_linked_yet_are_linked_as_they_stay(spark, ledger, gone, small, monkeypatch):
+    """What chains made before the erasure and renewed by it would be; also where erased ids are more than are broadcast."""
+    edges = spark.createDataFrame([], EDGES)
+    erased = spark.createDataFrame([(x,) for x in gone], "id string")
+    want = lineage.compacted(ledger, edges, erased)
+    monkeypatch.setattr(lineage, "SMALL_FRONTIER", small)
+    bare = ledger.drop("previous_hash", "hash")
+    got = lineage.compacted(bare, edges, erased)
+    assert set(got.rows.columns) == set(ledger.columns)
+    assert {tuple(r) for r in got.rows.select(*ledger.columns).collect()} == {tuple(r) for r in want.rows.select(*ledger.columns).collect()}
+    assert {tuple(r) for r in got.tree.collect()} == {tuple(r) for r in want.tree.collect()}
+    again = lineage.compacted(ledger, edges, erased)
+    assert {tuple(r) for r in again.rows.select(*ledger.columns).collect()} == {tuple(r) for r in want.rows.select(*ledger.columns).collect()}
+
+
+def test_a_row_goes_by_its_id_alone(spark):
+    """Rows of one segment that share a sequence, by mistake, are erased apart."""
+    rows = spark.createDataFrame([(1, 0, "a", "p", 0), (1, 1, "b", "p", 0), (1, 1, "c", "p", 0), (1, 2, "d", "p", 0)], "ledger_id long, sequence long, id string, payload string, segment long")
+    left = lineage.compacted(rows, spark.createDataFrame([], EDGES), spark.createDataFrame([("b",)], "id string")).rows
+    assert {(r.id, r.sequence) for r in left.collect()} == {("a", 0), ("c", 1), ("d", 2)}
+
+
+def test_large_frontiers_move_few_rows(spark, monkeypatch):
+    """Rows whose ids a bitmap doesn't hold are left out before they are shuffled, and those that it holds by chance afterwards."""
+    monkeypatch.setattr(lineage, "SMALL_FRONTIER", 10)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = spark.range(50_000).select(F.concat(F.lit("n"), "id").alias("id"))
+        ids = spark.range(0, 5_000, 5).select(F.concat(F.lit("n"), "id").alias("id"))
+        for bits in (1 << 27, 1 << 10):  # sparse, and nearly full
+            monkeypatch.setattr(lineage, "ID_BITS", bits)
+            found = lineage._among(rows, "id", ids, 1_000)
+            assert {r.id for r in found.collect()} == {f"n{i}" for i in range(0, 5_000, 5)}
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("_bits") > plan.index("Join LeftSemi") and plan.count("Join LeftSemi") == 2  # the bitmap's join is below
+        assert plan.splitlines()[0].find("_bits") < 0
+        edges = spark.createDataFrame([(f"n{i}", f"n{i // 10}", 0) for i in range(1, 3_000)], EDGES)
+        every = spark.range(3_000).select(F.concat(F.lit("n"), "id").alias("id"))
+        got = {r.id for r in lineage.cascade(spark.createDataFrame([("n2",)], "id string"), every, edges).collect()}
+        want = {2}
+        for i in range(3, 3_000):
+            if i // 10 in want:
+                want.add(i)
+        assert got == {f"n{i}" for i in want}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_cut_leaves_no_shuffle(spark):
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().endswith(".data")}
+    old, kept = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    cut = cut_lineage(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count())
+    assert files() <= old and cut.count() == 100
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == kept
+
+
+def test_erase_compact_writes_no_hashes(spark):
+    """The chain of what stays is made once, at the end: no table between holds a hash, which nothing compresses below 32 bytes."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    from tracefold.plans.queries import QUERIES
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    old = set(shared.rglob("*.parquet"))
+    left = QUERIES["erase_compact"](spark, "/root/testdata/sf0.001")
+    assert left.where("hash IS NULL").count() == 0
+    new = set(shared.rglob("*.parquet")) - old
+    assert new and not [f for f in new if "hash" in pq.read_schema(f).names]
+
+
+@pytest.mark.parametrize("name", ["lineage_nodes", "lineage_edges"])
+def test_lines_are_numbered_by_counts(spark, tmp_path, name, monkeypatch):
+    """Rows that repeat an order and line number get the numbers that the view's SQL gives them, in several blocks where there are many; no other column of a line is read."""
+    monkeypatch.setattr(views, "_BLOCK", 4)
+    keys = [(1, 1)] * 9 + [(1, 2)] * 4 + [(2, 1)] + [(None, 1), (3, None)] * 5
+    lines = spark.createDataFrame([(o, n, i, i % 2, float(i), 1.0) for i, (o, n) in enumerate(keys)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    for t in ("orders", "customer", "nation", "region"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(20).write.parquet(f"{tmp_path}/{t}.parquet")
+    want = sorted(map(str, views._sql(spark, str(tmp_path), *views.VIEWS[name]).collect()))
+    got = views.view(spark, str(tmp_path), name)
+    assert sorted(map(str, got.collect())) == want
+    assert got.schema.names == views._sql(spark, str(tmp_path), *views.VIEWS[name]).schema.names
+    assert sorted(map(str, views.view(spark, str(tmp_path), name, cut_lineage(views.lines(spark, str(tmp_path)))).collect())) == want
+    assert "l_partkey" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_chunks_are_broadcast(spark):
+    """Rows scanned in chunks aren't moved again for what chunks inherit, whatever Spark takes chunks to weigh."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = spark.range(1_000).select(F.lit(1).alias("k"), "id")
+        for cut in (True, False):
+            got = scan(rows, ["k"], ["id"], F.floor(F.col("id") / 100), {"n": ("sum_before", F.lit(1))}, small=False, cut=cut)
+            assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+            assert got.where("n = id").count() == 1_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_a_tree_that_grows_a_level(spark):
     rows = lambda n: chain.build(spark.createDataFrame([(1, i, f"e{i}", "k", "s", i, f"p{i}") for i in range(n)], LEDGER), 2)
     old, new = merkle.tree(rows(8), 4), rows(40)

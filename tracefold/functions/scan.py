@@ -16,6 +16,8 @@ from ..sources.shared import cut_lineage
 
 #: Rows of a key up to which one window for the key will do.
 MOST_ROWS = 2_000_000
+#: So many counted chunks are broadcast to their rows.
+MOST_CHUNKS = 200_000
 #: kind -> how a chunk's inheritance and its own value combine
 KINDS = ("last", "max", "sum", "max_before", "sum_before", "last_before")
 
@@ -38,12 +40,13 @@ def _plain(df: DataFrame, keys: list[str], order: list[str], values: Mapping[str
     return df.select("*", *out)
 
 
-def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column, values: Mapping[str, tuple[str, Column]], small: bool | None = None) -> DataFrame:
+def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column, values: Mapping[str, tuple[str, Column]], small: bool | None = None, cut: bool = True) -> DataFrame:
     """df with one more column for each of values: name -> (kind, expression), in the order of unique `order` within keys.
 
     last skips nulls; the *_before kinds leave the row itself out. chunk must not fall along the order. Null keys are
     a key of their own. small says whether each key fits a task, where a plain window does; without it df is written
-    to the shared folder and its rows are counted by key. Else df is cut too, since chunks and their summaries both read it.
+    to the shared folder and its rows are counted by key. Else df is cut too, since chunks and their summaries both read it,
+    unless cut says that making it twice costs less.
     """
     if small is None:
         df = cut_lineage(df)
@@ -53,7 +56,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column, values
     named = df.withColumn("_chunk", chunk)
     for name, (_, value) in values.items():
         named = named.withColumn(f"_v_{name}", value)
-    named = cut_lineage(named)
+    named = cut_lineage(named) if cut else named
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
@@ -75,9 +78,9 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column, values
             carried.append(f(f"_s_{name}").over(over).alias(f"_c_{name}"))
     rows = named.select("*", *local)
     marks = [F.col(k).alias(f"_k_{k}") for k in keys]
-    heads = named.groupBy(*keys, "_chunk").agg(*summary).select(*marks, F.col("_chunk").alias("_k__chunk"), *carried)
+    heads = cut_lineage(named.groupBy(*keys, "_chunk").agg(*summary).select(*marks, F.col("_chunk").alias("_k__chunk"), *carried))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in [*keys, "_chunk"]])
-    joined = rows.join(heads, same)
+    joined = rows.join(F.broadcast(heads) if heads.count() <= MOST_CHUNKS else heads, same)  # else planned before heads are known to be few, and rows moved twice
     out = []
     for name, (kind, _) in values.items():
         own, past = F.col(f"_l_{name}"), F.col(f"_c_{name}")

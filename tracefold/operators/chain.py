@@ -35,10 +35,18 @@ def link(rows: DataFrame) -> DataFrame:
 
     hash = SHA-256(previous_hash followed by the payload as stored), from GENESIS in each segment: a chain is serial, so
     a segment is the least that one task links. Tasks stream over sorted segments and hold a batch of rows at a time."""
-    plain = rows.drop("previous_hash", "hash")
-    kinds = ", ".join(f"`{c}` {k}" for c, k in plain.dtypes)
-    place = F.row_number().over(Window.partitionBy("ledger_id", "segment").orderBy(F.asc_nulls_last("sequence")))  # rows partitioned so before are not shuffled
-    return plain.withColumn("_place", place).mapInArrow(_linked, f"{kinds}, previous_hash string, hash string")
+    return link_placed(placed(rows.drop("previous_hash", "hash")))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """rows with _place, from 1 in each segment, and in that order; those partitioned and sorted so before are neither shuffled nor sorted."""
+    return rows.withColumn("_place", F.row_number().over(Window.partitionBy("ledger_id", "segment").orderBy(F.asc_nulls_last("sequence"))))
+
+
+def link_placed(rows: DataFrame) -> DataFrame:
+    """link() for rows that placed() has put in order."""
+    kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes if c != "_place")
+    return rows.mapInArrow(_linked, f"{kinds}, previous_hash string, hash string")
 
 
 def build(rows: DataFrame, segment_size: int = 10_000) -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions.scan import fits, scan
 from ..operators import chain, features, ingest, lineage, merkle, privacy, retention, rollups, sessions, validate
 from ..sources import tables
 from ..sources.tables import cut_lineage
-from .views import view
+from .views import lines, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -394,10 +394,6 @@ def event_history(s, d):
     return chain.history(rows, last).select("ledger_id", "sequence", "ancestor")
 
 
-def nodes(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "lineage_nodes")
-
-
 def edges(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "lineage_edges")
 
@@ -427,19 +423,22 @@ def erase_cascade(s, d):
     return lineage.cascade(every.where("id = 'r:1'"), every, links)
 
 
-def node_ledger(s: SparkSession, d: str) -> DataFrame:
-    """All nodes as one chained ledger: kinds after each other, lines by order, line number and the number among rows that repeat both."""
+def node_ledger(every: DataFrame) -> DataFrame:
+    """All nodes as one ledger in segments: kinds after each other, lines by order, line number and the number among rows that repeat both."""
     repeat = F.coalesce(F.try_element_at(F.split("id", ":"), F.lit(4)).cast("long"), F.lit(0))
     place = (F.col("sequence_class") * 100_000_000_000_000 + F.col("n") * 1000 + repeat).alias("place")
+    rows = every.select(F.lit(0).cast("long").alias("ledger_id"), "id", "kind", "n", place)
+    dense = scan(rows, ["ledger_id"], ["place"], F.floor(F.col("place") / 1_000_000_000), {"sequence": ("sum_before", F.lit(1).cast("long"))}, small=False, cut=False)
     payload = F.concat(F.lit('{"id":"'), "id", F.lit('"}'))
-    rows = nodes(s, d).select(F.lit(0).cast("long").alias("ledger_id"), "id", "kind", F.col("kind").alias("stream_id"), (F.col("n") * 1000).alias("ts_us"), payload.alias("payload"), place)
-    dense = scan(rows, ["ledger_id"], ["place"], F.floor(F.col("place") / 1_000_000_000), {"sequence": ("sum_before", F.lit(1).cast("long"))}, small=False)
-    return chain.build(dense.drop("place"), ERASED_SEGMENT)
+    segment = F.floor(F.col("sequence") / ERASED_SEGMENT)
+    return dense.select("ledger_id", "id", "kind", F.col("kind").alias("stream_id"), (F.col("n") * 1000).alias("ts_us"), payload.alias("payload"), "sequence", segment.alias("segment"))
 
 
 @query
 def erase_compact(s, d):
-    rows, links = cut_lineage(node_ledger(s, d)), edges(s, d)
+    """What the erasure leaves is linked once. Nodes and edges are both made of lines that were counted once."""
+    counted = cut_lineage(lines(s, d))
+    rows, links = cut_lineage(node_ledger(view(s, d, "lineage_nodes", counted))), view(s, d, "lineage_edges", counted)
     left = lineage.compacted(rows, links, lineage.cascade(rows.where("id = 'r:1'"), rows, links)).rows
     return left.select("id", "kind", "stream_id", "ts_us", "payload", "segment", "sequence", "previous_hash", "hash")
 

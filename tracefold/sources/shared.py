@@ -21,6 +21,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read from there, so that lost executors cost no recomputation."""
-    path = shared_path(df.sparkSession, "cut")
-    df.write.option("compression", "zstd").parquet(path)  # hashes in hex take half of what they do without entropy coding
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, drop = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = shared_path(spark, "cut"), spark.conf.get(drop, "false")
+    spark.conf.set(drop, "true")  # what the write shuffled is of no use once it is written, and would else stay on disk beside it
+    try:
+        df.write.option("compression", "zstd").parquet(path)  # hashes in hex take half of what they do without entropy coding
+    finally:
+        spark.conf.set(drop, before)
+    return spark.read.schema(df.schema).parquet(path)
